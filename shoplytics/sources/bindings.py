@@ -85,3 +85,39 @@ def described_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 def page_locations(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     return pages.select("page_id", F.col("url").alias("location"))
+
+
+# Event types of the test table renamed to the shop's collector
+# event types for the mapping job.
+SHOP_EVENT_TYPES = {
+    "view": "impression",
+    "click": "addToBasket",
+    "error": "removeFromBasket",
+    "purchase": "preview",
+    "signup": "pageView",
+}
+
+
+def raw_shop_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """events as raw collector input: ids as strings, epoch-ms timestamps,
+    renamed event types and the item as ``item_id`` / ``productId`` parameter
+    (with ``source=top_pick`` on impressions)."""
+    use_utc(spark)
+    ev = table(spark, sf_dir, "events")
+    etype = F.coalesce(
+        F.element_at(F.create_map(*[F.lit(x) for kv in SHOP_EVENT_TYPES.items() for x in kv]),
+                     F.col("event_type")),
+        F.col("event_type"))
+    k = product_id()
+    params = F.when(
+        F.col("event_type") == TOP_PICK_IMPRESSION,
+        F.create_map(F.lit("item_id"), k, F.lit("productId"), k,
+                     F.lit("source"), F.lit("top_pick")),
+    ).otherwise(F.create_map(F.lit("item_id"), k, F.lit("productId"), k))
+    return ev.select(
+        F.col("event_id").cast("string").alias("eventId"),
+        F.unix_millis(F.col("ts").cast("timestamp")).alias("timestamp"),
+        F.col("user_id").cast("string").alias("partyId"),
+        etype.alias("eventType"),
+        params.alias("eventParameters"),
+    )
