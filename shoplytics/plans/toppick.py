@@ -1 +1,165 @@
-"""Registered queries."""
+"""Registered top-pick queries (F1, F2, A2, A11, A12, J2, J6, J10, T2-T6,
+T10, W2, W4, U4, U5, C8, C9)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from shoplytics.functions.random import beta_sql, hash48_sql
+from shoplytics.operators import toppick as tp
+from shoplytics.plans.registry import register
+from shoplytics.sources import bindings
+
+SEED = 7
+
+_FLAGGED_SQL = f"""
+  SELECT event_id, ts, json_extract_string(props, '$.k') AS item,
+         event_type = '{bindings.TOP_PICK_CLICK}' AS is_click,
+         event_type = '{bindings.TOP_PICK_IMPRESSION}' AS is_imp
+  FROM events
+  WHERE event_type IN ('{bindings.TOP_PICK_CLICK}', '{bindings.TOP_PICK_IMPRESSION}')
+"""
+
+_TALLY_SQL = f"""
+SELECT item, count(*) FILTER (WHERE is_click) AS clicks,
+       count(*) FILTER (WHERE is_imp) AS impressions
+FROM ({_FLAGGED_SQL}) f GROUP BY item
+"""
+
+_A = "(clicks + 1)"
+_B = "(greatest(impressions - clicks, 0) + 1)"
+
+
+def flagged_events(spark, sf_dir):
+    ev = bindings.click_events(spark, sf_dir)
+    return tp.classify(ev, F.col("event_type") == bindings.TOP_PICK_CLICK,
+                       F.col("event_type") == bindings.TOP_PICK_IMPRESSION)
+
+
+def _draws(spark, sf_dir):
+    t = tp.tallies(flagged_events(spark, sf_dir))
+    return tp.draw(tp.posterior_mean(t), SEED, F.col("item"))
+
+
+@register("toppick_tallies", ["A2", "A12", "F1", "F2"], sql=_TALLY_SQL)
+def toppick_tallies(spark, sf_dir):
+    """Clicks and impressions per item over the whole event table."""
+    return tp.tallies(flagged_events(spark, sf_dir))
+
+
+@register("toppick_tallies_merge", ["J10"], sql=_TALLY_SQL)
+def toppick_tallies_merge(spark, sf_dir):
+    """Same tally as a full outer merge of the two counters."""
+    return tp.tallies_merged(flagged_events(spark, sf_dir))
+
+
+@register("toppick_draws", ["T2", "T10", "W2", "C8", "C9"], bench=True, sql=f"""
+WITH t AS ({_TALLY_SQL}),
+d AS (SELECT *, {_A} / ({_A} + {_B}) AS mean,
+             {beta_sql(str(SEED), 'item', _A, _B)} AS theta FROM t)
+SELECT item, clicks, impressions, round(mean, 6) AS mean, round(theta, 6) AS theta,
+       row_number() OVER (ORDER BY theta DESC, item) AS rank
+FROM d
+""")
+def toppick_draws(spark, sf_dir):
+    """Thompson draw and posterior mean per item, ranked by draw."""
+    d = tp.rank_global(_draws(spark, sf_dir))
+    return d.select("item", "clicks", "impressions", F.round("mean", 6).alias("mean"),
+                    F.round("theta", 6).alias("theta"), "rank")
+
+
+@register("toppick_winner", ["T2", "J2"], sql=f"""
+WITH t AS ({_TALLY_SQL}),
+d AS (SELECT item, {beta_sql(str(SEED), 'item', _A, _B)} AS theta FROM t),
+w AS (SELECT * FROM d ORDER BY theta DESC, item LIMIT 1)
+SELECT w.item, round(w.theta, 6) AS theta, p.p_name AS title,
+       round(p.p_retailprice, 2) AS retail_price
+FROM w LEFT JOIN part p ON CAST(p.p_partkey AS VARCHAR) = w.item
+""")
+def toppick_winner(spark, sf_dir):
+    """The current winner and its catalog item (none when nothing is tallied)."""
+    w = tp.winner(_draws(spark, sf_dir)).select("item", "theta")
+    cat = bindings.catalog_items(spark, sf_dir).select(
+        F.col("id").alias("item"), "title", "retail_price")
+    # The winner side is one row: a broadcast hash join, the catalog is scanned once.
+    return (F.broadcast(w).join(cat, "item", "left")
+            .select("item", F.round("theta", 6).alias("theta"), "title", "retail_price"))
+
+
+_EPOCH_SQL = f"""
+  SELECT *, floor(prior / {tp.IMPRESSIONS_PER_EPOCH})::BIGINT AS epoch,
+         ((prior + is_imp::INT) % {tp.IMPRESSIONS_PER_EPOCH} + 1)::INT AS counter,
+         is_imp AND (prior + is_imp::INT) % {tp.IMPRESSIONS_PER_EPOCH} = 0 AS refresh
+  FROM (SELECT *, coalesce(sum(is_imp::INT) OVER (ORDER BY ts, event_id
+               ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS prior
+        FROM ({_FLAGGED_SQL}) f) x
+"""
+
+
+def _epochs(spark, sf_dir):
+    return tp.assign_epochs(flagged_events(spark, sf_dir), ["ts", "event_id"])
+
+
+@register("toppick_epochs", ["T4", "W4", "A11"], bench=True, sql=f"""
+SELECT event_id, item, is_imp, prior AS prior_impressions, epoch, counter, refresh
+FROM ({_EPOCH_SQL}) e
+""")
+def toppick_epochs(spark, sf_dir):
+    """Experiment epoch, running impression count and counter of every
+    top-pick event."""
+    return _epochs(spark, sf_dir).select(
+        "event_id", "item", "is_imp", "prior_impressions", "epoch", "counter", "refresh")
+
+
+_EPOCH_TALLY_SQL = f"""
+SELECT epoch, item, count(*) FILTER (WHERE is_click) AS clicks,
+       count(*) FILTER (WHERE is_imp) AS impressions
+FROM ({_EPOCH_SQL}) e GROUP BY epoch, item
+"""
+
+
+@register("toppick_epoch_tallies", ["A2", "T4"], sql=_EPOCH_TALLY_SQL)
+def toppick_epoch_tallies(spark, sf_dir):
+    """Clicks and impressions per (epoch, item)."""
+    return tp.tallies(_epochs(spark, sf_dir), ("epoch", "item"))
+
+
+def _key(col_epoch, col_item):
+    return f"(CAST({col_epoch} AS VARCHAR) || ':' || {col_item})"
+
+
+@register("toppick_refresh", ["T3", "T5", "T6", "J6", "U4", "U5", "W2"], sql=f"""
+WITH t AS ({_EPOCH_TALLY_SQL}),
+d AS (SELECT *, {beta_sql(str(SEED), _key('epoch', 'item'), _A, _B)} AS theta FROM t),
+r AS (SELECT *, row_number() OVER (PARTITION BY epoch ORDER BY theta DESC, item) AS rank,
+             count(*) OVER (PARTITION BY epoch) AS n_items FROM d),
+kept AS (SELECT * FROM r WHERE rank <= CASE WHEN n_items = 1 THEN 1 ELSE n_items // 2 END),
+pos AS (SELECT CAST(p_partkey AS VARCHAR) AS id,
+               row_number() OVER (ORDER BY md5('{SEED}|' || CAST(p_partkey AS VARCHAR)),
+                                  CAST(p_partkey AS VARCHAR)) - 1 AS pos FROM part),
+nc AS (SELECT count(*) AS n_cat FROM pos),
+pe AS (SELECT epoch, count(*) AS kept, greatest({tp.NUM_ITEMS} - count(*), 0) AS n_random
+       FROM kept GROUP BY epoch),
+pe2 AS (SELECT pe.*, n_cat, least(n_random + kept, n_cat) AS m,
+               {hash48_sql(repr(str(SEED)), "'fill'", 'epoch')} % n_cat AS start
+        FROM pe, nc),
+slots AS (SELECT epoch, n_random, j, (start + j) % n_cat AS pos
+          FROM pe2, LATERAL (SELECT unnest(range(0, m)) AS j) s WHERE m > 0),
+cands AS (SELECT s.epoch, s.j, s.n_random, p.id AS item FROM slots s JOIN pos p USING (pos)),
+fresh AS (SELECT * FROM cands c WHERE NOT EXISTS
+            (SELECT 1 FROM kept k WHERE k.epoch = c.epoch AND k.item = c.item)),
+fill AS (SELECT epoch, item, row_number() OVER (PARTITION BY epoch ORDER BY j) AS k, n_random
+         FROM fresh)
+SELECT epoch + 1 AS next_epoch, item, 'kept' AS role, rank AS slot,
+       1::BIGINT AS clicks, 1::BIGINT AS impressions FROM kept
+UNION ALL
+SELECT epoch + 1, item, 'random', k, 1::BIGINT, 1::BIGINT FROM fill WHERE k <= n_random
+""")
+def toppick_refresh(spark, sf_dir):
+    """The refresh step applied to every epoch's tally: keep the best half by
+    draw, fill up to four with random catalog items not kept, and seed the
+    next experiment at 1 / 1."""
+    et = tp.tallies(_epochs(spark, sf_dir), ("epoch", "item"))
+    kept = tp.keep_top(et, SEED)
+    positions = tp.catalog_positions(bindings.catalog_items(spark, sf_dir).select("id"), SEED)
+    return tp.refresh(kept, positions, SEED)

@@ -67,7 +67,7 @@ def catalog_items(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("p_type").alias("category"),
         F.col("p_brand").alias("tag"),
         (F.col("p_size") + F.lit(FAVS_OFFSET)).alias("favs"),
-        F.col("p_retailprice").cast("decimal(18,2)").alias("retail_price"),
+        F.round(F.col("p_retailprice"), 2).alias("retail_price"),
     )
 
 
