@@ -43,3 +43,18 @@ def event_time_projection(spark, sf_dir):
         "event_type", F.unix_millis(F.col("ts").cast("timestamp")).alias("timestamp"))
     return (traffic.with_event_time(ev, "timestamp", "event_type")
             .select("eventType", F.col("ts").cast("timestamp_ntz").alias("ts")))
+
+
+@register("events_per_minute_stream", ["ST1", "ST2", "ST4", "ST5", "S2", "S8"], sql="""
+SELECT time_bucket(INTERVAL '1 minute', ts) AS window_start,
+       time_bucket(INTERVAL '1 minute', ts) + INTERVAL '1 minute' AS window_end,
+       event_type,
+       count(*) AS "count"
+FROM events
+GROUP BY ALL
+""")
+def events_per_minute_stream(spark, sf_dir):
+    """The per-minute count as a watermarked stream over the event files,
+    final state read back from the per-batch update table."""
+    from shoplytics.streaming.traffic import events_per_minute_stream as run
+    return run(spark, sf_dir)
