@@ -155,10 +155,11 @@ def refresh(kept: DataFrame, positions: DataFrame, seed: int, compat: bool = Fal
     as the reference does (and may come up short); the default draws
     ``n + kept`` so the set is never short while the catalog is large enough.
     """
-    n_cat = positions.agg(F.count(F.lit(1)).alias("n_cat"))
+    # Catalog size as a scalar subquery: evaluated once, no join.
+    n_cat = positions.agg(F.count(F.lit(1))).scalar()
     per_epoch = (kept.groupBy("epoch").agg(F.count(F.lit(1)).alias("kept"))
                  .withColumn("n_random", F.greatest(F.lit(NUM_ITEMS) - F.col("kept"), F.lit(0)))
-                 .crossJoin(F.broadcast(n_cat))  # one-row side
+                 .withColumn("n_cat", n_cat)
                  .withColumn("m", F.least(
                      (F.col("n_random") * 2) if compat else (F.col("n_random") + F.col("kept")),
                      F.col("n_cat")))

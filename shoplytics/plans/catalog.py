@@ -1 +1,135 @@
-"""Registered queries."""
+"""Registered catalog queries (J3-J5, A3-A7, A10, F4, F8, W3, M16-M18, S13,
+U1-U3, C6, C8, C10, C12)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from shoplytics.operators import catalog as cat
+from shoplytics.plans.registry import register
+from shoplytics.sources import bindings
+
+HARVEST_SQL = f"""
+photos AS (
+  SELECT CAST(p_partkey AS VARCHAR) AS id, p_name AS title, lower(p_type) AS category,
+         NULL::VARCHAR AS description, [p_brand] AS tags, 0 AS ord, p_partkey AS arrival
+  FROM part
+  UNION ALL
+  SELECT CAST(d.doc_id AS VARCHAR), p.p_name, d.lang, d.text, [d.source], 1, d.doc_id
+  FROM documents d JOIN part p ON p.p_partkey = d.doc_id
+),
+favs AS (SELECT CAST(l_partkey AS VARCHAR) AS id, least(count(*), {cat.FAVS_PAGE}) AS favs
+         FROM lineitem GROUP BY 1),
+acc AS (SELECT ph.*, coalesce(f.favs, 0)::INTEGER AS favs
+        FROM photos ph LEFT JOIN favs f USING (id)
+        WHERE coalesce(f.favs, 0) >= {cat.FAV_THRESHOLD}),
+harvested AS (SELECT * FROM (
+    SELECT *, row_number() OVER (PARTITION BY category ORDER BY arrival, id) AS rn FROM acc)
+  WHERE rn <= {cat.MAX_IMAGES}),
+rng AS (SELECT min(favs) AS mn, max(favs) AS mx FROM harvested),
+priced AS (SELECT h.*, CAST(trunc((favs - mn) / ((mx - mn + 1) / 2.0)) AS INTEGER) + 1 AS price
+           FROM harvested h, rng),
+merged AS (
+  SELECT id, arg_max({{'title': title, 'description': description, 'tags': tags,
+                       'favs': favs, 'price': price}}, ord) AS doc,
+         list_sort(list_distinct(flatten(list([category])))) AS categories
+  FROM priced GROUP BY id)
+"""
+
+
+def harvested(spark, sf_dir):
+    photos = bindings.harvest_candidates(spark, sf_dir)
+    counts = cat.favourite_counts(bindings.favourites(spark, sf_dir), "photo")
+    return cat.harvest(photos, counts)
+
+
+def priced_items(spark, sf_dir):
+    return cat.with_price(cat.make_items(cat.as_harvest_records(harvested(spark, sf_dir)),
+                                         keep=("ord",)))
+
+
+def catalog_snapshot(spark, sf_dir):
+    """The merged catalog: one document per id."""
+    return cat.merge_items(priced_items(spark, sf_dir))
+
+
+@register("harvest_accepted", ["J3", "J5", "A4", "F4", "W3", "U1"], sql=f"""
+WITH {HARVEST_SQL}
+SELECT id, category, title, favs, md5(description) AS description_md5,
+       array_to_string(tags, '|') AS tags
+FROM harvested
+""")
+def harvest_accepted(spark, sf_dir):
+    """Photos kept by the harvest: favourites counted (first page of 50),
+    threshold 30, first 1000 per category in arrival order."""
+    h = harvested(spark, sf_dir)
+    return h.select("id", "category", "title", "favs",
+                    F.md5("description").alias("description_md5"),
+                    F.array_join("tags", "|").alias("tags"))
+
+
+@register("catalog_prices", ["A3", "J7", "C8", "M16"], sql=f"""
+WITH {HARVEST_SQL}
+SELECT id, category, favs, price FROM priced
+""")
+def catalog_prices(spark, sf_dir):
+    """Item documents with their price band from the global favourite range."""
+    return priced_items(spark, sf_dir).select(
+        "id", F.col("categories")[0].alias("category"), "favs", "price")
+
+
+@register("catalog_merged", ["A5", "A6", "S13", "U2", "U3", "M16", "M17", "M18", "C10"],
+          bench=True, sql=f"""
+WITH {HARVEST_SQL}
+SELECT id, doc.title AS title, doc.title AS complete_title, doc.favs AS favs,
+       doc.price AS price, md5(doc.description) AS description_md5,
+       array_to_string(doc.tags, '|') AS tags, array_to_string(categories, '|') AS categories
+FROM merged
+""")
+def catalog_merged(spark, sf_dir):
+    """Duplicates merged by id: newest copy wins, categories united and sorted."""
+    m = catalog_snapshot(spark, sf_dir)
+    return m.select("id", "title", "complete_title", "favs", "price",
+                    F.md5("description").alias("description_md5"),
+                    F.array_join("tags", "|").alias("tags"),
+                    F.array_join("categories", "|").alias("categories"))
+
+
+@register("catalog_validation", ["F8", "F9", "F10"], sql=f"""
+WITH {HARVEST_SQL}
+SELECT id,
+       array_to_string(list_filter([
+         CASE WHEN id IS NULL OR id = '' THEN 'id_empty' END,
+         CASE WHEN id <> '' AND NOT regexp_matches(id, '^[0-9]{{6,15}}$') THEN 'id_pattern' END,
+         CASE WHEN coalesce(len(categories), 0) <= 0 THEN 'categories_empty' END],
+         lambda x: x IS NOT NULL), '|') AS reasons,
+       CASE WHEN regexp_matches(id, '^[0-9]{{6,15}}$') AND len(categories) > 0
+            THEN 200 ELSE 422 END AS status
+FROM merged
+""")
+def catalog_validation(spark, sf_dir):
+    """Each merged item with its rejection reasons and load status."""
+    v = cat.validate(catalog_snapshot(spark, sf_dir))
+    return v.select("id", F.array_join("reasons", "|").alias("reasons"), "status")
+
+
+@register("catalog_load_summary", ["A10", "F8"], sql=f"""
+WITH {HARVEST_SQL}
+SELECT CASE WHEN regexp_matches(id, '^[0-9]{{6,15}}$') AND len(categories) > 0
+            THEN 200 ELSE 422 END AS status, count(*) AS n
+FROM merged GROUP BY 1
+""")
+def catalog_load_summary(spark, sf_dir):
+    """Count of merged items by load outcome."""
+    return cat.load_summary(cat.validate(catalog_snapshot(spark, sf_dir)))
+
+
+@register("catalog_size", ["A7"], sql=f"""
+WITH {HARVEST_SQL}
+SELECT count(*) AS n_items, count(*) = 0 AS empty FROM merged
+""")
+def catalog_size(spark, sf_dir):
+    """Number of catalog documents; zero flags an empty catalog."""
+    return (catalog_snapshot(spark, sf_dir)
+            .agg(F.count(F.lit(1)).alias("n_items"))
+            .withColumn("empty", F.col("n_items") == 0))

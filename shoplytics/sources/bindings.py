@@ -121,3 +121,26 @@ def raw_shop_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         etype.alias("eventType"),
         params.alias("eventParameters"),
     )
+
+
+def harvest_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidate photos from two keyword searches (U1: results chained, no
+    dedup): parts listed under their type, and parts that have a description
+    document listed under the document's language (file order 1, so they are
+    the newer copy when both survive the harvest)."""
+    part = table(spark, sf_dir, "part")
+    docs = table(spark, sf_dir, "documents")
+    by_type = part.select(
+        F.col("p_partkey").cast("string").alias("id"), F.col("p_name").alias("title"),
+        F.lower("p_type").alias("category"), F.lit(None).cast("string").alias("description"),
+        F.array("p_brand").alias("tags"), F.lit(0).alias("ord"), F.col("p_partkey").alias("arrival"))
+    by_lang = docs.join(part, docs.doc_id == part.p_partkey).select(
+        F.col("doc_id").cast("string").alias("id"), F.col("p_name").alias("title"),
+        F.col("lang").alias("category"), F.col("text").alias("description"),
+        F.array("source").alias("tags"), F.lit(1).alias("ord"), F.col("doc_id").alias("arrival"))
+    return by_type.unionByName(by_lang)
+
+
+def favourites(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Favourite marks: one per order line of the part."""
+    return table(spark, sf_dir, "lineitem").select(F.col("l_partkey").cast("string").alias("photo"))
