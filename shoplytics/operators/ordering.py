@@ -64,3 +64,29 @@ def row_number(df: DataFrame, order_cols: list[str], out_col: str = "rn",
                n_parts: int | None = None) -> DataFrame:
     """1-based global row number in ``order_cols`` order."""
     return running_sum(df, order_cols, F.lit(1), out_col, inclusive=True, n_parts=n_parts)
+
+
+def group_row_number(df: DataFrame, group_cols: list[str], order_cols: list[str],
+                     out_col: str = "rn", n_parts: int | None = None) -> DataFrame:
+    """1-based row number inside each group, in ``order_cols`` order, without
+    moving a whole group into one task.
+
+    Rows are range-partitioned on (group, order): a hot group spans several
+    range partitions.  Each partition counts its rows per group (one row per
+    (partition, group) piece), the pieces of a group are prefix-summed in
+    partition order, and the in-partition row number gets that offset.  The
+    piece table has at most ``#groups + #partitions`` rows, so its window is
+    cheap; its join back is left to AQE (broadcast when it is small)."""
+    keys = [*group_cols, *order_cols]
+    r = _range_parts(df, keys, n_parts)
+    pieces = r.groupBy(_PART, *group_cols).agg(F.count(F.lit(1)).alias("__ptotal"))
+    offsets = pieces.select(
+        _PART, *group_cols,
+        F.coalesce(F.sum("__ptotal").over(
+            Window.partitionBy(*group_cols).orderBy(_PART)
+            .rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__offset"))
+    local = r.withColumn("__local", F.row_number().over(
+        Window.partitionBy(_PART, *group_cols).orderBy(*order_cols)))
+    return (local.join(offsets, [_PART, *group_cols])
+                 .withColumn(out_col, F.col("__local") + F.col("__offset"))
+                 .drop(_PART, "__local", "__offset"))

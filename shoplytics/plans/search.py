@@ -1 +1,161 @@
-"""Registered queries."""
+"""Registered catalog query, search and paging queries (C1, C2, F5-F7, J8,
+T1, T7, A8, A13)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from shoplytics.operators import search as se
+from shoplytics.plans.catalog import HARVEST_SQL, catalog_snapshot
+from shoplytics.plans.registry import register
+from shoplytics.sources import bindings
+from shoplytics.sources.tables import table
+
+
+def _fold_sql(x: str) -> str:
+    s = f"translate(lower({x}), '{se.FOLD_FROM}', '{se.FOLD_TO}')"
+    for a, b in se.FOLD_MULTI:
+        s = f"replace({s}, '{a}', '{b}')"
+    return s
+
+
+_DOC_TERMS_SQL = f"""
+doc_toks AS (SELECT doc_id, source,
+                    regexp_extract_all({_fold_sql('text')}, '{se.TOKEN_PATTERN}') AS t
+             FROM documents),
+doc_terms AS (SELECT doc_id, source, list_distinct(list_filter(
+                list_concat(t, list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1])),
+                lambda x: length(x) >= {se.MIN_TERM_LENGTH})) AS terms
+              FROM doc_toks)
+"""
+
+
+@register("text_terms", ["C1"], sql=f"""
+WITH {_DOC_TERMS_SQL}
+SELECT doc_id, len(terms) AS n_terms, md5(array_to_string(list_sort(terms), '|')) AS terms_md5
+FROM doc_terms
+""")
+def text_terms(spark, sf_dir):
+    """Analyzer output per document: number of distinct index terms and a
+    digest of the sorted term list."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", se.analyze("text").alias("terms"))
+    return docs.select("doc_id", F.size("terms").alias("n_terms"),
+                       F.md5(F.array_join(F.array_sort("terms"), "|")).alias("terms_md5"))
+
+
+def user_queries(spark, sf_dir):
+    """Search requests: the text of every user turn of ``conversations``."""
+    conv = table(spark, sf_dir, "conversations")
+    return conv.filter(F.col("role") == "user").select("conv_id", "turn", F.col("text").alias("query"))
+
+
+_SEARCH_SQL = f"""
+q AS (SELECT conv_id, turn, text AS query FROM conversations WHERE role = 'user'),
+qt AS (SELECT DISTINCT conv_id, turn, term FROM
+         (SELECT conv_id, turn, unnest(regexp_extract_all(query, '{se.PIECE_PATTERN}')) AS term FROM q)
+       WHERE term <> ''),
+{_DOC_TERMS_SQL},
+dp AS (SELECT DISTINCT unnest(terms) AS term, CAST(doc_id AS VARCHAR) AS id FROM doc_terms),
+tp AS (SELECT DISTINCT source AS term, CAST(doc_id AS VARCHAR) AS id FROM documents
+       WHERE source IS NOT NULL),
+hits AS (SELECT DISTINCT conv_id, turn, id FROM (
+           SELECT conv_id, turn, id FROM qt JOIN dp USING (term)
+           UNION ALL
+           SELECT conv_id, turn, id FROM qt JOIN tp USING (term)))
+"""
+
+
+def search_hits(spark, sf_dir, analyze_query: bool = False):
+    items = bindings.described_items(spark, sf_dir)
+    q = user_queries(spark, sf_dir)
+    if analyze_query:
+        qt = q.select("conv_id", "turn", F.explode(se.analyze("query")).alias("term"))
+    else:
+        qt = se.query_terms(q, ["conv_id", "turn"])
+    return se.search_hits(qt, ["conv_id", "turn"], se.description_postings(items),
+                          se.tag_postings(items))
+
+
+@register("search_first_page", ["F7", "J8", "C2", "T1", "A8", "A13", "C10"], bench=True, sql=f"""
+WITH {_SEARCH_SQL},
+r AS (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY id) AS rank,
+             count(*) OVER (PARTITION BY conv_id, turn) AS total FROM hits)
+SELECT conv_id, turn, any_value(total) AS total, count(*) AS size,
+       string_agg(id, '|' ORDER BY rank) AS ids
+FROM r WHERE rank <= {se.DEFAULT_PAGE_SIZE} GROUP BY conv_id, turn
+""")
+def search_first_page(spark, sf_dir):
+    """Every user turn run as a catalog search over item descriptions and
+    tags: hit total and the first page (20 items by id); no hits = no row."""
+    keys = ["conv_id", "turn"]
+    hits = search_hits(spark, sf_dir)
+    page = se.first_pages(hits, keys, page=0, size=se.DEFAULT_PAGE_SIZE)
+    docs = se.page_documents(se.with_page(page, se.DEFAULT_PAGE_SIZE), keys, ["id"],
+                             se.totals(hits, keys))
+    return docs.select(*keys, "total", "size",
+                       F.array_join(F.transform("items", lambda x: x["id"]), "|").alias("ids"))
+
+
+_CATEGORY_SQL = f"""
+WITH {HARVEST_SQL},
+members AS (SELECT DISTINCT unnest(categories) AS category, id, doc.title AS title FROM merged),
+r AS (SELECT *, row_number() OVER (PARTITION BY category ORDER BY id) AS rank,
+             count(*) OVER (PARTITION BY category) AS total FROM members)
+"""
+
+
+def category_listing(spark, sf_dir):
+    snap = catalog_snapshot(spark, sf_dir)
+    members = se.category_members(snap).join(snap.select("id", "title"), "id")
+    return se.with_page(se.ranked(members, ["category"]), se.WEB_PAGE_SIZE)
+
+
+@register("category_pages", ["F6", "T1", "A8", "A13"], bench=True, sql=f"""
+{_CATEGORY_SQL}
+SELECT category, CAST((rank - 1) // {se.WEB_PAGE_SIZE} AS INTEGER) AS page, count(*) AS size,
+       any_value(total) AS total, string_agg(id, '|' ORDER BY rank) AS ids,
+       md5(string_agg(title, '|' ORDER BY rank)) AS titles_md5
+FROM r GROUP BY 1, 2
+""")
+def category_pages(spark, sf_dir):
+    """Every page (30 items, by id as a string) of every category of the
+    merged catalog, with the category's total."""
+    listing = category_listing(spark, sf_dir)
+    docs = se.page_documents(listing, ["category"], ["id", "title"],
+                             se.totals(listing, ["category"]))
+    return docs.select("category", "page", "size", "total",
+                       F.array_join(F.transform("items", lambda x: x["id"]), "|").alias("ids"),
+                       F.md5(F.array_join(F.transform("items", lambda x: x["title"]), "|"))
+                       .alias("titles_md5"))
+
+
+@register("category_page_directory", ["T7", "A8"], sql=f"""
+WITH {HARVEST_SQL},
+members AS (SELECT DISTINCT unnest(categories) AS category, id FROM merged),
+t AS (SELECT category, count(*) AS total FROM members GROUP BY 1),
+d AS (SELECT category, total, CAST(trunc(total / {se.WEB_PAGE_SIZE}) AS INTEGER) AS last FROM t)
+SELECT category, total, last + 1 AS pages, page, page > 0 AS has_prev, page < last AS has_next
+FROM d, LATERAL (SELECT unnest(range(0, last + 1)) AS page) p
+""")
+def category_page_directory(spark, sf_dir):
+    """Page directory of every category (previous / next links and page
+    count, with the front end's one-page-too-many on exact multiples)."""
+    snap = catalog_snapshot(spark, sf_dir)
+    total = se.totals(se.category_members(snap), ["category"])
+    return se.page_directory(total, se.WEB_PAGE_SIZE, compat=True).select(
+        "category", "total", "pages", "page", "has_prev", "has_next")
+
+
+@register("item_lookup", ["F5", "J1"], sql="""
+WITH wanted AS (SELECT DISTINCT json_extract_string(props, '$.k') AS id FROM events
+                WHERE json_extract_string(props, '$.k') IS NOT NULL)
+SELECT w.id, p.p_partkey IS NOT NULL AS found, p.p_name AS title
+FROM wanted w LEFT JOIN part p ON CAST(p.p_partkey AS VARCHAR) = w.id
+""")
+def item_lookup(spark, sf_dir):
+    """Point lookup of every item id the click events ask for; ids without
+    a catalog document come back as not found."""
+    wanted = (bindings.click_events(spark, sf_dir).select(F.col("item").alias("id"))
+              .filter(F.col("id").isNotNull()).distinct())
+    items = bindings.catalog_items(spark, sf_dir).select("id", "title")
+    return se.lookup(items, wanted).select("id", "found", "title")
