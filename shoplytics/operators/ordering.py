@@ -90,3 +90,28 @@ def group_row_number(df: DataFrame, group_cols: list[str], order_cols: list[str]
     return (local.join(offsets, [_PART, *group_cols])
                  .withColumn(out_col, F.col("__local") + F.col("__offset"))
                  .drop(_PART, "__local", "__offset"))
+
+
+def group_lag(df: DataFrame, group_cols: list[str], order_cols: list[str], value,
+              out_col: str, n_parts: int | None = None) -> DataFrame:
+    """``lag(value)`` inside each group in ``order_cols`` order, in two levels.
+
+    Inside a range partition the plain ``lag`` is used; the first row of a
+    group's piece takes the value of the last row of the group's previous
+    piece (``max_by`` per piece, then ``lag`` over the small piece table)."""
+    val = F.col(value) if isinstance(value, str) else value
+    keys = [*group_cols, *order_cols]
+    r = _range_parts(df.withColumn("__v", val), keys, n_parts)
+    pieces = r.groupBy(_PART, *group_cols).agg(
+        F.max_by("__v", F.struct(*order_cols)).alias("__last"))
+    carry = pieces.select(
+        _PART, *group_cols,
+        F.lag("__last").over(Window.partitionBy(*group_cols).orderBy(_PART)).alias("__carry"))
+    local = r.withColumn("__lag", F.lag("__v").over(
+        Window.partitionBy(_PART, *group_cols).orderBy(*order_cols)))
+    first = F.row_number().over(Window.partitionBy(_PART, *group_cols).orderBy(*order_cols)) == 1
+    return (local.withColumn("__first", first)
+                 .join(carry, [_PART, *group_cols])
+                 .withColumn(out_col, F.when(F.col("__first"), F.col("__carry"))
+                             .otherwise(F.col("__lag")))
+                 .drop(_PART, "__v", "__lag", "__carry", "__first"))
