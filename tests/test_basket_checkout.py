@@ -1,0 +1,153 @@
+"""Basket and checkout state: stream = batch for any split, the checkout
+machine against a plain sequential model (W1, U6, U7, J1, ST8, ST9, C11,
+C15)."""
+
+import datetime as dt
+import os
+import time
+
+import pandas as pd
+from pyspark.sql import functions as F
+
+from shoplytics.operators import basket as bk
+from shoplytics.operators import checkout as co
+from shoplytics.streaming import basket as sb
+from shoplytics.streaming import checkout as sc
+from shoplytics.streaming import runner
+
+EVENTS = [  # (event_id, second, shopper, event_type, item)
+    (1, 1, 1, "click", "5"), (2, 2, 1, "click", "6"), (3, 3, 1, "error", "5"),
+    (4, 4, 1, "error", "5"), (5, 5, 2, "click", "0"), (6, 6, 2, "click", "7"),
+    (7, 7, 1, "signup", None), (8, 8, 1, "click", "8"), (9, 9, 1, "purchase", None),
+    (10, 10, 1, "signup", None), (11, 11, 1, "purchase", None), (12, 12, 2, "signup", None),
+    (13, 13, 2, "purchase", None), (14, 14, 3, "error", "5"), (15, 15, 2, "click", "9"),
+]
+CATALOG = {"5": 1, "6": 2, "7": 2, "8": 1, "9": 1}   # id -> price band ("0" is missing)
+
+
+def _frame(rows):
+    return pd.DataFrame(
+        [(e, dt.datetime(2024, 1, 1) + dt.timedelta(seconds=s), u, t, i)
+         for e, s, u, t, i in rows],
+        columns=["event_id", "ts", "shopper", "event_type", "item"]).astype(
+            {"event_type": "string", "item": "string"})
+
+
+def _write_batches(folder, chunks):
+    os.makedirs(folder, exist_ok=True)
+    t0 = time.time() - 1000
+    for i, rows in enumerate(chunks):
+        p = os.path.join(folder, f"part-{i:03d}.parquet")
+        _frame(rows).to_parquet(p, coerce_timestamps="us", allow_truncated_timestamps=True)
+        os.utime(p, (t0 + i, t0 + i))
+
+
+def _stream(spark, tmp_path, chunks):
+    _write_batches(str(tmp_path / "in"), chunks)
+    schema = "event_id long, ts timestamp_ntz, shopper long, event_type string, item string"
+    return (spark.readStream.schema(schema).option("maxFilesPerTrigger", 1)
+            .parquet(str(tmp_path / "in")))
+
+
+def _catalog(spark):
+    return spark.createDataFrame(list(CATALOG.items()), "id string, price int")
+
+
+def _actions(df):
+    return bk.basket_actions(df, F.col("event_type") == "click", F.col("event_type") == "error")
+
+
+def test_basket_stream_equals_batch_for_any_split(spark, tmp_path):
+    batch = _actions(spark.createDataFrame(_frame(EVENTS)))
+    want = {r["shopper"]: "|".join(sorted(x["item"] for x in bk.membership(
+        bk.checked(batch, _catalog(spark))).collect() if x["shopper"] == r["shopper"]))
+        for r in batch.select("shopper").distinct().collect()}
+    want = {k: v for k, v in want.items() if v}
+    # late arrival: the last chunk carries the earliest events
+    for n, chunks in enumerate(([EVENTS], [EVENTS[5:], EVENTS[:5]], [[e] for e in EVENTS])):
+        d = tmp_path / f"s{n}"
+        eff = bk.checked(_actions(_stream(spark, d, chunks)), _catalog(spark))
+        res = runner.run_to_table(eff, sb.basket_updates, ["shopper"], str(d / "out"),
+                                  str(d / "ckpt"))
+        got = {r["shopper"]: r["items"] for r in res.filter("n_items > 0").collect()}
+        assert got == want
+
+
+def _model(events, compat=False):
+    """The service's request handling, written out plainly."""
+    baskets, checkouts, completed, rejected = {}, {}, {}, {}
+
+    def new(s, ms):
+        b = baskets.get(s)
+        return {"id": f"h{s}-{ms}", "step": 0,
+                "tokens": sum(CATALOG[i] for i in b) if b else 0,
+                "basket": None if b is None else frozenset(b)}
+
+    def cur(s):
+        b = baskets.get(s)
+        return None if b is None else frozenset(b)
+
+    def view(s, ms):
+        c = checkouts.setdefault(s, new(s, ms))
+        if c["basket"] != cur(s) and not compat:
+            checkouts[s] = new(s, ms)
+
+    def post(s, step):
+        c = checkouts.get(s)
+        if c is None or c["basket"] != cur(s):
+            rejected[s] = rejected.get(s, 0) + 1
+            return False
+        c["step"] = step
+        return True
+
+    for e, sec, s, t, item in sorted(events, key=lambda r: (r[1], r[0])):
+        ms = sec * 1000 + 1704067200000
+        if t == "click":
+            if item in CATALOG:
+                baskets.setdefault(s, set()).add(item)
+            else:
+                rejected[s] = rejected.get(s, 0) + 1
+        elif t == "error":
+            if item in baskets.get(s, set()):
+                baskets[s].discard(item)
+            else:
+                rejected[s] = rejected.get(s, 0) + 1
+        elif t == "signup":
+            view(s, ms)
+            post(s, 1)
+        elif t == "purchase":
+            view(s, ms)
+            if post(s, 2):
+                completed[s] = completed.get(s, 0) + 1
+                view(s, ms)
+                checkouts.pop(s, None)
+                baskets.pop(s, None)
+    shoppers = {r[2] for r in events}
+    return {s: ("|".join(sorted(baskets[s])) if s in baskets else None,
+                checkouts[s]["step"] if s in checkouts else None,
+                checkouts[s]["tokens"] if s in checkouts else None,
+                completed.get(s, 0), rejected.get(s, 0)) for s in shoppers}
+
+
+def test_checkout_machine_matches_model(spark, tmp_path):
+    for compat in (False, True):
+        d = tmp_path / f"c{compat}"
+        src = _stream(spark, d, [EVENTS[:6], EVENTS[6:]])
+        ev = sc.checkout_events(src, _catalog(spark))
+        res = runner.run_to_table(ev, lambda x: sc.checkout_updates(x, compat), ["shopper"],
+                                  str(d / "out"), str(d / "ckpt"))
+        got = {r["shopper"]: (r["items"], r["step"], r["n_tokens"], r["completed"], r["rejected"])
+               for r in res.collect()}
+        assert got == _model(EVENTS, compat)
+        ids = [r["last_completed"] for r in res.collect() if r["last_completed"]]
+        assert ids and all(len(i) > 32 for i in ids)
+
+
+def test_tokens_match(spark):
+    df = spark.createDataFrame([(["a", "b"], ["a", "b"]), (["a"], ["a", "b"]),
+                                (["a", "x"], ["a", "b"]), (["a", "b", "c"], ["a", "b"])],
+                               "r array<string>, t array<string>")
+    strict = [x[0] for x in df.select(co.tokens_match("r", "t")).collect()]
+    compat = [x[0] for x in df.select(co.tokens_match("r", "t", compat=True)).collect()]
+    assert strict == [True, False, False, False]
+    assert compat == [True, True, False, None]
