@@ -95,3 +95,26 @@ def beta_sql(seed: str, key: str, a: str, b: str) -> str:
 def hash48_sql(*parts: str) -> str:
     inner = " || '|' || ".join(f"CAST({p} AS VARCHAR)" for p in parts)
     return f"CAST(('0x' || substr(md5({inner}), 1, 12)) AS BIGINT)"
+
+
+def gamma_py(seed, key, tag: str, shape: int) -> float:
+    """The keyed Gamma draw of :func:`gamma`, in plain Python (same value:
+    the exact path sums the same md5 uniforms, the large path uses the same
+    seeded generator).  Used by the sequential top-pick refresh chain."""
+    k = int(shape)
+    if k > EXACT_SHAPE_LIMIT:
+        return float(np.random.default_rng(_gamma_seed(str(seed), str(key), tag)).gamma(float(k), 1.0))
+    total = 0.0
+    for j in range(1, k + 1):
+        h = hashlib.md5(f"{seed}|{key}|{tag}|{j}".encode()).hexdigest()[:12]
+        total -= np.log((int(h, 16) + 1) / _DEN)
+    return total
+
+
+def beta_py(seed, key, a: int, b: int) -> float:
+    ga, gb = gamma_py(seed, key, "a", a), gamma_py(seed, key, "b", b)
+    return ga / (ga + gb)
+
+
+def hash48_py(*parts) -> int:
+    return int(hashlib.md5("|".join(str(p) for p in parts).encode()).hexdigest()[:12], 16)

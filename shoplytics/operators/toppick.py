@@ -117,13 +117,19 @@ def n_top(n: Column) -> Column:
     return F.when(n == 1, F.lit(1)).otherwise(F.floor(n / 2)).cast("int")
 
 
-def assign_epochs(flagged: DataFrame, order_cols: list[str]) -> DataFrame:
+def assign_epochs(flagged: DataFrame, order_cols: list[str], offset: int = 0,
+                  epoch_base: int = 0) -> DataFrame:
     """Per event, impressions strictly before it (global event
-    order), its epoch, the counter value after it and whether it refreshed."""
+    order), its epoch, the counter value after it and whether it refreshed.
+    ``offset`` impressions of the current experiment happened before these
+    events and the current experiment is epoch ``epoch_base`` (both carried
+    from earlier micro-batches by the stream)."""
     r = ordering.running_sum(flagged, order_cols, F.col("is_imp").cast("int"),
                              "prior_impressions", inclusive=False)
+    r = r.withColumn("prior_impressions", F.col("prior_impressions") + F.lit(offset))
     through = F.col("prior_impressions") + F.col("is_imp").cast("long")
-    return (r.withColumn("epoch", F.floor(F.col("prior_impressions") / IMPRESSIONS_PER_EPOCH))
+    return (r.withColumn("epoch", F.floor(F.col("prior_impressions") / IMPRESSIONS_PER_EPOCH)
+                         + F.lit(epoch_base))
              .withColumn("counter", (through % IMPRESSIONS_PER_EPOCH + 1).cast("int"))
              .withColumn("refresh", F.col("is_imp") & (through % IMPRESSIONS_PER_EPOCH == 0)))
 

@@ -163,3 +163,30 @@ def toppick_refresh(spark, sf_dir):
     kept = tp.keep_top(et, SEED)
     positions = tp.catalog_positions(bindings.catalog_items(spark, sf_dir).select("id"), SEED)
     return tp.refresh(kept, positions, SEED)
+
+
+def _stream_state(spark, sf_dir):
+    from shoplytics.streaming import runner
+    from shoplytics.streaming import toppick as stp
+    root = runner.scratch(spark, "toppick")
+    handler = stp.TopPickStream(root, bindings.catalog_items(spark, sf_dir).select("id"), SEED)
+    stp.run(stp.flagged_stream(spark, sf_dir), handler, root + "/ckpt")
+    return root, stp.latest_state(spark, root)
+
+
+@register("toppick_stream_state", ["ST6", "ST11", "T3", "T4", "T5", "T6", "A11"])
+def toppick_stream_state(spark, sf_dir):
+    """The experiment after the event stream: items of the current
+    experiment with their running tallies (sequential refresh chain)."""
+    _, state = _stream_state(spark, sf_dir)
+    return state.select("epoch", "item", "clicks", "impressions")
+
+
+@register("toppick_stream_winner", ["ST7", "T2", "J2"])
+def toppick_stream_winner(spark, sf_dir):
+    """The home-page pick served from the streamed experiment state."""
+    from shoplytics.streaming import toppick as stp
+    _, state = _stream_state(spark, sf_dir)
+    cat = bindings.catalog_items(spark, sf_dir).select("id", "title", "retail_price")
+    return stp.serve(state, cat, SEED).select("item", F.round("theta", 6).alias("theta"),
+                                              "title", "retail_price")
