@@ -159,3 +159,41 @@ def item_lookup(spark, sf_dir):
               .filter(F.col("id").isNotNull()).distinct())
     items = bindings.catalog_items(spark, sf_dir).select("id", "title")
     return se.lookup(items, wanted).select("id", "found", "title")
+
+
+_PREFIX_SQL = f"""
+q AS (SELECT DISTINCT unnest(regexp_extract_all({_fold_sql('text')}, '{se.TOKEN_PATTERN}')) AS prefix
+      FROM conversations WHERE role = 'user'),
+q2 AS (SELECT prefix, length(prefix) AS m,
+              CASE WHEN length(prefix) < 3 THEN 0 WHEN length(prefix) <= 5 THEN 1 ELSE 2 END AS d
+       FROM q WHERE length(prefix) >= 3),
+t AS (SELECT DISTINCT p_name AS title, {_fold_sql('p_name')} AS ft FROM part WHERE p_name IS NOT NULL),
+pairs AS (
+  SELECT prefix, title, least({", ".join(
+      f"CASE WHEN abs({off}) <= d AND m - 1 + ({off}) >= 0 THEN levenshtein("
+      f"substr(ft, 2, m - 1 + ({off})), substr(prefix, 2)) END" for off in range(-2, 3))}) AS distance,
+    d
+  FROM q2 JOIN t ON substr(ft, 1, 1) = substr(prefix, 1, 1))
+"""
+
+
+def typed_prefixes(spark, sf_dir):
+    """What shoppers type into the search box: every word (3 letters or
+    more) of every user turn of ``conversations``."""
+    conv = table(spark, sf_dir, "conversations").filter(F.col("role") == "user")
+    return (conv.select(F.explode(se.tokens("text")).alias("prefix"))
+                .filter(F.length("prefix") >= 3))
+
+
+@register("suggest_titles", ["T9", "C3"], bench=True, sql=f"""
+WITH {_PREFIX_SQL},
+r AS (SELECT prefix, title, distance,
+             row_number() OVER (PARTITION BY prefix ORDER BY distance, title) AS rank
+      FROM pairs WHERE distance <= d)
+SELECT prefix, rank, title, distance FROM r WHERE rank <= {se.SUGGESTIONS}
+""")
+def suggest_titles(spark, sf_dir):
+    """Top 10 title suggestions per typed word (fuzzy prefix match, first
+    letter exact, ranked by edit distance then title)."""
+    titles = bindings.catalog_items(spark, sf_dir).select("title")
+    return se.suggest(titles, typed_prefixes(spark, sf_dir))
