@@ -133,3 +133,26 @@ def catalog_size(spark, sf_dir):
     return (catalog_snapshot(spark, sf_dir)
             .agg(F.count(F.lit(1)).alias("n_items"))
             .withColumn("empty", F.col("n_items") == 0))
+
+
+@register("catalog_from_files", ["S10", "S11", "U2", "C6", "C13", "A5"], sql=f"""
+WITH {HARVEST_SQL}
+SELECT id, doc.title AS title, doc.title AS complete_title, doc.favs AS favs,
+       doc.price AS price, md5(doc.description) AS description_md5,
+       array_to_string(doc.tags, '|') AS tags, array_to_string(categories, '|') AS categories
+FROM merged
+""")
+def catalog_from_files(spark, sf_dir):
+    """The catalog build through files: harvest records written as JSON
+    lines per (search order, category), read back with the declared schema,
+    then item documents, prices and merge."""
+    from shoplytics.sources import harvest as hv
+    from shoplytics.streaming.runner import scratch
+    dest = scratch(spark, "harvest-files")
+    hv.write_harvest(cat.as_harvest_records(harvested(spark, sf_dir)), dest, by=("ord", "category"))
+    files = hv.read_harvest(spark, dest)
+    m = cat.merge_items(cat.with_price(cat.make_items(files, keep=("ord",))))
+    return m.select("id", "title", "complete_title", "favs", "price",
+                    F.md5("description").alias("description_md5"),
+                    F.array_join("tags", "|").alias("tags"),
+                    F.array_join("categories", "|").alias("categories"))

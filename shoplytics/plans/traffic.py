@@ -58,3 +58,43 @@ def events_per_minute_stream(spark, sf_dir):
     final state read back from the per-batch update table."""
     from shoplytics.streaming.traffic import events_per_minute_stream as run
     return run(spark, sf_dir)
+
+
+_EVENT_COLS_SQL = "SELECT event_id, ts, user_id, event_type, value, props FROM events"
+
+
+@register("events_archive_roundtrip", ["S6", "S2", "ST5"], sql=_EVENT_COLS_SQL)
+def events_archive_roundtrip(spark, sf_dir):
+    """Events streamed into the rolling Parquet archive, then read back."""
+    from shoplytics.sources import archive
+    from shoplytics.sources.tables import table
+    from shoplytics.streaming import runner
+    from shoplytics.streaming.traffic import event_table_stream
+    out = runner.scratch(spark, "archive")
+    q = archive.rolling_file_sink(event_table_stream(spark, sf_dir), out + "/data",
+                                  out + "/ckpt", interval=None).start()
+    q.awaitTermination()
+    schema = table(spark, sf_dir, "events").schema
+    return archive.read_archive(spark, out + "/data", schema).select(
+        "event_id", "ts", "user_id", "event_type", "value", "props")
+
+
+@register("event_props_parsed", ["S4", "C13"], sql="""
+SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events
+""")
+def event_props_parsed(spark, sf_dir):
+    """Event properties parsed with a declared schema and flattened."""
+    from shoplytics.sources import archive
+    from shoplytics.sources.tables import table
+    ev = table(spark, sf_dir, "events")
+    return archive.parse_json_records(ev, "k bigint", col="props", keep=("event_id",))
+
+
+@register("events_json_roundtrip", ["S9", "C13"], sql=_EVENT_COLS_SQL)
+def events_json_roundtrip(spark, sf_dir):
+    """Events dumped as JSON lines and parsed back with the table schema."""
+    from shoplytics.sources import archive
+    from shoplytics.sources.tables import table
+    ev = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type",
+                                               "value", "props")
+    return archive.parse_json_records(archive.to_json_lines(ev), ev.schema)

@@ -37,24 +37,34 @@ def stream_archive(spark: SparkSession, path: str, schema: T.StructType,
     return r.load(path)
 
 
-def parse_json_records(df: DataFrame, schema: T.StructType, col: str = "value") -> DataFrame:
-    """Parse a JSON string column with a declared schema and flatten it.
-    Malformed records become NULL fields (PERMISSIVE)."""
-    return (df.select(F.from_json(F.col(col).cast("string"), schema,
-                                  {"mode": "PERMISSIVE"}).alias("json"))
-              .select("json.*"))
+# Lossless JSON timestamps (microseconds; the defaults keep milliseconds).
+JSON_OPTIONS = {
+    "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX",
+    "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS",
+}
+
+
+def parse_json_records(df: DataFrame, schema: T.StructType | str, col: str = "value",
+                       keep: tuple[str, ...] = ()) -> DataFrame:
+    """Parse a JSON string column with a declared schema and flatten it
+    (next to the ``keep`` columns).  Malformed records become NULL fields
+    (PERMISSIVE)."""
+    opts = {"mode": "PERMISSIVE", **JSON_OPTIONS}
+    return (df.select(*keep, F.from_json(F.col(col).cast("string"), schema, opts).alias("json"))
+              .select(*keep, "json.*"))
 
 
 def to_json_lines(df: DataFrame) -> DataFrame:
     """One JSON document per record."""
-    return df.select(F.to_json(F.struct(*[F.col(c) for c in df.columns])).alias("value"))
+    return df.select(F.to_json(F.struct(*[F.col(c) for c in df.columns]), JSON_OPTIONS)
+                     .alias("value"))
 
 
 def rolling_file_sink(df: DataFrame, path: str, checkpoint: str,
-                      fmt: str = "parquet", interval: str = ROLL_INTERVAL) -> DataStreamWriter:
-    """Roll the stream into files every ``interval``.  The checkpoint's
-    commit log is the atomic publish step: readers of ``path`` only see files
-    of committed batches."""
-    return (df.writeStream.format(fmt).outputMode("append")
-              .option("path", path).option("checkpointLocation", checkpoint)
-              .trigger(processingTime=interval))
+                      fmt: str = "parquet", interval: str | None = ROLL_INTERVAL) -> DataStreamWriter:
+    """Roll the stream into files every ``interval`` (``None``: process
+    what is available and stop).  The checkpoint's commit log is the atomic
+    publish step: readers of ``path`` only see files of committed batches."""
+    w = (df.writeStream.format(fmt).outputMode("append")
+           .option("path", path).option("checkpointLocation", checkpoint))
+    return w.trigger(processingTime=interval) if interval else w.trigger(availableNow=True)
