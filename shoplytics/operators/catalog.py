@@ -79,6 +79,24 @@ def sizes_to_map(entries: Column) -> Column:
                                              x["source"].alias("source"), x["url"].alias("url"))))
 
 
+def sizes_per_photo(sizes: DataFrame, photo_col: str = "photo",
+                    order_cols: tuple[str, ...] = ("seq",)) -> DataFrame:
+    """One-to-many photo sizes nested as a map by label, the last
+    entry per label (in ``order_cols`` order) winning.  ``max_by`` per
+    (photo, label) is a partial-aggregating hash aggregate; the map per
+    photo holds at most one entry per label."""
+    last = sizes.groupBy(F.col(photo_col).alias("id"), "label").agg(
+        F.max_by(F.struct("width", "height", "source", "url"),
+                 F.struct(*order_cols)).alias("v"))
+    return last.groupBy("id").agg(
+        F.map_from_entries(F.collect_list(F.struct("label", "v"))).alias("sizes"))
+
+
+def with_sizes(photos: DataFrame, sizes_map: DataFrame) -> DataFrame:
+    """Photo -> its sizes (left join; a photo without sizes keeps NULL)."""
+    return photos.join(sizes_map, "id", "left")
+
+
 # --- item documents --------------------------------------------------------
 
 def harvest(photos: DataFrame, favourite_counts_df: DataFrame,

@@ -156,3 +156,45 @@ def catalog_from_files(spark, sf_dir):
                     F.md5("description").alias("description_md5"),
                     F.array_join("tags", "|").alias("tags"),
                     F.array_join("categories", "|").alias("categories"))
+
+
+@register("catalog_variants", ["J4", "M19", "M21", "M22", "S14", "C12"], sql=f"""
+WITH s AS (
+  SELECT CAST(l_partkey AS VARCHAR) AS id,
+         {list(cat.VARIANT_NAMES)}[((l_linenumber - 1) % {len(cat.VARIANT_NAMES)}) + 1] AS label,
+         CAST(floor(l_quantity) * 20 AS INTEGER) AS w,
+         CAST(CAST(floor(l_extendedprice) AS BIGINT) % 1000 AS INTEGER) AS h,
+         l_orderkey, l_linenumber
+  FROM lineitem),
+last AS (SELECT id, label, arg_max(w, (l_orderkey, l_linenumber)) AS w,
+                arg_max(h, (l_orderkey, l_linenumber)) AS h FROM s GROUP BY id, label),
+agg AS (SELECT id, count(*) AS n_variants, max(w) AS largest_width,
+               max(CASE WHEN label = 'Medium' THEN w END) AS medium_width,
+               array_to_string(list_sort(list(label)), '|') AS names
+        FROM last GROUP BY id)
+SELECT a.id, a.n_variants, a.largest_width,
+       (SELECT max(h) FROM last l WHERE l.id = a.id AND l.w = a.largest_width) AS largest_height,
+       a.medium_width, a.names, true AS roundtrip_ok
+FROM agg a
+""")
+def catalog_variants(spark, sf_dir):
+    """Photo sizes nested per photo (last size per label wins), typed as
+    item variants: count, largest (width, height), the Medium variant, and
+    the array form of the map read back equal."""
+    sizes = cat.sizes_per_photo(bindings.photo_sizes(spark, sf_dir), "photo",
+                                ("l_orderkey", "l_linenumber"))
+    photos = bindings.catalog_items(spark, sf_dir).select(
+        "id", "title", F.lit(None).cast("string").alias("description"),
+        F.array("tag").alias("tags"), "favs", "category")
+    items = cat.make_items(cat.as_harvest_records(cat.with_sizes(photos, sizes).filter(
+        F.col("sizes").isNotNull()), keep=("category",)))
+    arr = items.withColumn("arr", cat.variants_to_array())
+    back = arr.withColumn("back", cat.array_to_variants("arr"))
+    big = cat.largest_variant()
+    return back.select(
+        "id", F.size(F.map_keys("variants")).alias("n_variants"),
+        big["width"].alias("largest_width"), big["height"].alias("largest_height"),
+        cat.variant("Medium")["width"].alias("medium_width"),
+        F.array_join(F.array_sort(F.transform("arr", lambda x: x["name"])), "|").alias("names"),
+        (F.array_sort(F.map_entries("variants")) == F.array_sort(F.map_entries("back")))
+        .alias("roundtrip_ok"))

@@ -144,3 +144,21 @@ def harvest_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def favourites(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Favourite marks: one per order line of the part."""
     return table(spark, sf_dir, "lineitem").select(F.col("l_partkey").cast("string").alias("photo"))
+
+
+def photo_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Image sizes of a photo: one per order line of the part, the label
+    cycling through the variant names by line number; widths and heights as
+    strings (as harvested), ordered by (order, line)."""
+    from shoplytics.operators.catalog import VARIANT_NAMES
+    li = table(spark, sf_dir, "lineitem")
+    names = F.array(*[F.lit(n) for n in VARIANT_NAMES])
+    return li.select(
+        F.col("l_partkey").cast("string").alias("photo"),
+        F.element_at(names, F.pmod(F.col("l_linenumber") - 1, F.lit(len(VARIANT_NAMES))) + 1)
+        .alias("label"),
+        (F.floor("l_quantity") * 20).cast("string").alias("width"),
+        F.pmod(F.floor("l_extendedprice"), F.lit(1000)).cast("string").alias("height"),
+        F.concat(F.lit("img/"), F.col("l_orderkey").cast("string")).alias("source"),
+        F.concat(F.lit("photo/"), F.col("l_partkey").cast("string")).alias("url"),
+        "l_orderkey", "l_linenumber")

@@ -69,3 +69,27 @@ def test_drop_flagged_is_opt_in(spark):
                                "detectedDuplicate boolean, detectedCorruption boolean")
     assert mapping.drop_flagged(df).count() == 2
     assert mapping.drop_flagged(df, enabled=True).count() == 1
+
+
+def test_user_agent_fields_pass_through(spark):
+    raw = spark.createDataFrame([("1", "pageView", "Firefox", "Browser", "Linux")],
+                                "eventId string, eventType string, userAgentName string, "
+                                "userAgentType string, userAgentOsFamily string")
+    r = mapping.map_events(raw).first()
+    assert (r["userAgentName"], r["userAgentType"], r["userAgentOsFamily"]) == \
+        ("Firefox", "Browser", "Linux")
+    assert r["userAgentVersion"] is None
+
+
+def test_top_pick_predicates(spark):
+    from shoplytics.operators import toppick as tp
+    df = spark.createDataFrame(
+        [("pageView", "top_pick", "product"), ("impression", "top_pick", "home"),
+         ("pageView", None, "home"), ("pageView", "other", "category")],
+        "eventType string, source string, pageType string")
+    got = [tuple(r) for r in df.select(F.coalesce(tp.is_click(), F.lit(False)),
+                                       F.coalesce(tp.is_impression(), F.lit(False)),
+                                       tp.is_home_view()).collect()]
+    # a home view counts only when the event is neither a click nor an impression
+    assert got == [(True, False, False), (False, True, False), (False, False, True),
+                   (False, False, False)]
