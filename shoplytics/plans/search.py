@@ -38,7 +38,8 @@ FROM doc_terms
 def text_terms(spark, sf_dir):
     """Analyzer output per document: number of distinct index terms and a
     digest of the sorted term list."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", se.analyze("text").alias("terms"))
+    docs = se.spread(table(spark, sf_dir, "documents")).select(
+        "doc_id", se.analyze("text").alias("terms"))
     return docs.select("doc_id", F.size("terms").alias("n_terms"),
                        F.md5(F.array_join(F.array_sort("terms"), "|")).alias("terms_md5"))
 
@@ -65,15 +66,25 @@ hits AS (SELECT DISTINCT conv_id, turn, id FROM (
 """
 
 
-def search_hits(spark, sf_dir, analyze_query: bool = False):
-    items = bindings.described_items(spark, sf_dir)
+def _query_terms(spark, sf_dir, analyze_query: bool = False):
     q = user_queries(spark, sf_dir)
     if analyze_query:
-        qt = q.select("conv_id", "turn", F.explode(se.analyze("query")).alias("term"))
-    else:
-        qt = se.query_terms(q, ["conv_id", "turn"])
-    return se.search_hits(qt, ["conv_id", "turn"], se.description_postings(items),
-                          se.tag_postings(items))
+        return q.select("conv_id", "turn", F.explode(se.analyze("query")).alias("term")).distinct()
+    return se.query_terms(q, ["conv_id", "turn"])
+
+
+def _postings(spark, sf_dir):
+    """Description and tag postings of the described items, one table."""
+    items = se.spread(bindings.described_items(spark, sf_dir))
+    return (se.description_postings(items, keep=("id_num",))
+            .unionByName(se.tag_postings(items, keep=("id_num",))))
+
+
+def search_hits(spark, sf_dir, analyze_query: bool = False):
+    """The full hit set (query, item) - for callers that need every hit."""
+    items = bindings.described_items(spark, sf_dir)
+    return se.search_hits(_query_terms(spark, sf_dir, analyze_query), ["conv_id", "turn"],
+                          se.description_postings(items), se.tag_postings(items))
 
 
 @register("search_first_page", ["F7", "J8", "C2", "T1", "A8", "A13", "C10"], bench=True, sql=f"""
@@ -86,14 +97,18 @@ FROM r WHERE rank <= {se.DEFAULT_PAGE_SIZE} GROUP BY conv_id, turn
 """)
 def search_first_page(spark, sf_dir):
     """Every user turn run as a catalog search over item descriptions and
-    tags: hit total and the first page (20 items by id); no hits = no row."""
+    tags: hit total and the first page (20 items by id); no hits = no row.
+    Totals come from OR-ed posting bitmaps and the page from each term's
+    first 20 items per id bucket, so no (query, item) pair set is built."""
     keys = ["conv_id", "turn"]
-    hits = search_hits(spark, sf_dir)
-    page = se.first_pages(hits, keys, page=0, size=se.DEFAULT_PAGE_SIZE)
-    docs = se.page_documents(se.with_page(page, se.DEFAULT_PAGE_SIZE), keys, ["id"],
-                             se.totals(hits, keys))
-    return docs.select(*keys, "total", "size",
-                       F.array_join(F.transform("items", lambda x: x["id"]), "|").alias("ids"))
+    qt = _query_terms(spark, sf_dir)
+    # Only posting lists of terms some query uses (kept whole: exact).
+    postings = _postings(spark, sf_dir).join(qt.select("term").distinct(), "term",
+                                             "left_semi")
+    index = se.term_index(postings, se.DEFAULT_PAGE_SIZE)
+    res = se.search_results(qt, keys, index, page=0, size=se.DEFAULT_PAGE_SIZE)
+    return res.select(*keys, "total", F.size("ids").alias("size"),
+                      F.array_join("ids", "|").alias("ids"))
 
 
 _CATEGORY_SQL = f"""

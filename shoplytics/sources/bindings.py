@@ -76,6 +76,7 @@ def described_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return docs.select(
         F.col("doc_id").cast("string").alias("id"),
+        F.col("doc_id").alias("id_num"),
         F.col("text").alias("description"),
         F.array(F.col("lang")).alias("categories"),
         F.array(F.col("source")).alias("tags"),
