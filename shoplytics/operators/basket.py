@@ -23,7 +23,9 @@ REMOVE = "remove"
 
 def basket_actions(events: DataFrame, add: Column, remove: Column) -> DataFrame:
     """(shopper, item, ts, event_id, action) for basket events."""
-    return (events.withColumn("action", F.when(add, F.lit(ADD)).when(remove, F.lit(REMOVE)))
+    # The raw predicates first: they reach the Parquet scan as pushed filters.
+    return (events.filter(add | remove)
+                  .withColumn("action", F.when(add, F.lit(ADD)).when(remove, F.lit(REMOVE)))
                   .filter(F.col("action").isNotNull() & F.col("item").isNotNull())
                   .select("shopper", "item", "ts", "event_id", "action"))
 

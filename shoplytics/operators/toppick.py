@@ -45,8 +45,11 @@ def is_home_view() -> Column:
 
 
 def classify(events: DataFrame, click: Column, impression: Column) -> DataFrame:
-    """Keep top-pick events only, with ``is_click`` / ``is_imp`` flags."""
-    return (events.withColumn("is_click", F.coalesce(click, F.lit(False)))
+    """Keep top-pick events only, with ``is_click`` / ``is_imp`` flags.
+    The raw predicates filter first, so they reach the scan as pushed
+    filters."""
+    return (events.filter(click | impression)
+                  .withColumn("is_click", F.coalesce(click, F.lit(False)))
                   .withColumn("is_imp", F.coalesce(impression, F.lit(False)))
                   .filter(F.col("is_click") | F.col("is_imp")))
 
