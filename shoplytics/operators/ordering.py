@@ -115,3 +115,25 @@ def group_lag(df: DataFrame, group_cols: list[str], order_cols: list[str], value
                  .withColumn(out_col, F.when(F.col("__first"), F.col("__carry"))
                              .otherwise(F.col("__lag")))
                  .drop(_PART, "__v", "__lag", "__carry", "__first"))
+
+
+def group_running_sum(df: DataFrame, group_cols: list[str], order_cols: list[str], value,
+                      out_col: str, inclusive: bool = True,
+                      n_parts: int | None = None) -> DataFrame:
+    """Running sum of ``value`` inside each group in ``order_cols`` order,
+    in two levels (piece totals prefix-summed per group, then an offset)."""
+    val = F.col(value) if isinstance(value, str) else value
+    keys = [*group_cols, *order_cols]
+    r = _range_parts(df.withColumn("__v", val.cast("long")), keys, n_parts)
+    pieces = r.groupBy(_PART, *group_cols).agg(F.sum("__v").alias("__ptotal"))
+    offsets = pieces.select(
+        _PART, *group_cols,
+        F.coalesce(F.sum("__ptotal").over(
+            Window.partitionBy(*group_cols).orderBy(_PART)
+            .rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__offset"))
+    frame = (Window.partitionBy(_PART, *group_cols).orderBy(*order_cols)
+             .rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1))
+    local = r.withColumn("__local", F.coalesce(F.sum("__v").over(frame), F.lit(0)))
+    return (local.join(offsets, [_PART, *group_cols])
+                 .withColumn(out_col, F.col("__local") + F.col("__offset"))
+                 .drop(_PART, "__v", "__local", "__offset"))

@@ -98,3 +98,24 @@ def events_json_roundtrip(spark, sf_dir):
     ev = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type",
                                                "value", "props")
     return archive.parse_json_records(archive.to_json_lines(ev), ev.schema)
+
+
+@register("event_sessions", ["F11"], sql="""
+WITH e AS (SELECT user_id, ts, event_id,
+                  lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS prev FROM events),
+f AS (SELECT *, prev IS NULL OR ts - prev > INTERVAL 30 MINUTE AS first_in_session FROM e),
+n AS (SELECT *, sum(CAST(first_in_session AS INTEGER)) OVER (PARTITION BY user_id
+               ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS session_no
+      FROM f)
+SELECT user_id AS party, session_no, min(ts) AS session_start,
+       max(ts) + INTERVAL 30 MINUTE AS session_end, count(*) AS n_events
+FROM n GROUP BY 1, 2
+""")
+def event_sessions(spark, sf_dir):
+    """Sessions per party (30-minute inactivity timeout): start, end and
+    event count, from two-level gaps-and-islands."""
+    from shoplytics.operators import sessions as se
+    from shoplytics.sources.tables import table
+    ev = table(spark, sf_dir, "events").select(F.col("user_id").alias("party"), "ts", "event_id")
+    return se.sessions(se.mark_sessions(ev)).select(
+        "party", "session_no", "session_start", "session_end", "n_events")
