@@ -17,8 +17,9 @@ cluster's ``spark.checkpoint.dir``) before they are used twice.  Range bounds
 come from a sample whose seed depends on the RDD, so two independent
 evaluations of the same range shuffle can place a row in different
 partitions; materialising the partition id once makes the totals and the
-in-partition window agree, and survives executor loss.  Only the order key
-and the summed value are materialised, not the wide input rows.
+in-partition window agree, and survives executor loss.  The input rows are
+materialised as given, so callers pass narrow projections (keys, order
+columns and the few values they carry), not wide records.
 """
 
 from __future__ import annotations
