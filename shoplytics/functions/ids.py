@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from shoplytics.functions.times import epoch_millis
+
 # Accepted key shapes.
 SHOPPER_ID = r"^[a-f0-9]{32}$"
 CHECKOUT_ID = r"^[a-f0-9]{32,60}$"
@@ -41,7 +43,7 @@ def checkout_id(shopper, event_ts) -> Column:
     """Checkout id = shopper id followed by the epoch milliseconds of the
     (event) time the checkout started."""
     return F.concat(_c(shopper).cast("string"),
-                    F.unix_millis(_c(event_ts).cast("timestamp")).cast("string"))
+                    epoch_millis(_c(event_ts)).cast("string"))
 
 
 def new_shopper_id() -> Column:

@@ -14,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from shoplytics.functions.times import epoch_micros, to_instant
+
 from shoplytics.operators import ordering
 
 # Fixed value: session timeout of the collector.
@@ -24,7 +26,7 @@ def mark_sessions(events: DataFrame, party: str = "party", ts: str = "ts",
                   tiebreak: str = "event_id",
                   timeout_s: int = SESSION_TIMEOUT_SECONDS) -> DataFrame:
     """Per event: ``first_in_session`` and ``session_no`` (1-based per party)."""
-    us = F.unix_micros(F.col(ts).cast("timestamp"))
+    us = epoch_micros(ts)
     e = events.withColumn("__us", us)
     prev = ordering.group_lag(e, [party], ["__us", tiebreak], "__us", "__prev_us")
     first = F.col("__prev_us").isNull() | (F.col("__us") - F.col("__prev_us") > timeout_s * 10**6)
@@ -48,7 +50,7 @@ def stream_sessions(events: DataFrame, party: str = "party", ts: str = "ts",
                     watermark: str = "2 minutes",
                     timeout_s: int = SESSION_TIMEOUT_SECONDS) -> DataFrame:
     """Streaming form: session windows per party behind a watermark."""
-    return (events.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, watermark)
+    return (events.withColumn(ts, to_instant(ts)).withWatermark(ts, watermark)
                   .groupBy(party, F.session_window(ts, f"{timeout_s} seconds").alias("s"))
                   .agg(F.count(F.lit(1)).alias("n_events"))
                   .select(party, F.col("s.start").alias("session_start"),
@@ -58,7 +60,7 @@ def stream_sessions(events: DataFrame, party: str = "party", ts: str = "ts",
 def drop_duplicate_events(events: DataFrame, key: str = "event_id", ts: str = "ts",
                           watermark: str = "2 minutes") -> DataFrame:
     """Streaming duplicate removal by event id within the watermark."""
-    return (events.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, watermark)
+    return (events.withColumn(ts, to_instant(ts)).withWatermark(ts, watermark)
                   .dropDuplicatesWithinWatermark([key]))
 
 

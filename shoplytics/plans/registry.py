@@ -8,6 +8,7 @@ independent oracle.  ``__spark_entry__`` and ``bench.py`` read this registry.
 
 from __future__ import annotations
 
+import functools
 import importlib
 from collections.abc import Callable
 from dataclasses import dataclass, field
@@ -33,13 +34,24 @@ _MODULES = ("traffic", "mapping", "toppick", "catalog", "search", "basket", "che
 _loaded = False
 
 
+def _utc(fn: QueryFn) -> QueryFn:
+    """Event times are UTC wall clock: pin the session zone before a query
+    builds its plan (window bounds and instants render in that zone)."""
+    @functools.wraps(fn)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        if spark.conf.get("spark.sql.session.timeZone") != "UTC":
+            spark.conf.set("spark.sql.session.timeZone", "UTC")
+        return fn(spark, sf_dir)
+    return run
+
+
 def register(name: str, ids: tuple[str, ...] | list[str], sql: str | None = None,
              bench: bool = False):
     """Decorator: add a query function to the registry."""
     def deco(fn: QueryFn) -> QueryFn:
         if name in REGISTRY:
             raise ValueError(f"query {name!r} registered twice")
-        REGISTRY[name] = Query(name, fn, tuple(ids), sql.strip() if sql else None,
+        REGISTRY[name] = Query(name, _utc(fn), tuple(ids), sql.strip() if sql else None,
                                bench, (fn.__doc__ or "").strip())
         return fn
     return deco

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from shoplytics.functions.times import epoch_millis
+
 from shoplytics.operators import traffic
 from shoplytics.plans.registry import register
 from shoplytics.sources.bindings import click_events, use_utc
@@ -40,7 +42,7 @@ def event_time_projection(spark, sf_dir):
     """Two-column projection: event type and epoch-ms time back to a timestamp."""
     use_utc(spark)
     ev = click_events(spark, sf_dir).select(
-        "event_type", F.unix_millis(F.col("ts").cast("timestamp")).alias("timestamp"))
+        "event_type", epoch_millis("ts").alias("timestamp"))
     return (traffic.with_event_time(ev, "timestamp", "event_type")
             .select("eventType", F.col("ts").cast("timestamp_ntz").alias("ts")))
 

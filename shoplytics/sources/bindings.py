@@ -24,6 +24,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shoplytics.functions.times import epoch_millis
+
 from shoplytics.sources.tables import table
 
 TOP_PICK_CLICK = "click"
@@ -117,7 +119,7 @@ def raw_shop_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).otherwise(F.create_map(F.lit("item_id"), k, F.lit("productId"), k))
     return ev.select(
         F.col("event_id").cast("string").alias("eventId"),
-        F.unix_millis(F.col("ts").cast("timestamp")).alias("timestamp"),
+        epoch_millis("ts").alias("timestamp"),
         F.col("user_id").cast("string").alias("partyId"),
         etype.alias("eventType"),
         params.alias("eventParameters"),

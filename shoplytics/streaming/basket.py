@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from shoplytics.functions.times import epoch_micros
 from shoplytics.operators import basket as bk
 from shoplytics.sources import bindings
 from shoplytics.streaming import runner
@@ -44,7 +45,7 @@ def fold_basket(key, chunks: Iterator[pd.DataFrame], state: GroupState) -> Itera
 def basket_updates(actions: DataFrame) -> DataFrame:
     """Stateful per-shopper fold of effective basket actions (update mode)."""
     return (actions.select("shopper", "item", "action",
-                           F.unix_micros(F.col("ts").cast("timestamp")).alias("ts_us"),
+                           epoch_micros("ts").alias("ts_us"),
                            "event_id")
                    .groupBy("shopper")
                    .applyInPandasWithState(fold_basket, OUTPUT_SCHEMA, STATE_SCHEMA,

@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from shoplytics.functions.times import epoch_millis
 from shoplytics.plans.basket import catalog_priced
 from shoplytics.sources import bindings
 from shoplytics.streaming import runner
@@ -137,7 +138,7 @@ def checkout_events(events: DataFrame, prices: DataFrame) -> DataFrame:
     return priced.select(
         "shopper", F.md5(F.col("shopper").cast("string")).alias("shopper_hex"),
         "kind", "item", "price",
-        F.unix_millis(F.col("ts").cast("timestamp")).alias("ts_ms"), "event_id")
+        epoch_millis("ts").alias("ts_ms"), "event_id")
 
 
 def checkout_updates(events: DataFrame, compat: bool = False) -> DataFrame:

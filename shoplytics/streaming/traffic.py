@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shoplytics.functions.times import to_instant
+
 from shoplytics.operators import traffic
 from shoplytics.sources import archive, bindings
 from shoplytics.sources.tables import table
@@ -20,7 +22,7 @@ def per_minute(df: DataFrame, ts_col: str = "ts", type_col: str = "eventType") -
     """ST1 + ST2 + A1: watermark, tumbling 1-minute window, count per type.
     Streaming watermarks need TIMESTAMP (not TIMESTAMP_NTZ): cast under UTC."""
     ts = F.col(ts_col)
-    return (df.withColumn(ts_col, ts.cast("timestamp"))
+    return (df.withColumn(ts_col, ts if dict(df.dtypes)[ts_col] == "timestamp" else to_instant(ts))
               .withWatermark(ts_col, traffic.WATERMARK)
               .transform(lambda d: traffic.count_per_window(d, ts_col, type_col)))
 
