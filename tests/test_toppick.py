@@ -69,3 +69,24 @@ def test_refresh_fills_to_four_distinct(spark):
         items = [r["item"] for r in nxt.filter(F.col("next_epoch") == e).collect()]
         assert len(items) == 4 and len(set(items)) == 4
     assert {r["clicks"] for r in nxt.collect()} == {1}
+
+
+from hypothesis import given, settings  # noqa: E402
+from hypothesis import strategies as st  # noqa: E402
+
+
+@settings(max_examples=12, deadline=None)
+@given(st.lists(st.lists(st.integers(min_value=0, max_value=30), min_size=0, max_size=7,
+                         unique=True), min_size=1, max_size=4))
+def test_refresh_default_never_short(spark, kept_sets):
+    """Default mode: kept + filled = max(4, kept) distinct items whenever the
+    catalog has enough items."""
+    rows = [(e, str(i), r + 1) for e, ks in enumerate(kept_sets) for r, i in enumerate(ks)]
+    kept = spark.createDataFrame(rows, "epoch long, item string, rank int")
+    catalog = spark.createDataFrame([(str(i),) for i in range(40)], "id string")
+    nxt = tp.refresh(kept, tp.catalog_positions(catalog, 5), 5).collect()
+    for e, ks in enumerate(kept_sets):
+        if not ks:
+            continue                       # no kept rows: the epoch has no refresh row here
+        items = [r["item"] for r in nxt if r["next_epoch"] == e + 1]
+        assert len(items) == len(set(items)) == max(tp.NUM_ITEMS, len(ks))
