@@ -149,7 +149,8 @@ WITH {HARVEST_SQL},
 members AS (SELECT DISTINCT unnest(categories) AS category, id FROM merged),
 t AS (SELECT category, count(*) AS total FROM members GROUP BY 1),
 d AS (SELECT category, total, CAST(trunc(total / {se.WEB_PAGE_SIZE}) AS INTEGER) AS last FROM t)
-SELECT category, total, last + 1 AS pages, page, page > 0 AS has_prev, page < last AS has_next
+SELECT category, total, last + 1 AS pages, page, page > 0 AS has_prev, page < last AS has_next,
+       greatest(page - 1, 0) AS prev_page, page + 1 AS next_page
 FROM d, LATERAL (SELECT unnest(range(0, last + 1)) AS page) p
 """)
 def category_page_directory(spark, sf_dir):
@@ -158,7 +159,7 @@ def category_page_directory(spark, sf_dir):
     snap = catalog_snapshot(spark, sf_dir)
     total = se.totals(se.category_members(snap), ["category"])
     return se.page_directory(total, se.WEB_PAGE_SIZE, compat=True).select(
-        "category", "total", "pages", "page", "has_prev", "has_next")
+        "category", "total", "pages", "page", "has_prev", "has_next", "prev_page", "next_page")
 
 
 @register("item_lookup", ["F5", "J1"], sql="""
