@@ -213,3 +213,26 @@ def suggest_titles(spark, sf_dir):
     letter exact, ranked by edit distance then title)."""
     titles = bindings.catalog_items(spark, sf_dir).select("title")
     return se.suggest(titles, typed_prefixes(spark, sf_dir))
+
+
+@register("search_first_page_indexed", ["J8", "F7", "A8", "T1"], sql=f"""
+WITH {_SEARCH_SQL},
+r AS (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY id) AS rank,
+             count(*) OVER (PARTITION BY conv_id, turn) AS total FROM hits)
+SELECT conv_id, turn, any_value(total) AS total, count(*) AS size,
+       string_agg(id, '|' ORDER BY rank) AS ids
+FROM r WHERE rank <= {se.DEFAULT_PAGE_SIZE} GROUP BY conv_id, turn
+""")
+def search_first_page_indexed(spark, sf_dir):
+    """The same searches served from a term index written once to the
+    shared folder (partitioned by term hash) and read back pruned to the
+    query terms - the serving path for many query batches."""
+    from shoplytics.streaming.runner import scratch
+    keys = ["conv_id", "turn"]
+    path = scratch(spark, "term-index")
+    se.write_index(se.term_index(_postings(spark, sf_dir), se.DEFAULT_PAGE_SIZE), path)
+    qt = _query_terms(spark, sf_dir)
+    res = se.search_results(qt, keys, se.read_index(spark, path, qt),
+                            page=0, size=se.DEFAULT_PAGE_SIZE)
+    return res.select(*keys, "total", F.size("ids").alias("size"),
+                      F.array_join("ids", "|").alias("ids"))

@@ -151,3 +151,16 @@ def test_tokens_match(spark):
     compat = [x[0] for x in df.select(co.tokens_match("r", "t", compat=True)).collect()]
     assert strict == [True, False, False, False]
     assert compat == [True, True, False, None]
+
+
+def test_id_shapes(spark):
+    from shoplytics.functions import ids
+    df = spark.range(20).select(ids.new_shopper_id().alias("s"))
+    shopper = [r["s"] for r in df.select("s", ids.is_shopper_id("s").alias("ok"))
+               .filter("ok").collect()]
+    assert len(shopper) == 20 and len(set(shopper)) == 20
+    t = spark.createDataFrame([("a" * 32, dt.datetime(2024, 1, 1, 0, 0, 1, 500))],
+                              "s string, ts timestamp_ntz")
+    co_id = t.select(ids.checkout_id("s", "ts").alias("c")).first()["c"]
+    assert co_id == "a" * 32 + "1704067201000"
+    assert t.select(ids.is_checkout_id(F.lit(co_id))).first()[0]
