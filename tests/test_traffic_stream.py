@@ -81,3 +81,18 @@ def test_stream_equals_batch_on_events(spark):
     b = reg["events_per_minute_stream"].run(spark, SF001)
     assert a.count() == b.count()
     assert a.exceptAll(b.select(*a.columns)).count() == 0
+
+
+def test_reference_window_string_in_amsterdam(spark, tmp_path):
+    """The reference test expects ``2018-09-28 15:57:00`` for 1538143025000:
+    that is the window start rendered in a UTC+2 zone."""
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "Europe/Amsterdam")
+        res = _run(spark, tmp_path, [[("preview", 1538143025000)]], traffic.events_per_minute,
+                   ["window_start", "eventType"])
+        r = res.select(F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("s"),
+                       F.date_format("window_end", "yyyy-MM-dd HH:mm:ss").alias("e"),
+                       "eventType", "count").first()
+        assert tuple(r) == ("2018-09-28 15:57:00", "2018-09-28 15:58:00", "preview", 1)
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
