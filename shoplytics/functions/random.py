@@ -19,7 +19,7 @@ import hashlib
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -118,3 +118,23 @@ def beta_py(seed, key, a: int, b: int) -> float:
 
 def hash48_py(*parts) -> int:
     return int(hashlib.md5("|".join(str(p) for p in parts).encode()).hexdigest()[:12], 16)
+
+
+def with_beta(df: DataFrame, out: str, seed, key, a, b) -> DataFrame:
+    """``out`` = the keyed Beta(a, b) draw of :func:`beta`, with the Python
+    path confined to the rows that need it: rows whose shapes are all within
+    ``EXACT_SHAPE_LIMIT`` are drawn by the JVM expression; only the others
+    (items with huge tallies - few rows) pass through the pandas UDF.  A
+    conditional expression alone would still ship every row to Python."""
+    a, b = _c(a), _c(b)
+    small = (a <= EXACT_SHAPE_LIMIT) & (b <= EXACT_SHAPE_LIMIT)
+    exact = df.filter(small).withColumn(
+        out, _beta_exact(seed, key, a, b))
+    large = df.filter(~small).withColumn(out, beta(seed, key, a, b))
+    return exact.unionByName(large)
+
+
+def _beta_exact(seed, key, a: Column, b: Column) -> Column:
+    ga = _gamma_small(seed, key, "a", a)
+    gb = _gamma_small(seed, key, "b", b)
+    return ga / (ga + gb)

@@ -89,7 +89,7 @@ def draw(df: DataFrame, seed: int, key: Column, prior: int = PRIOR) -> DataFrame
     """Theta ~ Beta(clicks + 1, max(impressions - clicks, 0) + 1),
     drawn reproducibly from (seed, key)."""
     a, b = shapes(F.col("clicks"), F.col("impressions"), prior)
-    return df.withColumn("theta", R.beta(F.lit(seed), key, a, b))
+    return R.with_beta(df, "theta", F.lit(seed), key, a, b)
 
 
 def rank_within(df: DataFrame, group: list[str]) -> DataFrame:

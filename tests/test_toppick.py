@@ -90,3 +90,14 @@ def test_refresh_default_never_short(spark, kept_sets):
             continue                       # no kept rows: the epoch has no refresh row here
         items = [r["item"] for r in nxt if r["next_epoch"] == e + 1]
         assert len(items) == len(set(items)) == max(tp.NUM_ITEMS, len(ks))
+
+
+def test_with_beta_splits_without_changing_draws(spark):
+    df = spark.createDataFrame([("x", 3, 5), ("y", 5000, 2), ("z", 1, 9000), ("w", 1, 1)],
+                               "k string, a int, b int")
+    split = {r["k"]: r["t"] for r in
+             R.with_beta(df, "t", F.lit(2), F.col("k"), F.col("a"), F.col("b")).collect()}
+    whole = {r["k"]: r["t"] for r in
+             df.select("k", R.beta(F.lit(2), F.col("k"), F.col("a"), F.col("b")).alias("t"))
+             .collect()}
+    assert split == whole and len(split) == 4
