@@ -4,26 +4,34 @@ Draws are keyed by content, not by row position: a uniform is derived from
 ``md5(seed|key|tag|j)``, so a draw is the same on every run, after any
 repartition, on task retry, and in an independent SQL engine.
 
-Beta(a, b) with positive integer shapes is Ga / (Ga + Gb), where a
-Gamma(k, 1) variate is the sum of k unit exponentials ``-ln U``.  For shapes
-up to ``EXACT_SHAPE_LIMIT`` the sum is taken with ``aggregate`` over
-``sequence(1, k)`` inside the row (no explode, no shuffle, stays in the JVM).
-Larger shapes - a hot item can carry a third of all events - use an
-Arrow-batched pandas UDF that draws Gamma(k) directly with a generator seeded
-from the same key, so the cost per item is O(1) whatever its count.
+Beta(a, b) with positive integer shapes is Ga / (Ga + Gb).  A Gamma(k, 1)
+variate is drawn two ways, both JVM expressions (no Python in the plan):
+
+* ``k <= EXACT_SHAPE_LIMIT``: the sum of k unit exponentials ``-ln U``,
+  with ``aggregate`` over ``sequence(1, k)`` inside the row - the same sum
+  the DuckDB oracles compute;
+* larger ``k`` (a hot item can carry a third of all events): Marsaglia and
+  Tsang's squeeze-free rejection method (2000) with keyed Box-Muller normals,
+  over a fixed number of keyed attempts (acceptance is above 99 % per
+  attempt at these shapes), so the cost per item is O(1) whatever its count.
+
+An Arrow-batched pandas UDF drawing Gamma(k) with numpy (X3) is kept as an
+alternative large-shape path (``large="pandas"``).
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 EXACT_SHAPE_LIMIT = 4096
+MT_ATTEMPTS = 8
 _DEN = float(2 ** 48 + 1)
 
 
@@ -44,19 +52,37 @@ def uniform(*parts) -> Column:
 
 def _gamma_small(seed, key, tag: str, shape: Column) -> Column:
     def step(acc, j):
-        s = F.concat_ws("|", _c(seed).cast("string"), _c(key).cast("string"), F.lit(tag),
-                        j.cast("string"))
-        u = (F.conv(F.substring(F.md5(s), 1, 12), 16, 10).cast("bigint") + F.lit(1)) / F.lit(_DEN)
-        return acc - F.ln(u)
+        return acc - F.ln(uniform(seed, key, F.lit(tag), j))
     return F.aggregate(F.sequence(F.lit(1), shape.cast("int")), F.lit(0.0).cast("double"), step)
 
 
+def _gamma_mt(seed, key, tag: str, shape: Column) -> Column:
+    """Marsaglia-Tsang Gamma(k) for k >= 1 with keyed uniforms."""
+    k = F.greatest(shape.cast("double"), F.lit(1.0))
+    d = k - F.lit(1.0 / 3.0)
+    c = F.lit(1.0) / F.sqrt(F.lit(9.0) * d)
+
+    def step(acc, j):
+        u1 = uniform(seed, key, F.lit(tag), F.lit("n1"), j)
+        u2 = uniform(seed, key, F.lit(tag), F.lit("n2"), j)
+        u = uniform(seed, key, F.lit(tag), F.lit("u"), j)
+        x = F.sqrt(F.lit(-2.0) * F.ln(u1)) * F.cos(F.lit(2.0 * math.pi) * u2)
+        v = F.pow(F.lit(1.0) + c * x, F.lit(3.0))
+        ok = (v > 0) & (F.ln(u) < F.lit(0.5) * x * x + d - d * v
+                        + d * F.ln(F.when(v > 0, v).otherwise(F.lit(1.0))))
+        return (F.when(acc["done"], acc)
+                 .when(ok, F.struct(F.lit(True).alias("done"), (d * v).alias("val")))
+                 .otherwise(acc))
+    start = F.struct(F.lit(False).alias("done"), d.alias("val"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(MT_ATTEMPTS)), start, step)["val"]
+
+
 def _gamma_seed(seed: str, key: str, tag: str) -> int:
     return int(hashlib.md5(f"{seed}|{key}|{tag}|gamma".encode()).hexdigest()[:16], 16)
 
 
 @F.pandas_udf(T.DoubleType())
-def _gamma_large(seed: pd.Series, key: pd.Series, tag: pd.Series, shape: pd.Series) -> pd.Series:
+def _gamma_pandas(seed: pd.Series, key: pd.Series, tag: pd.Series, shape: pd.Series) -> pd.Series:
     out = np.full(len(shape), np.nan, dtype="float64")
     todo = np.flatnonzero(shape.to_numpy() > 0)
     for i in todo:
@@ -65,20 +91,23 @@ def _gamma_large(seed: pd.Series, key: pd.Series, tag: pd.Series, shape: pd.Seri
     return pd.Series(out)
 
 
-def gamma(seed, key, tag: str, shape) -> Column:
+def gamma(seed, key, tag: str, shape, large: str = "jvm") -> Column:
     """Gamma(shape, 1) for positive integer ``shape``, keyed draw."""
     shape = _c(shape)
     small = _gamma_small(seed, key, tag, F.when(shape <= EXACT_SHAPE_LIMIT, shape).otherwise(0))
-    # Only rows above the limit carry a non-zero shape into the UDF.
-    large = _gamma_large(_c(seed).cast("string"), _c(key).cast("string"), F.lit(tag),
-                         F.when(shape > EXACT_SHAPE_LIMIT, shape).otherwise(0).cast("double"))
-    return F.when(shape <= EXACT_SHAPE_LIMIT, small).otherwise(large)
+    if large == "pandas":
+        # Every row passes through the Arrow UDF; only large shapes draw.
+        big = _gamma_pandas(_c(seed).cast("string"), _c(key).cast("string"), F.lit(tag),
+                            F.when(shape > EXACT_SHAPE_LIMIT, shape).otherwise(0).cast("double"))
+    else:
+        big = _gamma_mt(seed, key, tag, shape)
+    return F.when(shape <= EXACT_SHAPE_LIMIT, small).otherwise(big)
 
 
-def beta(seed, key, a, b) -> Column:
+def beta(seed, key, a, b, large: str = "jvm") -> Column:
     """Beta(a, b) for positive integer shapes, keyed draw."""
-    ga = gamma(seed, key, "a", a)
-    gb = gamma(seed, key, "b", b)
+    ga = gamma(seed, key, "a", a, large)
+    gb = gamma(seed, key, "b", b, large)
     return ga / (ga + gb)
 
 
@@ -97,17 +126,30 @@ def hash48_sql(*parts: str) -> str:
     return f"CAST(('0x' || substr(md5({inner}), 1, 12)) AS BIGINT)"
 
 
+# --- the same draws in plain Python (sequential top-pick refresh chain) -------
+
+def _uniform_py(*parts) -> float:
+    return (hash48_py(*parts) + 1) / _DEN
+
+
 def gamma_py(seed, key, tag: str, shape: int) -> float:
-    """The keyed Gamma draw of :func:`gamma`, in plain Python (same value:
-    the exact path sums the same md5 uniforms, the large path uses the same
-    seeded generator).  Used by the sequential top-pick refresh chain."""
+    """The keyed Gamma draw of :func:`gamma` (JVM paths) in plain Python."""
     k = int(shape)
     if k > EXACT_SHAPE_LIMIT:
-        return float(np.random.default_rng(_gamma_seed(str(seed), str(key), tag)).gamma(float(k), 1.0))
+        d = k - 1.0 / 3.0
+        c = 1.0 / math.sqrt(9.0 * d)
+        for j in range(1, MT_ATTEMPTS + 1):
+            u1 = _uniform_py(seed, key, tag, "n1", j)
+            u2 = _uniform_py(seed, key, tag, "n2", j)
+            u = _uniform_py(seed, key, tag, "u", j)
+            x = math.sqrt(-2.0 * math.log(u1)) * math.cos(2.0 * math.pi * u2)
+            v = (1.0 + c * x) ** 3
+            if v > 0 and math.log(u) < 0.5 * x * x + d - d * v + d * math.log(v):
+                return d * v
+        return d
     total = 0.0
     for j in range(1, k + 1):
-        h = hashlib.md5(f"{seed}|{key}|{tag}|{j}".encode()).hexdigest()[:12]
-        total -= np.log((int(h, 16) + 1) / _DEN)
+        total -= math.log(_uniform_py(seed, key, tag, j))
     return total
 
 
@@ -118,23 +160,3 @@ def beta_py(seed, key, a: int, b: int) -> float:
 
 def hash48_py(*parts) -> int:
     return int(hashlib.md5("|".join(str(p) for p in parts).encode()).hexdigest()[:12], 16)
-
-
-def with_beta(df: DataFrame, out: str, seed, key, a, b) -> DataFrame:
-    """``out`` = the keyed Beta(a, b) draw of :func:`beta`, with the Python
-    path confined to the rows that need it: rows whose shapes are all within
-    ``EXACT_SHAPE_LIMIT`` are drawn by the JVM expression; only the others
-    (items with huge tallies - few rows) pass through the pandas UDF.  A
-    conditional expression alone would still ship every row to Python."""
-    a, b = _c(a), _c(b)
-    small = (a <= EXACT_SHAPE_LIMIT) & (b <= EXACT_SHAPE_LIMIT)
-    exact = df.filter(small).withColumn(
-        out, _beta_exact(seed, key, a, b))
-    large = df.filter(~small).withColumn(out, beta(seed, key, a, b))
-    return exact.unionByName(large)
-
-
-def _beta_exact(seed, key, a: Column, b: Column) -> Column:
-    ga = _gamma_small(seed, key, "a", a)
-    gb = _gamma_small(seed, key, "b", b)
-    return ga / (ga + gb)

@@ -92,12 +92,19 @@ def test_refresh_default_never_short(spark, kept_sets):
         assert len(items) == len(set(items)) == max(tp.NUM_ITEMS, len(ks))
 
 
-def test_with_beta_splits_without_changing_draws(spark):
-    df = spark.createDataFrame([("x", 3, 5), ("y", 5000, 2), ("z", 1, 9000), ("w", 1, 1)],
-                               "k string, a int, b int")
-    split = {r["k"]: r["t"] for r in
-             R.with_beta(df, "t", F.lit(2), F.col("k"), F.col("a"), F.col("b")).collect()}
-    whole = {r["k"]: r["t"] for r in
-             df.select("k", R.beta(F.lit(2), F.col("k"), F.col("a"), F.col("b")).alias("t"))
-             .collect()}
-    assert split == whole and len(split) == 4
+def test_large_shape_paths(spark):
+    """JVM Marsaglia-Tsang and the optional pandas UDF (X3) both give the
+    Beta moments; the JVM path equals its plain-Python twin."""
+    n = 3000
+    a, b = 6000, 9000
+    mean, var = a / (a + b), a * b / ((a + b) ** 2 * (a + b + 1))
+    for large in ("jvm", "pandas"):
+        df = spark.range(n).select(
+            R.beta(F.lit(1), F.col("id"), F.lit(a), F.lit(b), large=large).alias("x"))
+        x = np.array([r[0] for r in df.collect()])
+        assert abs(x.mean() - mean) < 4 * np.sqrt(var / n)
+        assert abs(x.var() - var) / var < 0.15
+    df = spark.createDataFrame([("k1", 5000, 7000), ("k2", 3, 9000)], "k string, a int, b int")
+    for r in df.select("k", "a", "b", R.beta(F.lit(4), F.col("k"), F.col("a"), F.col("b"))
+                       .alias("t")).collect():
+        assert abs(r["t"] - R.beta_py(4, r["k"], r["a"], r["b"])) < 1e-9
