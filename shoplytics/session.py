@@ -57,6 +57,10 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if conf:
         spark.sparkContext.setCheckpointDir(conf)
         return conf
+    if not spark.sparkContext.master.startswith("local"):
+        # A machine-local folder is not visible to other executors.
+        raise RuntimeError("spark.checkpoint.dir is not set: point it at a shared folder "
+                           "(distributed file system or object store) the cluster can read")
     local = tempfile.mkdtemp(prefix="shoplytics-ckpt-")
     spark.conf.set("spark.checkpoint.dir", local)
     spark.sparkContext.setCheckpointDir(local)
