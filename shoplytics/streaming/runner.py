@@ -10,6 +10,7 @@ as a batch DataFrame without passing through the driver.
 from __future__ import annotations
 
 import os
+import uuid
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -42,14 +43,11 @@ def start(source: DataFrame, job: Job, fmt: str = "console", mode: str = "update
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh folder under the shared checkpoint folder."""
-    base = checkpoint_dir(spark)
-    i = 0
-    while True:
-        p = os.path.join(base, f"{name}-{i}")
-        if not os.path.exists(p):
-            return p
-        i += 1
+    """A fresh folder name under the shared checkpoint folder (unique by
+    construction, so it works the same on a distributed file system or an
+    object store, where a local existence check would see nothing)."""
+    base = checkpoint_dir(spark).rstrip("/")
+    return f"{base}/{name}-{uuid.uuid4().hex}"
 
 
 def run_to_table(source: DataFrame, job: Job, keys: Sequence[str], out_dir: str,
