@@ -198,3 +198,26 @@ def catalog_variants(spark, sf_dir):
         F.array_join(F.array_sort(F.transform("arr", lambda x: x["name"])), "|").alias("names"),
         (F.array_sort(F.map_entries("variants")) == F.array_sort(F.map_entries("back")))
         .alias("roundtrip_ok"))
+
+
+@register("catalog_upsert", ["S13"], sql="""
+WITH cur AS (SELECT CAST(p_partkey AS VARCHAR) AS id, p_name AS title, p_brand AS tag, 0 AS ord
+             FROM part),
+upd AS (SELECT CAST(d.doc_id AS VARCHAR) AS id, p.p_name || ' (' || d.lang || ')' AS title,
+               d.source AS tag, 1 AS ord
+        FROM documents d JOIN part p ON p.p_partkey = d.doc_id),
+b AS (SELECT * FROM cur UNION ALL SELECT * FROM upd)
+SELECT id, arg_max(title, ord) AS title, arg_max(tag, ord) AS tag, max(ord) AS ord
+FROM b GROUP BY id
+""")
+def catalog_upsert(spark, sf_dir):
+    """Whole-document writes by id, last write wins: the part catalog,
+    then newer documents for the parts that have a description."""
+    part = bindings.catalog_items(spark, sf_dir).select("id", "title", "tag",
+                                                        F.lit(0).alias("ord"))
+    docs = bindings.described_items(spark, sf_dir)
+    names = bindings.catalog_items(spark, sf_dir).select("id", F.col("title").alias("name"))
+    upd = (docs.join(names, "id").select(
+        "id", F.concat(F.col("name"), F.lit(" ("), F.col("categories")[0], F.lit(")"))
+        .alias("title"), F.col("tags")[0].alias("tag"), F.lit(1).alias("ord")))
+    return cat.upsert(part, upd).select("id", "title", "tag", "ord")

@@ -54,10 +54,10 @@ def _model(events):
     return epoch, {k: tuple(v) for k, v in state.items()}
 
 
-def _write(folder, chunks):
+def _write(folder, chunks, first=0):
     os.makedirs(folder, exist_ok=True)
-    t0 = time.time() - 1000
-    for i, rows in enumerate(chunks):
+    t0 = time.time() - 1000 + first
+    for i, rows in enumerate(chunks, start=first):
         pdf = pd.DataFrame(
             [(e, dt.datetime(2024, 1, 1) + dt.timedelta(seconds=s), it, c, m)
              for e, s, it, c, m in rows],
@@ -84,3 +84,54 @@ def test_stream_equals_sequential_model(spark, tmp_path):
         got = ({r["epoch"] for r in st} or {None},
                {r["item"]: (r["clicks"], r["impressions"]) for r in st})
         assert got == ({want[0]}, want[1])
+
+
+def _model_with_restart(events, cut, refresh_on_restart):
+    """The consumer stopped after ``cut`` events and started again: the
+    state survives (it lives outside the process) and a start refreshes."""
+    perm = sorted(CATALOG, key=lambda i: (hashlib.md5(f"{SEED}|{i}".encode()).hexdigest(), i))
+
+    def refresh(state, epoch):
+        items = sorted(state)
+        draws = sorted((-R.beta_py(SEED, f"{epoch}:{it}", state[it][0] + 1,
+                                   max(state[it][1] - state[it][0], 0) + 1), it) for it in items)
+        kept = [it for _, it in draws[:(1 if len(items) == 1 else len(items) // 2)]]
+        start = R.hash48_py(SEED, "fill", epoch) % len(perm)
+        cands = [perm[(start + j) % len(perm)] for j in range(tp.NUM_ITEMS)]
+        fill = [c for c in cands if c not in kept][:max(tp.NUM_ITEMS - len(kept), 0)]
+        return {it: [1, 1] for it in kept + fill}
+
+    epoch, counter = 0, 1
+    state = refresh({}, -1)
+    for n, (_, _, item, is_click, is_imp) in enumerate(events):
+        if n == cut and refresh_on_restart:
+            state, counter, epoch = refresh(state, epoch), 1, epoch + 1
+        s = state.setdefault(item, [0, 0])
+        if is_click:
+            s[0] += 1
+        if is_imp:
+            s[1] += 1
+            counter += 1
+            if counter == tp.REFRESH_INTERVAL:
+                state, counter, epoch = refresh(state, epoch), 1, epoch + 1
+    return epoch, {k: tuple(v) for k, v in state.items()}
+
+
+def test_restart_resumes_state(spark, tmp_path):
+    events = _events(90, seed=7)
+    catalog = spark.createDataFrame([(i,) for i in CATALOG], "id string")
+    schema = "event_id long, ts timestamp_ntz, item string, is_click boolean, is_imp boolean"
+    for flag in (False, True):
+        d = tmp_path / f"r{flag}"
+        _write(str(d / "in"), [events[:40]])
+        src = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(d / "in"))
+        stp.run(src, stp.TopPickStream(str(d / "root"), catalog, SEED), str(d / "ckpt"))
+        # new events arrive while the process is down; a new process starts
+        _write(str(d / "in"), [events[40:]], first=1)
+        src = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(d / "in"))
+        h = stp.TopPickStream(str(d / "root"), catalog, SEED, refresh_on_start=flag)
+        stp.run(src, h, str(d / "ckpt"))
+        st = stp.latest_state(spark, str(d / "root")).collect()
+        got = ({r["epoch"] for r in st}, {r["item"]: (r["clicks"], r["impressions"]) for r in st})
+        want = _model_with_restart(events, 40, flag)
+        assert got == ({want[0]}, want[1])
