@@ -53,7 +53,7 @@ def effective_actions(spark, sf_dir):
 @register("basket_contents", ["W1", "U6", "U7", "J1", "A9", "C10"], bench=True, sql=f"""
 WITH {_ACTIONS_SQL}
 SELECT shopper, array_to_string(list_sort(list(item)), '|') AS items, count(*) AS n_items,
-       sum(price) AS total, round(sum(retail_price), 2) AS retail_total
+       CAST(sum(price) AS BIGINT) AS total, round(sum(retail_price), 2) AS retail_total
 FROM members m LEFT JOIN priced p ON p.id = m.item
 GROUP BY shopper
 """)
@@ -89,7 +89,8 @@ def basket_rejections(spark, sf_dir):
 
 @register("basket_state_stream", ["ST8", "W1"], sql=f"""
 WITH {_ACTIONS_SQL}
-SELECT shopper, array_to_string(list_sort(list(item)), '|') AS items, count(*) AS n_items
+SELECT shopper, array_to_string(list_sort(list(item)), '|') AS items,
+       CAST(count(*) AS INTEGER) AS n_items
 FROM members GROUP BY shopper
 """)
 def basket_state_stream(spark, sf_dir):

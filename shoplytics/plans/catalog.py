@@ -168,8 +168,8 @@ WITH s AS (
   FROM lineitem),
 last AS (SELECT id, label, arg_max(w, (l_orderkey, l_linenumber)) AS w,
                 arg_max(h, (l_orderkey, l_linenumber)) AS h FROM s GROUP BY id, label),
-agg AS (SELECT id, count(*) AS n_variants, max(w) AS largest_width,
-               max(CASE WHEN label = 'Medium' THEN w END) AS medium_width,
+agg AS (SELECT id, CAST(count(*) AS INTEGER) AS n_variants, max(w) AS largest_width,
+               CAST(max(CASE WHEN label = 'Medium' THEN w END) AS VARCHAR) AS medium_width,
                array_to_string(list_sort(list(label)), '|') AS names
         FROM last GROUP BY id)
 SELECT a.id, a.n_variants, a.largest_width,
@@ -194,7 +194,7 @@ def catalog_variants(spark, sf_dir):
     return back.select(
         "id", F.size(F.map_keys("variants")).alias("n_variants"),
         big["width"].alias("largest_width"), big["height"].alias("largest_height"),
-        cat.variant("Medium")["width"].alias("medium_width"),
+        cat.variant("Medium")["width"].cast("string").alias("medium_width"),
         F.array_join(F.array_sort(F.transform("arr", lambda x: x["name"])), "|").alias("names"),
         (F.array_sort(F.map_entries("variants")) == F.array_sort(F.map_entries("back")))
         .alias("roundtrip_ok"))

@@ -40,7 +40,7 @@ SELECT page_id, path, fragment,
        CASE WHEN path = '/' THEN 'home' WHEN routed THEN g1 ELSE 'unknown' END AS "pageType",
        CASE WHEN routed AND g1 = 'en' THEN g2 END AS category,
        CASE WHEN routed AND g1 = 'en' THEN
-            CASE WHEN g3 IS NULL THEN 0 ELSE TRY_CAST(g3 AS INTEGER) END END AS page,
+            CAST(CASE WHEN g3 IS NULL THEN 0 ELSE TRY_CAST(g3 AS INTEGER) END AS VARCHAR) END AS page,
        CASE WHEN routed AND g1 = 'fr' THEN g2 END AS "productId",
        CASE WHEN routed AND g1 = 'de' THEN g2 END AS "downloadId",
        CASE WHEN regexp_matches(fquery, '(&|^)source=')
@@ -59,7 +59,8 @@ def map_page_locations(spark, sf_dir):
         "page_id",
         urls.uri_path("location").alias("path"),
         urls.uri_fragment("location").alias("fragment"),
-        "pageType", "category", "page", "productId", "downloadId", "source",
+        "pageType", "category", F.col("page").cast("string").alias("page"),
+        "productId", "downloadId", "source",
         urls.query_value("location", "ref").alias("ref"),
     )
 

@@ -32,7 +32,7 @@ doc_terms AS (SELECT doc_id, source, list_distinct(list_filter(
 
 @register("text_terms", ["C1"], sql=f"""
 WITH {_DOC_TERMS_SQL}
-SELECT doc_id, len(terms) AS n_terms, md5(array_to_string(list_sort(terms), '|')) AS terms_md5
+SELECT doc_id, CAST(len(terms) AS INTEGER) AS n_terms, md5(array_to_string(list_sort(terms), '|')) AS terms_md5
 FROM doc_terms
 """)
 def text_terms(spark, sf_dir):
@@ -91,7 +91,7 @@ def search_hits(spark, sf_dir, analyze_query: bool = False):
 WITH {_SEARCH_SQL},
 r AS (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY id) AS rank,
              count(*) OVER (PARTITION BY conv_id, turn) AS total FROM hits)
-SELECT conv_id, turn, any_value(total) AS total, count(*) AS size,
+SELECT conv_id, turn, any_value(total) AS total, CAST(count(*) AS INTEGER) AS size,
        string_agg(id, '|' ORDER BY rank) AS ids
 FROM r WHERE rank <= {se.DEFAULT_PAGE_SIZE} GROUP BY conv_id, turn
 """)
@@ -127,7 +127,8 @@ def category_listing(spark, sf_dir):
 
 @register("category_pages", ["F6", "T1", "A8", "A13"], bench=True, sql=f"""
 {_CATEGORY_SQL}
-SELECT category, CAST((rank - 1) // {se.WEB_PAGE_SIZE} AS INTEGER) AS page, count(*) AS size,
+SELECT category, CAST((rank - 1) // {se.WEB_PAGE_SIZE} AS INTEGER) AS page,
+       CAST(count(*) AS INTEGER) AS size,
        any_value(total) AS total, string_agg(id, '|' ORDER BY rank) AS ids,
        md5(string_agg(title, '|' ORDER BY rank)) AS titles_md5
 FROM r GROUP BY 1, 2
@@ -149,8 +150,9 @@ WITH {HARVEST_SQL},
 members AS (SELECT DISTINCT unnest(categories) AS category, id FROM merged),
 t AS (SELECT category, count(*) AS total FROM members GROUP BY 1),
 d AS (SELECT category, total, CAST(trunc(total / {se.WEB_PAGE_SIZE}) AS INTEGER) AS last FROM t)
-SELECT category, total, last + 1 AS pages, page, page > 0 AS has_prev, page < last AS has_next,
-       greatest(page - 1, 0) AS prev_page, page + 1 AS next_page
+SELECT category, total, last + 1 AS pages, CAST(page AS INTEGER) AS page, page > 0 AS has_prev,
+       page < last AS has_next, CAST(greatest(page - 1, 0) AS INTEGER) AS prev_page,
+       CAST(page + 1 AS INTEGER) AS next_page
 FROM d, LATERAL (SELECT unnest(range(0, last + 1)) AS page) p
 """)
 def category_page_directory(spark, sf_dir):
@@ -206,7 +208,8 @@ WITH {_PREFIX_SQL},
 r AS (SELECT prefix, title, distance,
              row_number() OVER (PARTITION BY prefix ORDER BY distance, title) AS rank
       FROM pairs WHERE distance <= d)
-SELECT prefix, rank, title, distance FROM r WHERE rank <= {se.SUGGESTIONS}
+SELECT prefix, CAST(rank AS INTEGER) AS rank, title, CAST(distance AS INTEGER) AS distance
+FROM r WHERE rank <= {se.SUGGESTIONS}
 """)
 def suggest_titles(spark, sf_dir):
     """Top 10 title suggestions per typed word (fuzzy prefix match, first
@@ -219,7 +222,7 @@ def suggest_titles(spark, sf_dir):
 WITH {_SEARCH_SQL},
 r AS (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY id) AS rank,
              count(*) OVER (PARTITION BY conv_id, turn) AS total FROM hits)
-SELECT conv_id, turn, any_value(total) AS total, count(*) AS size,
+SELECT conv_id, turn, any_value(total) AS total, CAST(count(*) AS INTEGER) AS size,
        string_agg(id, '|' ORDER BY rank) AS ids
 FROM r WHERE rank <= {se.DEFAULT_PAGE_SIZE} GROUP BY conv_id, turn
 """)

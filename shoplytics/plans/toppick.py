@@ -90,8 +90,8 @@ _EPOCH_SQL = f"""
   SELECT *, floor(prior / {tp.IMPRESSIONS_PER_EPOCH})::BIGINT AS epoch,
          ((prior + is_imp::INT) % {tp.IMPRESSIONS_PER_EPOCH} + 1)::INT AS counter,
          is_imp AND (prior + is_imp::INT) % {tp.IMPRESSIONS_PER_EPOCH} = 0 AS refresh
-  FROM (SELECT *, coalesce(sum(is_imp::INT) OVER (ORDER BY ts, event_id
-               ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS prior
+  FROM (SELECT *, CAST(coalesce(sum(is_imp::INT) OVER (ORDER BY ts, event_id
+               ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS prior
         FROM ({_FLAGGED_SQL}) f) x
 """
 
@@ -150,10 +150,10 @@ fresh AS (SELECT * FROM cands c WHERE NOT EXISTS
             (SELECT 1 FROM kept k WHERE k.epoch = c.epoch AND k.item = c.item)),
 fill AS (SELECT epoch, item, row_number() OVER (PARTITION BY epoch ORDER BY j) AS k, n_random
          FROM fresh)
-SELECT epoch + 1 AS next_epoch, item, 'kept' AS role, rank AS slot,
+SELECT epoch + 1 AS next_epoch, item, 'kept' AS role, CAST(rank AS INTEGER) AS slot,
        1::BIGINT AS clicks, 1::BIGINT AS impressions FROM kept
 UNION ALL
-SELECT epoch + 1, item, 'random', k, 1::BIGINT, 1::BIGINT FROM fill WHERE k <= n_random
+SELECT epoch + 1, item, 'random', CAST(k AS INTEGER), 1::BIGINT, 1::BIGINT FROM fill WHERE k <= n_random
 """)
 def toppick_refresh(spark, sf_dir):
     """The refresh step applied to every epoch's tally: keep the best half by

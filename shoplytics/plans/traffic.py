@@ -106,8 +106,9 @@ def events_json_roundtrip(spark, sf_dir):
 WITH e AS (SELECT user_id, ts, event_id,
                   lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS prev FROM events),
 f AS (SELECT *, prev IS NULL OR ts - prev > INTERVAL 30 MINUTE AS first_in_session FROM e),
-n AS (SELECT *, sum(CAST(first_in_session AS INTEGER)) OVER (PARTITION BY user_id
-               ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS session_no
+n AS (SELECT *, CAST(sum(CAST(first_in_session AS INTEGER)) OVER (PARTITION BY user_id
+               ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT)
+               AS session_no
       FROM f)
 SELECT user_id AS party, session_no, min(ts) AS session_start,
        max(ts) + INTERVAL 30 MINUTE AS session_end, count(*) AS n_events
