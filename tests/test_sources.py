@@ -3,7 +3,6 @@ Avro gate, schema (S1, S3, S5, S7, S10, S11, S12, C6)."""
 
 import json
 
-import pytest
 from pyspark.sql import functions as F
 
 from shoplytics.sources import harvest as hv

@@ -11,7 +11,6 @@ from shoplytics.operators import traffic
 from shoplytics.sources import archive
 from shoplytics.sources.schemas import TIMED_EVENT
 from shoplytics.streaming import runner
-from shoplytics.streaming import traffic as st
 
 
 def _write_batches(spark, folder, batches):
