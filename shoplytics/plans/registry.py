@@ -34,11 +34,14 @@ _MODULES = ("traffic", "mapping", "toppick", "catalog", "search", "basket", "che
 _loaded = False
 
 
-def _utc(fn: QueryFn) -> QueryFn:
-    """Event times are UTC wall clock: pin the session zone before a query
-    builds its plan (window bounds and instants render in that zone)."""
+def _prepared(fn: QueryFn) -> QueryFn:
+    """Before a query builds its plan: ship the package to the Python
+    workers (once per session), and pin the session zone to UTC - event
+    times are UTC wall clock, and window bounds render in that zone."""
     @functools.wraps(fn)
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        from shoplytics.session import ship_package
+        ship_package(spark)
         if spark.conf.get("spark.sql.session.timeZone") != "UTC":
             spark.conf.set("spark.sql.session.timeZone", "UTC")
         return fn(spark, sf_dir)
@@ -51,7 +54,7 @@ def register(name: str, ids: tuple[str, ...] | list[str], sql: str | None = None
     def deco(fn: QueryFn) -> QueryFn:
         if name in REGISTRY:
             raise ValueError(f"query {name!r} registered twice")
-        REGISTRY[name] = Query(name, _utc(fn), tuple(ids), sql.strip() if sql else None,
+        REGISTRY[name] = Query(name, _prepared(fn), tuple(ids), sql.strip() if sql else None,
                                bench, (fn.__doc__ or "").strip())
         return fn
     return deco

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -69,3 +70,29 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+
+
+_SHIPPED = "spark.shoplytics.pyfiles"
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make this package importable in the Python workers, once per session.
+
+    Functions handed to pandas UDFs, ``mapInPandas`` and
+    ``applyInPandasWithState`` are unpickled on the executors, which import
+    ``shoplytics`` there.  The package sources are zipped on the driver and
+    distributed with ``addPyFile`` (Spark's own code shipping), so the jobs
+    run wherever the driver was started from."""
+    if spark.conf.get(_SHIPPED, "") == "yes":
+        return
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    root = os.path.dirname(pkg)
+    out = os.path.join(tempfile.mkdtemp(prefix="shoplytics-pyfiles-"), "shoplytics.zip")
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for folder, _, files in os.walk(pkg):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(folder, f)
+                    z.write(full, os.path.relpath(full, root))
+    spark.sparkContext.addPyFile(out)
+    spark.conf.set(_SHIPPED, "yes")
