@@ -27,17 +27,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from shoplytics.session import checkpoint_dir, shuffle_partitions
+from shoplytics.session import checkpoint_dir
 
 _PART = "__range_part"
 
 
 def _range_parts(df: DataFrame, order_cols: list[str], n_parts: int | None) -> DataFrame:
+    """Range-partition on the order columns and pin each row's partition id.
+    Without an explicit count AQE sizes the ranges from the data (it only
+    merges adjacent ranges, so partition ids stay in key order)."""
     spark = df.sparkSession
-    n = n_parts or shuffle_partitions(spark)
     checkpoint_dir(spark)
-    staged = df.repartitionByRange(n, *order_cols).withColumn(_PART, F.spark_partition_id())
-    return staged.checkpoint(eager=True)
+    staged = (df.repartitionByRange(n_parts, *order_cols) if n_parts
+              else df.repartitionByRange(*order_cols))
+    return staged.withColumn(_PART, F.spark_partition_id()).checkpoint(eager=True)
 
 
 def running_sum(df: DataFrame, order_cols: list[str], value, out_col: str,
