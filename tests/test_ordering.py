@@ -38,3 +38,10 @@ def test_group_lag_hot_group(spark):
     got = ordering.group_lag(df, ["g"], ["t", "id"], "v", "prev", n_parts=6)
     want = df.withColumn("prev", F.lag("v").over(Window.partitionBy("g").orderBy("t", "id")))
     assert sorted(got.select("id", "prev").collect()) == sorted(want.select("id", "prev").collect())
+
+
+def test_hot_group_spans_several_range_partitions(spark):
+    df = _frame(spark)
+    staged = ordering._range_parts(df, ["g", "t", "id"], 6)
+    parts = staged.filter(F.col("g") == "hot").select(ordering._PART).distinct().count()
+    assert parts > 1
