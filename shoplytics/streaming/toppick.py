@@ -20,6 +20,11 @@ Each micro-batch (``foreachBatch``):
 The state folder lives under the cluster's checkpoint folder, so a restarted
 query resumes from the last committed batch (ST11); ``refresh_on_start``
 refreshes once when the process starts, as the reference consumer does.
+
+A home-page view refreshes only while the experiment has no items (F3).
+With a non-empty catalog the start refresh always yields items, so that rule
+never fires; with an empty catalog every refresh stays empty.  The stream
+therefore does not route home views.
 """
 
 from __future__ import annotations

@@ -3,6 +3,7 @@
 for any split of the events into micro-batches (ST6, ST11, T3-T6)."""
 
 import datetime as dt
+import json
 import hashlib
 import os
 import time
@@ -135,3 +136,30 @@ def test_restart_resumes_state(spark, tmp_path):
         got = ({r["epoch"] for r in st}, {r["item"]: (r["clicks"], r["impressions"]) for r in st})
         want = _model_with_restart(events, 40, flag)
         assert got == ({want[0]}, want[1])
+
+
+def test_registered_stream_equals_model_on_event_table(spark):
+    """``toppick_stream_state`` over the sf0.001 events equals the consumer
+    model run over the same events in (ts, event_id) order."""
+    import pyarrow.parquet as pq
+
+    from shoplytics.plans import toppick as ptp
+    from shoplytics.plans.registry import load_all
+    from tests.conftest import SF001
+
+    ev = pq.read_table(f"{SF001}/events.parquet").to_pandas().sort_values(["ts", "event_id"])
+    ev = ev[ev["event_type"].isin(["click", "view"])]
+    items = ev["props"].map(lambda s: None if s is None else str(json.loads(s).get("k")))
+    events = [(e, 0, it, t == "click", t == "view")
+              for e, t, it in zip(ev["event_id"], ev["event_type"], items) if it is not None]
+    part = pq.read_table(f"{SF001}/part.parquet").to_pandas()
+    global CATALOG, SEED
+    saved = (CATALOG, SEED)
+    CATALOG, SEED = [str(k) for k in part["p_partkey"]], ptp.SEED
+    try:
+        want = _model(events)
+    finally:
+        CATALOG, SEED = saved
+    st = load_all()["toppick_stream_state"].run(spark, SF001).collect()
+    got = ({r["epoch"] for r in st}, {r["item"]: (r["clicks"], r["impressions"]) for r in st})
+    assert got == ({want[0]}, want[1])
