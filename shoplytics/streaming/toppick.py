@@ -22,9 +22,10 @@ query resumes from the last committed batch (ST11); ``refresh_on_start``
 refreshes once when the process starts, as the reference consumer does.
 
 A home-page view refreshes only while the experiment has no items (F3).
-With a non-empty catalog the start refresh always yields items, so that rule
-never fires; with an empty catalog every refresh stays empty.  The stream
-therefore does not route home views.
+With a non-empty catalog every refresh yields at least one item (the start
+refresh fills from the catalog, later ones keep at least one), so that rule
+never fires; only an empty catalog could leave the experiment empty.  The
+stream requires a non-empty catalog and does not route home views.
 """
 
 from __future__ import annotations
