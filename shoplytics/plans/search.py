@@ -233,9 +233,9 @@ def search_first_page_indexed(spark, sf_dir):
     from shoplytics.streaming.runner import scratch
     keys = ["conv_id", "turn"]
     path = scratch(spark, "term-index")
-    se.write_index(se.term_index(_postings(spark, sf_dir), se.DEFAULT_PAGE_SIZE), path)
+    se.build_index(_postings(spark, sf_dir), path, se.DEFAULT_PAGE_SIZE)
     qt = _query_terms(spark, sf_dir)
-    res = se.search_results(qt, keys, se.read_index(spark, path, qt),
-                            page=0, size=se.DEFAULT_PAGE_SIZE)
+    res = se.search_stored(qt, keys, se.read_index(spark, path, qt),
+                           page=0, size=se.DEFAULT_PAGE_SIZE)
     return res.select(*keys, "total", F.size("ids").alias("size"),
                       F.array_join("ids", "|").alias("ids"))
