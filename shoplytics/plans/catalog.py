@@ -164,10 +164,11 @@ WITH s AS (
          {list(cat.VARIANT_NAMES)}[((l_linenumber - 1) % {len(cat.VARIANT_NAMES)}) + 1] AS label,
          CAST(floor(l_quantity) * 20 AS INTEGER) AS w,
          CAST(CAST(floor(l_extendedprice) AS BIGINT) % 1000 AS INTEGER) AS h,
-         l_orderkey, l_linenumber
+         l_orderkey, l_linenumber, l_quantity, l_extendedprice
   FROM lineitem),
-last AS (SELECT id, label, arg_max(w, (l_orderkey, l_linenumber)) AS w,
-                arg_max(h, (l_orderkey, l_linenumber)) AS h FROM s GROUP BY id, label),
+last AS (SELECT id, label, arg_max(w, (l_orderkey, l_linenumber, l_quantity, l_extendedprice)) AS w,
+                arg_max(h, (l_orderkey, l_linenumber, l_quantity, l_extendedprice)) AS h
+         FROM s GROUP BY id, label),
 agg AS (SELECT id, CAST(count(*) AS INTEGER) AS n_variants, max(w) AS largest_width,
                CAST(max(CASE WHEN label = 'Medium' THEN w END) AS VARCHAR) AS medium_width,
                array_to_string(list_sort(list(label)), '|') AS names
@@ -181,8 +182,10 @@ def catalog_variants(spark, sf_dir):
     """Photo sizes nested per photo (last size per label wins), typed as
     item variants: count, largest (width, height), the Medium variant, and
     the array form of the map read back equal."""
+    # (order, line) repeats in the line table: the size values break ties,
+    # so "last" is a total order (equal keys then give equal entries).
     sizes = cat.sizes_per_photo(bindings.photo_sizes(spark, sf_dir), "photo",
-                                ("l_orderkey", "l_linenumber"))
+                                ("l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice"))
     photos = bindings.catalog_items(spark, sf_dir).select(
         "id", "title", F.lit(None).cast("string").alias("description"),
         F.array("tag").alias("tags"), "favs", "category")

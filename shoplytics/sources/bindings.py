@@ -164,4 +164,4 @@ def photo_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.pmod(F.floor("l_extendedprice"), F.lit(1000)).cast("string").alias("height"),
         F.concat(F.lit("img/"), F.col("l_orderkey").cast("string")).alias("source"),
         F.concat(F.lit("photo/"), F.col("l_partkey").cast("string")).alias("url"),
-        "l_orderkey", "l_linenumber")
+        "l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice")
