@@ -73,14 +73,16 @@ def test_basket_stream_equals_batch_for_any_split(spark, tmp_path):
         assert got == want
 
 
-def _model(events, compat=False):
-    """The service's request handling, written out plainly."""
+def _model(events, compat=False, prices=None):
+    """The service's request handling, written out plainly.  ``events`` are
+    (event_id, epoch ms, shopper, type, item)."""
+    prices = CATALOG if prices is None else prices
     baskets, checkouts, completed, rejected = {}, {}, {}, {}
 
     def new(s, ms):
         b = baskets.get(s)
         return {"id": f"h{s}-{ms}", "step": 0,
-                "tokens": sum(CATALOG[i] for i in b) if b else 0,
+                "tokens": sum(prices[i] for i in b) if b else 0,
                 "basket": None if b is None else frozenset(b)}
 
     def cur(s):
@@ -100,10 +102,9 @@ def _model(events, compat=False):
         c["step"] = step
         return True
 
-    for e, sec, s, t, item in sorted(events, key=lambda r: (r[1], r[0])):
-        ms = sec * 1000 + 1704067200000
+    for e, ms, s, t, item in sorted(events, key=lambda r: (r[1], r[0])):
         if t == "click":
-            if item in CATALOG:
+            if item in prices:
                 baskets.setdefault(s, set()).add(item)
             else:
                 rejected[s] = rejected.get(s, 0) + 1
@@ -138,7 +139,8 @@ def test_checkout_machine_matches_model(spark, tmp_path):
                                   str(d / "out"), str(d / "ckpt"))
         got = {r["shopper"]: (r["items"], r["step"], r["n_tokens"], r["completed"], r["rejected"])
                for r in res.collect()}
-        assert got == _model(EVENTS, compat)
+        in_ms = [(e, sec * 1000 + 1704067200000, sh, t, it) for e, sec, sh, t, it in EVENTS]
+        assert got == _model(in_ms, compat)
         ids = [r["last_completed"] for r in res.collect() if r["last_completed"]]
         assert ids and all(len(i) > 32 for i in ids)
 
@@ -164,3 +166,30 @@ def test_id_shapes(spark):
     co_id = t.select(ids.checkout_id("s", "ts").alias("c")).first()["c"]
     assert co_id == "a" * 32 + "1704067201000"
     assert t.select(ids.is_checkout_id(F.lit(co_id))).first()[0]
+
+
+def test_registered_checkout_stream_equals_model_on_event_table(spark):
+    import json
+
+    import pyarrow.parquet as pq
+
+    from shoplytics.plans.basket import catalog_priced
+    from shoplytics.plans.registry import load_all
+    from tests.conftest import SF001
+
+    ev = pq.read_table(f"{SF001}/events.parquet").to_pandas()
+    ev = ev[ev["event_type"].isin(["click", "error", "signup", "purchase"])]
+    events = []
+    for e, ts, u, t, props in zip(ev["event_id"], ev["ts"], ev["user_id"], ev["event_type"],
+                                  ev["props"]):
+        item = None if props is None else json.loads(props).get("k")
+        item = None if item is None else str(item)
+        if t in ("click", "error") and item is None:
+            continue
+        events.append((int(e), int(ts.value // 1_000_000), int(u), t, item))
+    prices = {r["id"]: r["price"] for r in catalog_priced(spark, SF001).collect()}
+    want = _model(events, prices=prices)
+    res = load_all()["checkout_state_stream"].run(spark, SF001).collect()
+    got = {r["shopper"]: (r["items"], r["step"], r["n_tokens"], r["completed"], r["rejected"])
+           for r in res}
+    assert got == want
