@@ -28,7 +28,7 @@ TOP_PICK_SOURCE = "top_pick"
 IMPRESSIONS_PER_EPOCH = REFRESH_INTERVAL - 1
 
 
-def is_click(df_or_none=None) -> Column:
+def is_click() -> Column:
     """F1 on mapped shop events: a page view that came from the top-pick link."""
     return (F.col("source") == TOP_PICK_SOURCE) & (F.col("eventType") == "pageView")
 
