@@ -95,3 +95,30 @@ def test_reference_window_string_in_amsterdam(spark, tmp_path):
         assert tuple(r) == ("2018-09-28 15:57:00", "2018-09-28 15:58:00", "preview", 1)
     finally:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
+from hypothesis import given, settings  # noqa: E402
+from hypothesis import strategies as st  # noqa: E402
+
+
+@settings(max_examples=4, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from(["preview", "pageView", "impression"]),
+                          st.integers(min_value=0, max_value=90_000)),
+                min_size=1, max_size=25),
+       st.lists(st.integers(min_value=1, max_value=24), max_size=3))
+def test_stream_equals_batch_for_any_split(spark, tmp_path_factory, steps, cuts):
+    """Events in time order, split into micro-batches anywhere: the watermarked
+    stream counts what the batch job counts."""
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    t, events = 1538143025000, []
+    for etype, gap in steps:
+        t += gap
+        events.append((etype, t))
+    bounds = sorted({c for c in cuts if c < len(events)})
+    chunks = [events[a:b] for a, b in zip([0] + bounds, bounds + [len(events)])]
+    tmp = tmp_path_factory.mktemp("split")
+    res = _run(spark, tmp, chunks, traffic.events_per_minute, ["window_start", "eventType"])
+    got = sorted((r.eventType, r.window_start, r["count"]) for r in res.collect())
+    batch = traffic.events_per_minute(spark.createDataFrame(events, TIMED_EVENT))
+    want = sorted((r.eventType, r.window_start, r["count"]) for r in batch.collect())
+    assert got == want
