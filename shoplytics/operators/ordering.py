@@ -96,39 +96,49 @@ def group_row_number(df: DataFrame, group_cols: list[str], order_cols: list[str]
                  .drop(_PART, "__local", "__offset"))
 
 
-def group_lag(df: DataFrame, group_cols: list[str], order_cols: list[str], value,
-              out_col: str, n_parts: int | None = None) -> DataFrame:
-    """``lag(value)`` inside each group in ``order_cols`` order, in two levels.
+def stage(df: DataFrame, group_cols: list[str], order_cols: list[str],
+          n_parts: int | None = None) -> DataFrame:
+    """Range-partition once for several grouped two-level passes
+    (:func:`staged_lag`, :func:`staged_running_sum`); drop :data:`PART` at
+    the end with :func:`unstage`."""
+    return _range_parts(df, [*group_cols, *order_cols], n_parts)
+
+
+PART = _PART
+
+
+def unstage(df: DataFrame) -> DataFrame:
+    return df.drop(_PART)
+
 
-    Inside a range partition the plain ``lag`` is used; the first row of a
-    group's piece takes the value of the last row of the group's previous
-    piece (``max_by`` per piece, then ``lag`` over the small piece table)."""
+def staged_lag(r: DataFrame, group_cols: list[str], order_cols: list[str], value,
+               out_col: str) -> DataFrame:
+    """``lag(value)`` per group on staged rows: plain ``lag`` inside a range
+    partition; a group's first row in a partition takes the last value of
+    the group's previous piece (``max_by`` per piece, ``lag`` over the small
+    piece table)."""
     val = F.col(value) if isinstance(value, str) else value
-    keys = [*group_cols, *order_cols]
-    r = _range_parts(df.withColumn("__v", val), keys, n_parts)
+    r = r.withColumn("__v", val)
     pieces = r.groupBy(_PART, *group_cols).agg(
         F.max_by("__v", F.struct(*order_cols)).alias("__last"))
     carry = pieces.select(
         _PART, *group_cols,
         F.lag("__last").over(Window.partitionBy(*group_cols).orderBy(_PART)).alias("__carry"))
-    local = r.withColumn("__lag", F.lag("__v").over(
-        Window.partitionBy(_PART, *group_cols).orderBy(*order_cols)))
-    first = F.row_number().over(Window.partitionBy(_PART, *group_cols).orderBy(*order_cols)) == 1
-    return (local.withColumn("__first", first)
-                 .join(carry, [_PART, *group_cols])
+    w = Window.partitionBy(_PART, *group_cols).orderBy(*order_cols)
+    local = (r.withColumn("__lag", F.lag("__v").over(w))
+              .withColumn("__first", F.row_number().over(w) == 1))
+    return (local.join(carry, [_PART, *group_cols])
                  .withColumn(out_col, F.when(F.col("__first"), F.col("__carry"))
                              .otherwise(F.col("__lag")))
-                 .drop(_PART, "__v", "__lag", "__carry", "__first"))
+                 .drop("__v", "__lag", "__carry", "__first"))
 
 
-def group_running_sum(df: DataFrame, group_cols: list[str], order_cols: list[str], value,
-                      out_col: str, inclusive: bool = True,
-                      n_parts: int | None = None) -> DataFrame:
-    """Running sum of ``value`` inside each group in ``order_cols`` order,
-    in two levels (piece totals prefix-summed per group, then an offset)."""
+def staged_running_sum(r: DataFrame, group_cols: list[str], order_cols: list[str], value,
+                       out_col: str, inclusive: bool = True) -> DataFrame:
+    """Running sum of ``value`` per group on staged rows (piece totals
+    prefix-summed per group, then an offset)."""
     val = F.col(value) if isinstance(value, str) else value
-    keys = [*group_cols, *order_cols]
-    r = _range_parts(df.withColumn("__v", val.cast("long")), keys, n_parts)
+    r = r.withColumn("__v", val.cast("long"))
     pieces = r.groupBy(_PART, *group_cols).agg(F.sum("__v").alias("__ptotal"))
     offsets = pieces.select(
         _PART, *group_cols,
@@ -140,4 +150,20 @@ def group_running_sum(df: DataFrame, group_cols: list[str], order_cols: list[str
     local = r.withColumn("__local", F.coalesce(F.sum("__v").over(frame), F.lit(0)))
     return (local.join(offsets, [_PART, *group_cols])
                  .withColumn(out_col, F.col("__local") + F.col("__offset"))
-                 .drop(_PART, "__v", "__local", "__offset"))
+                 .drop("__v", "__local", "__offset"))
+
+
+def group_lag(df: DataFrame, group_cols: list[str], order_cols: list[str], value,
+              out_col: str, n_parts: int | None = None) -> DataFrame:
+    """``lag(value)`` inside each group in ``order_cols`` order, in two levels."""
+    r = stage(df, group_cols, order_cols, n_parts)
+    return unstage(staged_lag(r, group_cols, order_cols, value, out_col))
+
+
+def group_running_sum(df: DataFrame, group_cols: list[str], order_cols: list[str], value,
+                      out_col: str, inclusive: bool = True,
+                      n_parts: int | None = None) -> DataFrame:
+    """Running sum of ``value`` inside each group in ``order_cols`` order,
+    in two levels."""
+    r = stage(df, group_cols, order_cols, n_parts)
+    return unstage(staged_running_sum(r, group_cols, order_cols, value, out_col, inclusive))

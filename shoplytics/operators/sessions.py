@@ -27,13 +27,15 @@ def mark_sessions(events: DataFrame, party: str = "party", ts: str = "ts",
                   timeout_s: int = SESSION_TIMEOUT_SECONDS) -> DataFrame:
     """Per event: ``first_in_session`` and ``session_no`` (1-based per party)."""
     us = epoch_micros(ts)
-    e = events.withColumn("__us", us)
-    prev = ordering.group_lag(e, [party], ["__us", tiebreak], "__us", "__prev_us")
+    order = ["__us", tiebreak]
+    # One range partitioning (and checkpoint) serves both two-level passes.
+    r = ordering.stage(events.withColumn("__us", us), [party], order)
+    prev = ordering.staged_lag(r, [party], order, "__us", "__prev_us")
     first = F.col("__prev_us").isNull() | (F.col("__us") - F.col("__prev_us") > timeout_s * 10**6)
     marked = prev.withColumn("first_in_session", first)
-    numbered = ordering.group_running_sum(marked, [party], ["__us", tiebreak],
-                                          F.col("first_in_session").cast("int"), "session_no")
-    return numbered.drop("__us", "__prev_us")
+    numbered = ordering.staged_running_sum(marked, [party], order,
+                                           F.col("first_in_session").cast("int"), "session_no")
+    return ordering.unstage(numbered).drop("__us", "__prev_us")
 
 
 def sessions(marked: DataFrame, party: str = "party", ts: str = "ts",
