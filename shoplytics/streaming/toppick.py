@@ -68,7 +68,10 @@ def make_chain(seed: int, compat: bool = False):
         n_keep = 1 if n == 1 else n // 2
         kept = [it for _, it in draws[:n_keep]]
         n_random = max(tp.NUM_ITEMS - len(kept), 0)
-        fill = [c for c in cands if c not in kept][:n_random]
+        # Candidates drawn: 2n as the reference does (may come up short), or
+        # n + kept by default (never short while the catalog is large enough).
+        m = 2 * n_random if compat else n_random + len(kept)
+        fill = [c for c in cands[:m] if c not in kept][:n_random]
         rows = [("experiment", epoch + 1, it, 1, 1, "kept", k + 1) for k, it in enumerate(kept)]
         rows += [("experiment", epoch + 1, it, 1, 1, "random", k + 1) for k, it in enumerate(fill)]
         return {it: [1, 1] for it in kept + fill}, rows

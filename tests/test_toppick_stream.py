@@ -28,7 +28,7 @@ def _events(n=140, seed=1):
     return out
 
 
-def _model(events):
+def _model(events, compat=False):
     perm = sorted(CATALOG, key=lambda i: (hashlib.md5(f"{SEED}|{i}".encode()).hexdigest(), i))
 
     def refresh(state, epoch):
@@ -36,9 +36,11 @@ def _model(events):
         draws = sorted((-R.beta_py(SEED, f"{epoch}:{it}", state[it][0] + 1,
                                    max(state[it][1] - state[it][0], 0) + 1), it) for it in items)
         kept = [it for _, it in draws[:(1 if len(items) == 1 else len(items) // 2)]]
+        n_random = max(tp.NUM_ITEMS - len(kept), 0)
         start = R.hash48_py(SEED, "fill", epoch) % len(perm)
-        cands = [perm[(start + j) % len(perm)] for j in range(tp.NUM_ITEMS)]
-        fill = [c for c in cands if c not in kept][:max(tp.NUM_ITEMS - len(kept), 0)]
+        m = 2 * n_random if compat else n_random + len(kept)
+        cands = [perm[(start + j) % len(perm)] for j in range(min(m, len(perm)))]
+        fill = [c for c in cands if c not in kept][:n_random]
         return {it: [1, 1] for it in kept + fill}
 
     epoch, counter = 0, 1
@@ -70,16 +72,17 @@ def _write(folder, chunks, first=0):
 
 def test_stream_equals_sequential_model(spark, tmp_path):
     events = _events()
-    want = _model(events)
     catalog = spark.createDataFrame([(i,) for i in CATALOG], "id string")
-    splits = ([events], [events[:37], events[37:90], events[90:]])
+    splits = ([events], [events[:37], events[37:90], events[90:]], [events])
     for n, chunks in enumerate(splits):
+        compat = n == 2
+        want = _model(events, compat)
         d = tmp_path / f"s{n}"
         _write(str(d / "in"), chunks)
         src = (spark.readStream.schema("event_id long, ts timestamp_ntz, item string, "
                                        "is_click boolean, is_imp boolean")
                .option("maxFilesPerTrigger", 1).parquet(str(d / "in")))
-        h = stp.TopPickStream(str(d / "root"), catalog, SEED)
+        h = stp.TopPickStream(str(d / "root"), catalog, SEED, compat=compat)
         stp.run(src, h, str(d / "ckpt"))
         st = stp.latest_state(spark, str(d / "root")).collect()
         got = ({r["epoch"] for r in st} or {None},
