@@ -95,3 +95,20 @@ def test_upsert_last_write_wins(spark):
     upd = spark.createDataFrame([("1", "A", 1), ("3", "c", 1)], "id string, title string, ord int")
     got = {r["id"]: r["title"] for r in cat.upsert(cur, upd).collect()}
     assert got == {"1": "A", "2": "b", "3": "c"}
+
+
+@settings(max_examples=10, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from(["1", "2", "3"]), st.sampled_from(["a", "b", "c"]),
+                          st.sampled_from(["x", "y"]), st.integers(min_value=0, max_value=5)),
+                min_size=1, max_size=12, unique_by=lambda t: (t[0], t[3])))
+def test_merge_is_idempotent_and_keeps_newest(spark, rows):
+    df = spark.createDataFrame([(i, t, [c], o) for i, t, c, o in rows],
+                               "id string, title string, categories array<string>, ord int")
+    once = cat.merge_items(df)
+    twice = cat.merge_items(once.withColumn("ord", F.lit(0)))
+    assert sorted(once.collect()) == sorted(twice.collect())
+    got = {r["id"]: (r["title"], r["categories"]) for r in once.collect()}
+    for i in {r[0] for r in rows}:
+        mine = [r for r in rows if r[0] == i]
+        newest = max(mine, key=lambda r: r[3])
+        assert got[i] == (newest[1], sorted({r[2] for r in mine}))
