@@ -61,13 +61,25 @@ def run_to_table(source: DataFrame, job: Job, keys: Sequence[str], out_dir: str,
     def sink(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(os.path.join(out_dir, f"batch={batch_id}"))
 
-    q = (source.transform(job).writeStream.outputMode(mode)
+    out = source.transform(job)
+    q = (out.writeStream.outputMode(mode)
          .foreachBatch(sink).option("checkpointLocation", checkpoint)
          .trigger(availableNow=True).start())
     q.awaitTermination(max_batches_wait)
+    if not path_exists(spark, out_dir):
+        # No micro-batch ran (empty source): an empty result, not an error.
+        return spark.createDataFrame([], out.schema)
     return latest_per_key(spark.read.parquet(out_dir), keys)
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Existence check through the cluster file system (works for shared
+    storage, unlike a local ``os.path`` check)."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return bool(p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p))
+
+
 def latest_per_key(updates: DataFrame, keys: Sequence[str], batch_col: str = "batch") -> DataFrame:
     """Update-mode output holds one row per changed key per batch; keep the
     newest.  A hash aggregate on the keys (``max_by`` of the row), not a sort."""

@@ -206,10 +206,14 @@ def run(source: DataFrame, handler: TopPickStream, checkpoint: str):
 
 
 def latest_state(spark: SparkSession, root: str) -> DataFrame:
-    """The state written by the newest batch (items and epoch)."""
+    """The state written by the newest batch (items and epoch); empty when
+    no batch ran."""
     fs, p = _fs(spark, os.path.join(root, "state"))
-    ids = sorted(int(s.getPath().getName().split("=")[1]) for s in fs.listStatus(p)
-                 if s.getPath().getName().startswith("batch="))
+    ids = [] if not fs.exists(p) else sorted(
+        int(s.getPath().getName().split("=")[1]) for s in fs.listStatus(p)
+        if s.getPath().getName().startswith("batch="))
+    if not ids:
+        return spark.createDataFrame([], "item string, clicks long, impressions long, epoch long")
     d = os.path.join(root, "state", f"batch={ids[-1]}")
     meta = spark.read.parquet(d + "/meta")
     return spark.read.parquet(d + "/items").withColumn("epoch", meta.select("epoch").scalar())

@@ -166,3 +166,19 @@ def test_registered_stream_equals_model_on_event_table(spark):
     st = load_all()["toppick_stream_state"].run(spark, SF001).collect()
     got = ({r["epoch"] for r in st}, {r["item"]: (r["clicks"], r["impressions"]) for r in st})
     assert got == ({want[0]}, want[1])
+
+
+def test_empty_stream_gives_no_rows(spark, tmp_path):
+    from shoplytics.streaming import basket as sb
+    from shoplytics.streaming import runner
+    os.makedirs(str(tmp_path / "in"))
+    schema = "event_id long, ts timestamp_ntz, item string, is_click boolean, is_imp boolean"
+    src = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+    catalog = spark.createDataFrame([(i,) for i in CATALOG], "id string")
+    stp.run(src, stp.TopPickStream(str(tmp_path / "root"), catalog, SEED), str(tmp_path / "c1"))
+    assert stp.latest_state(spark, str(tmp_path / "root")).count() == 0
+    src2 = spark.readStream.schema("shopper long, item string, ts timestamp_ntz, "
+                                   "event_id long, action string").parquet(str(tmp_path / "in"))
+    res = runner.run_to_table(src2, sb.basket_updates, ["shopper"], str(tmp_path / "out"),
+                              str(tmp_path / "c2"))
+    assert res.count() == 0 and "n_items" in res.columns
