@@ -102,7 +102,7 @@ def events_json_roundtrip(spark, sf_dir):
     return archive.parse_json_records(archive.to_json_lines(ev), ev.schema)
 
 
-@register("event_sessions", ["F11"], sql="""
+@register("event_sessions", ["M1"], sql="""
 WITH e AS (SELECT user_id, ts, event_id,
                   lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS prev FROM events),
 f AS (SELECT *, prev IS NULL OR ts - prev > INTERVAL 30 MINUTE AS first_in_session FROM e),
@@ -116,7 +116,8 @@ FROM n GROUP BY 1, 2
 """)
 def event_sessions(spark, sf_dir):
     """Sessions per party (30-minute inactivity timeout): start, end and
-    event count, from two-level gaps-and-islands."""
+    event count, from two-level gaps-and-islands - the collector's
+    ``sessionId`` / ``firstInSession`` fields derived from the events."""
     from shoplytics.operators import sessions as se
     from shoplytics.sources.tables import table
     ev = table(spark, sf_dir, "events").select(F.col("user_id").alias("party"), "ts", "event_id")
