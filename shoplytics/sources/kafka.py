@@ -12,8 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Topic and producer settings of the collector's sink.
-TOPIC = "divolte"
+# Default topic name, and the producer settings of the collector's sink (fixed values).
+TOPIC = "clickstream"
 PRODUCER = {"compression.type": "lz4", "acks": "1", "retries": "0"}
 
 
