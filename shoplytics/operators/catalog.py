@@ -79,6 +79,15 @@ def sizes_to_map(entries: Column) -> Column:
                                              x["source"].alias("source"), x["url"].alias("url"))))
 
 
+def with_info(photos: DataFrame, info: DataFrame) -> DataFrame:
+    """Photo -> its info record (owner, title, description, tags) as a
+    nested ``info`` struct; a photo without info keeps a NULL struct, and
+    dotted access on it stays NULL (M17)."""
+    fields = [c for c in info.columns if c != "id"]
+    nested = info.select("id", F.struct(*fields).alias("info"))
+    return photos.drop("info").join(nested, "id", "left")
+
+
 def sizes_per_photo(sizes: DataFrame, photo_col: str = "photo",
                     order_cols: tuple[str, ...] = ("seq",)) -> DataFrame:
     """One-to-many photo sizes nested as a map by label, the last

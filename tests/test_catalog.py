@@ -112,3 +112,12 @@ def test_merge_is_idempotent_and_keeps_newest(spark, rows):
         mine = [r for r in rows if r[0] == i]
         newest = max(mine, key=lambda r: r[3])
         assert got[i] == (newest[1], sorted({r[2] for r in mine}))
+
+
+def test_with_info_left_join(spark):
+    photos = spark.createDataFrame([("1", 40), ("2", 35)], "id string, favs int")
+    info = spark.createDataFrame([("1", "desc", ["t"])], "id string, description string, "
+                                                          "tags array<string>")
+    got = {r["id"]: (r["d"], r["t"]) for r in cat.with_info(photos, info).select(
+        "id", F.col("info.description").alias("d"), F.col("info.tags").alias("t")).collect()}
+    assert got == {"1": ("desc", ["t"]), "2": (None, None)}
