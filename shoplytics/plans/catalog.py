@@ -1,5 +1,5 @@
-"""Registered catalog queries (J3-J5, A3-A7, A10, F4, F8, W3, M16-M18, S13,
-U1-U3, C6, C8, C10, C12)."""
+"""Registered catalog queries (J3-J5, J7, A3-A7, A10, F4, F8, F9, W3,
+M16-M19, M21, M22, S10, S11, S13, S14, U1-U3, C6, C8, C10, C12, C13)."""
 
 from __future__ import annotations
 

@@ -1,5 +1,5 @@
-"""Registered catalog query, search and paging queries (C1, C2, F5-F7, J8,
-T1, T7, A8, A13)."""
+"""Registered catalog query, search, paging and suggestion queries (C1-C3,
+F5-F7, J1, J8, T1, T7, T9, A8, A13)."""
 
 from __future__ import annotations
 

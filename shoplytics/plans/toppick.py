@@ -1,5 +1,5 @@
 """Registered top-pick queries (F1, F2, A2, A11, A12, J2, J6, J10, T2-T6,
-T10, W2, W4, U4, U5, C8, C9)."""
+T10, W2, W4, U4, U5, C8, C9, ST6, ST7, ST11)."""
 
 from __future__ import annotations
 

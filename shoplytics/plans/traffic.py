@@ -1,4 +1,5 @@
-"""Registered traffic queries."""
+"""Registered traffic, archive and session queries (A1, M1, M14, M15, C7, C13,
+S2, S4, S6, S8, S9, ST1, ST2, ST4, ST5)."""
 
 from __future__ import annotations
 
