@@ -11,7 +11,7 @@ ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
 
 def test_bench_prints_one_json_line(tmp_path):
-    env = dict(os.environ, BENCH_SF_DIR=SF001, BENCH_CPUS="2",
+    env = dict(os.environ, BENCH_SF_DIR=SF001, BENCH_CPUS="2", SPARK_DRIVER_MEMORY="2g",
                BENCH_QUERIES="events_per_minute,basket_contents")
     out = subprocess.run([sys.executable, os.path.join(ROOT, "bench.py")], cwd=str(tmp_path),
                          env=env, capture_output=True, text=True, timeout=600)
