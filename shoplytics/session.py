@@ -81,8 +81,10 @@ def ship_package(spark: SparkSession) -> None:
     Functions handed to pandas UDFs, ``mapInPandas`` and
     ``applyInPandasWithState`` are unpickled on the executors, which import
     ``shoplytics`` there.  The package sources are zipped on the driver and
-    distributed with ``addPyFile`` (Spark's own code shipping), so the jobs
-    run wherever the driver was started from."""
+    distributed with ``addPyFile`` (Spark's own code shipping: the driver
+    serves the file and every executor fetches its own copy; no executor
+    reads the driver's folder), so the jobs run wherever the driver was
+    started from."""
     if spark.conf.get(_SHIPPED, "") == "yes":
         return
     pkg = os.path.dirname(os.path.abspath(__file__))
