@@ -193,3 +193,12 @@ def test_registered_checkout_stream_equals_model_on_event_table(spark):
     got = {r["shopper"]: (r["items"], r["step"], r["n_tokens"], r["completed"], r["rejected"])
            for r in res}
     assert got == want
+
+
+def test_add_twice_is_one_item(spark):
+    rows = [(1, 1, 9, "click", "5"), (2, 2, 9, "click", "5"), (3, 3, 9, "error", "5"),
+            (4, 4, 9, "error", "5")]
+    acts = bk.checked(_actions(spark.createDataFrame(_frame(rows))), _catalog(spark))
+    assert bk.membership(acts).count() == 0                 # one remove empties it
+    rej = bk.rejected_removes(acts).collect()
+    assert [r["event_id"] for r in rej] == [4]              # the second remove is rejected

@@ -121,3 +121,30 @@ def test_with_info_left_join(spark):
     got = {r["id"]: (r["d"], r["t"]) for r in cat.with_info(photos, info).select(
         "id", F.col("info.description").alias("d"), F.col("info.tags").alias("t")).collect()}
     assert got == {"1": ("desc", ["t"]), "2": (None, None)}
+
+
+def test_harvest_threshold_first_page_and_repeats(spark):
+    favs = spark.createDataFrame([("a",)] * 60 + [("b",)] * 30 + [("c",)] * 29, "photo string")
+    counts = {r["id"]: r["favs"] for r in cat.favourite_counts(favs, "photo").collect()}
+    assert counts == {"a": 50, "b": 30, "c": 29}             # first page of 50 only
+    photos = spark.createDataFrame([("a", "cars", 1), ("b", "cars", 2), ("c", "cars", 3),
+                                    ("a", "cars", 4), ("d", "cars", 5)],
+                                   "id string, category string, arrival int")
+    kept = cat.harvest(photos, cat.favourite_counts(favs, "photo"), threshold=30, max_images=2)
+    assert sorted((r["id"], r["arrival"]) for r in kept.collect()) == [("a", 1), ("b", 2)]
+    every = cat.harvest(photos, cat.favourite_counts(favs, "photo"), threshold=30)
+    assert sorted(r["arrival"] for r in every.collect()) == [1, 2, 4]   # a twice, c below, d none
+
+
+def test_invalid_items(spark):
+    df = spark.createDataFrame(
+        [("12a456", ["x"], ("u", "n", ""), {"S": (0, 5, "f", "i")}),
+         ("1234567", ["x"], ("u", "n", ""), {"S": (10, 5, "f", "i")})],
+        "id string, categories array<string>, "
+        "owner struct<user_id:string,user_name:string,real_name:string>, "
+        "variants map<string,struct<width:int,height:int,flickr_url:string,img_source:string>>")
+    v = {r["id"]: (r["status"], r["reasons"]) for r in cat.validate(df, strict_nested=True).collect()}
+    assert v["12a456"] == (422, ["id_pattern", "variant_size"])
+    assert v["1234567"] == (200, [])
+    lax = {r["id"]: r["status"] for r in cat.validate(df).collect()}
+    assert lax["12a456"] == 422 and lax["1234567"] == 200

@@ -93,3 +93,28 @@ def test_top_pick_predicates(spark):
     # a home view counts only when the event is neither a click nor an impression
     assert got == [(True, False, False), (False, True, False), (False, False, True),
                    (False, False, False)]
+
+
+def test_url_fixture_across_event_types(spark):
+    """Every fixture URL with every event type: the location rules apply to
+    all event types, the fragment source only to page views, the item
+    parameter only to basket / preview events."""
+    urls = ["http://shop/", "http://shop/search", "http://shop/basket/",
+            "http://shop/category/cars/", "http://shop/category/cars/2/",
+            "http://shop/category/cars/x/", "http://shop/product/123456/#/?source=top_pick",
+            "http://shop/download/" + "ab" * 16 + "/", None, "not a url at all"]
+    types = ["pageView", "impression", "addToBasket", "removeFromBasket", "preview"]
+    rows = [(f"{i}-{t}", t, u, {"item_id": "77"}) for i, u in enumerate(urls) for t in types]
+    got, _ = _map(spark, rows)
+    for t in types:
+        assert got[f"0-{t}"]["pageType"] == "home"
+        assert got[f"1-{t}"]["pageType"] == "unknown"
+        assert got[f"2-{t}"]["pageType"] == "basket"
+        assert (got[f"4-{t}"]["category"], got[f"4-{t}"]["page"]) == ("cars", 2)
+        assert got[f"5-{t}"]["page"] is None
+        assert got[f"7-{t}"]["downloadId"] == "ab" * 16
+        assert got[f"8-{t}"]["pageType"] == "unknown" and got[f"9-{t}"]["pageType"] == "unknown"
+        src = got[f"6-{t}"]["source"]
+        assert src == ("top_pick" if t == "pageView" else None)
+        pid = got[f"6-{t}"]["productId"]
+        assert pid == ("77" if t in ("addToBasket", "removeFromBasket", "preview") else "123456")
