@@ -182,3 +182,40 @@ def test_empty_stream_gives_no_rows(spark, tmp_path):
     res = runner.run_to_table(src2, sb.basket_updates, ["shopper"], str(tmp_path / "out"),
                               str(tmp_path / "c2"))
     assert res.count() == 0 and "n_items" in res.columns
+
+
+def _replay_events():
+    """30 events: clicks before any impression, the 9th and 18th impressions
+    (refresh boundaries) with a click just before and just after each, an
+    item with more clicks than impressions, and an old id re-added after the
+    first refresh."""
+    seq = [("1", "c"), ("1", "c"), ("2", "i"), ("3", "i"), ("1", "i"), ("4", "i"),
+           ("4", "c"), ("5", "i"), ("6", "i"), ("7", "i"), ("7", "c"), ("8", "i"),
+           ("8", "c"),                      # click just before the 9th impression
+           ("9", "i"),                      # 9th impression: refresh
+           ("9", "c"), ("9", "c"), ("9", "c"),   # after it; item 9 has 3 clicks, 1 impression
+           ("2", "i"),                      # an old id re-added after the refresh
+           ("10", "i"), ("3", "i"), ("1", "i"), ("5", "i"), ("6", "c"), ("6", "i"),
+           ("6", "c"), ("2", "i"), ("2", "i"),
+           ("10", "c"),                     # click just before the 18th impression
+           ("3", "i"),                      # 18th impression: refresh
+           ("4", "c")]                      # click just after
+    return [(n, n, it, k == "c", k == "i") for n, (it, k) in enumerate(seq)]
+
+
+def test_literal_replay_equals_model(spark, tmp_path):
+    events = _replay_events()
+    assert len(events) == 30 and sum(e[4] for e in events) == 18
+    catalog = spark.createDataFrame([(i,) for i in CATALOG], "id string")
+    for n, chunks in enumerate(([events], [events[:12], events[12:26], events[26:]])):
+        d = tmp_path / f"r{n}"
+        _write(str(d / "in"), chunks)
+        src = (spark.readStream.schema("event_id long, ts timestamp_ntz, item string, "
+                                       "is_click boolean, is_imp boolean")
+               .option("maxFilesPerTrigger", 1).parquet(str(d / "in")))
+        stp.run(src, stp.TopPickStream(str(d / "root"), catalog, SEED), str(d / "ckpt"))
+        st = stp.latest_state(spark, str(d / "root")).collect()
+        got = ({r["epoch"] for r in st}, {r["item"]: (r["clicks"], r["impressions"]) for r in st})
+        want = _model(events)
+        assert want[0] == 2                      # two refreshes after the start
+        assert got == ({want[0]}, want[1])
