@@ -202,3 +202,17 @@ def test_add_twice_is_one_item(spark):
     assert bk.membership(acts).count() == 0                 # one remove empties it
     rej = bk.rejected_removes(acts).collect()
     assert [r["event_id"] for r in rej] == [4]              # the second remove is rejected
+
+
+def test_checkout_with_emptied_basket(spark, tmp_path):
+    """Add then remove (an empty basket, not an absent one), check out: zero
+    tokens, completes, and the finish removes the basket."""
+    rows = [(1, 1, 4, "click", "5"), (2, 2, 4, "error", "5"), (3, 3, 4, "signup", None),
+            (4, 4, 4, "purchase", None), (5, 5, 4, "click", "6"), (6, 6, 4, "signup", None)]
+    src = _stream(spark, tmp_path, [rows[:3], rows[3:]])
+    res = runner.run_to_table(sc.checkout_events(src, _catalog(spark)), sc.checkout_updates,
+                              ["shopper"], str(tmp_path / "out"), str(tmp_path / "ckpt")).first()
+    in_ms = [(e, sec * 1000 + 1704067200000, sh, t, it) for e, sec, sh, t, it in rows]
+    want = _model(in_ms)[4]
+    assert (res["items"], res["step"], res["n_tokens"], res["completed"], res["rejected"]) == want
+    assert want == ("6", 1, 2, 1, 0)
