@@ -48,22 +48,34 @@ def sessions(marked: DataFrame, party: str = "party", ts: str = "ts",
                        F.count(F.lit(1)).alias("n_events")))
 
 
+def _instant(df: DataFrame, ts: str) -> DataFrame:
+    """Event time as TIMESTAMP (watermarks need it); NTZ wall clock is read
+    as UTC, a TIMESTAMP column is kept."""
+    if dict(df.dtypes)[ts] == "timestamp_ntz":
+        return df.withColumn(ts, to_instant(ts))
+    return df
+
+
 def stream_sessions(events: DataFrame, party: str = "party", ts: str = "ts",
-                    watermark: str = "2 minutes",
+                    watermark: str | None = "2 minutes",
                     timeout_s: int = SESSION_TIMEOUT_SECONDS) -> DataFrame:
-    """Streaming form: session windows per party behind a watermark."""
-    return (events.withColumn(ts, to_instant(ts)).withWatermark(ts, watermark)
-                  .groupBy(party, F.session_window(ts, f"{timeout_s} seconds").alias("s"))
-                  .agg(F.count(F.lit(1)).alias("n_events"))
-                  .select(party, F.col("s.start").alias("session_start"),
-                          F.col("s.end").alias("session_end"), "n_events"))
+    """Streaming form: session windows per party behind a watermark
+    (``watermark=None`` when the input already carries one)."""
+    e = _instant(events, ts)
+    if watermark:
+        e = e.withWatermark(ts, watermark)
+    return (e.groupBy(party, F.session_window(ts, f"{timeout_s} seconds").alias("s"))
+             .agg(F.count(F.lit(1)).alias("n_events"))
+             .select(party, F.col("s.start").alias("session_start"),
+                     F.col("s.end").alias("session_end"), "n_events"))
 
 
 def drop_duplicate_events(events: DataFrame, key: str = "event_id", ts: str = "ts",
                           watermark: str = "2 minutes") -> DataFrame:
-    """Streaming duplicate removal by event id within the watermark."""
-    return (events.withColumn(ts, to_instant(ts)).withWatermark(ts, watermark)
-                  .dropDuplicatesWithinWatermark([key]))
+    """Streaming duplicate removal by event id within the watermark (the
+    output keeps the watermark for the operators after it)."""
+    return (_instant(events, ts).withWatermark(ts, watermark)
+                                .dropDuplicatesWithinWatermark([key]))
 
 
 def flag_duplicates(events: DataFrame, key: str = "event_id",

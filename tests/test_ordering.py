@@ -45,3 +45,11 @@ def test_hot_group_spans_several_range_partitions(spark):
     staged = ordering._range_parts(df, ["g", "t", "id"], 6)
     parts = staged.filter(F.col("g") == "hot").select(ordering._PART).distinct().count()
     assert parts > 1
+
+
+def test_group_running_sum(spark):
+    df = _frame(spark)
+    got = ordering.group_running_sum(df, ["g"], ["t", "id"], "v", "s", n_parts=5)
+    w = Window.partitionBy("g").orderBy("t", "id").rowsBetween(Window.unboundedPreceding, 0)
+    want = df.withColumn("s", F.sum("v").over(w))
+    assert sorted(got.select("id", "s").collect()) == sorted(want.select("id", "s").collect())

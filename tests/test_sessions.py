@@ -37,3 +37,34 @@ def test_flag_duplicates(spark):
     got = sorted((r["event_id"], r["ts"], r["detected_duplicate"])
                  for r in ss.flag_duplicates(df).collect())
     assert got == [(1, 1, False), (1, 2, True), (1, 3, True), (2, 5, False)]
+
+
+def test_stream_sessions_and_dedup(spark, tmp_path):
+    import os
+    import time
+
+    import pandas as pd
+
+    from shoplytics.streaming import runner
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    base = dt.datetime(2024, 1, 1)
+    rows = [(1, base, 1), (1, base + dt.timedelta(minutes=10), 2),
+            (1, base + dt.timedelta(minutes=10), 2),                 # duplicate event id
+            (2, base + dt.timedelta(minutes=5), 3),
+            (1, base + dt.timedelta(minutes=90), 4)]
+    os.makedirs(str(tmp_path / "in"))
+    p = str(tmp_path / "in" / "part-000.parquet")
+    pd.DataFrame(rows, columns=["party", "ts", "event_id"]).to_parquet(
+        p, coerce_timestamps="us", allow_truncated_timestamps=True)
+    os.utime(p, (time.time() - 100, time.time() - 100))
+    src = spark.readStream.schema("party long, ts timestamp_ntz, event_id long").parquet(
+        str(tmp_path / "in"))
+    deduped = ss.drop_duplicate_events(src)
+    res = runner.run_to_table(deduped, lambda d: ss.stream_sessions(d, watermark=None),
+                              ["party", "session_start"],
+                              str(tmp_path / "out"), str(tmp_path / "ckpt"), mode="append")
+    got = sorted((r["party"], r["n_events"]) for r in res.collect())
+    # party 1: {0, 10 min} (the duplicate dropped) and party 2: {5 min} are
+    # closed by the watermark (90 - 2 min); party 1's session at 90 min is
+    # still open at the end of the input, so append mode does not emit it
+    assert got == [(1, 2), (2, 1)]

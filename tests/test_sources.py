@@ -67,3 +67,20 @@ def test_avro_decoder_is_gated(spark):
 def test_event_schema_has_33_fields():
     assert len(SHOP_EVENT.fields) == 33
     assert ddl(SHOP_EVENT).startswith("detectedDuplicate:boolean")
+
+
+def test_kafka_reader_gate_and_views(spark):
+    try:
+        kafka.read_stream(spark, "localhost:1")
+    except RuntimeError as ex:                 # no connector jar: a clear message
+        assert "archive" in str(ex)
+    from shoplytics.sources.tables import register_views
+    from tests.conftest import SF001
+    register_views(spark, SF001, ("events", "part"))
+    assert spark.sql("SELECT count(*) FROM events").first()[0] > 0
+
+
+def test_page_number_shape(spark):
+    from shoplytics.functions import ids
+    df = spark.createDataFrame([("0",), ("999",), ("1000",), ("x",)], "p string")
+    assert [r[0] for r in df.select(ids.is_page_number("p")).collect()] == [True, True, False, False]
