@@ -84,3 +84,10 @@ def test_page_number_shape(spark):
     from shoplytics.functions import ids
     df = spark.createDataFrame([("0",), ("999",), ("1000",), ("x",)], "p string")
     assert [r[0] for r in df.select(ids.is_page_number("p")).collect()] == [True, True, False, False]
+
+
+def test_kafka_writer_builds_without_starting(spark, tmp_path):
+    from pyspark.sql.streaming import DataStreamWriter
+    src = spark.readStream.schema("eventId string, eventType string").json(str(tmp_path))
+    w = kafka.write_stream(src, "localhost:1", str(tmp_path / "ckpt"))
+    assert isinstance(w, DataStreamWriter)          # started only where a broker exists
