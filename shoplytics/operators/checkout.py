@@ -89,5 +89,7 @@ def sample_tokens(checkouts: DataFrame, words: DataFrame) -> DataFrame:
     n = words.agg(F.count(F.lit(1))).scalar()
     draws = (checkouts.filter(F.col("n_tokens") > 0)
              .select("checkout_id", F.explode(F.sequence(F.lit(1), F.col("n_tokens"))).alias("i"))
-             .withColumn("idx", F.pmod(R.hash48(F.col("checkout_id"), F.col("i")), n)))
+             # Non-negative hash: mod = pmod; an empty word list gives NULL
+             # (no token rows) instead of a division by zero.
+             .withColumn("idx", F.try_mod(R.hash48(F.col("checkout_id"), F.col("i")), n)))
     return draws.join(words, "idx").select("checkout_id", "i", "word")

@@ -172,12 +172,14 @@ def refresh(kept: DataFrame, positions: DataFrame, seed: int, compat: bool = Fal
                  .withColumn("m", F.least(
                      (F.col("n_random") * 2) if compat else (F.col("n_random") + F.col("kept")),
                      F.col("n_cat")))
-                 .withColumn("start", F.pmod(R.hash48(F.lit(seed), F.lit("fill"), F.col("epoch")),
-                                             F.col("n_cat"))))
+                 # Non-negative operands: mod = pmod; an empty catalog yields
+                 # NULL (and m = 0, no slots) instead of a division by zero.
+                 .withColumn("start", F.try_mod(R.hash48(F.lit(seed), F.lit("fill"),
+                                                         F.col("epoch")), F.col("n_cat"))))
     slots = (per_epoch.filter(F.col("m") > 0)
              .select("epoch", "n_random", "n_cat", "start",
                      F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("j"))
-             .withColumn("pos", F.pmod(F.col("start") + F.col("j"), F.col("n_cat"))))
+             .withColumn("pos", F.try_mod(F.col("start") + F.col("j"), F.col("n_cat"))))
     cands = slots.join(positions, "pos").select("epoch", "j", "n_random", F.col("id").alias("item"))
     fresh = cands.join(kept.select("epoch", "item"), ["epoch", "item"], "left_anti")
     fill = (fresh.withColumn("k", F.row_number().over(Window.partitionBy("epoch").orderBy("j")))

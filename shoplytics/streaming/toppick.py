@@ -132,10 +132,13 @@ class TopPickStream:
         pos = self.positions()
         n_cat = pos.agg(F.count(F.lit(1))).scalar()
         m = 2 * tp.NUM_ITEMS if self.compat else tp.NUM_ITEMS
-        slots = (epochs.withColumn("start", F.pmod(R.hash48(F.lit(self.seed), F.lit("fill"),
-                                                            F.col("epoch")), n_cat))
+        # Non-negative operands: mod = pmod.  An empty catalog has no slots
+        # (the filter), and try_mod never divides by zero.
+        slots = (epochs.filter(n_cat > 0)
+                 .withColumn("start", F.try_mod(R.hash48(F.lit(self.seed), F.lit("fill"),
+                                                         F.col("epoch")), n_cat))
                  .withColumn("j", F.explode(F.sequence(F.lit(0), F.least(F.lit(m), n_cat) - 1)))
-                 .withColumn("pos", F.pmod(F.col("start") + F.col("j"), n_cat)))
+                 .withColumn("pos", F.try_mod(F.col("start") + F.col("j"), n_cat)))
         return slots.join(pos, "pos").select("epoch", F.lit(CAND).alias("kord"), "j",
                                              F.col("id").alias("item"),
                                              F.lit(0).cast("long").alias("clicks"),

@@ -216,3 +216,9 @@ def test_checkout_with_emptied_basket(spark, tmp_path):
     want = _model(in_ms)[4]
     assert (res["items"], res["step"], res["n_tokens"], res["completed"], res["rejected"]) == want
     assert want == ("6", 1, 2, 1, 0)
+
+
+def test_tokens_with_empty_word_list(spark):
+    checkouts = spark.createDataFrame([("c1", 3)], "checkout_id string, n_tokens long")
+    words = spark.createDataFrame([], "idx long, word string")
+    assert co.sample_tokens(checkouts, words).count() == 0

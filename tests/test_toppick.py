@@ -108,3 +108,10 @@ def test_large_shape_paths(spark):
     for r in df.select("k", "a", "b", R.beta(F.lit(4), F.col("k"), F.col("a"), F.col("b"))
                        .alias("t")).collect():
         assert abs(r["t"] - R.beta_py(4, r["k"], r["a"], r["b"])) < 1e-9
+
+
+def test_refresh_with_empty_catalog_keeps_kept_items(spark):
+    kept = spark.createDataFrame([(0, "a", 1)], "epoch long, item string, rank int")
+    empty = spark.createDataFrame([], "id string")
+    nxt = tp.refresh(kept, tp.catalog_positions(empty, 1), 1).collect()
+    assert [(r["next_epoch"], r["item"], r["role"]) for r in nxt] == [(1, "a", "kept")]
