@@ -11,17 +11,23 @@ from shoplytics.session import checkpoint_dir
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def pick(df: DataFrame, *names: str) -> DataFrame:
-    """Only the columns ``names``, found by exact spelling.
-
-    Extra columns are dropped first, so none of them can clash with a column
-    that an operator adds - not even one that differs by case alone."""
+def plain(df: DataFrame, *names: str) -> tuple[DataFrame, list[str]]:
+    """``df`` with the columns named _p0, _p1, ... and the new names of ``names``, found
+    by exact spelling, or else by any case.  So no extra column can clash with one that an
+    operator uses or adds - not even one that differs by case alone."""
     have = df.columns
-    missing = [n for n in names if n not in have]
+    low = [c.lower() for c in have]
+    missing = [n for n in names if n not in have and n.lower() not in low]
     if missing:
         raise ValueError(f"missing columns {missing}; there are {have}")
-    plain = df.toDF(*[f"_p{i}" for i in range(len(have))])
-    return plain.select(*[F.col(f"_p{have.index(n)}").alias(n) for n in names])
+    at = [have.index(n) if n in have else low.index(n.lower()) for n in names]
+    return df.toDF(*[f"_p{i}" for i in range(len(have))]), [f"_p{i}" for i in at]
+
+
+def pick(df: DataFrame, *names: str) -> DataFrame:
+    """Only the columns ``names`` (see :func:`plain`)."""
+    inner, at = plain(df, *names)
+    return inner.select(*[F.col(c).alias(n) for c, n in zip(at, names)])
 
 
 def kept(df: DataFrame) -> DataFrame:

@@ -44,6 +44,21 @@ PAGES = [
     # Main text in plain paragraphs of a div without names.
     f"""<body><div class="nav navbar"><ul><li><a href="/">Start</a></li><li><a href="/n">News</a></li></ul></div><div data-y="1"><h1>Bread</h1><p>{_LONG}</p><p>{_MORE}</p>
     <p>{_LONG}</p></div><div class="disclaimer legal"><p>Terms and privacy. No part may be copied.</p></div><div class="ads"><p>Flour, cheap.</p></div></body>""",
+    # Comments with headings, forms in the main part, lists of links after it.
+    f"""<body><nav class="main-menu"><a href="/">Home</a></nav><main data-y="1"><h1>Bees</h1><p>{_LONG}</p><h2>Honey</h2><p>{_SHORT}</p><p>{_MORE}</p>
+    <form data-y="0" action="/go"><p>Your name</p><p>Your mail, so that we can write to you.</p><label>Send</label></form>
+    <aside class="info-box" data-y="0"><h3>Also in this issue</h3><p>Ants and what they do in winter, by our reporter.</p></aside></main>
+    <section id="comments" class="comments"><h2>Comments</h2><p>What a good read this was, and so well said!</p><ol class="commentlist"><li>
+    <p>I keep bees, and I can say that all of this is true.</p></li><li><div class="comment-body"><p>No.</p></div></li></ol><h2>Write a comment</h2></section>
+    <section class="newsletter"><h2>Stay informed</h2><p>Get our letter every week.</p></section></body>""",
+    f"""<body><div class="site-notice alert"><h2>Notice</h2><p>The site will be down on Sunday from ten to twelve.</p></div><div class="wrap"><article data-y="1">
+    <h1>Salt</h1><h2>From the sea</h2><p>{_LONG}</p><h3>From the ground</h3><p>{_MORE}</p><p>{_SHORT}</p><div class="ad" data-y="0"><h3>Pans</h3><p>New pans for you.</p></div></article>
+    <div class="comments-area" id="respond"><h2>2 replies</h2><article class="comment"><p>Salt is what I like most, said my father every day.</p></article><article class="comment">
+    <p>Thanks.</p></article></div></div><aside><h2>Popular</h2><ul><li><a href="/p">Pepper</a></li></ul><p>Our shop has all of it.</p></aside>
+    <footer><h3>About</h3><p>We write on food since 1990, and hope that you like it.</p><form><p>Search</p></form></footer></body>""",
+    f"""<body><header><h2>The Paper</h2><p>News for everyone, every day of the year.</p><form class="search"><p>Search here</p></form></header><div class="story-body" data-y="1">
+    <h2>Wind</h2><p>{_MORE}</p><div><p>{_LONG}</p><p>{_SHORT}</p></div><blockquote>{_SHORT}</blockquote><div class="related-links" data-y="0"><h2>Related</h2>
+    <p>More on wind and weather.</p></div></div><div class="sidebar"><h2>Advert</h2><p>Kites of all sizes, and strings.</p></div></body>""",
     # Text right in the body.
     f"""<body data-y="1"><p>{_LONG}</p><p>{_MORE}</p><p>{_SHORT}</p></body>""",
     f"""<body><div role="navigation"><a href="/">One</a><a href="/2">Two</a></div><div id="main" role="main" data-y="1"><h1>Stones</h1><h2>Old</h2><p>{_MORE}</p>

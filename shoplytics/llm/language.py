@@ -106,7 +106,7 @@ class Centroids:
         self.of = np.concatenate([np.full(len(p), i) for i, p in enumerate(parts)])
         self.centroids = np.concatenate(parts).astype(np.float32)
         best = (x @ self.centroids.T).max(1)
-        self.least = [float(np.quantile(best[y == i], REJECT)) for i in range(len(self.langs))]
+        self.least = [float(np.quantile(best[y == i], REJECT)) - 1e-5 for i in range(len(self.langs))]
 
     def predict(self, text: str | None) -> tuple[str, float, bool]:
         """Language, score, rejected."""
@@ -129,7 +129,7 @@ def sample(rows: DataFrame, label: str, per_label: int) -> DataFrame:
     share = rows.groupBy(label).count().select(
         F.col(label).alias("_label"), (F.lit(float(per_label)) / F.col("count")).alias("_share"))
     at = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("fit")), F.lit(1 << 30)) / float(1 << 30)
-    return rows.join(share, F.col(label) == F.col("_label")).filter(at < F.col("_share")).drop("_label", "_share")
+    return rows.join(F.broadcast(share), F.col(label) == F.col("_label")).filter(at < F.col("_share")).drop("_label", "_share")
 
 
 def fit(labelled: DataFrame, per_label: int = FIT_ROWS) -> Centroids:

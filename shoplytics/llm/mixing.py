@@ -29,7 +29,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shoplytics.llm.common import kept, partitions, pick, word_count
+from shoplytics.llm.common import kept, partitions, pick, plain, word_count
 
 BLOCK_WORDS = 4096
 MAX_REPEAT = 3
@@ -164,7 +164,7 @@ def mixed_documents(docs: DataFrame, **how) -> DataFrame:
     part = mix(docs, **how).select("doc_id", F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + 0.5))
                                    .otherwise(1).cast("int").alias("_copies"))
     part = part.groupBy("doc_id").agg(F.max("_copies").alias("_copies"))
-    names = docs.columns
-    out = docs.alias("d").join(part.select(F.col("doc_id").alias("_id"), "_copies"), F.col("d.doc_id").eqNullSafe(F.col("_id")))
-    out = out.filter("_copies > 0").withColumn("_copy", F.explode(F.array_repeat(F.lit(1), F.col("_copies"))))
-    return out.select(*[F.col(f"d.`{n}`") for n in names])
+    inner, (doc_id,) = plain(docs, "doc_id")
+    out = inner.join(part.select(F.col("doc_id").alias("_id"), "_copies"), F.col(doc_id).eqNullSafe(F.col("_id"))).filter("_copies > 0")
+    out = out.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), F.col("_copies"))))
+    return out.drop("_id", "_copies", "_copy").toDF(*docs.columns)

@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from shoplytics.llm.common import kept, partitions, pick
+from shoplytics.llm.common import kept, partitions, pick, plain
 from shoplytics.llm.components import components
 
 SHINGLE = 5
@@ -228,10 +228,12 @@ def links(docs: DataFrame, size: int = SHINGLE) -> tuple[DataFrame, DataFrame]:
     reps = kept(known.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"),
                                              F.first("n_shingles").alias("n_shingles")))
     rows = sketched.drop("sig").join(reps.select("set_key", "rep"), "set_key", "left")
-    # A doc_id with several texts joins their classes.
+    # A doc_id with several texts joins their classes, and its rows without shingles go with them.
     known = rows.filter("rep IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", "rep")
-    ends = known.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).filter("a < z").select("doc_id", "a")
-    several = known.join(ends, "doc_id").select("a", F.col("rep").alias("b")).filter("a <> b").distinct()
+    ends = known.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("z"))
+    several = known.join(ends.filter("a < z").drop("z"), "doc_id").select("a", F.col("rep").alias("b")).filter("a <> b").distinct()
+    bare = rows.filter("set_key IS NULL").drop("rep").join(ends.select("doc_id", F.col("a").alias("rep")), "doc_id", "left")
+    rows = rows.filter("set_key IS NOT NULL").unionByName(bare)
     tested = kept(_neighbours(reps))
     one = kept(_confirmed(kept(_promising(tested, reps)), docs, size).unionByName(several))
     rest = kept(_promising(_across(reps, components(one), tested), reps))
@@ -243,7 +245,6 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     rows, edges = links(docs, size)
     comps = kept(components(edges))
     out = rows.join(comps, F.col("rep") == F.col("node"), "left")
-    # A row without shingles may still be linked by another text of its doc_id.
     comp = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id"))
     return out.select("doc_id", "n_shingles", comp.alias("component_id"),
                       F.coalesce(F.col("doc_id") == comp, F.lit(True)).alias("kept"))
@@ -251,9 +252,8 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
 
 def deduplicated(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     """``docs`` with one document of each group: the one of the smallest doc_id (one row of it)."""
-    names = docs.columns
     out = near_duplicates(docs, size).filter("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_kept")).distinct()
+    inner, (doc_id,) = plain(docs, "doc_id")
     # The ids of kept documents grow with the input: a shuffle join, on one row per id.
-    stay = docs.join(out, F.col("doc_id") == F.col("_kept"), "left_semi").dropDuplicates(["doc_id"])
-    return stay.unionByName(docs.filter("doc_id IS NULL")).select(*[F.col(f"`{n}`") for n in names])
-
+    stay = inner.join(out, F.col(doc_id) == F.col("_kept"), "left_semi").dropDuplicates([doc_id])
+    return stay.unionByName(inner.filter(F.col(doc_id).isNull())).toDF(*docs.columns)

@@ -2,7 +2,8 @@
 
 Every block element is a node with two states, main text or not.  Node potentials
 come from its tag, class and id words, role, how much of its text is links, and
-how long it is; edge potentials connect parent and child.  Sum-product messages go up
+how long it is; edge potentials connect parent and child, one table for boxes (div,
+section, form ...) and one for blocks that follow the box around them (p, h2, li ...).  Sum-product messages go up
 from the leaves and down from the root, once each, which is exact on a tree;
 a text run is kept if the marginal of its block says main text.
 
@@ -44,6 +45,8 @@ DROPPED = frozenset("script style head title noscript template iframe object svg
 #: Elements that make a block of their own.
 BLOCKS = frozenset("""html body main article section header footer nav aside div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table
 thead tbody tfoot tr td th caption blockquote pre figure figcaption form fieldset legend label details summary address center hgroup menu search dialog""".split())
+#: Blocks that hold a part of a page, of whatever sort; the others follow the block around them.
+BOXES = frozenset("html body main article section header footer nav aside div form fieldset dialog menu search".split())
 _RAW = {t: re.compile(rf"</{t}(?![a-zA-Z])[^>]*>?", re.I) for t in ("script", "style", "title", "textarea", "noscript", "iframe")}
 #: An open block that an opening tag ends first.
 _ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
@@ -60,6 +63,7 @@ class Dom:
         stack, dropped, in_link = [0], 0, False
         pos, end = 0, len(page)
         fresh = True  # the next text begins a run
+        open_: Counter = Counter()  # open blocks by tag
         while pos < end:
             m = _TAG.search(page, pos)
             stop = m.start() if m else end
@@ -103,20 +107,23 @@ class Dom:
             elif tag in BLOCKS:
                 fresh, in_link = True, False
                 if closing:
-                    for i in range(len(stack) - 1, 0, -1):
-                        if self.tag[stack[i]] == tag:
-                            del stack[i:]
-                            break
+                    if open_[tag]:
+                        while self.tag[stack[-1]] != tag:
+                            open_[self.tag[stack.pop()]] -= 1
+                        open_[self.tag[stack.pop()]] -= 1
                     continue
                 if self.tag[stack[-1]] == "p":
-                    stack.pop()
-                for i in range(len(stack) - 1, 0, -1):
-                    open_ = self.tag[stack[i]]
-                    if open_ in _ENDS.get(tag, ()):
+                    open_[self.tag[stack.pop()]] -= 1
+                ends = _ENDS.get(tag, ())
+                if any(open_[t] for t in ends):
+                    i = len(stack) - 1
+                    while self.tag[stack[i]] not in ends and self.tag[stack[i]] not in _HOLDS:
+                        i -= 1
+                    if self.tag[stack[i]] in ends:
+                        for node in stack[i:]:
+                            open_[self.tag[node]] -= 1
                         del stack[i:]
-                        break
-                    if open_ in _HOLDS:
-                        break
+                open_[tag] += 1
                 self.tag.append(tag)
                 self.parent.append(stack[-1])
                 self.attrs.append(m.group(3))
@@ -149,10 +156,11 @@ class Model:
     """Potentials: a weight per feature, and the log ratios of the edges."""
 
     #: Bounds of a feature's weight, by its kind: how it looks says less than what it is called.
-    BOUND = {"tag": 2.5, "name": 4.0, "links": 1.5, "length": 0.5}
+    BOUND = {"tag": 4.0, "name": 4.0, "links": 1.5, "length": 0.5}
 
     def __init__(self, pages: list[str]):
-        seen, states, edges = (Counter(), Counter()), [0, 0], [[1.0, 1.0], [1.0, 1.0]]
+        seen, states = (Counter(), Counter()), [0, 0]
+        edges = [[[0.5, 0.5], [0.5, 0.5]] for _ in (0, 1)]  # by whether the child is a box
         for page in pages:
             dom = Dom(page)
             y = []
@@ -163,18 +171,19 @@ class Model:
                 seen[y[i]].update(features)
                 states[y[i]] += 1
                 if i:
-                    edges[y[dom.parent[i]]][y[i]] += 1
+                    edges[dom.tag[i] in BOXES][y[dom.parent[i]]][y[i]] += 1
         self.weight = {}
         for f in seen[0].keys() | seen[1].keys():
-            w = math.log((seen[1][f] + 0.3) / (states[1] + 0.6)) - math.log((seen[0][f] + 0.3) / (states[0] + 0.6))
+            w = math.log((seen[1][f] + 0.02) / (states[1] + 0.04)) - math.log((seen[0][f] + 0.02) / (states[0] + 0.04))
             bound = self.BOUND[f.split(":")[0]]
             self.weight[f] = max(-bound, min(bound, w))
-        #: edge[parent state][child state]: the child's state given its parent's.
-        self.edge = [[n / sum(row) for n in row] for row in edges]
+        #: edge[child is a box][parent state][child state]: the child's state given its parent's.
+        self.edge = [[[n / sum(row) for n in row] for row in kind] for kind in edges]
 
     def marginals(self, dom: Dom) -> list[float]:
         """P(main text) of each node: messages up, then down."""
-        n, (e0, e1) = len(dom.tag), self.edge
+        n = len(dom.tag)
+        edge = [self.edge[t in BOXES] for t in dom.tag]
         own = [math.exp(max(-8.0, min(8.0, sum(self.weight.get(x, 0.0) for x in f)))) for f in dom.features()]
         # up: (weight of state 0, of state 1) of a node with all that is below it; to: its message to the parent.
         up0, up1, to0, to1 = [1.0] * n, own, [1.0] * n, [1.0] * n
@@ -182,6 +191,7 @@ class Model:
             s = up0[i] + up1[i]
             a, b = up0[i] / s, up1[i] / s
             up0[i], up1[i] = a, b
+            e0, e1 = edge[i]
             m0, m1 = e0[0] * a + e0[1] * b, e1[0] * a + e1[1] * b
             to0[i], to1[i] = m0, m1
             p = dom.parent[i]
@@ -192,6 +202,7 @@ class Model:
         at[0] = up1[0] / (up0[0] + up1[0])
         for i in range(1, n):
             p = at[dom.parent[i]]
+            e0, e1 = edge[i]
             # What the parent believes without this child's message.
             c0, c1 = (1 - p) / max(to0[i], 1e-300), p / max(to1[i], 1e-300)
             s = c0 + c1

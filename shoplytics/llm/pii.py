@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shoplytics.llm.common import pick
+from shoplytics.llm.common import pick, plain
 
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "iban")
@@ -168,8 +168,9 @@ def redacted(docs: DataFrame, min_score: float = 0.0) -> DataFrame:
             out.append(text)
         return pd.Series(out, dtype=object)
 
-    names = docs.columns
-    out = docs.withColumn("text", clean("text"))
-    if "n_chars" in names:
-        out = out.withColumn("n_chars", F.when(F.col("n_chars").isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType)))
-    return out.select(*[F.col(f"`{n}`") for n in names])
+    inner, (text,) = plain(docs, "text")
+    out = inner.withColumn(text, clean(text))
+    if "n_chars" in docs.columns:
+        _, (n,) = plain(docs, "n_chars")
+        out = out.withColumn(n, F.when(F.col(n).isNotNull(), F.length(text).cast(inner.schema[n].dataType)))
+    return out.toDF(*docs.columns)

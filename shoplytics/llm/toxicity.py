@@ -17,7 +17,8 @@ a prior, so rare contexts keep the prior factor).  A clause's weight is that sum
 a document's score is the logistic of a bias plus the clause weights.
 
 Learning: stems from at most about ``FIT_ROWS`` labelled texts per label
-(documented bound), chosen by a hash of doc_id.  Every prefix of every word is
+(documented bound), chosen by a hash of doc_id, two thirds of them; the other third
+calibrates the weights.  Every prefix of every word is
 counted once per text by Spark; a prefix is a stem if it is frequent enough in
 toxic and rare enough in clean texts, and as long as it can be without losing
 texts.  At most ``MAX_STEMS`` stems are learned.
@@ -45,7 +46,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shoplytics.llm.common import pick
+from shoplytics.llm.common import pick, plain
 from shoplytics.llm.language import sample
 
 FIT_ROWS = 3000
@@ -146,6 +147,8 @@ class Grammar:
             # How far the odds of this context speak for toxic, against a prior of 5 texts either way.
             toxic, clean = (with_[1] + 5 * self.prior(c)) / (n[1] + 5), (with_[0] + 5 * (1 - self.prior(c))) / (n[0] + 5)
             self.factor[c] = toxic / (toxic + clean)
+        if not found:
+            return
         x = [sum(self.factor[c] * w for c, w in f.items()) for f in found]
         a, b = self.bias, 1.0
         for _ in range(200):  # gradient steps on the mean loss, with a light pull of b to 1
@@ -192,11 +195,11 @@ def _prefix_counts(rows: DataFrame) -> DataFrame:
 
 def learn_stems(rows: DataFrame, n_toxic: int, n_clean: int) -> dict[str, float]:
     """Weighted stems: log odds of the prefixes that mark toxic texts."""
-    least = max(2, n_toxic // 200)
+    least = max(3, n_toxic // 50)
     odds = F.log((F.col("toxic") + 0.5) / (n_toxic + 1)) - F.log((F.col("clean") + 0.5) / (n_clean + 1))
-    # A mark of toxic texts: enough of them, and twenty times the share of clean texts.
+    # A mark of toxic texts: enough of them, and thirty times the share of clean texts.
     found = (_prefix_counts(rows).filter(F.col("toxic") >= least).withColumn("odds", odds)
-             .filter(F.col("odds") > math.log(20)).orderBy(F.desc("toxic"), "prefix").limit(20 * MAX_STEMS).collect())
+             .filter(F.col("odds") > math.log(30)).orderBy(F.desc("toxic"), "prefix").limit(20 * MAX_STEMS).collect())
     by = {r.prefix: r for r in found}
     longer: dict[str, int] = {}
     for p, r in by.items():
@@ -220,10 +223,12 @@ def fit(docs: DataFrame, labels: DataFrame, per_label: int = FIT_ROWS) -> Gramma
     rows = pick(docs, "doc_id", "text").filter("text IS NOT NULL").join(F.broadcast(y), "doc_id")
     got = rows.select("doc_id", "text", F.col("toxic").cast("int").alias("toxic")).persist()
     try:
-        n = {r.toxic: r["count"] for r in got.groupBy("toxic").count().collect()}
+        # Stems come from two thirds of the texts; the rest, which they have not seen, weighs them.
+        third = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("stems")), F.lit(3)) == 0
+        n = {r.toxic: r["count"] for r in got.filter(~third).groupBy("toxic").count().collect()}
         if not n.get(1) or not n.get(0):
             return None
-        grammar = Grammar(learn_stems(got, n[1], n[0]))
+        grammar = Grammar(learn_stems(got.filter(~third), n[1], n[0]))
 
         order = sorted(grammar.factor)
 
@@ -231,7 +236,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_label: int = FIT_ROWS) -> Gramma
         def found(texts: pd.Series) -> pd.Series:
             return pd.Series([[grammar.matches(t).get(c, 0.0) for c in order] for t in texts])
 
-        rows = got.select("doc_id", "toxic", found("text").alias("m")).orderBy("doc_id", "toxic").collect()
+        rows = got.filter(third).select("doc_id", "toxic", found("text").alias("m")).orderBy("doc_id", "toxic").collect()
         grammar.calibrate([dict(zip(order, r.m)) for r in rows], [r.toxic for r in rows])
         return grammar
     finally:
@@ -257,6 +262,6 @@ def scorer(docs: DataFrame, grammar: Grammar | None):
 
 def clean(docs: DataFrame, labels: DataFrame, per_label: int = FIT_ROWS) -> DataFrame:
     """``docs`` without the documents that the grammar rejects."""
-    names = docs.columns
-    out = docs.withColumn("_toxicity", scorer(docs, fit(docs, labels, per_label))("text"))
-    return out.filter(F.col("_toxicity") < THRESHOLD).select(*[F.col(f"`{n}`") for n in names])
+    inner, (text,) = plain(docs, "text")
+    out = inner.withColumn("_toxicity", scorer(docs, fit(docs, labels, per_label))(text))
+    return out.filter(F.col("_toxicity") < THRESHOLD).drop("_toxicity").toDF(*docs.columns)
