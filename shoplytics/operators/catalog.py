@@ -1,9 +1,9 @@
 """Catalog build: harvest, item documents, prices, merge, validation
 (J3-J5, A3-A7, A10, F4, F8, F9, W3, M16-M22, S13, S14, U1-U3).
 
-Harvest (per category): candidate photos -> favourite count (first page of
-50) -> keep favs >= threshold -> first N per category in arrival order ->
-info -> sizes.  Build: harvest record -> item document -> price band from the
+Harvest (per category): candidate photos -> favourite count -> keep favs >=
+threshold -> info -> sizes.  The harvester's limits (favourites of the first
+page only, first N photos per category) are arguments, off by default.  Build: harvest record -> item document -> price band from the
 global favourite range -> merge duplicates by id (newest wins, categories
 united) -> validate.
 """
@@ -15,19 +15,20 @@ from pyspark.sql import functions as F
 
 from shoplytics.functions import ids
 
-# Harvest defaults and display variant names.
+# The harvest threshold and display variant names.
 FAV_THRESHOLD = 30
-MAX_IMAGES = 1000
-FAVS_PAGE = 50
 VARIANT_NAMES = ("Large Square", "Medium", "Small", "Square", "Original")
 
 
 # --- harvest ---------------------------------------------------------------
 
-def favourite_counts(favourites: DataFrame, photo_col: str) -> DataFrame:
-    """A4: favourites per photo, counted up to the first page of 50."""
+def favourite_counts(favourites: DataFrame, photo_col: str,
+                     page: int | None = None) -> DataFrame:
+    """A4: favourites per photo; with ``page``, as one result page of that
+    size shows them (a count of at most ``page``)."""
+    n = F.count(F.lit(1))
     return (favourites.groupBy(F.col(photo_col).alias("id"))
-                      .agg(F.least(F.count(F.lit(1)), F.lit(FAVS_PAGE)).cast("int").alias("favs")))
+                      .agg((n if page is None else F.least(n, F.lit(page))).cast("int").alias("favs")))
 
 
 def with_favourites(photos: DataFrame, counts: DataFrame) -> DataFrame:
@@ -41,7 +42,7 @@ def accept(photos: DataFrame, threshold: int = FAV_THRESHOLD) -> DataFrame:
     return photos.filter(F.col("favs") >= threshold)
 
 
-def first_per_category(photos: DataFrame, n: int = MAX_IMAGES,
+def first_per_category(photos: DataFrame, n: int,
                        order_cols: tuple[str, ...] = ("arrival",)) -> DataFrame:
     """The first ``n`` accepted photos per category in arrival order.
     ``row_number() <= n`` plans as a WindowGroupLimit, which trims each
@@ -109,11 +110,11 @@ def with_sizes(photos: DataFrame, sizes_map: DataFrame) -> DataFrame:
 # --- item documents --------------------------------------------------------
 
 def harvest(photos: DataFrame, favourite_counts_df: DataFrame,
-            threshold: int = FAV_THRESHOLD, max_images: int = MAX_IMAGES) -> DataFrame:
+            threshold: int = FAV_THRESHOLD, max_images: int | None = None) -> DataFrame:
     """The harvest chain over candidate photos (one row per category hit):
-    favourites -> threshold -> first ``max_images`` per category."""
-    return first_per_category(accept(with_favourites(photos, favourite_counts_df), threshold),
-                              max_images, ("arrival", "id"))
+    favourites -> threshold, and with ``max_images`` the first so many per category."""
+    kept = accept(with_favourites(photos, favourite_counts_df), threshold)
+    return kept if max_images is None else first_per_category(kept, max_images, ("arrival", "id"))
 
 
 def as_harvest_records(photos: DataFrame, keep: tuple[str, ...] = ("category", "ord")) -> DataFrame:

@@ -18,14 +18,11 @@ photos AS (
   SELECT CAST(d.doc_id AS VARCHAR), p.p_name, d.lang, d.text, [d.source], 1, d.doc_id
   FROM documents d JOIN part p ON p.p_partkey = d.doc_id
 ),
-favs AS (SELECT CAST(l_partkey AS VARCHAR) AS id, least(count(*), {cat.FAVS_PAGE}) AS favs
+favs AS (SELECT CAST(l_partkey AS VARCHAR) AS id, count(*) AS favs
          FROM lineitem GROUP BY 1),
-acc AS (SELECT ph.*, coalesce(f.favs, 0)::INTEGER AS favs
+harvested AS (SELECT ph.*, coalesce(f.favs, 0)::INTEGER AS favs
         FROM photos ph LEFT JOIN favs f USING (id)
         WHERE coalesce(f.favs, 0) >= {cat.FAV_THRESHOLD}),
-harvested AS (SELECT * FROM (
-    SELECT *, row_number() OVER (PARTITION BY category ORDER BY arrival, id) AS rn FROM acc)
-  WHERE rn <= {cat.MAX_IMAGES}),
 rng AS (SELECT min(favs) AS mn, max(favs) AS mx FROM harvested),
 priced AS (SELECT h.*, CAST(trunc((favs - mn) / ((mx - mn + 1) / 2.0)) AS INTEGER) + 1 AS price
            FROM harvested h, rng),
@@ -53,21 +50,38 @@ def catalog_snapshot(spark, sf_dir):
     return cat.merge_items(priced_items(spark, sf_dir))
 
 
-@register("harvest_accepted", ["J3", "J5", "A4", "F4", "W3", "U1"], sql=f"""
+@register("harvest_accepted", ["J5", "A4", "F4", "U1"], sql=f"""
 WITH {HARVEST_SQL}
 SELECT id, category, title, favs, md5(description) AS description_md5,
        array_to_string(tags, '|') AS tags
 FROM harvested
 """)
 def harvest_accepted(spark, sf_dir):
-    """Photos kept by the harvest: favourites counted (first page of 50),
-    threshold 30, first 1000 per category in arrival order."""
+    """All photos that the harvest keeps: favourites counted, threshold 30."""
     h = harvested(spark, sf_dir)
     return h.select("id", "category", "title", "favs",
                     F.md5("description").alias("description_md5"),
                     F.array_join("tags", "|").alias("tags"))
 
 
+# A top-k report: what the harvester's two limits would take.
+FIRST_PAGE, FIRST_PHOTOS = 33, 20
+
+
+@register("harvest_first_photos", ["A4", "W3"], sql=f"""
+WITH {HARVEST_SQL}
+SELECT id, category, least(favs, {FIRST_PAGE}) AS favs FROM (
+  SELECT *, row_number() OVER (PARTITION BY category ORDER BY arrival, id) AS rn FROM harvested)
+WHERE rn <= {FIRST_PHOTOS}
+""")
+def harvest_first_photos(spark, sf_dir):
+    """The first photos of every category in arrival order, with the
+    favourites that one result page shows."""
+    counts = cat.favourite_counts(bindings.favourites(spark, sf_dir), "photo", page=FIRST_PAGE)
+    photos = bindings.harvest_candidates(spark, sf_dir)
+    return cat.harvest(photos, counts, max_images=FIRST_PHOTOS).select("id", "category", "favs")
+
+
 @register("catalog_prices", ["A3", "J7", "C8", "M16"], sql=f"""
 WITH {HARVEST_SQL}
 SELECT id, category, favs, price FROM priced
