@@ -10,9 +10,11 @@
 3. Confirm: a candidate whose signatures agree in enough places is confirmed on the
    full shingle sets; confirmed pairs are links.
 4. The rest: in regions of a tree with three or more members that are still in
-   several components, all pairs across components are candidates too.  Depth adapts
-   to the region: one with over ``REGION`` members is cut by its next two values,
-   and by two more if it still is.  Step 3 again.
+   several components, everything outside the largest component is compared with all
+   members, on the full shingle sets, by matrix products inside a task that sees a block
+   of at most ``BLOCK`` by ``BLOCK`` sets; only links come out.  Depth adapts to the
+   region: one with over ``REGION`` members is cut by its next two values, and by two
+   more if it still is.
 
 A pair at the similarity 0.8 shares four values in one of the 20 trees with
 probability 1 - (1 - 0.8 ** 4) ** 20 = 0.99997, and more above it; at the largest
@@ -43,7 +45,9 @@ SHINGLE = 5
 PERCENT = 80
 TREES, BASE = 20, 4
 VALUES = TREES * BASE
-REGION = 512
+#: Members of a region that is not cut further, and of a block of one that can't be.
+REGION, BLOCK = 4096, 2048
+_WIDTH = 4096
 #: Four standard deviations of the signature's estimate below the threshold.
 AGREE = int(VALUES * (0.8 - 4 * (0.8 * 0.2 / VALUES) ** 0.5))
 #: Ids that may be broadcast (8 bytes each); more are joined by a shuffle.
@@ -171,13 +175,21 @@ def _promising(pairs: DataFrame, reps: DataFrame) -> DataFrame:
     return near.filter(agree("sa", "sb")).select("a", "b").distinct()
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, size: int) -> DataFrame:
-    """The pairs with 100 * shared >= PERCENT * union, on the full shingle sets."""
+def _sets(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
+    """doc_id, set: the shingle hashes, as bytes, of the texts of the documents in ``ids``."""
 
     @F.pandas_udf("binary")
     def full(texts: pd.Series) -> pd.Series:
         return pd.Series([shingles(t, size).tobytes() for t in texts])
 
+    ids = kept(ids.distinct())
+    ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    return pick(docs, "doc_id", "text").join(ids, "doc_id", "left_semi").select("doc_id", full("text").alias("set")).distinct()
+
+
+def _confirmed(pairs: DataFrame, docs: DataFrame, size: int) -> DataFrame:
+    """The pairs with 100 * shared >= PERCENT * union, on the full shingle sets."""
+
     @F.pandas_udf("boolean")
     def linked(x: pd.Series, y: pd.Series) -> pd.Series:
         out = []
@@ -187,20 +199,52 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, size: int) -> DataFrame:
             out.append(both > 0 and 100 * both >= PERCENT * (len(u) + len(v) - both))
         return pd.Series(out, dtype=bool)
 
-    ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    ids = kept(ids)
-    ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    sets = pick(docs, "doc_id", "text").join(ids, "doc_id", "left_semi").select("doc_id", full("text").alias("set")).distinct()
+    sets = _sets(docs, pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))), size)
     a = sets.select(F.col("doc_id").alias("a"), F.col("set").alias("sa"))
     b = sets.select(F.col("doc_id").alias("b"), F.col("set").alias("sb"))
     return kept(pairs.join(a, "a").join(b, "b").filter(linked("sa", "sb")).select("a", "b").distinct())
 
 
-def _across(reps: DataFrame, comps: DataFrame, tested: DataFrame) -> DataFrame:
-    """Candidates of step 4: pairs of different components within one region, less the tested ones."""
-    r = reps.select("rep", "sig", "n_shingles").join(comps, F.col("rep") == F.col("node"), "left")
-    r = r.withColumn("comp", F.coalesce("component", "rep")).select("rep", "sig", "n_shingles", "comp")
-    order = _orders(r, "n_shingles", "comp")
+def shared_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """How many hashes each set of ``left`` shares with each of ``right``, by products of 0/1 matrices."""
+    sets = left + right
+    of = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    values, place, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    # Only hashes of two sets or more matter; number them, and go through them in columns of bounded width.
+    number = np.cumsum(counts > 1) - 1
+    of, place = of[counts[place] > 1], number[place[counts[place] > 1]]
+    out = np.zeros((len(left), len(right)), dtype=np.int64)
+    order = np.argsort(place, kind="stable")
+    of, place = of[order], place[order]
+    for start in range(0, int((counts > 1).sum()), _WIDTH):
+        lo, hi = np.searchsorted(place, (start, start + _WIDTH))
+        m = np.zeros((len(sets), _WIDTH), dtype=np.float32)
+        m[of[lo:hi], place[lo:hi] - start] = 1
+        out += (m[:len(left)] @ m[len(left):].T).astype(np.int64)
+    return out
+
+
+def _region_links(rows: list[tuple]) -> Iterator[tuple[int, int]]:
+    """Links across components among the rows (side, rep, comp, set) of one region or block
+    of it; of a left row's links into one component, one."""
+    left, right = [r for r in rows if r[0] != 1], [r for r in rows if r[0] != 0]
+    if not left or not right:
+        return
+    x, y = ([np.frombuffer(r[3], dtype=np.uint64) for r in side] for side in (left, right))
+    both = shared_counts(x, y)
+    union = np.array([len(s) for s in x])[:, None] + np.array([len(s) for s in y])[None, :] - both
+    comp = np.array([r[2] for r in right])
+    linked = (100 * both >= PERCENT * union) & (np.array([r[2] for r in left])[:, None] != comp[None, :])
+    for i in np.flatnonzero(linked.any(1)):
+        at = np.flatnonzero(linked[i])
+        for j in at[np.unique(comp[at], return_index=True)[1]]:
+            yield left[i][1], right[j][1]
+
+
+def _across(reps: DataFrame, comps: DataFrame, docs: DataFrame, size: int) -> DataFrame:
+    """Links of step 4: between different components within one region."""
+    r = reps.select("rep", "sig").join(comps, F.col("rep") == F.col("node"), "left")
+    order = _orders(r.select("rep", "sig", F.coalesce("component", "rep").alias("comp")), "comp")
 
     def split(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
         """Rows of regions with several components: those small enough, and the others."""
@@ -209,15 +253,45 @@ def _across(reps: DataFrame, comps: DataFrame, tested: DataFrame) -> DataFrame:
         return live.filter(F.col("n") <= REGION).drop("n"), live.filter(F.col("n") > REGION).drop("n")
 
     small, large = split(order)
-    deeper = large.withColumn("key", F.xxhash64("key", F.substring("rest", 1, 8)))
-    small2, large2 = split(deeper)
+    small2, large2 = split(large.withColumn("key", F.xxhash64("key", F.substring("rest", 1, 8))))
     last = large2.withColumn("key", F.xxhash64("key", F.substring("rest", 9, 8)))
-    names = ["key", "rep", "n_shingles", "comp"]
+    names = ["key", "rep", "comp"]
     region = small.select(names).unionByName(small2.select(names)).unionByName(last.select(names))
-    other = region.select("key", *[F.col(n).alias(f"o_{n}") for n in names[1:]])
-    near = F.least("n_shingles", "o_n_shingles") * 100 >= F.greatest("n_shingles", "o_n_shingles") * PERCENT
-    met = region.join(other, "key").filter((F.col("comp") < F.col("o_comp")) & near)
-    return _pairs(met.select(F.col("rep").alias("a"), F.col("o_rep").alias("b"))).join(tested, ["a", "b"], "left_anti")
+
+    # Each region's size and largest component; of regions with the same members, one.
+    parts = region.groupBy("key", "comp").agg(F.count("*").alias("n"), F.expr("bit_xor(xxhash64(rep))").alias("x"))
+    per = parts.groupBy("key").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.sum("n").alias("n"),
+                                   F.expr("bit_xor(x)").alias("x"))
+    per = per.groupBy("n", "x").agg(F.min_by(F.struct("key", "main"), "key").alias("one")).select("one.*", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    region = kept(region.join(per, "key"))
+
+    # Everything outside the largest component (left) against everything (right), in blocks.
+    own = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
+    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    outside = F.col("comp") != F.col("main")
+    whole = region.filter("blocks = 1").select(
+        *names, F.lit(0).alias("i"), F.lit(0).alias("j"), F.when(outside, 2).otherwise(1).alias("side"))
+    cut = region.filter("blocks > 1")
+    rows = whole.unionByName(cut.filter(outside).select(*names, own.alias("i"), every.alias("j"), F.lit(0).alias("side"))) \
+        .unionByName(cut.select(*names, every.alias("i"), own.alias("j"), F.lit(1).alias("side")))
+    sets = _sets(docs, region.select(F.col("rep").alias("doc_id")), size)
+    rows = rows.join(sets.withColumnRenamed("doc_id", "rep"), "rep")
+
+    def walk(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Region by region: their rows are together, in order."""
+        now, held = None, []
+        for p in parts:
+            found = []
+            for key, row in zip(zip(p["key"], p["i"], p["j"]), zip(p["side"], p["rep"], p["comp"], p["set"])):
+                if key != now:
+                    found += _region_links(held)
+                    now, held = key, []
+                held.append(row)
+            yield pd.DataFrame(found, columns=["a", "b"])
+        yield pd.DataFrame(list(_region_links(held)), columns=["a", "b"])
+
+    dealt = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    return _pairs(dealt.select("key", "i", "j", "side", "rep", "comp", "set").mapInPandas(walk, "a long, b long"))
 
 
 def links(docs: DataFrame, size: int = SHINGLE) -> tuple[DataFrame, DataFrame]:
@@ -234,10 +308,9 @@ def links(docs: DataFrame, size: int = SHINGLE) -> tuple[DataFrame, DataFrame]:
     several = known.join(ends.filter("a < z").drop("z"), "doc_id").select("a", F.col("rep").alias("b")).filter("a <> b").distinct()
     bare = rows.filter("set_key IS NULL").drop("rep").join(ends.select("doc_id", F.col("a").alias("rep")), "doc_id", "left")
     rows = rows.filter("set_key IS NOT NULL").unionByName(bare)
-    tested = kept(_neighbours(reps))
-    one = kept(_confirmed(kept(_promising(tested, reps)), docs, size).unionByName(several))
-    rest = kept(_promising(_across(reps, components(one), tested), reps))
-    return rows, one.unionByName(_confirmed(rest, docs, size))
+    near = kept(_promising(_neighbours(reps), reps))
+    one = kept(_confirmed(near, docs, size).unionByName(several))
+    return rows, one.unionByName(kept(_across(reps, components(one), docs, size)))
 
 
 def near_duplicates(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
