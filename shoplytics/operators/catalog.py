@@ -165,25 +165,32 @@ def with_price(items: DataFrame) -> DataFrame:
     return items.withColumn("price", (band.cast("int") + 1).cast("int"))
 
 
+def _newest(order_col: str, fields: list[str]) -> Column:
+    """What the newest row has the most of: its order, then its content's hash."""
+    return F.struct(order_col, F.md5(F.to_json(F.struct(*fields))))
+
+
 def merge_items(items: DataFrame, order_col: str = "ord") -> DataFrame:
     """One document per id.  Fields come from the newest
-    row (highest ``order_col``), categories are the sorted union of all rows.
-    A hash aggregate by id; ``max_by`` and ``collect_set`` combine partially
-    on the map side, and the set de-duplicates copies, so an id repeated
-    millions of times still carries one category list per distinct list."""
+    row (highest ``order_col``; of equally new ones, the one with the largest
+    content hash, so row order never decides), categories are the sorted union
+    of all rows.  ``max_by`` and ``collect_set`` combine partially on the map
+    side (a sort aggregate, as the state holds strings), and the set
+    de-duplicates copies, so an id repeated millions of times still carries one
+    category list per distinct list."""
     fields = [c for c in items.columns if c not in ("id", "categories", order_col)]
     merged = items.groupBy("id").agg(
-        F.max_by(F.struct(*fields), F.col(order_col)).alias("__doc"),
+        F.max_by(F.struct(*fields), _newest(order_col, fields)).alias("__doc"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_set("categories")))).alias("categories"))
     return merged.select("id", *[F.col(f"__doc.{c}").alias(c) for c in fields], "categories")
 
 
 def upsert(current: DataFrame, updates: DataFrame, order_col: str = "ord") -> DataFrame:
     """Whole-document overwrite by id, last write wins (``max_by`` on the
-    write order, a partial-aggregating hash aggregate: no per-id sort)."""
+    write order, ties by content hash; it combines on the map side)."""
     both = current.unionByName(updates, allowMissingColumns=True)
     fields = [c for c in both.columns if c not in ("id",)]
-    latest = both.groupBy("id").agg(F.max_by(F.struct(*fields), F.col(order_col)).alias("__doc"))
+    latest = both.groupBy("id").agg(F.max_by(F.struct(*fields), _newest(order_col, fields)).alias("__doc"))
     return latest.select("id", *[F.col(f"__doc.{c}").alias(c) for c in fields])
 
 

@@ -109,7 +109,7 @@ def catalog_merged(spark, sf_dir):
                     F.array_join("categories", "|").alias("categories"))
 
 
-@register("catalog_validation", ["F8", "F9", "F10"], sql=f"""
+@register("catalog_validation", ["F8", "F10"], sql=f"""
 WITH {HARVEST_SQL}
 SELECT id,
        array_to_string(list_filter([
@@ -158,14 +158,14 @@ FROM merged
 """)
 def catalog_from_files(spark, sf_dir):
     """The catalog build through files: harvest records written as JSON
-    lines per (search order, category), read back with the declared schema,
-    then item documents, prices and merge."""
+    lines per (search order, category), read back with the declared schema;
+    the position of a record's folder decides which copy is newest."""
     from shoplytics.sources import harvest as hv
     from shoplytics.streaming.runner import scratch
     dest = scratch(spark, "harvest-files")
     hv.write_harvest(cat.as_harvest_records(harvested(spark, sf_dir)), dest, by=("ord", "category"))
-    files = hv.read_harvest(spark, dest)
-    m = cat.merge_items(cat.with_price(cat.make_items(files, keep=("ord",))))
+    files = hv.read_harvest(spark, [f"{dest}/ord={i}" for i in (0, 1)])
+    m = cat.merge_items(cat.with_price(cat.make_items(files, keep=("file_pos",))), "file_pos")
     return m.select("id", "title", "complete_title", "favs", "price",
                     F.md5("description").alias("description_md5"),
                     F.array_join("tags", "|").alias("tags"),

@@ -13,9 +13,6 @@ from shoplytics.plans.search import _fold_sql
 from shoplytics.sources import bindings
 from shoplytics.sources.tables import table
 
-# Fixed value: shortest CAPTCHA word.
-MIN_WORD = 4
-
 _FUNNEL_SQL = f"""
 {_ACTIONS_SQL},
 ev AS (SELECT user_id AS shopper, ts, event_type FROM events),
@@ -76,7 +73,7 @@ co AS (SELECT {_CHECKOUT_ID_SQL.format(at='email_at')} AS checkout_id, n_tokens
        FROM t1 JOIN snap USING (shopper)),
 words AS (SELECT word, row_number() OVER (ORDER BY word) - 1 AS idx FROM (
             SELECT DISTINCT unnest(regexp_extract_all({_fold_sql('text')}, '{se.TOKEN_PATTERN}')) AS word
-            FROM benchmark) w WHERE length(word) >= {MIN_WORD}),
+            FROM benchmark) w),
 nw AS (SELECT count(*) AS n FROM words),
 draws AS (SELECT checkout_id, i, {hash48_sql('checkout_id', 'i')} % n AS idx
           FROM co, nw, LATERAL (SELECT unnest(range(1, n_tokens + 1)) AS i) s)
@@ -85,12 +82,11 @@ SELECT checkout_id, i, word FROM draws JOIN words USING (idx)
 def checkout_tokens(spark, sf_dir):
     """CAPTCHA tokens of every opened checkout: one word per price point of
     the basket at opening, drawn with replacement from the word list
-    (distinct words of ``benchmark`` texts, at least 4 letters)."""
+    (distinct words of ``benchmark`` texts)."""
     opened, snap, _ = _snapshots(spark, sf_dir)
     checkouts = opened.select("shopper", "checkout_id").join(snap, "shopper")
     words = (table(spark, sf_dir, "benchmark")
-             .select(F.explode(se.tokens("text")).alias("word"))
-             .filter(F.length("word") >= MIN_WORD))
+             .select(F.explode(se.tokens("text")).alias("word")))
     return co.sample_tokens(checkouts, co.word_table(words))
 
 
@@ -118,7 +114,7 @@ def checkout_basket_changes(spark, sf_dir):
                     (~F.col("items").eqNullSafe(F.col("cur_items"))).alias("changed"))
 
 
-@register("checkout_state_stream", ["ST9", "C11", "C15"])
+@register("checkout_state_stream", ["ST9", "C15"])
 def checkout_state_stream(spark, sf_dir):
     """The checkout state machine as a stateful stream per shopper (basket,
     in-flight checkout, completions, rejected requests)."""

@@ -38,7 +38,7 @@ FROM doc_terms
 def text_terms(spark, sf_dir):
     """Analyzer output per document: number of distinct index terms and a
     digest of the sorted term list."""
-    docs = se.spread(table(spark, sf_dir, "documents")).select(
+    docs = table(spark, sf_dir, "documents").select(
         "doc_id", se.analyze("text").alias("terms"))
     return docs.select("doc_id", F.size("terms").alias("n_terms"),
                        F.md5(F.array_join(F.array_sort("terms"), "|")).alias("terms_md5"))
@@ -75,7 +75,7 @@ def _query_terms(spark, sf_dir, analyze_query: bool = False):
 
 def _postings(spark, sf_dir):
     """Description and tag postings of the described items, one table."""
-    items = se.spread(bindings.described_items(spark, sf_dir))
+    items = bindings.described_items(spark, sf_dir)
     return (se.description_postings(items, keep=("id_num",))
             .unionByName(se.tag_postings(items, keep=("id_num",))))
 
@@ -184,7 +184,7 @@ q AS (SELECT DISTINCT unnest(regexp_extract_all({_fold_sql('text')}, '{se.TOKEN_
       FROM conversations WHERE role = 'user'),
 q2 AS (SELECT prefix, length(prefix) AS m,
               CASE WHEN length(prefix) < 3 THEN 0 WHEN length(prefix) <= 5 THEN 1 ELSE 2 END AS d
-       FROM q WHERE length(prefix) >= 3),
+       FROM q),
 t AS (SELECT DISTINCT p_name AS title, {_fold_sql('p_name')} AS ft FROM part WHERE p_name IS NOT NULL),
 pairs AS (
   SELECT prefix, title, least({", ".join(
@@ -196,11 +196,10 @@ pairs AS (
 
 
 def typed_prefixes(spark, sf_dir):
-    """What shoppers type into the search box: every word (3 letters or
-    more) of every user turn of ``conversations``."""
+    """What shoppers type into the search box: every word of every user
+    turn of ``conversations``."""
     conv = table(spark, sf_dir, "conversations").filter(F.col("role") == "user")
-    return (conv.select(F.explode(se.tokens("text")).alias("prefix"))
-                .filter(F.length("prefix") >= 3))
+    return conv.select(F.explode(se.tokens("text")).alias("prefix"))
 
 
 @register("suggest_titles", ["T9", "C3"], bench=True, sql=f"""

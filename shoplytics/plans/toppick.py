@@ -41,7 +41,7 @@ def _draws(spark, sf_dir):
     return tp.draw(tp.posterior_mean(t), SEED, F.col("item"))
 
 
-@register("toppick_tallies", ["A2", "A12", "F1", "F2"], sql=_TALLY_SQL)
+@register("toppick_tallies", ["A2", "A12"], sql=_TALLY_SQL)
 def toppick_tallies(spark, sf_dir):
     """Clicks and impressions per item over the whole event table."""
     return tp.tallies(flagged_events(spark, sf_dir))
@@ -81,8 +81,8 @@ def toppick_winner(spark, sf_dir):
     w = tp.winner(_draws(spark, sf_dir)).select("item", "theta")
     cat = bindings.catalog_items(spark, sf_dir).select(
         F.col("id").alias("item"), "title", "retail_price")
-    # The winner side is one row: a broadcast hash join, the catalog is scanned once.
-    return (F.broadcast(w).join(cat, "item", "left")
+    # The winner's id as a scalar goes to the catalog scan, which leaves one row on either side.
+    return (w.join(cat.filter(F.col("item") == w.select("item").scalar()), "item", "left")
             .select("item", F.round("theta", 6).alias("theta"), "title", "retail_price"))
 
 

@@ -10,7 +10,7 @@ catalogs are merged (``file_pos``).
 
 from __future__ import annotations
 
-import os
+import re
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,16 +23,33 @@ def read_harvest(spark: SparkSession, paths: list[str] | str) -> DataFrame:
     """All harvest files as one DataFrame with ``category`` and
     ``file_pos`` (position of the file's path in ``paths``)."""
     paths = [paths] if isinstance(paths, str) else list(paths)
-    df = spark.read.schema(HARVEST_RECORD).json(paths)
+    # Listed recursively, without partition discovery: that allows one root only.
+    df = (spark.read.schema(HARVEST_RECORD).option("recursiveFileLookup", "true").json(paths))
     fname = F.col("_metadata.file_path")
-    if "category" not in df.columns:
-        df = df.withColumn("category", basename_without_extension(fname))
-    # Position of each given path, matched on the file or folder it names.
-    pos = F.lit(None).cast("int")
-    for i, p in enumerate(paths):
-        stem = os.path.basename(os.path.normpath(p))
-        pos = F.when(fname.contains(stem) & pos.isNull(), F.lit(i)).otherwise(pos)
-    return df.withColumn("file_pos", F.coalesce(pos, F.lit(len(paths))))
+    named = F.regexp_extract(fname, "/category=([^/]+)/", 1)  # encoded as a path, and as a folder name
+    df = df.withColumn("category", F.when(named != "", _decoded(_decoded(named)))
+                       .otherwise(basename_without_extension(fname)))
+    # The given file, or the folder above, that a row's file stands for.
+    where = F.map_from_arrays(F.array(*[F.lit(_qualified(spark, p)) for p in paths]),
+                              F.array(*[F.lit(i) for i in range(len(paths))]))
+    parts = F.split(F.regexp_replace(fname, "^([a-z0-9]+):/+", "$1:/"), "/")
+    above = F.transform(F.sequence(F.size(parts), F.lit(1), F.lit(-1)),
+                        lambda n: F.array_join(F.slice(parts, 1, n), "/"))
+    found = F.array_compact(F.transform(above, lambda a: F.try_element_at(where, a)))
+    return df.withColumn("file_pos", F.get(found, F.lit(0)))
+
+
+def _decoded(name):
+    plain = F.replace(name, F.lit("+"), F.lit("%2B"))
+    return F.coalesce(F.try_url_decode(plain), name)
+
+
+def _qualified(spark: SparkSession, path: str) -> str:
+    """The full name of a path, as Spark names files (one slash after the scheme)."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    full = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(p)
+    return re.sub("^([a-z0-9]+):/+", r"\1:/", full.toUri().toString())
 
 
 def write_harvest(photos: DataFrame, dest: str, by: tuple[str, ...] = ("category",)) -> None:

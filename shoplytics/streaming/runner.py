@@ -51,8 +51,7 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 
 def run_to_table(source: DataFrame, job: Job, keys: Sequence[str], out_dir: str,
-                 checkpoint: str, mode: str = "update",
-                 max_batches_wait: float | None = None) -> DataFrame:
+                 checkpoint: str, mode: str = "update") -> DataFrame:
     """Run ``job`` over everything available, writing each micro-batch's
     updated rows to ``out_dir/batch=<id>`` (overwrite, so a replayed batch is
     idempotent), then return the latest row per key as a batch DataFrame."""
@@ -65,8 +64,10 @@ def run_to_table(source: DataFrame, job: Job, keys: Sequence[str], out_dir: str,
     q = (out.writeStream.outputMode(mode)
          .foreachBatch(sink).option("checkpointLocation", checkpoint)
          .trigger(availableNow=True).start())
-    q.awaitTermination(max_batches_wait)
+    q.awaitTermination()
     if not path_exists(spark, out_dir):
+        if any(p.numInputRows for p in q.recentProgress):
+            raise RuntimeError(f"the stream read rows, but no batch wrote to {out_dir}")
         # No micro-batch ran (empty source): an empty result, not an error.
         return spark.createDataFrame([], out.schema)
     return latest_per_key(spark.read.parquet(out_dir), keys)
@@ -82,7 +83,8 @@ def path_exists(spark: SparkSession, path: str) -> bool:
 
 def latest_per_key(updates: DataFrame, keys: Sequence[str], batch_col: str = "batch") -> DataFrame:
     """Update-mode output holds one row per changed key per batch; keep the
-    newest.  A hash aggregate on the keys (``max_by`` of the row), not a sort."""
+    newest.  ``max_by`` of the row combines on the map side; over string columns
+    Spark plans it as a sort aggregate."""
     cols = [c for c in updates.columns if c not in keys and c != batch_col]
     latest = updates.groupBy(*keys).agg(
         F.max_by(F.struct(*cols), F.col(batch_col)).alias("__row"))

@@ -14,10 +14,14 @@ from shoplytics.functions.times import to_instant
 
 from shoplytics.operators import traffic
 from shoplytics.sources import archive, bindings
-from shoplytics.sources.tables import table
+from shoplytics.sources.tables import table, table_path
 from shoplytics.streaming import runner
 
 
+# Bounds what one micro-batch of a stream over stored files holds.
+FILES_PER_BATCH = 64
+
+
 def per_minute(df: DataFrame, ts_col: str = "ts", type_col: str = "eventType") -> DataFrame:
     """ST1 + ST2 + A1: watermark, tumbling 1-minute window, count per type.
     Streaming watermarks need TIMESTAMP (not TIMESTAMP_NTZ): cast under UTC."""
@@ -28,12 +32,14 @@ def per_minute(df: DataFrame, ts_col: str = "ts", type_col: str = "eventType") -
 
 
 def event_table_stream(spark: SparkSession, sf_dir: str,
-                       max_files_per_trigger: int | None = None) -> DataFrame:
-    """The events table read as a file stream (new files = new batches)."""
+                       max_files_per_trigger: int = FILES_PER_BATCH) -> DataFrame:
+    """The events table read as a file stream (new files = new batches).
+    The table may be one file or a folder of files."""
     bindings.use_utc(spark)
+    # A pattern that matches this one name: a stream takes a folder or a pattern, no file.
+    path = table_path(sf_dir, "events")[:-1] + "[t]"
     schema = table(spark, sf_dir, "events").schema
-    return archive.stream_archive(spark, sf_dir, schema, glob="events.parquet",
-                                  max_files_per_trigger=max_files_per_trigger)
+    return archive.stream_archive(spark, path, schema, max_files_per_trigger=max_files_per_trigger)
 
 
 def events_per_minute_stream(spark: SparkSession, sf_dir: str) -> DataFrame:

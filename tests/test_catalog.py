@@ -126,7 +126,9 @@ def test_with_info_left_join(spark):
 def test_harvest_threshold_first_page_and_repeats(spark):
     favs = spark.createDataFrame([("a",)] * 60 + [("b",)] * 30 + [("c",)] * 29, "photo string")
     counts = {r["id"]: r["favs"] for r in cat.favourite_counts(favs, "photo").collect()}
-    assert counts == {"a": 50, "b": 30, "c": 29}             # first page of 50 only
+    assert counts == {"a": 60, "b": 30, "c": 29}
+    paged = {r["id"]: r["favs"] for r in cat.favourite_counts(favs, "photo", page=50).collect()}
+    assert paged == {"a": 50, "b": 30, "c": 29}              # as one page of 50 shows them
     photos = spark.createDataFrame([("a", "cars", 1), ("b", "cars", 2), ("c", "cars", 3),
                                     ("a", "cars", 4), ("d", "cars", 5)],
                                    "id string, category string, arrival int")
@@ -148,3 +150,15 @@ def test_invalid_items(spark):
     assert v["1234567"] == (200, [])
     lax = {r["id"]: r["status"] for r in cat.validate(df).collect()}
     assert lax["12a456"] == 422 and lax["1234567"] == 200
+
+
+def test_merge_and_upsert_ties_do_not_depend_on_row_order(spark):
+    schema = "id string, title string, categories array<string>, ord int"
+    data = [("1", "a", ["x"], 0), ("1", "b", ["y"], 0), ("2", "c", ["x"], 0), ("2", "c", ["z"], 1)]
+    seen = set()
+    for rows in (data, data[::-1]):
+        df = spark.createDataFrame(rows, schema)
+        merged = sorted((r.id, r.title, tuple(r.categories)) for r in cat.merge_items(df).collect())
+        latest = sorted((r.id, r.title) for r in cat.upsert(df.limit(0), df).collect())
+        seen.add((tuple(merged), tuple(latest)))
+    assert len(seen) == 1

@@ -91,3 +91,14 @@ def test_kafka_writer_builds_without_starting(spark, tmp_path):
     src = spark.readStream.schema("eventId string, eventType string").json(str(tmp_path))
     w = kafka.write_stream(src, "localhost:1", str(tmp_path / "ckpt"))
     assert isinstance(w, DataStreamWriter)          # started only where a broker exists
+
+
+def test_harvest_file_positions_follow_the_given_paths(spark, tmp_path):
+    """Files of one base name, or of overlapping names, keep their own positions."""
+    from shoplytics.sources import harvest as hv
+    paths = [tmp_path / "a" / "boats.json", tmp_path / "b" / "boats.json", tmp_path / "a" / "oldboats.json"]
+    for i, p in enumerate(paths):
+        p.parent.mkdir(exist_ok=True)
+        p.write_text('{"id": "%d", "title": "t%d"}\n' % (i, i))
+    got = hv.read_harvest(spark, [str(p) for p in paths]).select("id", "category", "file_pos").collect()
+    assert sorted((r.id, r.category, r.file_pos) for r in got) == [("0", "boats", 0), ("1", "boats", 1), ("2", "oldboats", 2)]

@@ -92,15 +92,13 @@ def test_refresh_default_never_short(spark, kept_sets):
         assert len(items) == len(set(items)) == max(tp.NUM_ITEMS, len(ks))
 
 
-def test_large_shape_paths(spark):
-    """JVM Marsaglia-Tsang and the optional pandas UDF (X3) both give the
-    Beta moments; the JVM path equals its plain-Python twin."""
+def test_draws_of_small_and_large_shapes(spark):
+    """Draws have the Beta moments at every shape, and equal their plain-Python twin."""
     n = 3000
-    a, b = 6000, 9000
-    mean, var = a / (a + b), a * b / ((a + b) ** 2 * (a + b + 1))
-    for large in ("jvm", "pandas"):
+    for a, b in ((1, 1), (2, 9), (6000, 9000)):
+        mean, var = a / (a + b), a * b / ((a + b) ** 2 * (a + b + 1))
         df = spark.range(n).select(
-            R.beta(F.lit(1), F.col("id"), F.lit(a), F.lit(b), large=large).alias("x"))
+            R.beta(F.lit(1), F.col("id"), F.lit(a), F.lit(b)).alias("x"))
         x = np.array([r[0] for r in df.collect()])
         assert abs(x.mean() - mean) < 4 * np.sqrt(var / n)
         assert abs(x.var() - var) / var < 0.15

@@ -122,3 +122,14 @@ def test_stream_equals_batch_for_any_split(spark, tmp_path_factory, steps, cuts)
     batch = traffic.events_per_minute(spark.createDataFrame(events, TIMED_EVENT))
     want = sorted((r.eventType, r.window_start, r["count"]) for r in batch.collect())
     assert got == want
+
+
+def test_stream_of_a_table_in_many_files(spark, tmp_path):
+    """One file or a folder of files: the stream sees the same events."""
+    from shoplytics.streaming import traffic as st
+    sf = "/root/testdata/sf0.001"
+    spark.read.parquet(f"{sf}/events.parquet").repartition(5).write.parquet(str(tmp_path / "events.parquet"))
+    key = ["window_start", "event_type"]
+    one, many = (sorted(map(tuple, st.events_per_minute_stream(spark, d).select(*key, "count").collect()))
+                 for d in (sf, str(tmp_path)))
+    assert one == many and sum(r[2] for r in one) == spark.read.parquet(f"{sf}/events.parquet").count()
