@@ -11,20 +11,20 @@ from shoplytics.sources.schemas import SHOP_EVENT, ddl
 
 CONFIG = """
 categories:
-  - flowers:
+  - bridges:
       keywords:
-        - flowers
-        - garden
-  - animals:
+        - viaduct
+        - arch
+  - teapots:
       keywords:
-        - wildlife
+        - porcelain
 """
 
 
 def test_category_config(spark):
     rows = hv.category_config(spark, CONFIG).orderBy("category_pos", "keyword_pos").collect()
     assert [(r["category"], r["keyword"]) for r in rows] == \
-        [("flowers", "flowers"), ("flowers", "garden"), ("animals", "wildlife")]
+        [("bridges", "viaduct"), ("bridges", "arch"), ("teapots", "porcelain")]
 
 
 def test_harvest_files_category_and_order(spark, tmp_path):
