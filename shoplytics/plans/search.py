@@ -99,13 +99,12 @@ def search_first_page(spark, sf_dir):
     """Every user turn run as a catalog search over item descriptions and
     tags: hit total and the first page (20 items by id); no hits = no row.
     Totals come from OR-ed posting bitmaps and the page from each term's
-    first 20 items per id bucket, so no (query, item) pair set is built."""
+    first 20 items, so no (query, item) pair set is built."""
     keys = ["conv_id", "turn"]
     qt = _query_terms(spark, sf_dir)
     # Only posting lists of terms some query uses (kept whole: exact).
-    postings = _postings(spark, sf_dir).join(qt.select("term").distinct(), "term",
-                                             "left_semi")
-    index = se.term_index(postings, se.DEFAULT_PAGE_SIZE)
+    postings = se.used_postings(_postings(spark, sf_dir), qt)
+    index = se.term_index(postings, se.DEFAULT_PAGE_SIZE).checkpoint()
     res = se.search_results(qt, keys, index, page=0, size=se.DEFAULT_PAGE_SIZE)
     return res.select(*keys, "total", F.size("ids").alias("size"),
                       F.array_join("ids", "|").alias("ids"))
@@ -121,7 +120,7 @@ r AS (SELECT *, row_number() OVER (PARTITION BY category ORDER BY id) AS rank,
 
 def category_listing(spark, sf_dir):
     snap = catalog_snapshot(spark, sf_dir)
-    members = se.category_members(snap).join(snap.select("id", "title"), "id")
+    members = se.category_members(snap, keep=("title",))
     return se.with_page(se.ranked(members, ["category"]), se.WEB_PAGE_SIZE)
 
 
@@ -234,7 +233,7 @@ def search_first_page_indexed(spark, sf_dir):
     path = scratch(spark, "term-index")
     se.build_index(_postings(spark, sf_dir), path, se.DEFAULT_PAGE_SIZE)
     qt = _query_terms(spark, sf_dir)
-    res = se.search_stored(qt, keys, se.read_index(spark, path, qt),
-                           page=0, size=se.DEFAULT_PAGE_SIZE)
+    res = se.search_results(qt, keys, se.read_index(spark, path, qt),
+                            page=0, size=se.DEFAULT_PAGE_SIZE)
     return res.select(*keys, "total", F.size("ids").alias("size"),
                       F.array_join("ids", "|").alias("ids"))
