@@ -11,14 +11,14 @@ from shoplytics.sources import bindings
 
 HARVEST_SQL = f"""
 photos AS (
-  SELECT CAST(p_partkey AS VARCHAR) AS id, p_name AS title, lower(p_type) AS category,
+  SELECT {bindings.photo_id_sql('p_partkey')} AS id, p_name AS title, lower(p_type) AS category,
          NULL::VARCHAR AS description, [p_brand] AS tags, 0 AS ord, p_partkey AS arrival
   FROM part
   UNION ALL
-  SELECT CAST(d.doc_id AS VARCHAR), p.p_name, d.lang, d.text, [d.source], 1, d.doc_id
+  SELECT {bindings.photo_id_sql('d.doc_id')}, p.p_name, d.lang, d.text, [d.source], 1, d.doc_id
   FROM documents d JOIN part p ON p.p_partkey = d.doc_id
 ),
-favs AS (SELECT CAST(l_partkey AS VARCHAR) AS id, count(*) AS favs
+favs AS (SELECT {bindings.photo_id_sql('l_partkey')} AS id, count(*) AS favs
          FROM lineitem GROUP BY 1),
 harvested AS (SELECT ph.*, coalesce(f.favs, 0)::INTEGER AS favs
         FROM photos ph LEFT JOIN favs f USING (id)

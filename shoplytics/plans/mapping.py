@@ -8,7 +8,6 @@ from shoplytics.functions import ids, urls
 from shoplytics.operators import mapping
 from shoplytics.plans.registry import register
 from shoplytics.sources import bindings
-from shoplytics.sources.tables import table
 
 # Test-data route names standing in for the shop's routes.
 PAGE_ROUTES = {"category": "en", "product": "fr", "download": "de"}
@@ -29,7 +28,7 @@ WITH u AS (
          CASE WHEN strpos(url, '#') > 0 THEN substr(url, strpos(url, '#') + 1) END AS fragment,
          CASE WHEN regexp_matches(url, '^[^#]*[?]')
               THEN regexp_extract(url, '^[^?#]*[?]([^#]*)', 1) END AS query
-  FROM pages
+  FROM ({bindings.locations_sql()})
 ), r AS (
   SELECT *, path <> '/' AND regexp_matches(path, '{_ROUTE}') AS routed,
          {_g(1)} AS g1, {_g(2)} AS g2, {_g(3)} AS g3,
@@ -85,18 +84,18 @@ def map_click_events(spark, sf_dir):
         "eventId", "partyId", "eventType", "pageType", "productId", "source")
 
 
-@register("key_shape_checks", ["F10", "C4"], sql="""
+@register("key_shape_checks", ["F10", "C4"], sql=f"""
 SELECT page_id,
-       regexp_matches(md5(CAST(page_id AS VARCHAR)), '^[a-f0-9]{32}$') AS shopper_ok,
+       regexp_matches(md5(CAST(page_id AS VARCHAR)), '^[a-f0-9]{{32}}$') AS shopper_ok,
        regexp_matches(md5(CAST(page_id AS VARCHAR)) || CAST(page_id AS VARCHAR),
-                      '^[a-f0-9]{32,60}$') AS checkout_ok,
-       regexp_matches(regexp_extract(url, '/([^/?#]+)/?([?#].*)?$', 1), '^[0-9]{6,15}$') AS product_route_ok,
+                      '^[a-f0-9]{{32,60}}$') AS checkout_ok,
+       regexp_matches(regexp_extract(url, '/([^/?#]+)/?([?#].*)?$', 1), '^[0-9]{{6,15}}$') AS product_route_ok,
        regexp_matches(regexp_extract(url, '^[a-z]+://[^/]+/([^/?#]*)', 1), '^[a-z]+$') AS category_route_ok
-FROM pages
+FROM ({bindings.locations_sql()})
 """)
 def key_shape_checks(spark, sf_dir):
     """Shopper / checkout id shapes and product / category route shapes."""
-    pages = table(spark, sf_dir, "pages")
+    pages = bindings.page_locations(spark, sf_dir).withColumnRenamed("location", "url")
     shopper = F.md5(F.col("page_id").cast("string"))
     return pages.select(
         "page_id",

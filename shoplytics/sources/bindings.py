@@ -13,7 +13,9 @@ Fixed values (the binding of test columns to shop notions):
 * top-pick click / impression: event_type ``click`` / ``view``
 * basket add / remove / checkout email / completed:
   ``click`` / ``error`` / ``signup`` / ``purchase``
-* page location: ``pages.url``
+* page location: ``pages.url``, rewritten by page_id mod 7 so that every kind of
+  route occurs (``page_locations``)
+* photo id: the part key, of even keys with leading zeros (``photo_id``)
 * catalog item: ``part``: p_partkey -> id, p_name -> title, p_type -> category,
   p_brand -> tag, 30 + p_size -> favs
 * item description: ``documents.text``; lang -> category, source -> tag
@@ -35,6 +37,7 @@ BASKET_REMOVE = "error"
 CHECKOUT_EMAIL = "signup"
 CHECKOUT_DONE = "purchase"
 FAVS_OFFSET = 30
+PHOTO_DIGITS = 15
 
 
 def use_utc(spark: SparkSession) -> None:
@@ -85,9 +88,32 @@ def described_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# How page locations are derived from the test table's urls, by
+# page_id mod 7: (pattern, replacement); other remainders keep the url.
+LOCATION_EDITS = {
+    1: (r"^([a-z]+://[^/?#]+)/[^?#]*", r"$1/"),                    # the home page
+    2: (r"^([a-z]+://[^/?#]+/[a-z]+/[^/?#]+)", r"$1/3"),           # a page number
+    3: (r"^([^#]*)(#.*)?$", r"$1#/?source=top_pick&n=1"),          # a source in the fragment
+    4: (r"^([a-z]+://[^/?#]+)/[a-z]+/", r"$1/about-"),             # no route
+    5: (r"^([a-z]+://[^/?#]+/[a-z]+)/([0-9]+)", r"$1/1000$2"),     # an id of a product's length
+    6: (r"^([a-z]+://[^/?#]+/[a-z]+/[^/?#]+)", r"$1/x"),           # a page that is no number
+}
+
+
 def page_locations(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
-    return pages.select("page_id", F.col("url").alias("location"))
+    kind, location = F.pmod("page_id", F.lit(7)), F.col("url")
+    for k, (pattern, new) in LOCATION_EDITS.items():
+        location = F.when(kind == k, F.regexp_replace("url", pattern, new)).otherwise(location)
+    return pages.select("page_id", location.alias("location"))
+
+
+def locations_sql() -> str:
+    """The same for the oracles: page_id, url."""
+    edits = " ".join(
+        f"WHEN {k} THEN regexp_replace(url, '{pattern}', '{new.replace('$', chr(92))}')"
+        for k, (pattern, new) in LOCATION_EDITS.items())
+    return f"SELECT page_id, CASE ((page_id % 7) + 7) % 7 {edits} ELSE url END AS url FROM pages"
 
 
 # Event types of the test table renamed to the shop's collector
@@ -126,6 +152,18 @@ def raw_shop_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def photo_id(key: str):
+    """A photo's id: the part key, of even keys with zeros before it, so that ids of
+    both a valid and an invalid shape occur."""
+    return F.when(F.pmod(key, F.lit(2)) == 0, F.lpad(F.col(key).cast("string"), PHOTO_DIGITS, "0")) \
+            .otherwise(F.col(key).cast("string"))
+
+
+def photo_id_sql(key: str) -> str:
+    return (f"CASE WHEN {key} % 2 = 0 THEN lpad(CAST({key} AS VARCHAR), {PHOTO_DIGITS}, '0') "
+            f"ELSE CAST({key} AS VARCHAR) END")
+
+
 def harvest_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Candidate photos from two keyword searches (U1: results chained, no
     dedup): parts listed under their type, and parts that have a description
@@ -134,11 +172,11 @@ def harvest_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = table(spark, sf_dir, "part")
     docs = table(spark, sf_dir, "documents")
     by_type = part.select(
-        F.col("p_partkey").cast("string").alias("id"), F.col("p_name").alias("title"),
+        photo_id("p_partkey").alias("id"), F.col("p_name").alias("title"),
         F.lower("p_type").alias("category"), F.lit(None).cast("string").alias("description"),
         F.array("p_brand").alias("tags"), F.lit(0).alias("ord"), F.col("p_partkey").alias("arrival"))
     by_lang = docs.join(part, docs.doc_id == part.p_partkey).select(
-        F.col("doc_id").cast("string").alias("id"), F.col("p_name").alias("title"),
+        photo_id("doc_id").alias("id"), F.col("p_name").alias("title"),
         F.col("lang").alias("category"), F.col("text").alias("description"),
         F.array("source").alias("tags"), F.lit(1).alias("ord"), F.col("doc_id").alias("arrival"))
     return by_type.unionByName(by_lang)
@@ -146,7 +184,7 @@ def harvest_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def favourites(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Favourite marks: one per order line of the part."""
-    return table(spark, sf_dir, "lineitem").select(F.col("l_partkey").cast("string").alias("photo"))
+    return table(spark, sf_dir, "lineitem").select(photo_id("l_partkey").alias("photo"))
 
 
 def photo_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
