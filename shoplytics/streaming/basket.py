@@ -30,12 +30,14 @@ _COLS = ["item", "action", "ts_us", "event_id"]
 
 
 def fold_basket(key, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Merge this batch's basket actions of one shopper into its state."""
-    prior = pd.DataFrame(list(state.get[0]) if state.exists else [], columns=_COLS)
-    parts = [prior] + [c[_COLS] for c in chunks]
-    allrows = pd.concat(parts, ignore_index=True)
-    latest = (allrows.sort_values(["ts_us", "event_id"], kind="stable")
-                     .drop_duplicates("item", keep="last"))
+    """Merge this batch's basket actions of one shopper into its state, Arrow
+    batch by Arrow batch: only the last action per item is held, however many
+    actions the trigger brings."""
+    latest = pd.DataFrame(list(state.get[0]) if state.exists else [], columns=_COLS)
+    for chunk in chunks:
+        latest = (pd.concat([latest, chunk[_COLS]], ignore_index=True)
+                    .sort_values(["ts_us", "event_id"], kind="stable")
+                    .drop_duplicates("item", keep="last"))
     state.update(([tuple(r) for r in latest[_COLS].itertuples(index=False, name=None)],))
     members = sorted(latest.loc[latest["action"] == bk.ADD, "item"])
     yield pd.DataFrame({"shopper": [key[0]], "items": ["|".join(members)],

@@ -82,10 +82,11 @@ class _Shopper:
             if price is None or pd.isna(price):
                 self.rejected += 1
             else:
-                self.basket = {**(self.basket or {}), item: int(price)}
+                self.basket = {} if self.basket is None else self.basket
+                self.basket[item] = int(price)
         elif kind == REMOVE:
             if self.basket is not None and item in self.basket:
-                self.basket = {k: v for k, v in self.basket.items() if k != item}
+                del self.basket[item]
             else:
                 self.rejected += 1
         elif kind == EMAIL:

@@ -228,8 +228,9 @@ def serve(state: DataFrame, catalog: DataFrame, seed: int, request: str = "serve
     item without a document still wins, with NULL fields)."""
     d = tp.draw(state, seed, F.concat_ws(":", F.lit(request), F.col("item")))
     w = tp.winner(d).select("item", "theta")
-    # The winner is at most one row (limit 1): broadcasting it is bounded.
-    return F.broadcast(w).join(catalog.withColumnRenamed("id", "item"), "item", "left")
+    # The winner's id as a scalar goes to the catalog scan, which leaves one row on either side.
+    item = catalog.withColumnRenamed("id", "item")
+    return w.join(item.filter(F.col("item") == w.select("item").scalar()), "item", "left")
 
 
 def flagged_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
