@@ -12,13 +12,12 @@
 4. The rest: in regions of a tree with three or more members that are still in
    several components, everything outside the largest component is compared with all
    members, on the full shingle sets, by matrix products inside a task that sees a block
-   of at most ``BLOCK`` by ``BLOCK`` sets; only links come out.  Depth adapts to the
-   region: one with over ``REGION`` members is cut by its next two values, and by two
-   more if it still is.
+   of about ``BLOCK`` by ``BLOCK`` sets; only links come out.  A region of any size is
+   compared whole: one of more than ``BLOCK`` members in several blocks.
 
 A pair at the similarity 0.8 shares four values in one of the 20 trees with
-probability 1 - (1 - 0.8 ** 4) ** 20 = 0.99997, and more above it; at the largest
-depth, 0.975.  Copies are never expanded into pairs: rows are documents with their
+probability 1 - (1 - 0.8 ** 4) ** 20 = 0.99997, and more above it, whatever the size of
+the region.  Copies are never expanded into pairs: rows are documents with their
 component, links are between classes.
 
 Defined cases: null text or one without words has no shingles and no links; a text
@@ -35,7 +34,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shoplytics.llm.common import kept, partitions, pick, plain
@@ -45,8 +44,8 @@ SHINGLE = 5
 PERCENT = 80
 TREES, BASE = 20, 4
 VALUES = TREES * BASE
-#: Members of a region that is not cut further, and of a block of one that can't be.
-REGION, BLOCK = 4096, 2048
+#: Members of a region that are compared in one block.
+BLOCK = 2048
 _WIDTH = 4096
 #: Four standard deviations of the signature's estimate below the threshold.
 AGREE = int(VALUES * (0.8 - 4 * (0.8 * 0.2 / VALUES) ** 0.5))
@@ -246,34 +245,32 @@ def _across(reps: DataFrame, comps: DataFrame, docs: DataFrame, size: int) -> Da
     r = reps.select("rep", "sig").join(comps, F.col("rep") == F.col("node"), "left")
     order = _orders(r.select("rep", "sig", F.coalesce("component", "rep").alias("comp")), "comp")
 
-    def split(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """Rows of regions with several components: those small enough, and the others."""
-        seen = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-        live = kept(rows.join(seen.filter("n > 2 AND lo < hi").select("key", "n"), "key"))
-        return live.filter(F.col("n") <= REGION).drop("n"), live.filter(F.col("n") > REGION).drop("n")
-
-    small, large = split(order)
-    small2, large2 = split(large.withColumn("key", F.xxhash64("key", F.substring("rest", 1, 8))))
-    last = large2.withColumn("key", F.xxhash64("key", F.substring("rest", 9, 8)))
+    seen = order.groupBy("key").agg(F.count("*").alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
     names = ["key", "rep", "comp"]
-    region = small.select(names).unionByName(small2.select(names)).unionByName(last.select(names))
+    region = kept(order.select(names).join(seen.filter("n > 2 AND lo < hi").select("key"), "key"))
 
-    # Each region's size and largest component; of regions with the same members, one.
+    # Each region's largest component, and its number of blocks outside that one and in all; of regions
+    # with the same members, one.
     parts = region.groupBy("key", "comp").agg(F.count("*").alias("n"), F.expr("bit_xor(xxhash64(rep))").alias("x"))
-    per = parts.groupBy("key").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.sum("n").alias("n"),
-                                   F.expr("bit_xor(x)").alias("x"))
-    per = per.groupBy("n", "x").agg(F.min_by(F.struct("key", "main"), "key").alias("one")).select("one.*", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    per = parts.groupBy("key").agg(F.max(F.struct("n", "comp")).alias("top"), F.sum("n").alias("n"), F.expr("bit_xor(x)").alias("x"))
+    per = per.groupBy("n", "x").agg(F.min_by(F.struct("key", "top"), "key").alias("one")).select(
+        "one.key", F.col("one.top.comp").alias("main"), F.ceil((F.col("n") - F.col("one.top.n")) / BLOCK).cast("int").alias("lefts"),
+        F.ceil(F.col("n") / BLOCK).cast("int").alias("rights"))
     region = kept(region.join(per, "key"))
 
     # Everything outside the largest component (left) against everything (right), in blocks.
-    own = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
-    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    def own(blocks: str) -> Column:
+        return F.pmod(F.xxhash64("rep"), F.col(blocks)).cast("int")
+
+    def every(blocks: str) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.col(blocks) - 1))
+
     outside = F.col("comp") != F.col("main")
-    whole = region.filter("blocks = 1").select(
+    whole = region.filter("rights = 1").select(
         *names, F.lit(0).alias("i"), F.lit(0).alias("j"), F.when(outside, 2).otherwise(1).alias("side"))
-    cut = region.filter("blocks > 1")
-    rows = whole.unionByName(cut.filter(outside).select(*names, own.alias("i"), every.alias("j"), F.lit(0).alias("side"))) \
-        .unionByName(cut.select(*names, every.alias("i"), own.alias("j"), F.lit(1).alias("side")))
+    cut = region.filter("rights > 1")
+    rows = whole.unionByName(cut.filter(outside).select(*names, own("lefts").alias("i"), every("rights").alias("j"), F.lit(0).alias("side"))) \
+        .unionByName(cut.select(*names, every("lefts").alias("i"), own("rights").alias("j"), F.lit(1).alias("side")))
     sets = _sets(docs, region.select(F.col("rep").alias("doc_id")), size)
     rows = rows.join(sets.withColumnRenamed("doc_id", "rep"), "rep")
 

@@ -79,6 +79,21 @@ def test_near_duplicates_in_dense_regions(spark, monkeypatch):
     check_neardup(docs(spark, made), 4)
 
 
+def test_near_duplicates_in_a_region_of_many_blocks(spark, monkeypatch):
+    """Texts that share the first four values only: a region of any size is compared whole."""
+    monkeypatch.setattr(neardup, "REGION", 4, raising=False)
+    monkeypatch.setattr(neardup, "BLOCK", 3)
+    rng = np.random.default_rng(5)
+    texts = [" ".join(f"w{i}x{j}" for j in range(60)) for i in range(20)]
+    texts += [t.rsplit(" ", 3)[0] for t in texts]
+    sigs = rng.integers(1, 2**32, (len(texts), neardup.VALUES), dtype=np.uint32)
+    sigs[:, :neardup.BASE] = 0
+    reps = spark.createDataFrame([(i, bytearray(s.tobytes()), 1) for i, s in enumerate(sigs)], "rep long, sig binary, n_shingles long")
+    alone = spark.createDataFrame([], "node long, component long")
+    got = neardup._across(reps, alone, docs(spark, list(enumerate(texts))), 1)
+    assert sorted((r.a, r.b) for r in got.collect()) == [(i, i + 20) for i in range(20)]
+
+
 def test_near_duplicates_cases(spark):
     made = [(5, "one two"), (4, "One  TWO\n"), (6, None), (7, ""), (8, " \t"), (None, "one two"), (9, "ÉTÉ a b c d"), (10, "été a b c d"),
             (3, "x " * 50_000), (2, "x " * 50_000), (11, "p q r s t u"), (11, "one two"), (11, None), (5, "one two")]
