@@ -3,10 +3,11 @@
 Kinds: email, ip, card, phone (the base kinds) and iban.  A pattern proposes the
 leftmost non-overlapping spans of its kind; a span that fails its check (octets,
 Luhn, number of digits, mod 97) is dropped, and its characters are not tried
-again.  Every span that stands has a score: a base score of its kind, raised when
-a context word of the kind stands within ``CONTEXT`` characters on either side,
-lowered when a contrary word does.  The score orders and filters at the caller's
-wish (``min_score``); the base spans are all returned by default.
+again; an iban alone may be cut at a blank (see ``_ibans``).  Every span that stands
+has a score: a base score of its kind, raised when a context word of the kind stands
+within ``CONTEXT`` characters on either side, lowered when a contrary word does.  The
+score orders and filters at the caller's wish (``min_score``); the base spans are all
+returned by default.
 
 Texts are scanned whole, in linear time: the email pattern is anchored at its
 ``@`` and widened to the left, and runs of digits are entered at their start only.
@@ -87,6 +88,22 @@ def _emails(text: str) -> Iterator[tuple[int, int]]:
             free = m.end()
 
 
+def _ibans(text: str) -> Iterator[tuple[int, int]]:
+    """A proposed span may run on into a word or number behind the IBAN, or start at one
+    before it: of its ends at a blank, the last that passes counts; if none does, the
+    search goes on behind its first block."""
+    at = 0
+    while m := _IBAN.search(text, at):
+        start, end = m.span()
+        at = start + 4
+        while end > start:
+            if 15 <= len(whole := text[start:end].replace(" ", "")) <= 34 and mod97(whole):
+                yield start, end
+                at = end
+                break
+            end = text.rfind(" ", start, end)
+
+
 def _digits(text: str) -> str:
     return re.sub("[^0-9]", "", text)
 
@@ -106,9 +123,7 @@ def spans(text: str) -> list[tuple[str, int, int]]:
         for m in _PHONE.finditer(text):
             if 10 <= len(_digits(m.group())) <= 15:
                 found.append(("phone", *m.span()))
-    for m in _IBAN.finditer(text):
-        if 15 <= len(whole := m.group().replace(" ", "")) <= 34 and mod97(whole):
-            found.append(("iban", *m.span()))
+    found += [("iban", a, b) for a, b in _ibans(text)]
     return sorted(found, key=lambda s: (s[1], KINDS.index(s[0])))
 
 

@@ -91,6 +91,17 @@ def test_pii_iban_and_scores():
     assert pii.score("order no. 4111111111111111", "card", 10, 26) < 0.5
 
 
+def test_pii_iban_beside_other_upper_case_words():
+    es, at, de = "ES9121000418450200051332", "AT61 1904 3002 3457 3201", "DE89 3704 0044 0532 0130 00"
+    for t, want in ((f"{es} BIC X", [es]), (f"{at} BIC", [at]), (f"{at} HELLO 1234", [at]), (f"AT611904300234573201 IBAN {at}", ["AT611904300234573201", at]),
+                    (f"{at} {de}", [at, de]), (f"REF AB12 CDEF GHIJ {de}", [de]), (f"{at.replace('61', '62')} BIC", [])):
+        assert [t[a:b] for k, a, b in pii.spans(t) if k == "iban"] == want, t
+
+
+def test_pii_many_starts_of_ibans_are_linear():
+    pii.spans("AB12 " * 100_000)
+
+
 def test_pii_long_texts_are_linear():
     for t in ("a" * 500_000, "1" * 500_000, "a." * 200_000 + "@", "+1" * 200_000, "1 " * 200_000, "@a" * 200_000, "+1" + "-" * 400_000):
         pii.spans(t)
