@@ -16,8 +16,8 @@ of the texts; ``lead`` looks within a bucket, and a copy of the first row of the
 next bucket stands at the end of each, so no step sees all documents in order.
 
 Defined cases: null text is empty; an empty text has an empty fingerprint, like
-(1.0) only another without anchors; a text of fewer than K tokens has one anchor,
-its whole sequence; null doc_ids come first; rows with one doc_id stand in text order;
+(1.0) only another without tokens; a text of fewer than K tokens, or of more without
+a closed syncmer, has one anchor, its whole sequence; null doc_ids come first; rows with one doc_id stand in text order;
 the single row of a table is its own next document; an empty table gives no rows;
 extra columns are ignored.
 """
@@ -35,8 +35,10 @@ K = 10
 FIRST_KEY = -(1 << 63)
 
 
-def with_anchors(rows: DataFrame, text: str, out: str) -> DataFrame:
-    """Adds ``out``: array<long>, the hashes of the closed syncmers of ``text`` in order."""
+def with_anchors(rows: DataFrame, text: str, out: str, whole: bool = True) -> DataFrame:
+    """Adds ``out``: array<long>, the hashes of the closed syncmers of ``text`` in order.
+
+    A text of K tokens or more may hold none; ``whole`` gives it the hash of its whole sequence."""
     last = K - 2  # the last inner pair's offset
     rows = rows.withColumn("_h", F.transform(F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0)), lambda t: F.xxhash64(t)))
     rows = rows.withColumns({"_n": F.size("_h"), "_s": F.transform("_h", lambda v, i: F.xxhash64(v, F.get("_h", i + 1)))})
@@ -50,9 +52,9 @@ def with_anchors(rows: DataFrame, text: str, out: str) -> DataFrame:
                       F.xxhash64(v, *[inner(i, j) for j in range(2, K - 1, 2)]))
 
     anchors = F.filter(F.transform("_s", chosen), lambda a: a.isNotNull())
-    whole = F.array(F.xxhash64("_h"))
-    rows = rows.withColumn(out, F.when(F.col("_n") >= K, anchors).when(F.col("_n") > 0, whole)
-                           .otherwise(F.array().cast("array<bigint>")))
+    rows = rows.withColumn(out, F.when(F.col("_n") >= K, anchors).otherwise(F.array().cast("array<bigint>")))
+    bare = (F.size(out) == 0) & (F.col("_n") > 0)
+    rows = rows.withColumn(out, F.when(bare if whole else bare & (F.col("_n") < K), F.array(F.xxhash64("_h"))).otherwise(F.col(out)))
     return rows.drop("_h", "_n", "_s")
 
 
@@ -122,19 +124,20 @@ def _in_order():
     return Window.partitionBy("bucket").orderBy("ghost", "key", "text")
 
 
-def compare_with_edits(docs: DataFrame) -> DataFrame:
+def compare_with_edits(docs: DataFrame, whole: bool = False) -> DataFrame:
     """The fingerprint of every text and of its edited text, and their likenesses.
 
     Edited: the last floor(n_chars / 2) code points replaced by the first as many (or
-    all) of the next document by doc_id."""
-    d = with_anchors(with_next(docs), "text", "anchors")
+    all) of the next document by doc_id.  ``whole`` as in :func:`with_anchors`; without it
+    the bare definition, by which two texts without a closed syncmer are like each other."""
+    d = with_anchors(with_next(docs), "text", "anchors", whole)
     d = d.withColumn("set", F.array_distinct("anchors"))
     d = d.withColumn("next_set", F.lead("set").over(_in_order())).filter("ghost = 0")
     d = d.withColumn("n_chars", F.length("text"))
     half = F.floor(F.col("n_chars") / 2).cast("int")
     d = d.withColumn("edited", F.concat(F.substr("text", F.lit(1), F.col("n_chars") - half),
                                         F.substr("next_text", F.lit(1), half)))
-    d = with_anchors(d, "edited", "edited_anchors").withColumn("edited_set", F.array_distinct("edited_anchors"))
+    d = with_anchors(d, "edited", "edited_anchors", whole).withColumn("edited_set", F.array_distinct("edited_anchors"))
     return d.select("doc_id", F.col("n_chars").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"),
                     fingerprint(F.col("anchors")).alias("fingerprint"),
                     fingerprint(F.col("edited_anchors")).alias("edited_fingerprint"),

@@ -62,7 +62,7 @@ def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op3_fingerprints")
 def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of all documents and of their edited texts, with likenesses."""
-    return fingerprints.compare_with_edits(table(spark, sf_dir, "documents"))
+    return fingerprints.compare_with_edits(table(spark, sf_dir, "documents"), whole=True)
 
 
 @query("op4_mixing", sql=r"""

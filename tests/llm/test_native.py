@@ -130,6 +130,26 @@ def test_fingerprints_of_one_table_over_the_given_data(spark):
     check_fingerprints(df)
 
 
+def test_fingerprints_of_texts_without_a_syncmer(spark):
+    """Of ten words, most texts hold no closed syncmer: still, only equal ones have equal fingerprints."""
+    made = [(i, " ".join(f"w{i}x{j}" for j in range(10))) for i in range(40)]
+    assert sum(not anchors(t) for _, t in made) > 10
+    got = rows(fingerprints.compare_with_edits(docs(spark, made + [(50, ""), (51, None)]), whole=True).orderBy("doc_id"))
+    assert len({r["fingerprint"] for r in got[:40]}) == 40 and not any(r["fingerprint"] == "" for r in got[:40])
+    assert [r["near_next"] for r in got] == [0.0] * 40 + [1.0, 0.0]
+    for r, (_, t) in zip(got, made):
+        assert not anchors(t) or r["fingerprint"] == hex8(anchors(t))
+    assert [r["fingerprint"] for r in rows(fingerprints.fingerprints(docs(spark, made)).orderBy("doc_id"))] == [r["fingerprint"] for r in got[:40]]
+
+
+def test_query_gives_texts_without_a_syncmer_an_anchor(spark, tmp_path):
+    from shoplytics.llm import queries
+    made = [(i, " ".join(f"w{i}x{j}" for j in range(10))) for i in range(20)]
+    docs(spark, made).write.parquet(f"{tmp_path}/documents.parquet")
+    got = rows(queries.QUERIES["op3_fingerprints"](spark, str(tmp_path)))
+    assert len({r["fingerprint"] for r in got}) == 20 and not any(r["near_next"] for r in got)
+
+
 # --- mixing
 
 def level_targets(size):
