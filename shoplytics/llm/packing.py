@@ -41,7 +41,7 @@ def items(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """row, doc_id, source, cluster, piece, word_start, words: narrow rows, one per piece."""
     d = pick(docs, "doc_id", "text", "source").withColumn("text", F.coalesce("text", F.lit("")))
     words = F.regexp_count("text", F.lit(WORD)).cast("long")
-    plain = F.lower(F.regexp_replace(F.trim("text"), r"[\x20\x09-\x0D]+", " "))
+    plain = F.lower(F.trim(F.regexp_replace("text", r"[\x20\x09-\x0D]+", " ")))
     d = d.select(F.monotonically_increasing_id().alias("row"), "doc_id", "source", F.xxhash64(plain).alias("cluster"), words.alias("n"))
     last = F.greatest(F.lit(0), F.ceil(F.col("n") / capacity) - 1).cast("int")
     d = d.withColumn("piece", F.explode(F.sequence(F.lit(0), last)))

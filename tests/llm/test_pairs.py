@@ -263,6 +263,12 @@ def test_best_fit_against_plain_without_ties():
         assert (residuals, len(left)) == plain_best_fit(sizes, sources, clusters, 10**6)
 
 
+def test_pack_clusters_are_equal_but_for_case_and_white_space(spark):
+    made = [(i, t, f"s{i}") for i, t in enumerate(["one two", " one two", "one two\n", "\tOne  TWO\r\n", "\n one\ttwo \n"])]
+    assert len({r.cluster for r in packing.items(docs(spark, made)).collect()}) == 1
+    assert len(check_pack(docs(spark, made), 100)) == len(made)
+
+
 def test_pack_table(spark):
     table = spark.read.parquet(f"{SF}/documents.parquet")
     bins = check_pack(table, 512)
