@@ -40,18 +40,18 @@ UNKNOWN = "und"
 
 
 def _letters() -> np.ndarray:
-    """For each code unit of the basic plane: 1 if it is a letter."""
-    return np.fromiter((chr(i).isalpha() for i in range(0x10000)), dtype=bool, count=0x10000)
+    """For each code point: 1 if it is a letter."""
+    return np.fromiter((chr(i).isalpha() for i in range(0x110000)), dtype=bool, count=0x110000)
 
 
 _IS_LETTER = _letters()
 
 
 def grams(text: str) -> np.ndarray | None:
-    """Counts of hashed letter n-grams; None without a letter.  Letters beyond the
-    basic plane count as letters by their surrogate-free code point."""
+    """Counts of hashed letter n-grams; None without a letter.  Emoji and other signs
+    beyond the basic plane are no letters, letters there are."""
     units = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-    letter = np.where(units < 0x10000, _IS_LETTER[np.minimum(units, 0xFFFF)], units >= 0x10000)
+    letter = _IS_LETTER[units]
     if not letter.any():
         return None
     u = np.where(letter, units, 32).astype(np.uint64)

@@ -152,6 +152,14 @@ def test_language_cases(spark):
     assert [r["lang_pred"] for r in rows(language.predict_languages(docs(spark, [(1, "no labels")])))] == ["und"]
 
 
+def test_language_takes_letters_beyond_the_basic_plane_only():
+    assert language.grams("\U0001F600 \U0001F680\U0001F680") is None
+    assert language.grams("\U00010400") is not None and language.grams("\U00020000") is not None
+    assert (language.grams("the cat \U0001F600") == language.grams("the cat ")).all()
+    model = language.Centroids(["the cat and the dog"] * 5, ["en"] * 5)
+    assert model.predict("\U0001F600")[0] == language.UNKNOWN
+
+
 def test_language_rejects_far_texts():
     model = language.Centroids(["the cat and the dog"] * 5 + ["der hund und die katze"] * 5, ["en"] * 5 + ["de"] * 5)
     assert model.predict("the cat and the dog")[2] is False
