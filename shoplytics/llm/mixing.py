@@ -120,7 +120,7 @@ def running(rows: DataFrame, group: str, bucket: str, order: list[str], value: s
 
 
 def blocks(placed: DataFrame, max_repeat: int = MAX_REPEAT) -> DataFrame:
-    """(doc row, block, words): which words of which document each block of its source holds.
+    """(doc row, block, lo, words): which words of which document each block of its source holds.
 
     ``placed`` has row columns, sid, start (words of the source before the document), size,
     source_size, target and n_slots.  A source's line of words is read up to ``max_repeat`` times
@@ -138,11 +138,12 @@ def blocks(placed: DataFrame, max_repeat: int = MAX_REPEAT) -> DataFrame:
     first = F.greatest(F.col("lo"), F.ceil(F.col("block") * F.col("length")))
     last = F.when(F.col("block") == F.col("n_slots") - 1, F.col("hi")).otherwise(
         F.least(F.col("hi"), F.ceil((F.col("block") + 1) * F.col("length"))))
-    return at.withColumn("words", last - first).filter("words > 0").select("row", "sid", "block", "words")
+    return at.withColumn("words", last - first).filter("words > 0").select("row", "sid", "block", first.alias("lo"), "words")
 
 
-def mix(docs: DataFrame, block_words: int = BLOCK_WORDS, max_repeat: int = MAX_REPEAT, seed: str = SEED) -> DataFrame:
-    """doc_id, source, size, source_size, target, taken: one row per row of ``docs``."""
+def _dealt(docs: DataFrame, block_words: int, max_repeat: int, seed: str) -> tuple[DataFrame, DataFrame]:
+    """(rows, slots): a row per row of ``docs``; and position, sid, block, row, lo, words: which words
+    stand in the slot at which position (``lo``: their place in the source's line of words)."""
     spark = docs.sparkSession
     sized = kept(sizes(docs, seed).withColumn("row", F.monotonically_increasing_id()))
     per = kept(with_slots(targets(sized, max_repeat), block_words))
@@ -150,9 +151,24 @@ def mix(docs: DataFrame, block_words: int = BLOCK_WORDS, max_repeat: int = MAX_R
     buckets = max(16, 4 * partitions(spark))
     rows = rows.withColumn("bucket", F.floor(F.conv(F.substring("h", 1, 6), 16, 10).cast("long") * buckets / (1 << 24)))
     rows = kept(running(rows, "sid", "bucket", ["h", "row"], "size", "start"))
-    slots = schedule(per)
-    taken = (blocks(rows, max_repeat).join(slots.select("sid", F.col("rank").alias("block")), ["sid", "block"])
-             .groupBy("row").agg(F.sum("words").alias("taken")))
+    return rows, blocks(rows, max_repeat).join(schedule(per).withColumnRenamed("rank", "block"), ["sid", "block"])
+
+
+def interleaved(docs: DataFrame, block_words: int = BLOCK_WORDS, max_repeat: int = MAX_REPEAT, seed: str = SEED) -> DataFrame:
+    """The mix in order: position (of the slot), sid, block, part (within the slot), doc_id,
+    word_start, words: which words of which document stand there."""
+    rows, slots = _dealt(docs, block_words, max_repeat, seed)
+    at = slots.join(rows.select("row", "doc_id", "start", "size", "source_size"), "row")
+    inside = Window.partitionBy("position").orderBy("lo")  # the words of one block
+    return at.select("position", "sid", "block", (F.row_number().over(inside) - 1).alias("part"), "doc_id",
+                     (F.col("lo") % F.col("source_size") - F.col("start")).cast("long").alias("word_start"), "words")
+
+
+def mix(docs: DataFrame, block_words: int = BLOCK_WORDS, max_repeat: int = MAX_REPEAT, seed: str = SEED) -> DataFrame:
+    """doc_id, source, size, source_size, target, taken: one row per row of ``docs``; taken is
+    the sum of its words in :func:`interleaved`."""
+    rows, slots = _dealt(docs, block_words, max_repeat, seed)
+    taken = slots.groupBy("row").agg(F.sum("words").alias("taken"))
     return rows.join(taken, "row", "left").select(
         "doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 

@@ -215,6 +215,26 @@ def test_schedule_is_exact_and_spread(spark):
         assert abs(sum(s == 0 for _, s, _ in got[:i]) - i * 7 / 13) <= 2
 
 
+def test_mix_in_order(spark):
+    rng = random.Random(6)
+    made = [(i, "w " * rng.choice([0, 1, 5, 40]), rng.choice(["hot"] * 9 + ["a", "b", None])) for i in range(200)]
+    got = sorted(rows(mixing.interleaved(docs(spark, made), block_words=16)), key=lambda r: (r["position"], r["part"]))
+    mixed = {r["doc_id"]: r for r in rows(mixing.mix(docs(spark, made), block_words=16))}
+    taken, line, blocks = {}, {}, {}
+    for r in got:
+        assert 0 <= r["word_start"] and 0 < r["words"] and r["word_start"] + r["words"] <= mixed[r["doc_id"]]["size"]
+        taken[r["doc_id"]] = taken.get(r["doc_id"], 0) + r["words"]
+        line.setdefault(r["sid"], []).append(r)
+        blocks.setdefault(r["position"], set()).add((r["sid"], r["block"]))
+    assert taken == {i: r["taken"] for i, r in mixed.items() if r["taken"]}
+    assert all(len(b) == 1 for b in blocks.values()) and len({next(iter(b)) for b in blocks.values()}) == len(blocks)
+    for rs in line.values():  # a source's words come in the order of its line: each goes on where the last one stopped
+        assert [r["block"] for r in rs] == sorted(r["block"] for r in rs)
+        for a, b in zip(rs, rs[1:]):
+            whole = a["word_start"] + a["words"] == mixed[a["doc_id"]]["size"]
+            assert (b["word_start"] == 0) if whole else (b["doc_id"], b["word_start"]) == (a["doc_id"], a["word_start"] + a["words"])
+
+
 def test_mixed_documents_come_whole(spark):
     df = docs(spark, [(i, "w " * 10, "ab"[i % 10 == 0]) for i in range(50)])
     got = mixing.mixed_documents(df)
