@@ -12,8 +12,8 @@ import corpus_pipeline
 
 from shoplytics.session import ship_package
 from shoplytics.sources.tables import table
-from shoplytics.llm import (chat, fingerprints, language, mixing, neardup, neighbours, packing, pages, pii,
-                            toxicity)
+from shoplytics.llm import (chat, fingerprints, language, lexical, mixing, neardup, neighbours, packing, pages, periodic,
+                            pii, tokens, toxicity)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -149,6 +149,80 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), 4)
 
 
+@query("op11_ranked_search", sql=r"""
+WITH w AS (
+  SELECT doc_id, row_number() OVER () AS r,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+it AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(
+           translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+a AS (SELECT count(*) AS n_docs, CAST(sum(len(w)) AS BIGINT) AS l FROM w WHERE len(w) > 0),
+tf AS (
+  SELECT r, doc_id, n, term, count(*) AS tf FROM (SELECT r, doc_id, CAST(len(w) AS BIGINT) AS n, unnest(w) AS term FROM w)
+  WHERE term IN (SELECT term FROM it) GROUP BY ALL),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+s AS (
+  SELECT item_id, r, doc_id, CAST(sum(CAST(floor(1000 * ln((2 * n_docs + 2) / (2 * df + 1))) AS BIGINT)
+    * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * n_docs) // l)))) AS BIGINT) AS score
+  FROM tf JOIN df USING (term) JOIN it USING (term), a GROUP BY item_id, r, doc_id)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0)
+WHERE rank <= 10""")
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents, of all, for every benchmark item."""
+    return lexical.ranked_search(table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents"))
+
+
+@query("op12_token_codes")
+def op12_token_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as token ids in files of directly addressable codes, read back."""
+    import public_tokenizers
+    folder = tokens.write_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(tokens.TOKENIZER))
+    return tokens.read_documents(spark, folder)
+
+
+# crc32 of the decimal digits of doc_id: for every digit, its code is added and eight bits are shifted out.
+_CRC = """xor(4294967295, list_reduce(
+  list_concat([4294967295::BIGINT], flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''),
+    lambda c: list_concat([CAST(ascii(c) AS BIGINT)], list_resize([-1::BIGINT], 8, -1::BIGINT))))),
+  lambda h, x: CASE WHEN x >= 0 THEN xor(h, x) WHEN h % 2 = 1 THEN xor(h // 2, 3988292384) ELSE h // 2 END))"""
+
+
+@query("op13_periodic_runs", sql=r"""
+WITH h AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w, """ + _CRC + r""" AS h FROM documents),
+c AS (SELECT *, CAST(len(w) AS BIGINT) AS n, h // 10 AS g FROM h),
+d AS (
+  SELECT doc_id, n, CASE WHEN h % 10 = 0 AND n > 0 THEN list_transform(range(0, n), lambda i:
+    w[1 + CASE WHEN i < g % n THEN i ELSE g % n + (i - g % n) % (1 + (n - g % n) // (3 + g % 8)) END]) ELSE w END AS w FROM c),
+grams AS (
+  SELECT doc_id, n, i, array_to_string(w[i + 1:i + 5], ' ') AS gram FROM (SELECT doc_id, n, w, unnest(range(0, n - 4)) AS i FROM d)),
+often AS (SELECT doc_id, gram FROM grams GROUP BY ALL HAVING count(*) > 1),
+few AS (SELECT * FROM grams SEMI JOIN often USING (doc_id, gram)),
+same AS (SELECT a.doc_id, b.i - a.i AS q, a.i FROM few a JOIN few b ON a.doc_id = b.doc_id AND a.gram = b.gram AND a.i < b.i AND 4 * (b.i - a.i) <= a.n),
+stretch AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS k FROM same),
+pair AS (SELECT doc_id, q, min(i) AS start, count(*) + 4 AS common FROM stretch GROUP BY doc_id, q, k HAVING count(*) + 4 >= 3 * q),
+run2 AS (SELECT doc_id, start, q + common AS length, min(q) AS period FROM pair GROUP BY doc_id, start, q + common),
+top AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY length / period DESC, start, period) AS r FROM run2),
+listed AS (
+  SELECT doc_id, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS runs
+  FROM run2 GROUP BY doc_id),
+gone AS (SELECT DISTINCT doc_id, unnest(range(start + period, start + length)) AS i FROM run2),
+left_ AS (
+  SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS text, count(*) AS n_kept
+  FROM (SELECT doc_id, unnest(w) AS word, unnest(range(0, n)) AS i FROM d) x
+  ANTI JOIN gone ON gone.doc_id = x.doc_id AND gone.i = x.i GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_runs, 0) AS n_runs, start, length, period, CAST(1000 * length // period AS BIGINT) AS exponent_milli,
+  sha256(coalesce(runs, '')) AS runs_sha256, sha256(coalesce(left_.text, '')) AS collapsed_sha256,
+  d.n AS n_words, coalesce(n_kept, 0) AS n_kept
+FROM d LEFT JOIN listed USING (doc_id) LEFT JOIN left_ USING (doc_id) LEFT JOIN (SELECT * FROM top WHERE r = 1) USING (doc_id)""")
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of repeated words in every document, every tenth of them stretched periodically first."""
+    return periodic.periodic_runs(table(spark, sf_dir, "documents"), prepare=periodic.stretched)
+
+
 @query("pipeline", sql=corpus_pipeline.ORACLE_SQL)
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The corpus pipeline over all documents."""

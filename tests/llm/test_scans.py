@@ -1,0 +1,296 @@
+"""Ranked lexical search, token codes and periodic runs against plain versions."""
+
+import hashlib
+import io
+import math
+import random
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import public_tokenizers
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from tokenizers import Tokenizer
+
+from shoplytics.llm import lexical, periodic, tokens
+from shoplytics.llm.queries import op11_ranked_search, op12_token_codes, op13_periodic_runs
+from shoplytics.sources.tables import table
+from tests.conftest import SF001
+from tests.llm.frames import docs, rows, wider
+
+PATH = public_tokenizers.path(tokens.TOKENIZER)
+
+
+# --- periodic runs ------------------------------------------------------------------
+
+def plain_runs(ids):
+    """By definition: every period, every stretch that cannot be extended, smallest period."""
+    n, out = len(ids), []
+    for q in range(1, n // 4 + 1):
+        for s in range(n - q):
+            if ids[s] != ids[s + q] or (s and ids[s - 1] == ids[s - 1 + q]):
+                continue
+            e = s
+            while e + q < n and ids[e] == ids[e + q]:
+                e += 1
+            length = e - s + q
+            w = ids[s:s + length]
+            if length >= max(6, 4 * q) and not any(w[p:] == w[:-p] for p in range(1, q)):
+                out.append((s, length, q))
+    return sorted(out, key=lambda r: (r[0], r[2]))
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.integers(0, 2), max_size=40), st.integers(1, 9), st.integers(0, 40))
+def test_runs_are_the_maximal_stretches(head, period, n):
+    ids = head + [(head + [0, 1, 2])[i % period % (len(head) + 3)] for i in range(n)]
+    found = periodic.runs(np.array(ids, dtype=np.int64))
+    assert [(s, n, q) for s, n, q in found] == plain_runs(ids)
+
+
+def test_suffix_order_is_that_of_slices():
+    r = random.Random(5)
+    for _ in range(60):
+        ids = [r.randrange(3) for _ in range(r.randint(1, 50))]
+        at = np.array(sorted(r.sample(range(len(ids)), r.randint(1, len(ids)))))
+        order, common = periodic.suffix_order(np.array(ids), at)
+        assert order.tolist() == sorted(at.tolist(), key=lambda i: ids[i:])
+        for a, b, c in zip(order[:-1], order[1:], common):
+            x, y = ids[a:], ids[b:]
+            assert c == next((k for k, (p, q) in enumerate(zip(x, y)) if p != q), min(len(x), len(y)))
+
+
+def test_strongest_run_is_exact_and_ties_go_by_start():
+    assert periodic.strongest([]) is None
+    assert periodic.strongest([(0, 9, 2), (20, 18, 4), (5, 6, 1)]) == (5, 6, 1)
+    assert periodic.strongest([(3, 18, 4), (1, 9, 2)][::-1]) == (1, 9, 2)
+
+
+def test_long_repetitive_texts_stay_quick():
+    for ids in (np.zeros(60_000), np.arange(60_000) % 7, np.arange(60_000) % 9000):
+        assert periodic.runs(ids.astype(np.int64)) == [(0, 60_000, int(ids.max()) + 1)]
+
+
+def _digest(text):
+    return hashlib.sha256(text.encode()).hexdigest()
+
+
+def test_rows_of_periodic_runs(spark):
+    line = "a b a b a b a b a c"
+    d = docs(spark, [(1, line), (1, line), (2, None), (3, " \t"), (None, "x x x x x x"), (4, "A a A a A a A a")], TEXT="z", Doc_id=9)
+    got = {(r["doc_id"], r["n_words"]): r for r in rows(periodic.periodic_runs(d))}
+    assert len(rows(periodic.periodic_runs(d))) == 6
+    one = got[1, 10]
+    assert (one["n_runs"], one["start"], one["length"], one["period"], one["exponent_milli"]) == (1, 0, 9, 2, 4500)
+    assert one["runs_sha256"] == _digest("0,9,2\n") and one["collapsed_sha256"] == _digest("a b c") and one["n_kept"] == 3
+    for key in ((2, 0), (3, 0)):
+        assert got[key]["n_runs"] == 0 and got[key]["start"] is None and got[key]["exponent_milli"] is None
+        assert got[key]["runs_sha256"] == got[key]["collapsed_sha256"] == _digest("")
+    assert got[None, 6]["collapsed_sha256"] == _digest("x") and got[4, 8]["period"] == 2
+    assert rows(periodic.periodic_runs(d.filter("false"))) == []
+
+
+def test_collapsed_texts(spark):
+    d = docs(spark, [(1, "go\tgo go go go go\nhome"), (2, "no  runs\there"), (3, None)])
+    got = {r["doc_id"]: r for r in rows(periodic.collapsed(d))}
+    assert got[1]["text"] == "go home" and got[1]["n_dropped"] == 5
+    assert got[2]["text"] == "no  runs\there" and got[3]["text"] is None and got[3]["n_dropped"] == 0
+
+
+def test_query_of_periodic_runs_on_given_texts(spark):
+    given_ = {r["doc_id"]: r["text"] for r in table(spark, SF001, "documents").select("doc_id", "text").collect()}
+    got = {r["doc_id"]: r for r in rows(op13_periodic_runs(spark, SF001))}
+    assert got.keys() == given_.keys()
+    for i, text in given_.items():
+        words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+        h = zlib.crc32(str(i).encode())
+        if h % 10 == 0 and words:
+            a, g = h // 10 % len(words), h // 10
+            p = 1 + (len(words) - a) // (3 + g % 8)
+            words = [w if k < a else words[a + (k - a) % p] for k, w in enumerate(words)]
+        if len(words) <= 600:
+            assert got[i]["n_runs"] == len(plain_runs(words)), i
+        assert got[i]["n_words"] == len(words)
+
+
+# --- ranked lexical search ------------------------------------------------------------
+
+def plain_search(items, texts, k=10):
+    """By definition, over lists of (item_id, text) and (doc_id, text)."""
+    cut = lambda t: re.findall(lexical.TERM, re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    docs_ = [(i, cut(t)) for i, t in texts]
+    docs_ = [(i, w, Counter(w)) for i, w in docs_ if w]
+    n_docs, length = len(docs_), sum(len(w) for _, w, _ in docs_)
+    df = Counter(t for _, _, c in docs_ for t in c)
+    out, terms = [], {}
+    for i, t in items:
+        terms.setdefault(i, set()).update(cut(t))
+    for i, wanted in terms.items():
+        scored = []
+        for d, w, c in docs_:
+            m = 10 + 90 * len(w) * n_docs // length
+            s = sum(math.floor(1000 * math.log((2 * n_docs + 2) / (2 * df[t] + 1))) * (10 ** 9 * c[t] // (1000 * c[t] + 8 * m))
+                    for t in wanted if c[t])
+            if s > 0:
+                scored.append((-s, d is None, d or 0, d))
+        out += [(i, r + 1, d, -s) for r, (s, _, _, d) in enumerate(sorted(scored, key=lambda x: x[:3])[:k])]
+    return sorted(out, key=str)
+
+
+def _search(spark, items, texts, **how):
+    i = wider(spark.createDataFrame(items, "item_id long, text string"), Item_ID="x")
+    got = lexical.ranked_search(i, docs(spark, texts, TEXT=1), **how)
+    return sorted(((r["item_id"], r["rank"], r["doc_id"], r["score"]) for r in rows(got)), key=str)
+
+
+def test_search_equals_the_definition(spark):
+    r = random.Random(2)
+    words = ["a", "ab", "abc", "b", "bab", "É", "é", "x1", "A", "Ab", "日本", "c", "don", "t"]
+    text = lambda n: "".join(r.choice(words) + r.choice([" ", ", ", "-", "'", "\n", " ", "."]) for _ in range(r.randint(0, n)))
+    texts = [(i, text(40)) for i in range(120)] + [(None, text(30)), (7, text(20)), (500, None), (501, " .,"), (502, "")]
+    items = [(i, text(5)) for i in range(12)] + [(3, "abc"), (None, "x1 b"), (99, None), (98, "--"), (97, "nowhere")]
+    want = plain_search(items, texts)
+    assert _search(spark, items, texts) == want
+    # Blocks of items, and parts of the cells, change nothing.
+    assert _search(spark, items, texts, block_terms=9) == want
+    # Without room for all in a step: a task of its own for some rows.
+    assert _search(spark, items, texts, k=2) == plain_search(items, texts, 2)
+
+
+def test_search_without_rows(spark):
+    assert _search(spark, [], [(1, "a")]) == [] and _search(spark, [(1, "a")], []) == []
+    assert _search(spark, [(1, "a")], [(1, None), (2, "..")]) == []
+
+
+def test_search_finds_whole_terms_in_long_texts(spark):
+    texts = [(1, "catalog " * 30_000 + "cat"), (2, "concat cats"), (3, "the CAT")]
+    assert [(i, d) for i, _, d, _ in _search(spark, [(5, "cat")], texts)] == [(5, 3), (5, 1)]
+
+
+def test_query_of_ranked_search(spark):
+    given_ = [(r["doc_id"], r["text"]) for r in table(spark, SF001, "documents").select("doc_id", "text").collect()]
+    items = [(r["item_id"], r["text"]) for r in table(spark, SF001, "benchmark").collect()]
+    got = sorted(((r["item_id"], r["rank"], r["doc_id"], r["score"]) for r in rows(op11_ranked_search(spark, SF001))), key=str)
+    assert got == plain_search(items, given_)
+
+
+# --- token codes -----------------------------------------------------------------------
+
+@pytest.mark.parametrize("n", [0, 1, 8, 511, 512, 513, 4096, 9999])
+def test_codes_give_every_token_and_slice(n):
+    r = np.random.default_rng(n)
+    ids = (r.integers(0, 1 << 32, n, dtype=np.uint64) >> r.integers(0, 33, n).astype(np.uint64)).astype(np.uint32)
+    made = tokens.file_bytes([None, -5], np.array([0, n // 3, n]), ids)
+    file = tokens.TokenFile(io.BytesIO(made))
+    assert file.tokens().tolist() == ids.tolist() and file.documents()[0] == [None, -5]
+    assert file.documents()[1].tolist() == [0, n // 3, n]
+    for i in set(r.integers(0, n, 300).tolist()) if n else ():
+        assert file.token(i) == ids[i]
+    for _ in range(60):
+        lo, hi = sorted(r.integers(0, n + 1, 2).tolist())
+        assert file.tokens(lo, hi).tolist() == ids[lo:hi].tolist()
+    with pytest.raises(IndexError):
+        file.token(n)
+
+
+def test_one_token_reads_little():
+    class Counted(io.BytesIO):
+        n = 0
+
+        def read(self, size=-1):
+            out = super().read(size)
+            Counted.n += len(out)
+            return out
+
+    ids = np.arange(200_000, dtype=np.uint32)
+    file = tokens.TokenFile(Counted(tokens.file_bytes([1], np.array([0, len(ids)]), ids)))
+    Counted.n = 0
+    assert file.token(150_001) == 150_001
+    assert Counted.n < 4 * (1 + 8 + 64)
+
+
+_TOKENIZER = Tokenizer.from_file(PATH)
+
+
+def _plain_ids(texts, **how):
+    t = _TOKENIZER
+    t.encode_special_tokens = how.get("special_as_text", False)
+    return [e.ids for e in t.encode_batch([x or "" for x in texts], add_special_tokens=False)]
+
+
+_PIECES = ["a", "ab", "Wort", "É", "é", "ß", " ", " ", " ", "  ", "\n", "\n\n", "\r\n", "\t", "'s", "'", "1", "42", ".", ",", "...",
+           "_", "\x1c", "\x85", " ", "　", "中", "😀", "é", "²", "<|endoftext|>", "|>", "", "\x00"]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(_PIECES), max_size=25).map("".join), st.booleans())
+def test_pieces_encode_as_the_whole(text, special):
+    encode = tokens._encoder(PATH, special)
+    assert encode.cuts
+    assert np.frombuffer(encode(text), "<u4").tolist() == _plain_ids([text], special_as_text=special)[0]
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.text(max_size=40))
+def test_any_text_encodes_as_the_whole(text):
+    text = text.encode("utf-8", "ignore").decode()
+    assert np.frombuffer(tokens._encoder(PATH, False)(text), "<u4").tolist() == _plain_ids([text])[0]
+
+
+def test_forgetting_pieces_changes_nothing(monkeypatch):
+    monkeypatch.setattr(tokens, "REMEMBERED", 4)
+    encode, texts = tokens._Encoder(PATH, False), ["one two, three.\nFour five one two three", "five four two one six seven one"]
+    assert [np.frombuffer(encode(t), "<u4").tolist() for t in texts * 2] == _plain_ids(texts * 2)
+
+
+def test_other_tokenizers_get_whole_texts():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    encode = tokens._encoder(path, False)
+    text = "Two  words,\nand more"
+    assert not encode.cuts
+    assert np.frombuffer(encode(text), "<u4").tolist() == Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids
+
+
+def _read(spark, folder):
+    return sorted(((r["start"], r["doc_id"], r["n_tokens"], r["ids_crc32"]) for r in rows(tokens.read_documents(spark, folder))))
+
+
+def test_files_hold_the_documents_in_order(spark):
+    texts = [(5, "five"), (None, "none"), (2 ** 60 + 1, "large  id"), (1, ""), (1, None), (1, "b"), (3, "word " * 3000), (4, "x\ny")]
+    d = docs(spark, texts, TEXT="q").repartition(3)
+    for size in (10, 1 << 20):
+        folder = tokens.write_tokens(d, PATH, file_tokens=size)
+        got = _read(spark, folder)
+        assert [g[1] for g in got] == [None, 1, 1, 1, 3, 4, 5, 2 ** 60 + 1]
+        assert [g[0] for g in got] == list(np.cumsum([0, *[g[2] for g in got]])[:-1])
+        ids = {(i, zlib.crc32(np.array(x + [2], "<u4").tobytes()), len(x) + 1) for (i, _), x in zip(texts, _plain_ids([t for _, t in texts]))}
+        assert {(g[1], g[3], g[2]) for g in got} == ids
+        assert tokens.manifest(spark, folder).count() >= (2 if size == 10 else 1)
+        # Random access over files.
+        total = sum(g[2] for g in got)
+        at = spark.createDataFrame([(p, "z") for p in (*range(0, total, 97), total - 1, total, -1, 0)], "position long, File string")
+        found = sorted((r["position"], r["token_id"]) for r in rows(tokens.tokens_at(spark, folder, at)))
+        by = dict(zip([(i, t) for i, t in texts], _plain_ids([t for _, t in texts])))
+        line = [x for g in got for x in next(v + [2] for (i, t), v in by.items()
+                                             if i == g[1] and zlib.crc32(np.array(v + [2], "<u4").tobytes()) == g[3])]
+        assert found == sorted((p, line[p]) for p in (*range(0, total, 97), total - 1, 0))
+
+
+def test_empty_table_and_no_end(spark):
+    none = docs(spark, []).repartition(2)
+    assert _read(spark, tokens.write_tokens(none, PATH)) == []
+    folder = tokens.write_tokens(docs(spark, [(1, "a"), (2, None)]), PATH, end_id=None)
+    assert [g[1:3] for g in _read(spark, folder)] == [(1, 1), (2, 0)] or [g[1:3] for g in _read(spark, folder)] == [(1, 1), (2, 0)][::-1]
+
+
+def test_query_of_token_codes(spark):
+    given_ = {r["doc_id"]: r["text"] for r in table(spark, SF001, "documents").select("doc_id", "text").collect()}
+    got = {r["doc_id"]: r for r in rows(op12_token_codes(spark, SF001))}
+    start = 0
+    for (i, _), ids in zip(sorted(given_.items()), _plain_ids([given_[i] for i in sorted(given_)])):
+        ids = np.array(ids + [2], "<u4")
+        assert (got[i]["start"], got[i]["n_tokens"], got[i]["ids_crc32"]) == (start, len(ids), zlib.crc32(ids.tobytes()))
+        start += len(ids)
