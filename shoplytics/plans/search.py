@@ -19,24 +19,84 @@ def _fold_sql(x: str) -> str:
     return s
 
 
+def _raw_terms_sql(keys: str, text: str, of: str) -> str:
+    """(keys, term): distinct unigrams and bigrams of at least three characters of every row's text."""
+    return f"""SELECT {keys}, unnest(list_distinct(list_filter(
+    list_concat(toks, list_transform(range(1, len(toks)), lambda i: toks[i] || ' ' || toks[i + 1])),
+    lambda x: length(x) >= {se.MIN_TERM_LENGTH}))) AS term
+  FROM (SELECT {keys}, regexp_extract_all({_fold_sql(text)}, '{se.TOKEN_PATTERN}') AS toks FROM {of})"""
+
+
+# The stemmer once more, as SQL: s marks vowels (v) and consonants (c) letter by letter.
+_SHAPE = """list_reduce(list_concat([''], string_split(w, '')), lambda s, c: s || CASE
+  WHEN c IN ('a', 'e', 'i', 'o', 'u') OR (c = 'y' AND right(s, 1) = 'c') THEN 'v' ELSE 'c' END)"""
+_CLOSED = "{s} LIKE '%cvc' AND right({w}, 1) NOT IN ('w', 'x', 'y')"
+
+
+def _shaped(of: str) -> str:
+    return f"SELECT t, w, {_SHAPE} AS s FROM ({of})"
+
+
+def _first_rule(rules: str, test: str) -> str:
+    """``old>new`` rules, the longest endings first: the first ending that fits decides."""
+    out = ""
+    for rule in sorted(rules.split(), key=lambda r: -len(r.split(">")[0])):
+        old, new = rule.split(">")
+        n = len(old)
+        behind = " AND substr(w, length(w) - 3, 1) IN ('s', 't')" if old == "ion" else ""
+        out += (f" WHEN ends_with(w, '{old}'){behind} THEN CASE WHEN left(s, length(s) - {n}) LIKE '{test}' "
+                f"THEN left(w, length(w) - {n}) || '{new}' ELSE w END")
+    return f"CASE{out} ELSE w END"
+
+
+_STEP1 = """SELECT term AS t, CASE WHEN term LIKE '%sses' OR term LIKE '%ies' THEN left(term, length(term) - 2)
+  WHEN term LIKE '%s' AND term NOT LIKE '%ss' THEN left(term, length(term) - 1) ELSE term END AS w FROM raw"""
+_STEP2 = f"""SELECT t, CASE
+  WHEN w LIKE '%eed' AND left(s, length(s) - 3) LIKE '%vc%' THEN left(w, length(w) - 1)
+  WHEN cut = 0 THEN w
+  WHEN x LIKE '%at' OR x LIKE '%bl' OR x LIKE '%iz' THEN x || 'e'
+  WHEN length(x) > 1 AND right(x, 1) = substr(x, length(x) - 1, 1) AND xs LIKE '%c'
+    THEN CASE WHEN right(x, 1) IN ('l', 's', 'z') THEN x ELSE left(x, length(x) - 1) END
+  WHEN xs LIKE '%vc%' AND xs NOT LIKE '%vc%vc%' AND {_CLOSED.format(s='xs', w='x')} THEN x || 'e' ELSE x END AS w FROM st3"""
+_STEP3 = "SELECT t, CASE WHEN w LIKE '%y' AND left(s, length(s) - 1) LIKE '%v%' THEN left(w, length(w) - 1) || 'i' ELSE w END AS w FROM st4"
+_STEP4 = _first_rule("""ational>ate tional>tion enci>ence anci>ance izer>ize bli>ble alli>al entli>ent eli>e ousli>ous
+  ization>ize ation>ate ator>ate alism>al iveness>ive fulness>ful ousness>ous aliti>al iviti>ive biliti>ble logi>log""", "%vc%")
+_STEP5 = _first_rule("icate>ic ative> alize>al iciti>ic ical>ic ful> ness>", "%vc%")
+_STEP6 = _first_rule("""al> ance> ence> er> ic> able> ible> ant> ement> ment> ent> ion> ou> ism> ate> iti> ous>
+  ive> ize>""", "%vc%vc%")
+_STEP7 = f"""SELECT t, CASE WHEN w LIKE '%e' AND (left(s, length(s) - 1) LIKE '%vc%vc%' OR (left(s, length(s) - 1) LIKE '%vc%'
+  AND NOT ({_CLOSED.format(s='left(s, length(s) - 1)', w='left(w, length(w) - 1)')}))) THEN left(w, length(w) - 1) ELSE w END AS w FROM st8"""
+_STEM_SQL = f"""
+st1 AS ({_shaped(_STEP1)}),
+st2 AS (SELECT *, CASE WHEN w LIKE '%eed' THEN 0 WHEN w LIKE '%ed' AND left(s, length(s) - 2) LIKE '%v%' THEN 2
+                       WHEN w LIKE '%ing' AND left(s, length(s) - 3) LIKE '%v%' THEN 3 ELSE 0 END AS cut FROM st1),
+st3 AS (SELECT t, w, s, cut, left(w, length(w) - cut) AS x, left(s, length(s) - cut) AS xs FROM st2),
+st4 AS ({_shaped(_STEP2)}),
+st5 AS ({_shaped(_STEP3)}),
+st6 AS ({_shaped(f"SELECT t, {_STEP4} AS w FROM st5")}),
+st7 AS ({_shaped(f"SELECT t, {_STEP5} AS w FROM st6")}),
+st8 AS ({_shaped(f"SELECT t, {_STEP6} AS w FROM st7")}),
+st9 AS ({_shaped(_STEP7)}),
+stems AS (SELECT t, CASE WHEN length(t) <= 2 THEN t WHEN w LIKE '%ll' AND s LIKE '%vc%vc%' THEN left(w, length(w) - 1) ELSE w END AS stem FROM st9)
+"""
+
 _DOC_TERMS_SQL = f"""
-doc_toks AS (SELECT doc_id, source,
-                    regexp_extract_all({_fold_sql('text')}, '{se.TOKEN_PATTERN}') AS t
-             FROM documents),
-doc_terms AS (SELECT doc_id, source, list_distinct(list_filter(
-                list_concat(t, list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1])),
-                lambda x: length(x) >= {se.MIN_TERM_LENGTH})) AS terms
-              FROM doc_toks)
+doc_raw AS ({_raw_terms_sql('doc_id', 'text', 'documents')})
 """
 
 
 @register("text_terms", ["C1"], sql=f"""
-WITH {_DOC_TERMS_SQL}
-SELECT doc_id, CAST(len(terms) AS INTEGER) AS n_terms, md5(array_to_string(list_sort(terms), '|')) AS terms_md5
-FROM doc_terms
+WITH {_DOC_TERMS_SQL},
+raw AS (SELECT DISTINCT term FROM doc_raw),
+{_STEM_SQL},
+doc_terms AS (SELECT DISTINCT doc_id, stem FROM doc_raw JOIN stems ON t = term),
+listed AS (SELECT doc_id, count(*) AS n, string_agg(stem, '|' ORDER BY stem) AS terms FROM doc_terms GROUP BY doc_id)
+SELECT doc_id, CASE WHEN text IS NOT NULL THEN CAST(coalesce(n, 0) AS INTEGER) END AS n_terms,
+       CASE WHEN text IS NOT NULL THEN md5(coalesce(terms, '')) END AS terms_md5
+FROM documents LEFT JOIN listed USING (doc_id)
 """)
 def text_terms(spark, sf_dir):
-    """Analyzer output per document: number of distinct index terms and a
+    """Analyzer output per document: number of distinct index terms (stemmed) and a
     digest of the sorted term list."""
     docs = se.spread(table(spark, sf_dir, "documents")).select(
         "doc_id", se.analyze("text").alias("terms"))
@@ -50,13 +110,16 @@ def user_queries(spark, sf_dir):
     return conv.filter(F.col("role") == "user").select("conv_id", "turn", F.col("text").alias("query"))
 
 
-_SEARCH_SQL = f"""
+def _search_sql(query_terms: str, raw: str) -> str:
+    """Hits (conv_id, turn, id): ``query_terms`` selects (conv_id, turn, term); ``raw``: unstemmed terms of the queries."""
+    return f"""
 q AS (SELECT conv_id, turn, text AS query FROM conversations WHERE role = 'user'),
-qt AS (SELECT DISTINCT conv_id, turn, term FROM
-         (SELECT conv_id, turn, unnest(regexp_extract_all(query, '{se.PIECE_PATTERN}')) AS term FROM q)
-       WHERE term <> ''),
 {_DOC_TERMS_SQL},
-dp AS (SELECT DISTINCT unnest(terms) AS term, CAST(doc_id AS VARCHAR) AS id FROM doc_terms),
+q_raw AS ({raw}),
+raw AS (SELECT DISTINCT term FROM (SELECT term FROM doc_raw UNION ALL SELECT term FROM q_raw)),
+{_STEM_SQL},
+qt AS ({query_terms}),
+dp AS (SELECT DISTINCT stem AS term, CAST(doc_id AS VARCHAR) AS id FROM doc_raw JOIN stems ON t = term),
 tp AS (SELECT DISTINCT source AS term, CAST(doc_id AS VARCHAR) AS id FROM documents
        WHERE source IS NOT NULL),
 hits AS (SELECT DISTINCT conv_id, turn, id FROM (
@@ -66,6 +129,21 @@ hits AS (SELECT DISTINCT conv_id, turn, id FROM (
 """
 
 
+# Query pieces as they are, and queries through the analyzer.
+_SEARCH_SQL = _search_sql(f"""SELECT DISTINCT conv_id, turn, term FROM
+         (SELECT conv_id, turn, unnest(regexp_extract_all(query, '{se.PIECE_PATTERN}')) AS term FROM q)
+       WHERE term <> ''""", "SELECT '' AS term WHERE false")
+_ANALYZED_SQL = _search_sql("SELECT DISTINCT conv_id, turn, stem AS term FROM q_raw JOIN stems ON t = term",
+                            _raw_terms_sql("conv_id, turn", "query", "q"))
+_FIRST_PAGE_SQL = f"""
+r AS (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY id) AS rank,
+             count(*) OVER (PARTITION BY conv_id, turn) AS total FROM hits)
+SELECT conv_id, turn, any_value(total) AS total, CAST(count(*) AS INTEGER) AS size,
+       string_agg(id, '|' ORDER BY rank) AS ids
+FROM r WHERE rank <= {se.DEFAULT_PAGE_SIZE} GROUP BY conv_id, turn
+"""
+
+
 def _query_terms(spark, sf_dir, analyze_query: bool = False):
     q = user_queries(spark, sf_dir)
     if analyze_query:
@@ -73,41 +151,52 @@ def _query_terms(spark, sf_dir, analyze_query: bool = False):
     return se.query_terms(q, ["conv_id", "turn"])
 
 
-def _postings(spark, sf_dir):
-    """Description and tag postings of the described items, one table."""
+def _postings(spark, sf_dir, q_terms=None):
+    """Description (stemmed) and tag postings of the described items, one table;
+    with ``q_terms``, those of terms that some query uses."""
     items = se.spread(bindings.described_items(spark, sf_dir))
-    return (se.description_postings(items, keep=("id_num",))
-            .unionByName(se.tag_postings(items, keep=("id_num",))))
+    kinds = se.term_kinds(q_terms) if q_terms is not None else None
+    described = se.stemmed(se.description_postings(items, keep=("id_num",), kinds=kinds), q_terms)
+    tags = se.tag_postings(items, keep=("id_num",))
+    return described.unionByName(se.used_postings(tags, q_terms) if q_terms is not None else tags)
+
+
+def _first_page(q_terms, index):
+    keys = ["conv_id", "turn"]
+    res = se.search_results(q_terms, keys, index, page=0, size=se.DEFAULT_PAGE_SIZE)
+    return res.select(*keys, "total", F.size("ids").alias("size"),
+                      F.array_join("ids", "|").alias("ids"))
 
 
 def search_hits(spark, sf_dir, analyze_query: bool = False):
     """The full hit set (query, item) - for callers that need every hit."""
     items = bindings.described_items(spark, sf_dir)
     return se.search_hits(_query_terms(spark, sf_dir, analyze_query), ["conv_id", "turn"],
-                          se.description_postings(items), se.tag_postings(items))
+                          se.stemmed(se.description_postings(items)), se.tag_postings(items))
 
 
-@register("search_first_page", ["F7", "J8", "C2", "T1", "A8", "A13", "C10"], bench=True, sql=f"""
-WITH {_SEARCH_SQL},
-r AS (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY id) AS rank,
-             count(*) OVER (PARTITION BY conv_id, turn) AS total FROM hits)
-SELECT conv_id, turn, any_value(total) AS total, CAST(count(*) AS INTEGER) AS size,
-       string_agg(id, '|' ORDER BY rank) AS ids
-FROM r WHERE rank <= {se.DEFAULT_PAGE_SIZE} GROUP BY conv_id, turn
-""")
+@register("search_first_page", ["F7", "J8", "C2", "T1", "A8", "A13", "C10"], bench=True,
+          sql=f"WITH {_SEARCH_SQL},{_FIRST_PAGE_SQL}")
 def search_first_page(spark, sf_dir):
     """Every user turn run as a catalog search over item descriptions and
     tags: hit total and the first page (20 items by id); no hits = no row.
-    Totals come from OR-ed posting bitmaps and the page from each term's
-    first 20 items, so no (query, item) pair set is built."""
-    keys = ["conv_id", "turn"]
+    Query pieces meet the stemmed index as they are.  Totals come from OR-ed
+    posting bitmaps and the page from each term's first 20 items, so no
+    (query, item) pair set is built."""
     qt = _query_terms(spark, sf_dir)
     # Only posting lists of terms some query uses (kept whole: exact).
-    postings = se.used_postings(_postings(spark, sf_dir), qt)
-    index = se.term_index(postings, se.DEFAULT_PAGE_SIZE).checkpoint()
-    res = se.search_results(qt, keys, index, page=0, size=se.DEFAULT_PAGE_SIZE)
-    return res.select(*keys, "total", F.size("ids").alias("size"),
-                      F.array_join("ids", "|").alias("ids"))
+    index = se.term_index(_postings(spark, sf_dir, qt), se.DEFAULT_PAGE_SIZE).checkpoint()
+    return _first_page(qt, index)
+
+
+@register("search_analyzed_first_page", ["C1", "F7", "J8", "T1", "A8"],
+          sql=f"WITH {_ANALYZED_SQL},{_FIRST_PAGE_SQL}")
+def search_analyzed_first_page(spark, sf_dir):
+    """The same searches with analyzed queries: a query's stemmed words and word
+    pairs meet the stemmed index, so that other forms of a word are found."""
+    qt = _query_terms(spark, sf_dir, analyze_query=True)
+    index = se.term_index(_postings(spark, sf_dir, qt), se.DEFAULT_PAGE_SIZE).checkpoint()
+    return _first_page(qt, index)
 
 
 _CATEGORY_SQL = f"""
@@ -216,24 +305,13 @@ def suggest_titles(spark, sf_dir):
     return se.suggest(titles, typed_prefixes(spark, sf_dir))
 
 
-@register("search_first_page_indexed", ["J8", "F7", "A8", "T1"], sql=f"""
-WITH {_SEARCH_SQL},
-r AS (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY id) AS rank,
-             count(*) OVER (PARTITION BY conv_id, turn) AS total FROM hits)
-SELECT conv_id, turn, any_value(total) AS total, CAST(count(*) AS INTEGER) AS size,
-       string_agg(id, '|' ORDER BY rank) AS ids
-FROM r WHERE rank <= {se.DEFAULT_PAGE_SIZE} GROUP BY conv_id, turn
-""")
+@register("search_first_page_indexed", ["J8", "F7", "A8", "T1"], sql=f"WITH {_SEARCH_SQL},{_FIRST_PAGE_SQL}")
 def search_first_page_indexed(spark, sf_dir):
     """The same searches served from a term index written once to the
     shared folder (partitioned by term hash) and read back pruned to the
     query terms - the serving path for many query batches."""
     from shoplytics.streaming.runner import scratch
-    keys = ["conv_id", "turn"]
     path = scratch(spark, "term-index")
     se.build_index(_postings(spark, sf_dir), path, se.DEFAULT_PAGE_SIZE)
     qt = _query_terms(spark, sf_dir)
-    res = se.search_results(qt, keys, se.read_index(spark, path, qt),
-                            page=0, size=se.DEFAULT_PAGE_SIZE)
-    return res.select(*keys, "total", F.size("ids").alias("size"),
-                      F.array_join("ids", "|").alias("ids"))
+    return _first_page(qt, se.read_index(spark, path, qt))
