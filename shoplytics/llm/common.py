@@ -49,3 +49,8 @@ def word_count(text: Column) -> Column:
 def share(spark: SparkSession, rows: int, per_task: int) -> int:
     """Number of even parts of at most about ``per_task`` rows."""
     return max(1, -(-rows // per_task))
+
+
+def row_hash(df: DataFrame, *seed: Column) -> Column:
+    """A hash of a row's values (but for maps and variants, which have none)."""
+    return F.xxhash64(*seed, *[c for c, t in df.dtypes if "map<" not in t and "variant" not in t])

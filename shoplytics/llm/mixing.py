@@ -20,8 +20,8 @@ bucket) with one small table of bucket totals, so a source may hold any share.
 The per-source table (one row per source) is the only one that is ordered whole.
 
 Defined cases: null text has size 0 and takes 0; a null source is a source of
-its own; a null doc_id takes part like any other; rows that repeat a doc_id share one place in the
-shuffle and count each; an empty table gives no rows; extra columns are ignored.
+its own; a null doc_id takes part like any other (its place in the shuffle is its row's); rows that repeat
+a doc_id share one place in the shuffle and count each; long texts count whole; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,18 +29,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shoplytics.llm.common import kept, partitions, pick, plain, word_count
+from shoplytics.llm.common import kept, partitions, pick, plain, row_hash, word_count
 
 BLOCK_WORDS = 4096
 MAX_REPEAT = 3
 SEED = "mix"
 
 
-def sizes(docs: DataFrame, seed: str = SEED) -> DataFrame:
-    """One narrow row per document: doc_id, source, size, order key ``h`` (md5)."""
-    d = pick(docs, "doc_id", "text", "source")
-    key = F.md5(F.concat(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
-    return d.select("doc_id", "source", word_count(F.col("text")).alias("size"), key.alias("h"))
+def sizes(docs: DataFrame, seed: str = SEED, keep: tuple[str, ...] = ()) -> DataFrame:
+    """One narrow row per document: row (a number), doc_id, source, size, order key ``h`` (md5), and ``keep``."""
+    d = pick(docs, "doc_id", "text", "source", *keep).withColumn("row", F.monotonically_increasing_id())
+    # Rows without an id have places of their own, like others.
+    place = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("row "), F.col("row").cast("string")))
+    key = F.md5(F.concat(F.lit(seed), place).cast("binary"))
+    return d.select("row", "doc_id", "source", word_count(F.col("text")).alias("size"), key.alias("h"), *keep)
 
 
 def targets(sized: DataFrame, max_repeat: int = MAX_REPEAT) -> DataFrame:
@@ -141,11 +143,11 @@ def blocks(placed: DataFrame, max_repeat: int = MAX_REPEAT) -> DataFrame:
     return at.withColumn("words", last - first).filter("words > 0").select("row", "sid", "block", first.alias("lo"), "words")
 
 
-def _dealt(docs: DataFrame, block_words: int, max_repeat: int, seed: str) -> tuple[DataFrame, DataFrame]:
+def _dealt(docs: DataFrame, block_words: int, max_repeat: int, seed: str, keep: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
     """(rows, slots): a row per row of ``docs``; and position, sid, block, row, lo, words: which words
     stand in the slot at which position (``lo``: their place in the source's line of words)."""
     spark = docs.sparkSession
-    sized = kept(sizes(docs, seed).withColumn("row", F.monotonically_increasing_id()))
+    sized = kept(sizes(docs, seed, keep))
     per = kept(with_slots(targets(sized, max_repeat), block_words))
     rows = sized.join(per, sized["source"].eqNullSafe(per["source"])).drop(per["source"])
     buckets = max(16, 4 * partitions(spark))
@@ -173,14 +175,27 @@ def mix(docs: DataFrame, block_words: int = BLOCK_WORDS, max_repeat: int = MAX_R
         "doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
 
-def mixed_documents(docs: DataFrame, **how) -> DataFrame:
+def mixed_documents(docs: DataFrame, block_words: int = BLOCK_WORDS, max_repeat: int = MAX_REPEAT, seed: str = SEED) -> DataFrame:
     """``docs`` with each row as often as the mix takes it: taken / size, to the nearest
     whole copy (at most one document of a source is cut by the end of its target).
-    Rows without words have no place in a mix by words and stay once."""
-    part = mix(docs, **how).select("doc_id", F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + 0.5))
-                                   .otherwise(1).cast("int").alias("_copies"))
-    part = part.groupBy("doc_id").agg(F.max("_copies").alias("_copies"))
-    inner, (doc_id,) = plain(docs, "doc_id")
-    out = inner.join(part.select(F.col("doc_id").alias("_id"), "_copies"), F.col(doc_id).eqNullSafe(F.col("_id"))).filter("_copies > 0")
-    out = out.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), F.col("_copies"))))
-    return out.drop("_id", "_copies", "_copy").toDF(*docs.columns)
+    Rows without words have no place in a mix by words and stay once.
+
+    Decided row by row, whatever the ids: a row is told by 128 bits of all its values, and the
+    copies of rows that are equal in all of them are added up and shared out among them."""
+    inner, names = plain(docs, "doc_id", "text", "source")
+    keyed = inner.select("*", row_hash(inner).alias("_k1"), row_hash(inner, F.lit(1)).alias("_k2"))
+    named = keyed.select(*[F.col(c).alias(n) for c, n in zip(names, ("doc_id", "text", "source"))], "_k1", "_k2")
+    rows, slots = _dealt(named, block_words, max_repeat, seed, ("_k1", "_k2"))
+    rows = rows.join(slots.groupBy("row").agg(F.sum("words").alias("taken")), "row", "left")
+    copies = F.when(F.col("size") > 0, F.floor(F.coalesce("taken", F.lit(0)) / F.col("size") + 0.5)).otherwise(1)
+    part = kept(rows.groupBy("_k1", "_k2").agg(F.sum(copies).cast("int").alias("_all"), F.count("*").cast("int").alias("_rows")))
+
+    def times(met: DataFrame, n: str) -> DataFrame:
+        at = met.withColumn("_n", F.expr(n).cast("int")).filter("_n > 0").withColumn("_copy", F.explode(F.expr("array_repeat(1, _n)")))
+        return at.select(*inner.columns)
+
+    out = times(keyed.join(part, ["_k1", "_k2"]), "_all div _rows")
+    odd = part.filter("_all % _rows > 0")  # equal rows whose copies don't share out evenly: the rest goes to one of them
+    if not odd.isEmpty():
+        out = out.unionByName(times(keyed.join(odd, ["_k1", "_k2"]).dropDuplicates(["_k1", "_k2"]), "_all % _rows"))
+    return out.toDF(*docs.columns)

@@ -1,8 +1,8 @@
 """MinHash near-duplicates with an LSH forest of sorted signature orders.
 
 1. Sketch: the set of hashed word shingles of each whole text, and its MinHash
-   signature of 80 values.  Texts with one shingle set form a class, represented by
-   its smallest doc_id; only representatives go on.
+   signature of 80 values.  Texts with one shingle set form a class with a number of its
+   own, represented by the row of its smallest doc_id; only representatives go on.
 2. Forest: tree t orders the representatives by the signature rotated to start at
    its 4t-th value.  The orders are range-partitioned and sorted by Spark, so a dense
    region is split over tasks.  Neighbours in an order that share the first four
@@ -20,11 +20,15 @@ probability 1 - (1 - 0.8 ** 4) ** 20 = 0.99997, and more above it, whatever the
 the region.  Copies are never expanded into pairs: rows are documents with their
 component, links are between classes.
 
-Defined cases: null text or one without words has no shingles and no links; a text
-of fewer words than a shingle has one, its whole sequence; a null doc_id has no
-links, a null component and is kept; rows of one doc_id with several texts are one
-document, linked as any of its texts is; an empty table gives no rows; extra
-columns are ignored by ``near_duplicates`` and kept by ``deduplicated``.
+Defined cases: null text or one without words has no shingles and no links.  A text of
+fewer words than a shingle has one, its whole sequence.  Rows are linked by their texts, so a
+null doc_id takes part like any other: a group is named by its smallest doc_id that is not
+null, and has a null component_id if there is none, in which case one row of it is kept.  To
+``near_duplicates``, rows of one doc_id with several texts are one document, linked as any of its
+texts is; ``deduplicated`` decides by row, and drops none but those whose own text is in the
+group of the row that stays (smallest doc_id, nulls last; of rows equal in id and text, one).
+An empty table gives no rows; extra columns are ignored by ``near_duplicates`` and kept by
+``deduplicated``.
 """
 
 from __future__ import annotations
@@ -37,7 +41,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shoplytics.llm.common import kept, partitions, pick, plain
+from shoplytics.llm.common import WORD, kept, partitions, pick, plain, row_hash
 from shoplytics.llm.components import components
 
 SHINGLE = 5
@@ -49,8 +53,8 @@ BLOCK = 2048
 _WIDTH = 4096
 #: Four standard deviations of the signature's estimate below the threshold.
 AGREE = int(VALUES * (0.8 - 4 * (0.8 * 0.2 / VALUES) ** 0.5))
-#: Ids that may be broadcast (8 bytes each); more are joined by a shuffle.
-BROADCAST_IDS = 2_000_000
+#: Keys of texts that may be broadcast (32 bytes each); more are joined by a shuffle.
+BROADCAST_KEYS = 500_000
 
 _U = np.uint64
 
@@ -99,8 +103,13 @@ def signature(hashes: np.ndarray) -> np.ndarray:
     return out
 
 
+def _text_keys(text: str) -> tuple[Column, Column]:
+    """128 bits that tell a text from others."""
+    return F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(1), text).alias("t2")
+
+
 def sketches(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id, n_shingles, set_key (digest of the shingle set), sig; null key and sig without shingles."""
+    """doc_id, t1, t2 (of the text), n_shingles, set_key (digest of the shingle set), sig; null key and sig without shingles."""
 
     @F.pandas_udf("n_shingles long, set_key string, sig binary")
     def sketch(texts: pd.Series) -> pd.DataFrame:
@@ -110,7 +119,8 @@ def sketches(docs: DataFrame, size: int) -> DataFrame:
             rows.append((len(h), xxhash.xxh128_hexdigest(h.tobytes()), signature(h).tobytes()) if len(h) else (0, None, None))
         return pd.DataFrame(rows, columns=["n_shingles", "set_key", "sig"])
 
-    return pick(docs, "doc_id", "text").select("doc_id", sketch("text").alias("_s")).select("doc_id", "_s.*")
+    rows = pick(docs, "doc_id", "text").select("doc_id", *_text_keys("text"), sketch("text").alias("_s"))
+    return rows.select("doc_id", "t1", "t2", "_s.*")
 
 
 def _orders(reps: DataFrame, *more: str) -> DataFrame:
@@ -174,19 +184,22 @@ def _promising(pairs: DataFrame, reps: DataFrame) -> DataFrame:
     return near.filter(agree("sa", "sb")).select("a", "b").distinct()
 
 
-def _sets(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
-    """doc_id, set: the shingle hashes, as bytes, of the texts of the documents in ``ids``."""
+def _sets(docs: DataFrame, ids: DataFrame, reps: DataFrame, size: int) -> DataFrame:
+    """rep, set: the shingle hashes, as bytes, of the classes in ``ids``, from their representatives' texts."""
 
     @F.pandas_udf("binary")
     def full(texts: pd.Series) -> pd.Series:
         return pd.Series([shingles(t, size).tobytes() for t in texts])
 
-    ids = kept(ids.distinct())
-    ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    return pick(docs, "doc_id", "text").join(ids, "doc_id", "left_semi").select("doc_id", full("text").alias("set")).distinct()
+    first = reps.select("rep", F.col("first.doc_id").alias("id"), F.col("first.t1").alias("k1"), F.col("first.t2").alias("k2"))
+    ids = kept(first.join(ids.distinct(), "rep", "left_semi"))
+    ids = F.broadcast(ids) if ids.count() <= BROADCAST_KEYS else ids
+    texts = pick(docs, "doc_id", "text").select("doc_id", "text", *_text_keys("text"))
+    met = texts.join(ids, (F.col("t1") == F.col("k1")) & (F.col("t2") == F.col("k2")) & F.col("doc_id").eqNullSafe(F.col("id")))
+    return met.select("rep", full("text").alias("set")).distinct()
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, size: int) -> DataFrame:
+def _confirmed(pairs: DataFrame, docs: DataFrame, reps: DataFrame, size: int) -> DataFrame:
     """The pairs with 100 * shared >= PERCENT * union, on the full shingle sets."""
 
     @F.pandas_udf("boolean")
@@ -198,9 +211,9 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, size: int) -> DataFrame:
             out.append(both > 0 and 100 * both >= PERCENT * (len(u) + len(v) - both))
         return pd.Series(out, dtype=bool)
 
-    sets = _sets(docs, pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))), size)
-    a = sets.select(F.col("doc_id").alias("a"), F.col("set").alias("sa"))
-    b = sets.select(F.col("doc_id").alias("b"), F.col("set").alias("sb"))
+    sets = _sets(docs, pairs.select(F.col("a").alias("rep")).unionByName(pairs.select(F.col("b").alias("rep"))), reps, size)
+    a = sets.select(F.col("rep").alias("a"), F.col("set").alias("sa"))
+    b = sets.select(F.col("rep").alias("b"), F.col("set").alias("sb"))
     return kept(pairs.join(a, "a").join(b, "b").filter(linked("sa", "sb")).select("a", "b").distinct())
 
 
@@ -271,8 +284,7 @@ def _across(reps: DataFrame, comps: DataFrame, docs: DataFrame, size: int) -> Da
     cut = region.filter("rights > 1")
     rows = whole.unionByName(cut.filter(outside).select(*names, own("lefts").alias("i"), every("rights").alias("j"), F.lit(0).alias("side"))) \
         .unionByName(cut.select(*names, every("lefts").alias("i"), own("rights").alias("j"), F.lit(1).alias("side")))
-    sets = _sets(docs, region.select(F.col("rep").alias("doc_id")), size)
-    rows = rows.join(sets.withColumnRenamed("doc_id", "rep"), "rep")
+    rows = rows.join(_sets(docs, region.select("rep"), reps, size), "rep")
 
     def walk(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Region by region: their rows are together, in order."""
@@ -291,39 +303,61 @@ def _across(reps: DataFrame, comps: DataFrame, docs: DataFrame, size: int) -> Da
     return _pairs(dealt.select("key", "i", "j", "side", "rep", "comp", "set").mapInPandas(walk, "a long, b long"))
 
 
-def links(docs: DataFrame, size: int = SHINGLE) -> tuple[DataFrame, DataFrame]:
-    """(rows, links): rows with doc_id, n_shingles, set_key, rep (their class), and the
-    confirmed links (a, b) between classes."""
-    sketched = kept(sketches(docs, size))
-    known = sketched.filter("set_key IS NOT NULL AND doc_id IS NOT NULL")
-    reps = kept(known.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"),
-                                             F.first("n_shingles").alias("n_shingles")))
-    rows = sketched.drop("sig").join(reps.select("set_key", "rep"), "set_key", "left")
-    # A doc_id with several texts joins their classes, and its rows without shingles go with them.
-    known = rows.filter("rep IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", "rep")
-    ends = known.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("z"))
-    several = known.join(ends.filter("a < z").drop("z"), "doc_id").select("a", F.col("rep").alias("b")).filter("a <> b").distinct()
-    bare = rows.filter("set_key IS NULL").drop("rep").join(ends.select("doc_id", F.col("a").alias("rep")), "doc_id", "left")
-    rows = rows.filter("set_key IS NOT NULL").unionByName(bare)
+def _links(docs: DataFrame, size: int, reps: DataFrame, known: DataFrame) -> DataFrame:
+    """The confirmed links (a, b) between classes; ``known``: links that hold anyway."""
     near = kept(_promising(_neighbours(reps), reps))
-    one = kept(_confirmed(near, docs, size).unionByName(several))
-    return rows, one.unionByName(kept(_across(reps, components(one), docs, size)))
+    one = kept(_confirmed(near, docs, reps, size).unionByName(known))
+    return one.unionByName(kept(_across(reps, components(one), docs, size)))
+
+
+def _classes(docs: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
+    """(rows, classes): a narrow row per row of ``docs``; set_key, sig, n_shingles, rep (a number) and
+    ``first``, the representative row, of each class."""
+    rows = kept(sketches(docs, size).withColumn("row", F.monotonically_increasing_id()))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "t1", "t2", "row"))
+    by_set = rows.filter("set_key IS NOT NULL").groupBy("set_key").agg(
+        first.alias("first"), F.first("sig").alias("sig"), F.first("n_shingles").alias("n_shingles"))
+    return rows.select("row", "doc_id", "n_shingles", "set_key"), kept(by_set.withColumn("rep", F.monotonically_increasing_id()))
 
 
 def near_duplicates(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row per row of ``docs``."""
-    rows, edges = links(docs, size)
-    comps = kept(components(edges))
-    out = rows.join(comps, F.col("rep") == F.col("node"), "left")
-    comp = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id"))
-    return out.select("doc_id", "n_shingles", comp.alias("component_id"),
-                      F.coalesce(F.col("doc_id") == comp, F.lit(True)).alias("kept"))
+    rows, reps = _classes(docs, size)
+    rows = rows.join(reps.select("set_key", "rep", "first"), "set_key", "left")
+    # A doc_id with several texts joins their classes, and its rows without shingles go with them.
+    known = rows.filter("rep IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", "rep")
+    ends = known.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("z"))
+    several = known.join(ends.filter("a < z").drop("z"), "doc_id").select("a", F.col("rep").alias("b")).filter("a <> b").distinct()
+    bare = rows.filter("set_key IS NULL").drop("rep", "first").join(ends.select("doc_id", F.col("a").alias("rep")), "doc_id", "left")
+    rows = rows.filter("set_key IS NOT NULL").unionByName(bare.join(reps.select("rep", "first"), "rep", "left"))
+
+    comps = kept(components(_links(docs, size, reps, several)))
+    tops = comps.join(reps.select(F.col("rep").alias("node"), "first"), "node").groupBy("component").agg(F.min("first").alias("top"))
+    out = rows.join(comps.join(tops, "component").select("node", "top"), F.col("rep") == F.col("node"), "left")
+    out = out.withColumn("top", F.coalesce("top", "first"))
+    component = F.coalesce("top.doc_id", "doc_id")
+    stays = (F.when(F.col("doc_id").isNotNull(), F.col("doc_id") == component).when(F.col("top").isNull(), F.lit(True))
+             .otherwise(F.col("top.nameless") & (F.col("row") == F.col("top.row"))))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), stays.alias("kept"))
 
 
 def deduplicated(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """``docs`` with one document of each group: the one of the smallest doc_id (one row of it)."""
-    out = near_duplicates(docs, size).filter("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_kept")).distinct()
-    inner, (doc_id,) = plain(docs, "doc_id")
-    # The ids of kept documents grow with the input: a shuffle join, on one row per id.
-    stay = inner.join(out, F.col(doc_id) == F.col("_kept"), "left_semi").dropDuplicates([doc_id])
-    return stay.unionByName(inner.filter(F.col(doc_id).isNull())).toDF(*docs.columns)
+    """``docs`` with one row of each group; rows without shingles all stay."""
+    _, reps = _classes(docs, size)
+    none = docs.sparkSession.createDataFrame([], "a long, b long")
+    comps = kept(components(_links(docs, size, reps, none)))
+    groups = reps.select("rep", "first").join(comps, F.col("rep") == F.col("node"), "left")
+    tops = groups.groupBy(F.coalesce("component", "rep").alias("group")).agg(F.min("first").alias("top"))
+
+    inner, (doc_id, text) = plain(docs, "doc_id", "text")
+    keys = ["_t1", "_t2", "_null", "_id"]
+
+    def keyed(id_: str, *t: Column) -> list[Column]:
+        return [t[0].alias("_t1"), t[1].alias("_t2"), F.col(id_).isNull().alias("_null"), F.coalesce(id_, F.lit(0)).alias("_id")]
+
+    chosen = tops.select(*keyed("top.doc_id", F.col("top.t1"), F.col("top.t2")))
+    worded = F.coalesce(F.col(text), F.lit("")).rlike(WORD)
+    # The rows that stay grow with the input: a shuffle join, whose partitioning also serves to take one of equal rows.
+    stay = inner.filter(worded).select("*", *keyed(doc_id, *_text_keys(text))).join(chosen, keys, "left_semi")
+    one = stay.groupBy(*keys).agg(F.min_by(F.struct(*inner.columns), row_hash(inner)).alias("r")).select("r.*")
+    return one.unionByName(inner.filter(~worded)).toDF(*docs.columns)

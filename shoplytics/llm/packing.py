@@ -9,15 +9,15 @@ residuals; each carries a bitmap of its sources and one of its clusters, and the
 search starts at the first bin that is large enough and goes on to its successors
 until a compatible one - the tightest - is found, or a new bin is opened.
 
-Items are dealt evenly to parts of at most about ``PART_ROWS`` by a hash of
-document and piece; each part is packed on its own in one task, from narrow rows
-(no texts), so a hot source is spread over all parts.  Loss against one large
-packing: the open bins at the end of each part.
+Items are numbered in order of their values - cluster, document, source, piece - and dealt to
+parts of at most about ``PART_ROWS`` in turn, so the packing does not depend on the file
+split, and neighbours in that order - a cluster's copies, a hot document's pieces - spread over all
+parts.  Each part is packed on its own in one task, from narrow rows (no texts).  Loss
+against one large packing: the open bins at the end of each part.
 
 Defined cases: null text or one without words is an item of 0 words that goes to a
 bin like any other; a null source is a source of its own; a null doc_id is packed; rows that
-repeat are packed each, and as copies never share a bin; ties go by doc_id, then
-piece; an empty table gives no rows; extra columns are ignored.
+repeat are packed each, and as copies never share a bin; ties go by the number above; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shoplytics.llm.common import WORD, kept, pick, share
+from shoplytics.operators.ordering import row_number
 
 CAPACITY = 2048
 PART_ROWS = 8192
@@ -38,15 +39,15 @@ _STEP = 512
 
 
 def items(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """row, doc_id, source, cluster, piece, word_start, words: narrow rows, one per piece."""
+    """doc_id, source, cluster, piece, word_start, words: narrow rows, one per piece."""
     d = pick(docs, "doc_id", "text", "source").withColumn("text", F.coalesce("text", F.lit("")))
     words = F.regexp_count("text", F.lit(WORD)).cast("long")
     plain = F.lower(F.trim(F.regexp_replace("text", r"[\x20\x09-\x0D]+", " ")))
-    d = d.select(F.monotonically_increasing_id().alias("row"), "doc_id", "source", F.xxhash64(plain).alias("cluster"), words.alias("n"))
+    d = d.select("doc_id", "source", F.xxhash64(plain).alias("cluster"), words.alias("n"))
     last = F.greatest(F.lit(0), F.ceil(F.col("n") / capacity) - 1).cast("int")
     d = d.withColumn("piece", F.explode(F.sequence(F.lit(0), last)))
     start = F.col("piece").cast("long") * capacity
-    return d.select("row", "doc_id", "source", "cluster", "piece", start.alias("word_start"),
+    return d.select("doc_id", "source", "cluster", "piece", start.alias("word_start"),
                     F.least(F.col("n") - start, F.lit(capacity)).cast("long").alias("words"))
 
 
@@ -113,18 +114,20 @@ def best_fit(sizes: np.ndarray, sources: pd.Series, clusters: pd.Series, capacit
     return bin_of
 
 
-_OUT = "bin string, position int, doc_id long, source string, piece int, word_start long, words long, row long"
+# doc_id goes through pandas as a string: a long column with a null would come as rounded floats.
+_OUT = "bin string, position int, doc_id string, source string, piece int, word_start long, words long"
 
 
 def pack(docs: DataFrame, capacity: int = CAPACITY, part_rows: int = PART_ROWS) -> DataFrame:
     """bin, position, doc_id, source, piece, word_start, words: which words of which
     document stand where.  ``bin`` names the part and its bin."""
     spark = docs.sparkSession
-    all_ = kept(items(docs, capacity))
+    all_ = row_number(items(docs, capacity), ["cluster", "doc_id", "source", "piece"], "number")
+    all_ = kept(all_.withColumn("doc_id", F.col("doc_id").cast("long").cast("string")))
     n = share(spark, all_.count(), part_rows)
 
     def packed(key: tuple, p: pd.DataFrame) -> pd.DataFrame:
-        p = p.sort_values(["words", "doc_id", "row", "piece"], ascending=[False, True, True, True], kind="stable")
+        p = p.sort_values(["words", "number"], ascending=[False, True], kind="stable")
         whole = (p["words"] == capacity).to_numpy()
         full, rest = p[whole], p[~whole]
         bins = np.concatenate([-1 - np.arange(len(full)), best_fit(rest["words"].to_numpy(), rest["source"], rest["cluster"], capacity)])
@@ -133,8 +136,9 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, part_rows: int = PART_ROWS)
         p["position"] = p.groupby("bin").cumcount()
         return p[[c.split()[0] for c in _OUT.split(", ")]]
 
-    dealt = all_.withColumn("part", F.pmod(F.xxhash64("row", "piece"), F.lit(n)).cast("int"))
-    return dealt.groupBy("part").applyInPandas(lambda key, p: packed(key, p), _OUT).drop("row")
+    dealt = all_.withColumn("part", F.pmod("number", F.lit(n)).cast("int"))
+    out = dealt.groupBy("part").applyInPandas(lambda key, p: packed(key, p), _OUT)
+    return out.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def sequences(docs: DataFrame, capacity: int = CAPACITY) -> Iterator | DataFrame:

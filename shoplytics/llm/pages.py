@@ -36,12 +36,14 @@ from shoplytics.llm.common import pick
 from shoplytics.llm.labelled_pages import PAGES
 
 _TAG = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/><]*)((?:[^><\"']|\"[^\"]*\"|'[^']*')*+)>", re.S)
+    r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/><]*)((?:[^><\"'=]|=\s*(?:\"[^\"]*\"|'[^']*')|[=\"'])*+)>", re.S)
 _ATTR = re.compile(r"([a-zA-Z_:][-\w:.]*)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 _NAME = re.compile(r"[a-z]+")
 
 #: Elements whose content is no text of the page.
-DROPPED = frozenset("script style head title noscript template iframe object svg math select textarea button audio video canvas".split())
+DROPPED = frozenset("script style title noscript template iframe object svg math select textarea button audio video canvas".split())
+#: Elements that can stand in the head; any other ends it.
+HEAD = frozenset("base link meta title script style noscript template html head".split())
 #: Elements that make a block of their own.
 BLOCKS = frozenset("""html body main article section header footer nav aside div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table
 thead tbody tfoot tr td th caption blockquote pre figure figcaption form fieldset legend label details summary address center hgroup menu search dialog""".split())
@@ -53,6 +55,20 @@ _ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td"
 _HOLDS = frozenset("ul ol menu dl table".split())
 
 
+_SAME = {t: re.compile(rf"<(/?){t}(?![a-zA-Z])", re.I) for t in DROPPED - _RAW.keys()}
+
+
+def _with_end(page: str, tag: str) -> set[int]:
+    """Where the opening tags of an element stand that have a closing tag of their own."""
+    open_, out = [], set()
+    for m in _SAME[tag].finditer(page):
+        if not m[1]:
+            open_.append(m.start())
+        elif open_:
+            out.add(open_.pop())
+    return out
+
+
 class Dom:
     """Blocks in page order (parents first) and the runs of text with their blocks."""
 
@@ -61,14 +77,18 @@ class Dom:
         self.runs: list[tuple[int, list[str]]] = []  # block, pieces of text
         self.chars, self.link_chars = [0], [0]
         stack, dropped, in_link = [0], 0, False
+        loose = in_head = False  # in a dropped element without an end; in the head
+        ended: dict[str, set[int]] = {}
         pos, end = 0, len(page)
         fresh = True  # the next text begins a run
         open_: Counter = Counter()  # open blocks by tag
         while pos < end:
             m = _TAG.search(page, pos)
             stop = m.start() if m else end
-            if stop > pos and not dropped:
-                text = page[pos:stop]
+            text = page[pos:stop] if stop > pos and not dropped else ""
+            if in_head and text.strip():
+                in_head = False
+            if text and not in_head:
                 if "&" in text:
                     text = html.unescape(text)
                 if fresh or self.runs[-1][0] != stack[-1]:
@@ -85,6 +105,12 @@ class Dom:
             if m.group(2) is None:
                 continue
             tag, closing = m.group(2).lower(), m.group(1) == "/"
+            if tag == "head":
+                in_head = not closing
+                continue
+            in_head = in_head and tag in HEAD
+            if dropped and loose and (tag in BLOCKS or tag in DROPPED):
+                dropped, loose = 0, False  # no end was there: the next block ends it
             if tag in DROPPED:
                 if tag in _RAW and not closing:
                     close = _RAW[tag].search(page, pos)
@@ -92,13 +118,13 @@ class Dom:
                 elif closing:
                     dropped = max(0, dropped - 1)
                 elif not m.group(3).rstrip().endswith("/"):
+                    if tag not in ended:
+                        ended[tag] = _with_end(page, tag)
+                    loose = loose if dropped else m.start() not in ended[tag]
                     dropped += 1
                 continue
             if dropped:
-                if tag == "body" and not closing:
-                    dropped = 0  # a head that was never closed
-                else:
-                    continue
+                continue
             if tag in ("br", "hr"):
                 if self.runs and not fresh:
                     self.runs[-1][1].append(" ")

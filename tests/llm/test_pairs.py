@@ -47,12 +47,20 @@ def brute_components(data, size):
 
 
 def check_neardup(df, size):
-    want, sizes = brute_components([(r.doc_id, r.text) for r in pick(df, "doc_id", "text").collect()], size)
+    """Against all pairs; rows without an id are documents of their own, which name no group."""
+    nameless = 10 ** 15
+    data = [(r.doc_id if r.doc_id is not None else nameless + i, r.text)
+            for i, r in enumerate(pick(df, "doc_id", "text").collect())]
+    want, sizes = brute_components(data, size)
     got = rows(neardup.near_duplicates(df, size))
     assert len(got) == df.count()
-    assert {(r["doc_id"], r["n_shingles"]) for r in got} == sizes
-    assert {r["doc_id"]: r["component_id"] for r in got if r["doc_id"] is not None} == want
-    assert all(r["kept"] == (r["doc_id"] is None or r["doc_id"] == r["component_id"]) for r in got)
+    assert {(r["doc_id"], r["n_shingles"]) for r in got} == {(i if i < nameless else None, n) for i, n in sizes}
+    assert {r["doc_id"]: r["component_id"] for r in got if r["doc_id"] is not None} == {i: c for i, c in want.items() if i < nameless}
+    assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in got if r["doc_id"] is not None)
+    named = sorted(c if c < nameless else -1 for i, c in want.items() if i >= nameless)
+    assert sorted(-1 if r["component_id"] is None else r["component_id"] for r in got if r["doc_id"] is None) == named
+    # Of a group without any id, one row stays.
+    assert sum(r["kept"] for r in got if r["doc_id"] is None) == len({c for c in want.values() if c >= nameless})
     return got
 
 
@@ -90,7 +98,10 @@ def test_near_duplicates_in_a_region_of_many_blocks(spark, monkeypatch):
     sigs[:, :neardup.BASE] = 0
     reps = spark.createDataFrame([(i, bytearray(s.tobytes()), 1) for i, s in enumerate(sigs)], "rep long, sig binary, n_shingles long")
     alone = spark.createDataFrame([], "node long, component long")
-    got = neardup._across(reps, alone, docs(spark, list(enumerate(texts))), 1)
+    df = docs(spark, list(enumerate(texts)))
+    named = df.select("doc_id", *neardup._text_keys("text"))
+    reps = reps.join(named, reps.rep == named.doc_id).withColumn("first", F.struct("doc_id", "t1", "t2"))
+    got = neardup._across(reps, alone, df, 1)
     assert sorted((r.a, r.b) for r in got.collect()) == [(i, i + 20) for i in range(20)]
 
 
@@ -112,6 +123,26 @@ def test_deduplicated_keeps_one_of_each_group(spark):
     assert sorted((r.doc_id for r in got.collect()), key=str) == [1, 99, None]
 
 
+def test_deduplicated_decides_by_row(spark):
+    words = [f"w{i}" for i in range(40)]
+    x, y, z = " ".join(words), " ".join(words[::-1]), " ".join(words[9:] + words[:9])
+    near = " ".join(words[:-1] + ["other"])
+    made = [(1, x), (1, y), (2, near), (None, x), (None, z), (None, z), (None, "alone"), (7, z + " z"), (3, None), (3, None), (None, ""),
+            (2 ** 60 + 1, y), (9, "once"), (9, "once")]
+    got = sorted(((r.doc_id, r.text) for r in neardup.deduplicated(docs(spark, made, TEXT=1, _T1=2)).collect()), key=str)
+    assert got == sorted([(1, x), (1, y), (7, z + " z"), (None, "alone"), (3, None), (3, None), (None, ""), (9, "once")], key=str)
+    # Rows that differ in another column alone: one of them, always the same.
+    twice = docs(spark, [(4, x, "b"), (4, x, "a")])
+    assert len({r.source for _ in range(3) for r in neardup.deduplicated(twice.repartition(2)).collect()}) == 1
+    assert neardup.deduplicated(docs(spark, [])).count() == 0
+
+
+def test_groups_without_ids_have_one_row_that_stays(spark):
+    words = " ".join(f"w{i}" for i in range(30))
+    made = [(None, words)] * 5 + [(None, words + " more")] * 2 + [(8, "only"), (None, "only"), (None, None), (None, None)]
+    check_neardup(docs(spark, made).repartition(3), 5)
+
+
 def test_components_of_long_chains(spark):
     ids = list(range(600))
     random.Random(1).shuffle(ids)
@@ -282,3 +313,21 @@ def test_pack_cases(spark):
         assert len({r["doc_id"] for r in b} & {1, 2}) < 2
     assert rows(packing.pack(docs(spark, []))) == []
     assert sum(r.words for r in packing.sequences(docs(spark, made), 64).collect()) == 3 * 3 + 2 + 10_000 + 64
+
+
+def test_pack_keeps_large_ids_beside_null_ones(spark):
+    made = [(2 ** 60 + 1, "a b c", "s"), (None, "d e", "t"), (2 ** 53 + 1, "f g h i", "u"), (-(2 ** 62) - 1, "", None)]
+    assert sorted((r["doc_id"] for r in rows(packing.pack(docs(spark, made)))), key=str) == sorted([i for i, *_ in made], key=str)
+
+
+def test_packing_does_not_depend_on_the_file_split(spark):
+    table = spark.read.parquet(f"{SF}/documents.parquet").limit(400)
+    table = table.unionByName(table.limit(30))
+
+    def bins(df):
+        held = {}
+        for r in rows(packing.pack(df, 512, part_rows=100)):
+            held.setdefault(r["bin"], []).append((r["doc_id"], r["piece"], r["word_start"], r["words"]))
+        return sorted(sorted(b) for b in held.values())
+
+    assert bins(table.coalesce(1)) == bins(table.repartition(7))

@@ -207,3 +207,27 @@ def test_toxicity_cases(spark):
     assert sorted(r.doc_id for r in left.collect()) == [i for i in range(120) if i % 3]
     assert {r["score"] for r in rows(toxicity.score(df, toxicity.fit(df, labels.limit(0))))} == {0.0}
     assert rows(toxicity.score(docs(spark, []), g)) == []
+
+
+def _text(page):
+    return " ".join("".join(p) for _, p in pages.Dom(page).runs)
+
+
+def test_pages_without_a_closed_head():
+    article = "<article><h1>Title here</h1><p>" + "Words of the article go on and on. " * 8 + "</p></article>"
+    for page in (f"<html><head><title>t</title>{article}", f"<html><head><meta charset=x><style>p</style>{article}</html>",
+                 f"<head><title>t</title><body>{article}", f"<title>t</title>{article}", f"<html><head><title>t</title></head>{article}"):
+        assert "Title here" in _text(page) and "on and on" in _text(page) and "charset" not in _text(page), page
+
+
+def test_dropped_elements_without_an_end():
+    for tag in ("button", "select", "object", "svg", "canvas"):
+        page = f"<body><div><{tag} class=x>Buy now</div><p>First words.</p><{tag}>inner <p>gone</p></{tag}><p>Last words.</p></body>"
+        got = _text(page)
+        assert "First words." in got and "Last words." in got and "Buy" not in got and "gone" not in got, (tag, got)
+
+
+def test_stray_quotes_stay_in_their_tag():
+    assert _text("<p title=O'Brien>He said</p><p>it's</p>").split() == ["He", "said", "it's"]
+    assert _text("<p title=\"a > b\" data-x='<i>'>Text</p>").strip() == "Text"
+    assert _text("<p title=\"open>Text</p><p>More</p>").split() == ["Text", "More"]
