@@ -125,7 +125,7 @@ def test_deduplicated_keeps_one_of_each_group(spark):
 
 def test_deduplicated_decides_by_row(spark):
     words = [f"w{i}" for i in range(40)]
-    x, y, z = " ".join(words), " ".join(words[::-1]), " ".join(words[9:] + words[:9])
+    x, y, z = " ".join(words), " ".join(words[::-1]), " ".join(f"v{i}" for i in range(40))
     near = " ".join(words[:-1] + ["other"])
     made = [(1, x), (1, y), (2, near), (None, x), (None, z), (None, z), (None, "alone"), (7, z + " z"), (3, None), (3, None), (None, ""),
             (2 ** 60 + 1, y), (9, "once"), (9, "once")]
