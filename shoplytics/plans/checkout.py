@@ -120,3 +120,30 @@ def checkout_state_stream(spark, sf_dir):
     in-flight checkout, completions, rejected requests)."""
     from shoplytics.streaming.checkout import checkout_state_stream as run
     return run(spark, sf_dir)
+
+
+def _token_words(spark, sf_dir):
+    return co.word_table(table(spark, sf_dir, "benchmark").select(F.explode(se.tokens("text")).alias("word")))
+
+
+@register("checkout_records", ["ST9", "C11", "T8"])
+def checkout_records(spark, sf_dir):
+    """Every completed checkout of the event stream with its e-mail, basket and the
+    digest of its tokens; completions with a wrong token response are none."""
+    from shoplytics.streaming import checkout as sc
+    words = _token_words(spark, sf_dir).checkpoint()
+    done = sc.records(sc.checkout_records(spark, sf_dir, words))
+    tokens = co.sample_tokens(done, words).groupBy("checkout_id").agg(
+        F.array_sort(F.collect_list(F.struct("i", "word"))).alias("tokens"))
+    shown = F.array_join(F.transform(F.coalesce("tokens", F.array().cast("array<struct<i:int,word:string>>")), lambda x: x["word"]), " ")
+    return done.join(tokens, "checkout_id", "left").select(
+        "checkout_id", "shopper", "ts_ms", "email", "items", "n_tokens", F.md5(shown).alias("tokens_md5"))
+
+
+@register("checkout_attempts", ["ST9", "C11"])
+def checkout_attempts(spark, sf_dir):
+    """Per shopper after the stream: checkouts completed, requests rejected, completions
+    with wrong responses, and the step of the checkout in flight."""
+    from shoplytics.streaming import checkout as sc
+    rows = sc.checkout_records(spark, sf_dir, _token_words(spark, sf_dir).checkpoint())
+    return sc.states(rows).select("shopper", "items", "step", "completed", "rejected", "wrong")

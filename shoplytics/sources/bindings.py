@@ -13,6 +13,8 @@ Fixed values (the binding of test columns to shop notions):
 * top-pick click / impression: event_type ``click`` / ``view``
 * basket add / remove / checkout email / completed:
   ``click`` / ``error`` / ``signup`` / ``purchase``
+* checkout e-mail: the shopper's number at one host; token responses: what a shopper typed,
+  nothing on most completions, ``props.k`` as a word on those with event_id mod 5 = 0
 * page location: ``pages.url``, rewritten by page_id mod 7 so that every kind of
   route occurs (``page_locations``)
 * photo id: the part key, of even keys with leading zeros (``photo_id``)
@@ -52,6 +54,16 @@ def product_id(props_col="props"):
     return F.get_json_object(F.col(props_col), "$.k")
 
 
+def checkout_email():
+    return F.concat(F.lit("shopper"), F.col("user_id").cast("string"), F.lit("@shop.example"))
+
+
+def token_responses():
+    """Words typed at a completion."""
+    typed = F.when(F.pmod("event_id", F.lit(5)) == 0, F.array(F.coalesce(product_id(), F.lit("")))).otherwise(F.array().cast("array<string>"))
+    return F.when(F.col("event_type") == CHECKOUT_DONE, typed)
+
+
 def click_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """events as (event_id, ts, shopper, event_type, item)."""
     ev = table(spark, sf_dir, "events")

@@ -135,8 +135,7 @@ def test_checkout_machine_matches_model(spark, tmp_path):
         d = tmp_path / f"c{compat}"
         src = _stream(spark, d, [EVENTS[:6], EVENTS[6:]])
         ev = sc.checkout_events(src, _catalog(spark))
-        res = runner.run_to_table(ev, lambda x: sc.checkout_updates(x, compat), ["shopper"],
-                                  str(d / "out"), str(d / "ckpt"))
+        res = sc.states(sc.run(ev, str(d / "run"), compat))
         got = {r["shopper"]: (r["items"], r["step"], r["n_tokens"], r["completed"], r["rejected"])
                for r in res.collect()}
         in_ms = [(e, sec * 1000 + 1704067200000, sh, t, it) for e, sec, sh, t, it in EVENTS]
@@ -210,8 +209,7 @@ def test_checkout_with_emptied_basket(spark, tmp_path):
     rows = [(1, 1, 4, "click", "5"), (2, 2, 4, "error", "5"), (3, 3, 4, "signup", None),
             (4, 4, 4, "purchase", None), (5, 5, 4, "click", "6"), (6, 6, 4, "signup", None)]
     src = _stream(spark, tmp_path, [rows[:3], rows[3:]])
-    res = runner.run_to_table(sc.checkout_events(src, _catalog(spark)), sc.checkout_updates,
-                              ["shopper"], str(tmp_path / "out"), str(tmp_path / "ckpt")).first()
+    res = sc.states(sc.run(sc.checkout_events(src, _catalog(spark)), str(tmp_path / "run"))).first()
     in_ms = [(e, sec * 1000 + 1704067200000, sh, t, it) for e, sec, sh, t, it in rows]
     want = _model(in_ms)[4]
     assert (res["items"], res["step"], res["n_tokens"], res["completed"], res["rejected"]) == want
@@ -222,3 +220,74 @@ def test_tokens_with_empty_word_list(spark):
     checkouts = spark.createDataFrame([("c1", 3)], "checkout_id string, n_tokens long")
     words = spark.createDataFrame([], "idx long, word string")
     assert co.sample_tokens(checkouts, words).count() == 0
+
+
+def test_token_responses_and_records(spark, tmp_path):
+    """Right, wrong, missing and too many responses, over any split into batches."""
+    import hashlib
+
+    from shoplytics.functions.random import hash48_py
+    words = spark.createDataFrame([(i, f"word{i}") for i in range(7)], "idx long, word string")
+
+    def shown(shopper, opened, n):
+        id_ = hashlib.md5(str(shopper).encode()).hexdigest() + str(opened)
+        return id_, [f"word{hash48_py(id_, i) % 7}" for i in range(1, n + 1)]
+
+    opened = 1_700_000_003_000
+    id_, tokens = shown(5, opened, 3)
+    wrong = ["nothing"] + tokens[1:]
+
+    def at(second, kind, item=None, price=None, responses=None, shopper=5):
+        return (second, kind, shopper, 1_700_000_000_000 + 1000 * second, item, price, f"s{shopper}@x", responses)
+
+    events = [at(1, "add", "a", 1), at(2, "add", "b", 2), at(3, "email"), at(4, "done", responses=wrong), at(5, "done", responses=tokens + ["x"]),
+              at(6, "done", responses=tokens[:2]), at(7, "done", responses=tokens), at(8, "add", "c", 1), at(9, "email"),
+              at(10, "add", "zz"), at(11, "email", shopper=6), at(12, "done", responses=[], shopper=6)]
+    schema = "event_id long, kind string, shopper long, ts_ms long, item string, price int, email string, responses array<string>"
+
+    def result(splits, compat):
+        root = tmp_path / f"{len(splits)}-{compat}"
+        handler = sc.CheckoutStream(str(root), compat, words)
+        for i, (lo, hi) in enumerate(splits):
+            handler(spark.createDataFrame(events[lo:hi], schema), i)
+            handler(spark.createDataFrame(events[lo:hi], schema), i)  # a replay changes nothing
+        rows = spark.read.option("basePath", str(root)).schema(f"{sc._ROW}, batch int").parquet(str(root))
+        return (sorted(map(tuple, sc.records(rows).collect())), sorted(map(tuple, sc.states(rows).drop("checkout_id", "last_completed").collect())))
+
+    n = len(events)
+    strict = result([(0, n)], False)
+    assert strict == result([(i, i + 1) for i in range(n)], False) == result([(0, 4), (4, 9), (9, n)], False)
+    empty, _ = shown(6, 1_700_000_011_000, 0)
+    assert strict[0] == sorted([(id_, 5, 1_700_000_007_000, "s5@x", "a|b", 3), (empty, 6, 1_700_000_012_000, "s6@x", None, 0)])
+    assert strict[1] == [(5, "c", 1, 1, 1, 1, 3), (6, None, None, None, 1, 0, 0)]
+    # The reference's rule checks the responses that are given: two of three are enough.
+    assert result([(0, n)], True)[0][0][2] in (1_700_000_006_000, 1_700_000_012_000)
+    with_two = [r for r in result([(0, 2), (2, n)], True)[0] if r[1] == 5]
+    assert [r[2] for r in with_two] == [1_700_000_006_000, 1_700_000_007_000] or with_two[0][2] == 1_700_000_006_000
+
+
+def test_a_shopper_with_most_events_is_walked_chunk_by_chunk(spark):
+    """The pass holds one machine, not the shopper's rows: it takes chunks as they come."""
+    import pyarrow as pa
+    seen = []
+
+    def chunks():
+        for k in range(50):
+            seen.append(k)
+            yield pa.RecordBatch.from_pylist([{"kind": "add", "shopper": 1, "ts_ms": i, "event_id": i, "item": str(i % 9), "price": 1,
+                                               "email": None, "responses": None} for i in range(k * 100, k * 100 + 100)])
+
+    out = []
+    for i, b in enumerate(sc._walk(False, 1)(chunks())):
+        assert len(seen) <= i + 1
+        out += b.to_pylist()
+    assert [(r["kind"], len(r["basket"])) for r in out] == [("state", 9)]
+
+
+def test_registered_checkout_records_take_both_branches(spark):
+    from shoplytics.plans.registry import load_all
+    from tests.conftest import SF001
+    done = load_all()["checkout_records"].run(spark, SF001).collect()
+    tries = load_all()["checkout_attempts"].run(spark, SF001).collect()
+    assert len(done) == sum(r["completed"] for r in tries) > 0 and sum(r["wrong"] for r in tries) > 0
+    assert len({r["checkout_id"] for r in done}) == len(done)
