@@ -113,3 +113,56 @@ def beta_py(seed, key, a: int, b: int) -> float:
 
 def hash48_py(*parts) -> int:
     return int(hashlib.md5("|".join(str(p) for p in parts).encode()).hexdigest()[:12], 16)
+
+
+# --- keyed permutations ---------------------------------------------------------
+
+ROUNDS, WALKS = 4, 200
+
+
+def permuted(place, n, *key) -> Column:
+    """Where the keyed permutation of 0 .. n - 1 sends ``place``: a Feistel network on the
+    next power of four, walked along its cycle until it is back below ``n`` (a walk leaves the
+    rest of the domain with over one in four a step; should ``WALKS`` not do, once in 1e25,
+    the query fails).  Different places get different values, without a table of size n."""
+    n = _c(n)
+    half = F.expr("1L") * F.pow(F.lit(2), F.ceil(F.length(F.bin(F.greatest(n - 1, F.lit(0)))) / 2)).cast("bigint")
+
+    def network(x: Column) -> Column:
+        def turn(v, r):
+            left, right = F.floor(v / half).cast("bigint"), v % half
+            return right * half + left.bitwiseXOR(hash48(*key, r, right) % half)
+        return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), x.cast("bigint"), turn)
+
+    start = F.aggregate(F.array(_c(place).cast("bigint")), F.lit(0).cast("bigint"), lambda _, x: network(x))
+    walked = F.aggregate(F.sequence(F.lit(1), F.lit(WALKS)), start, lambda v, _: F.when(v < n, v).otherwise(network(v)))
+    checked = F.aggregate(F.array(walked), F.lit(0).cast("bigint"), lambda _, v: F.when(v < n, v).otherwise(
+        F.raise_error(F.lit("a walk of the permutation did not end")).cast("bigint")))
+    return F.when(n > 0, checked)
+
+
+def permuted_sql(place: str, n: str, *key: str) -> str:
+    """The same place in DuckDB SQL, for oracles."""
+    half = f"(1::BIGINT << CAST(ceil(length(bin(greatest({n} - 1, 0))) / 2) AS INTEGER))"
+
+    def network(x: str) -> str:
+        return (f"list_reduce(list_concat([{x}], range(1, {ROUNDS + 1})), lambda v, r: (v % {half}) * {half} + "
+                f"xor(v // {half}, {hash48_sql(*key, 'r', f'(v % {half})')} % {half}))")
+    return (f"list_reduce(list_concat([{network(f'CAST({place} AS BIGINT)')}], range(1, {WALKS + 1})), "
+            f"lambda u, w: CASE WHEN u < {n} THEN u ELSE {network('u')} END)")
+
+
+def permuted_py(place: int, n: int, *key) -> int:
+    """The same place in plain Python."""
+    half = 1 << -(-len(f"{max(n - 1, 0):b}") // 2)
+
+    def network(x):
+        for r in range(1, ROUNDS + 1):
+            left, right = divmod(x, half)
+            x = right * half + (left ^ hash48_py(*key, r, right) % half)
+        return x
+
+    x = network(place)
+    while x >= n:
+        x = network(x)
+    return x

@@ -146,8 +146,8 @@ def keep_top(epoch_tallies: DataFrame, seed: int) -> DataFrame:
 
 
 def catalog_positions(catalog_ids: DataFrame, seed: int) -> DataFrame:
-    """A random permutation of the catalog: (id, pos) with pos in [0, N).
-    Built once by a two-level global row number on md5(seed|id)."""
+    """The catalog numbered once: (id, pos) with pos in [0, N), in order of
+    md5(seed|id), by a two-level global row number."""
     keyed = catalog_ids.select("id", F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("id"))).alias("h"))
     return (ordering.row_number(keyed, ["h", "id"], "rn")
             .select("id", (F.col("rn") - 1).alias("pos")))
@@ -157,12 +157,13 @@ def refresh(kept: DataFrame, positions: DataFrame, seed: int, compat: bool = Fal
     """The next experiment of each epoch.
 
     Kept items, then random catalog items not kept, up to ``NUM_ITEMS``.
-    Random candidates are consecutive positions of the random permutation,
-    starting at a position keyed by (seed, epoch): any fixed set of positions
-    of a uniform permutation is a uniform random subset, and the lookup is an
-    equi-join on position (no cross join).  ``compat`` draws ``2 * n`` candidates
-    as the reference does (and may come up short); the default draws
-    ``n + kept`` so the set is never short while the catalog is large enough.
+    Every epoch draws by a permutation of the catalog's positions of its own
+    (:func:`~shoplytics.functions.random.permuted`, keyed by seed and epoch):
+    its first places are a draw without replacement, items that come together in
+    one epoch do not in another, and the lookup is an equi-join on position
+    (no cross join).  ``compat`` draws ``2 * n`` candidates as the reference does
+    (and may come up short); the default draws ``n + kept`` so the set is never
+    short while the catalog is large enough.
     """
     # Catalog size as a scalar subquery: evaluated once, no join.
     n_cat = positions.agg(F.count(F.lit(1))).scalar()
@@ -171,15 +172,11 @@ def refresh(kept: DataFrame, positions: DataFrame, seed: int, compat: bool = Fal
                  .withColumn("n_cat", n_cat)
                  .withColumn("m", F.least(
                      (F.col("n_random") * 2) if compat else (F.col("n_random") + F.col("kept")),
-                     F.col("n_cat")))
-                 # Non-negative operands: mod = pmod; an empty catalog yields
-                 # NULL (and m = 0, no slots) instead of a division by zero.
-                 .withColumn("start", F.try_mod(R.hash48(F.lit(seed), F.lit("fill"),
-                                                         F.col("epoch")), F.col("n_cat"))))
-    slots = (per_epoch.filter(F.col("m") > 0)
-             .select("epoch", "n_random", "n_cat", "start",
-                     F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("j"))
-             .withColumn("pos", F.try_mod(F.col("start") + F.col("j"), F.col("n_cat"))))
+                     F.col("n_cat"))))
+    # An epoch that needs nothing draws nothing.
+    slots = (per_epoch.filter("m > 0 AND n_random > 0")
+             .select("epoch", "n_random", "n_cat", F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("j"))
+             .withColumn("pos", R.permuted(F.col("j"), F.col("n_cat"), F.lit(seed), F.lit("fill"), F.col("epoch"))))
     cands = slots.join(positions, "pos").select("epoch", "j", "n_random", F.col("id").alias("item"))
     fresh = cands.join(kept.select("epoch", "item"), ["epoch", "item"], "left_anti")
     fill = (fresh.withColumn("k", F.row_number().over(Window.partitionBy("epoch").orderBy("j")))

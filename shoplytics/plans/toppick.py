@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from shoplytics.functions.random import beta_sql, hash48_sql
+from shoplytics.functions.random import beta_sql, permuted_sql
 from shoplytics.operators import toppick as tp
 from shoplytics.plans.registry import register
 from shoplytics.sources import bindings
@@ -128,8 +128,18 @@ def _key(col_epoch, col_item):
     return f"(CAST({col_epoch} AS VARCHAR) || ':' || {col_item})"
 
 
-@register("toppick_refresh", ["T3", "T5", "T6", "J6", "U4", "U5", "W2"], sql=f"""
-WITH t AS ({_EPOCH_TALLY_SQL}),
+# Where an experiment's items come from: see ``bindings.experiment_item``.
+_EXPERIMENT_SQL = _FLAGGED_SQL.replace("json_extract_string(props, '$.k') AS item", f"{bindings.experiment_item_sql()} AS item")
+_EXPERIMENT_TALLY_SQL = f"""
+SELECT epoch, item, count(*) FILTER (WHERE is_click) AS clicks,
+       count(*) FILTER (WHERE is_imp) AS impressions
+FROM ({_EPOCH_SQL.replace(_FLAGGED_SQL, _EXPERIMENT_SQL)}) e GROUP BY epoch, item
+"""
+
+
+def _refresh_sql(candidates: str) -> str:
+    return f"""
+WITH t AS ({_EXPERIMENT_TALLY_SQL}),
 d AS (SELECT *, {beta_sql(str(SEED), _key('epoch', 'item'), _A, _B)} AS theta FROM t),
 r AS (SELECT *, row_number() OVER (PARTITION BY epoch ORDER BY theta DESC, item) AS rank,
              count(*) OVER (PARTITION BY epoch) AS n_items FROM d),
@@ -140,11 +150,9 @@ pos AS (SELECT CAST(p_partkey AS VARCHAR) AS id,
 nc AS (SELECT count(*) AS n_cat FROM pos),
 pe AS (SELECT epoch, count(*) AS kept, greatest({tp.NUM_ITEMS} - count(*), 0) AS n_random
        FROM kept GROUP BY epoch),
-pe2 AS (SELECT pe.*, n_cat, least(n_random + kept, n_cat) AS m,
-               {hash48_sql(repr(str(SEED)), "'fill'", 'epoch')} % n_cat AS start
-        FROM pe, nc),
-slots AS (SELECT epoch, n_random, j, (start + j) % n_cat AS pos
-          FROM pe2, LATERAL (SELECT unnest(range(0, m)) AS j) s WHERE m > 0),
+pe2 AS (SELECT pe.*, n_cat, least({candidates}, n_cat) AS m FROM pe, nc),
+slots AS (SELECT epoch, n_random, j, {permuted_sql('j', 'n_cat', repr(str(SEED)), "'fill'", 'epoch')} AS pos
+          FROM pe2, LATERAL (SELECT unnest(range(0, m)) AS j) s WHERE m > 0 AND n_random > 0),
 cands AS (SELECT s.epoch, s.j, s.n_random, p.id AS item FROM slots s JOIN pos p USING (pos)),
 fresh AS (SELECT * FROM cands c WHERE NOT EXISTS
             (SELECT 1 FROM kept k WHERE k.epoch = c.epoch AND k.item = c.item)),
@@ -154,15 +162,32 @@ SELECT epoch + 1 AS next_epoch, item, 'kept' AS role, CAST(rank AS INTEGER) AS s
        1::BIGINT AS clicks, 1::BIGINT AS impressions FROM kept
 UNION ALL
 SELECT epoch + 1, item, 'random', CAST(k AS INTEGER), 1::BIGINT, 1::BIGINT FROM fill WHERE k <= n_random
-""")
+"""
+
+
+def _refresh(spark, sf_dir, compat):
+    """The refresh of every epoch, over top-pick events whose items come in fours."""
+    ev = (flagged_events(spark, sf_dir).drop("item").withColumn("item", bindings.experiment_item()))
+    et = tp.tallies(tp.assign_epochs(ev, ["ts", "event_id"]), ("epoch", "item"))
+    kept = tp.keep_top(et, SEED)
+    positions = tp.catalog_positions(bindings.catalog_items(spark, sf_dir).select("id"), SEED)
+    return tp.refresh(kept, positions, SEED, compat)
+
+
+@register("toppick_refresh", ["T3", "T5", "T6", "J6", "U4", "U5", "W2"], sql=_refresh_sql("n_random + kept"))
 def toppick_refresh(spark, sf_dir):
     """The refresh step applied to every epoch's tally: keep the best half by
     draw, fill up to four with random catalog items not kept, and seed the
     next experiment at 1 / 1."""
-    et = tp.tallies(_epochs(spark, sf_dir), ("epoch", "item"))
-    kept = tp.keep_top(et, SEED)
-    positions = tp.catalog_positions(bindings.catalog_items(spark, sf_dir).select("id"), SEED)
-    return tp.refresh(kept, positions, SEED)
+    return _refresh(spark, sf_dir, compat=False)
+
+
+@register("toppick_refresh_compat", ["T5", "J6", "U4", "U5"], sql=_refresh_sql("2 * n_random"))
+def toppick_refresh_compat(spark, sf_dir):
+    """The refresh step as the reference draws it: only ``2 * n`` random
+    candidates, so an experiment can come up short when candidates overlap
+    the kept items."""
+    return _refresh(spark, sf_dir, compat=True)
 
 
 def _stream_state(spark, sf_dir):
@@ -190,41 +215,3 @@ def toppick_stream_winner(spark, sf_dir):
     cat = bindings.catalog_items(spark, sf_dir).select("id", "title", "retail_price")
     return stp.serve(state, cat, SEED).select("item", F.round("theta", 6).alias("theta"),
                                               "title", "retail_price")
-
-
-
-@register("toppick_refresh_compat", ["T5", "J6", "U4", "U5"], sql=f"""
-WITH t AS ({_EPOCH_TALLY_SQL}),
-d AS (SELECT *, {beta_sql(str(SEED), _key('epoch', 'item'), _A, _B)} AS theta FROM t),
-r AS (SELECT *, row_number() OVER (PARTITION BY epoch ORDER BY theta DESC, item) AS rank,
-             count(*) OVER (PARTITION BY epoch) AS n_items FROM d),
-kept AS (SELECT * FROM r WHERE rank <= CASE WHEN n_items = 1 THEN 1 ELSE n_items // 2 END),
-pos AS (SELECT CAST(p_partkey AS VARCHAR) AS id,
-               row_number() OVER (ORDER BY md5('{SEED}|' || CAST(p_partkey AS VARCHAR)),
-                                  CAST(p_partkey AS VARCHAR)) - 1 AS pos FROM part),
-nc AS (SELECT count(*) AS n_cat FROM pos),
-pe AS (SELECT epoch, count(*) AS kept, greatest({tp.NUM_ITEMS} - count(*), 0) AS n_random
-       FROM kept GROUP BY epoch),
-pe2 AS (SELECT pe.*, n_cat, least(2 * n_random, n_cat) AS m,
-               {hash48_sql(repr(str(SEED)), "'fill'", 'epoch')} % n_cat AS start
-        FROM pe, nc),
-slots AS (SELECT epoch, n_random, j, (start + j) % n_cat AS pos
-          FROM pe2, LATERAL (SELECT unnest(range(0, m)) AS j) s WHERE m > 0),
-cands AS (SELECT s.epoch, s.j, s.n_random, p.id AS item FROM slots s JOIN pos p USING (pos)),
-fresh AS (SELECT * FROM cands c WHERE NOT EXISTS
-            (SELECT 1 FROM kept k WHERE k.epoch = c.epoch AND k.item = c.item)),
-fill AS (SELECT epoch, item, row_number() OVER (PARTITION BY epoch ORDER BY j) AS k, n_random
-         FROM fresh)
-SELECT epoch + 1 AS next_epoch, item, 'kept' AS role, CAST(rank AS INTEGER) AS slot,
-       1::BIGINT AS clicks, 1::BIGINT AS impressions FROM kept
-UNION ALL
-SELECT epoch + 1, item, 'random', CAST(k AS INTEGER), 1::BIGINT, 1::BIGINT FROM fill WHERE k <= n_random
-""")
-def toppick_refresh_compat(spark, sf_dir):
-    """The refresh step as the reference draws it: only ``2 * n`` random
-    candidates, so an experiment can come up short when candidates overlap
-    the kept items."""
-    et = tp.tallies(_epochs(spark, sf_dir), ("epoch", "item"))
-    kept = tp.keep_top(et, SEED)
-    positions = tp.catalog_positions(bindings.catalog_items(spark, sf_dir).select("id"), SEED)
-    return tp.refresh(kept, positions, SEED, compat=True)

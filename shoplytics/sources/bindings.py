@@ -11,6 +11,7 @@ Fixed values (the binding of test columns to shop notions):
   user_id -> partyId / shopper, event_type -> eventType,
   ``props.k`` -> productId
 * top-pick click / impression: event_type ``click`` / ``view``
+* items of an experiment: four a stretch of ``EXPERIMENT_EVENTS`` event ids (``experiment_item``)
 * basket add / remove / checkout email / completed:
   ``click`` / ``error`` / ``signup`` / ``purchase``
 * checkout e-mail: the shopper's number at one host; token responses: what a shopper typed,
@@ -54,6 +55,21 @@ def product_id(props_col="props"):
     return F.get_json_object(F.col(props_col), "$.k")
 
 
+# Events that share four items, and items that are shown at all.
+EXPERIMENT_EVENTS, EXPERIMENT_ITEMS = 64, 200
+
+
+def experiment_item():
+    """The item of a top-pick event, one of the four of its stretch of events."""
+    k = F.expr("conv(substring(md5(cast(event_id as string)), 1, 4), 16, 10)").cast("long") % 4
+    return ((F.expr(f"event_id div {EXPERIMENT_EVENTS}") * 4 + k) % EXPERIMENT_ITEMS + 1).cast("string")
+
+
+def experiment_item_sql() -> str:
+    k = "CAST(('0x' || substr(md5(CAST(event_id AS VARCHAR)), 1, 4)) AS BIGINT) % 4"
+    return f"CAST((event_id // {EXPERIMENT_EVENTS} * 4 + {k}) % {EXPERIMENT_ITEMS} + 1 AS VARCHAR)"
+
+
 def checkout_email():
     return F.concat(F.lit("shopper"), F.col("user_id").cast("string"), F.lit("@shop.example"))
 

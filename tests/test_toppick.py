@@ -113,3 +113,29 @@ def test_refresh_with_empty_catalog_keeps_kept_items(spark):
     empty = spark.createDataFrame([], "id string")
     nxt = tp.refresh(kept, tp.catalog_positions(empty, 1), 1).collect()
     assert [(r["next_epoch"], r["item"], r["role"]) for r in nxt] == [(1, "a", "kept")]
+
+
+def test_permutation_is_one_and_differs_by_key(spark):
+    for n in (1, 2, 3, 5, 16, 17, 200):
+        df = spark.range(n).select("id", *[R.permuted(F.col("id"), F.lit(n), F.lit(3), F.lit("x"), F.lit(k)).alias(f"p{k}") for k in (1, 2)])
+        got = {r["id"]: (r["p1"], r["p2"]) for r in df.collect()}
+        assert sorted(v[0] for v in got.values()) == sorted(v[1] for v in got.values()) == list(range(n))
+        assert all(v == (R.permuted_py(i, n, 3, "x", 1), R.permuted_py(i, n, 3, "x", 2)) for i, v in got.items())
+    # Neighbours in one order are not neighbours in the other.
+    assert sum(abs(got[i][0] - got[i + 1][0]) == 1 for i in range(199)) < 10
+    assert sum(got[i][0] == got[i][1] for i in range(200)) < 10
+
+
+def test_fill_of_many_epochs(spark):
+    kept = spark.createDataFrame([(e, str(e % 30), 1) for e in range(300)], "epoch long, item string, rank int")
+    catalog = spark.createDataFrame([(str(i),) for i in range(50)], "id string")
+    got = [r for r in tp.refresh(kept, tp.catalog_positions(catalog, 1), 1).collect() if r["role"] == "random"]
+    assert len(got) == 900 and len({(r["next_epoch"], r["item"]) for r in got}) == 900
+    sets = {}
+    for r in got:
+        sets.setdefault(r["next_epoch"], set()).add(r["item"])
+    assert len({frozenset(s) for s in sets.values()}) > 290          # of 19,600 triples
+    by_item = np.bincount([int(r["item"]) for r in got], minlength=50)
+    assert by_item.min() > 2 and by_item.max() < 45                  # 18 expected of each
+    short = tp.refresh(kept, tp.catalog_positions(catalog.limit(4), 1), 1, compat=True).collect()
+    assert len(short) < 300 * 4 + 1
