@@ -270,16 +270,27 @@ def item_lookup(spark, sf_dir):
 _PREFIX_SQL = f"""
 q AS (SELECT DISTINCT unnest(regexp_extract_all({_fold_sql('text')}, '{se.TOKEN_PATTERN}')) AS prefix
       FROM conversations WHERE role = 'user'),
-q2 AS (SELECT prefix, length(prefix) AS m,
+q2 AS (SELECT prefix, length(prefix) AS m, substr(prefix, 2) AS w,
               CASE WHEN length(prefix) < 3 THEN 0 WHEN length(prefix) <= 5 THEN 1 ELSE 2 END AS d
        FROM q),
 t AS (SELECT DISTINCT p_name AS title, {_fold_sql('p_name')} AS ft FROM part WHERE p_name IS NOT NULL),
+heads AS (SELECT DISTINCT prefix, m, w, d, substr(ft, 2, m - 1 + d) AS h
+          FROM q2 JOIN t ON substr(ft, 1, 1) = substr(prefix, 1, 1)),
+-- The table of distances, a row of it per character of the title: beginnings of w against the first i characters of h.
+dp AS (
+  SELECT prefix, m, w, d, h, CAST(0 AS BIGINT) AS i, [CAST(0 AS BIGINT)] AS before, range(0, length(w) + 1) AS now FROM heads
+  UNION ALL
+  SELECT prefix, m, w, d, h, i + 1, now, list_reduce(
+    list_concat([[i + 1]], list_transform(range(1, length(w) + 1), lambda j: [j])),
+    lambda a, x: list_append(a, least(now[x[1] + 1] + 1, a[len(a)] + 1,
+      now[x[1]] + CASE WHEN substr(h, i + 1, 1) = substr(w, x[1], 1) THEN 0 ELSE 1 END,
+      CASE WHEN i > 0 AND x[1] > 1 AND substr(h, i + 1, 1) = substr(w, x[1] - 1, 1) AND substr(h, i, 1) = substr(w, x[1], 1)
+           THEN before[x[1] - 1] + 1 ELSE 1000 END)))
+  FROM dp WHERE i < length(h)),
+scored AS (SELECT prefix, h, m, d, min(now[len(now)]) AS distance FROM dp WHERE i >= m - 1 - d GROUP BY ALL),
 pairs AS (
-  SELECT prefix, title, least({", ".join(
-      f"CASE WHEN abs({off}) <= d AND m - 1 + ({off}) >= 0 THEN levenshtein("
-      f"substr(ft, 2, m - 1 + ({off})), substr(prefix, 2)) END" for off in range(-2, 3))}) AS distance,
-    d
-  FROM q2 JOIN t ON substr(ft, 1, 1) = substr(prefix, 1, 1))
+  SELECT prefix, title, distance, d FROM scored JOIN t
+  ON substr(ft, 1, 1) = substr(prefix, 1, 1) AND substr(ft, 2, m - 1 + d) = h)
 """
 
 
@@ -291,7 +302,7 @@ def typed_prefixes(spark, sf_dir):
 
 
 @register("suggest_titles", ["T9", "C3"], bench=True, sql=f"""
-WITH {_PREFIX_SQL},
+WITH RECURSIVE {_PREFIX_SQL},
 r AS (SELECT prefix, title, distance,
              row_number() OVER (PARTITION BY prefix ORDER BY distance, title) AS rank
       FROM pairs WHERE distance <= d)
