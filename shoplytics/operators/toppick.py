@@ -187,3 +187,29 @@ def refresh(kept: DataFrame, positions: DataFrame, seed: int, compat: bool = Fal
                .select((F.col("epoch") + 1).alias("next_epoch"), "item", "role", "slot",
                        F.lit(1).cast("long").alias("clicks"),
                        F.lit(1).cast("long").alias("impressions")))
+
+
+def home_picks(flagged: DataFrame, views: DataFrame, order_cols: list[str], seed: int) -> DataFrame:
+    """ST7 for every home-page view, as of its time: (view columns, epoch, item, theta,
+    clicks, impressions), the item null where nothing of the view's epoch is tallied yet.
+
+    A view sees the tallies of the events of its epoch that come before it.  Views and
+    events get their epochs from one running count; a view meets the items of its epoch,
+    and its line in each item's history gives the running tally there (two-level sums, so
+    an epoch or item of any size is spread over tasks).  The draw is keyed by view and
+    item, and the best one per view is a partial aggregate."""
+    key = order_cols[-1]
+    none = F.lit(None).cast("string")
+    line = (flagged.filter(F.col("item").isNotNull()).select(*order_cols, "item", "is_click", "is_imp", F.lit(False).alias("is_view"))
+            .unionByName(views.select(*order_cols, none.alias("item"), F.lit(False).alias("is_click"),
+                                      F.lit(False).alias("is_imp"), F.lit(True).alias("is_view"))))
+    placed = assign_epochs(line, order_cols).select(*order_cols, "epoch", "item", "is_click", "is_imp", "is_view").checkpoint()
+    told, asked = placed.filter("NOT is_view"), placed.filter("is_view").drop("item")
+    history = told.unionByName(asked.join(told.select("epoch", "item").distinct(), "epoch"))
+    staged = ordering.stage(history, ["epoch", "item"], order_cols)
+    for flag, out in (("is_click", "clicks"), ("is_imp", "impressions")):
+        staged = ordering.staged_running_sum(staged, ["epoch", "item"], order_cols, F.col(flag).cast("int"), out)
+    seen = ordering.unstage(staged).filter("is_view AND clicks + impressions > 0")
+    drawn = draw(seen, seed, F.concat_ws(":", F.col(key).cast("string"), F.col("item")))
+    best = drawn.groupBy(key).agg(F.min_by(F.struct("item", "theta", "clicks", "impressions"), F.struct(-F.col("theta"), "item")).alias("pick"))
+    return asked.join(best, key, "left").select(*order_cols, "epoch", "pick.*")

@@ -215,3 +215,33 @@ def toppick_stream_winner(spark, sf_dir):
     cat = bindings.catalog_items(spark, sf_dir).select("id", "title", "retail_price")
     return stp.serve(state, cat, SEED).select("item", F.round("theta", 6).alias("theta"),
                                               "title", "retail_price")
+
+
+@register("toppick_home_views", ["F3", "ST7", "J2", "T2", "T4"], sql=f"""
+WITH e AS (
+  SELECT event_id, ts, item, is_click, is_imp, false AS is_view FROM ({_EXPERIMENT_SQL}) f WHERE item IS NOT NULL
+  UNION ALL
+  SELECT event_id, ts, NULL, false, false, true FROM events WHERE event_type = '{bindings.HOME_VIEW}'),
+ep AS (
+  SELECT *, coalesce(sum(is_imp::INT) OVER (ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT
+            // {tp.IMPRESSIONS_PER_EPOCH} AS epoch FROM e),
+told AS (
+  SELECT v.event_id, t.item, count(*) FILTER (WHERE t.is_click) AS clicks, count(*) FILTER (WHERE t.is_imp) AS impressions
+  FROM ep v JOIN ep t ON v.epoch = t.epoch AND (t.ts < v.ts OR (t.ts = v.ts AND t.event_id < v.event_id))
+  WHERE v.is_view AND NOT t.is_view GROUP BY v.event_id, t.item),
+d AS (SELECT *, {beta_sql(str(SEED), "(CAST(event_id AS VARCHAR) || ':' || item)", _A, _B)} AS theta FROM told),
+best AS (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY theta DESC, item) AS r FROM d)
+SELECT ep.event_id, ep.epoch, best.item, round(theta, 6) AS theta, clicks, impressions, p_name AS title
+FROM ep LEFT JOIN best ON best.event_id = ep.event_id AND r = 1
+LEFT JOIN part ON CAST(p_partkey AS VARCHAR) = best.item WHERE is_view
+""")
+def toppick_home_views(spark, sf_dir):
+    """The home page's pick for every home view, drawn from the tallies of its
+    experiment as they stood then, with the catalog item (null before the first tally)."""
+    ev = bindings.click_events(spark, sf_dir)
+    flagged = flagged_events(spark, sf_dir).drop("item").withColumn("item", bindings.experiment_item())
+    views = ev.filter(F.col("event_type") == bindings.HOME_VIEW).select("ts", "event_id")
+    picks = tp.home_picks(flagged, views, ["ts", "event_id"], SEED)
+    titles = bindings.catalog_items(spark, sf_dir).select(F.col("id").alias("item"), "title")
+    return picks.join(titles, "item", "left").select(
+        "event_id", "epoch", "item", F.round("theta", 6).alias("theta"), "clicks", "impressions", "title")

@@ -11,6 +11,7 @@ Fixed values (the binding of test columns to shop notions):
   user_id -> partyId / shopper, event_type -> eventType,
   ``props.k`` -> productId
 * top-pick click / impression: event_type ``click`` / ``view``
+* home-page view: event_type ``signup``
 * items of an experiment: four a stretch of ``EXPERIMENT_EVENTS`` event ids (``experiment_item``)
 * basket add / remove / checkout email / completed:
   ``click`` / ``error`` / ``signup`` / ``purchase``
@@ -35,6 +36,7 @@ from shoplytics.sources.tables import table
 
 TOP_PICK_CLICK = "click"
 TOP_PICK_IMPRESSION = "view"
+HOME_VIEW = "signup"
 BASKET_ADD = "click"
 BASKET_REMOVE = "error"
 CHECKOUT_EMAIL = "signup"

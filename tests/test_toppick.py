@@ -139,3 +139,28 @@ def test_fill_of_many_epochs(spark):
     assert by_item.min() > 2 and by_item.max() < 45                  # 18 expected of each
     short = tp.refresh(kept, tp.catalog_positions(catalog.limit(4), 1), 1, compat=True).collect()
     assert len(short) < 300 * 4 + 1
+
+
+def test_home_views_see_what_came_before_them(spark):
+    """Per view, the tallies of its epoch so far; nothing of later events or other epochs."""
+    import random
+    r = random.Random(3)
+    events = [(t, t, r.choice("abcd"), k == "click", k == "imp", k == "view")
+              for t, k in enumerate(r.choices(["click", "imp", "view"], [3, 4, 3], k=300))]
+    df = spark.createDataFrame(events, "ts long, event_id long, item string, is_click boolean, is_imp boolean, is_view boolean")
+    got = {p["event_id"]: p for p in tp.home_picks(df.filter("NOT is_view"), df.filter("is_view"), ["ts", "event_id"], 5).collect()}
+    assert got.keys() == {e[1] for e in events if e[5]}
+    imps, tally = 0, {}
+    for _, i, item, click, imp, view in events:
+        if view:
+            best = min(((-R.beta_py(5, f"{i}:{x}", c + 1, max(n - c, 0) + 1), x) for x, (c, n) in tally.items()), default=(None, None))
+            p = got[i]
+            assert p["epoch"] == imps // tp.IMPRESSIONS_PER_EPOCH and p["item"] == best[1]
+            if best[1]:
+                assert (p["clicks"], p["impressions"]) == tally[best[1]] and abs(p["theta"] + best[0]) < 1e-9
+        else:
+            c, n = tally.get(item, (0, 0))
+            tally[item] = (c + click, n + imp)
+            imps += imp
+            if imp and imps % tp.IMPRESSIONS_PER_EPOCH == 0:
+                tally = {}
