@@ -44,6 +44,13 @@ def is_home_view() -> Column:
         & (F.col("pageType") == "home")
 
 
+def event_kind() -> Column:
+    """What the experiment does with a mapped event: the first of F1, F2, F3 that holds, else nothing."""
+    return (F.when(F.coalesce(is_click(), F.lit(False)), F.lit("click"))
+             .when(F.coalesce(is_impression(), F.lit(False)), F.lit("impression"))
+             .when(F.coalesce(is_home_view(), F.lit(False)), F.lit("home")).otherwise(F.lit("none")))
+
+
 def classify(events: DataFrame, click: Column, impression: Column) -> DataFrame:
     """Keep top-pick events only, with ``is_click`` / ``is_imp`` flags.
     The raw predicates filter first, so they reach the scan as pushed

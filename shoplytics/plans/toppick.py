@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from shoplytics.functions.random import beta_sql, permuted_sql
 from shoplytics.operators import toppick as tp
-from shoplytics.plans.registry import register
+from shoplytics.operators import mapping
+from shoplytics.plans import mapping as pm
+from shoplytics.plans.registry import REGISTRY, register
 from shoplytics.sources import bindings
 
 SEED = 7
@@ -245,3 +247,25 @@ def toppick_home_views(spark, sf_dir):
     titles = bindings.catalog_items(spark, sf_dir).select(F.col("id").alias("item"), "title")
     return picks.join(titles, "item", "left").select(
         "event_id", "epoch", "item", F.round("theta", 6).alias("theta"), "clicks", "impressions", "title")
+
+
+@register("toppick_event_kinds", ["F1", "F2", "F3"], sql=f"""
+WITH e AS (
+  SELECT 'page ' || page_id AS id, 'pageView' AS "eventType", "pageType", source FROM ({REGISTRY["map_page_locations"].sql}) p
+  UNION ALL
+  SELECT 'event ' || "eventId", "eventType", "pageType", source FROM ({REGISTRY["map_click_events"].sql}) c)
+SELECT id, CASE WHEN source = 'top_pick' AND "eventType" = 'pageView' THEN 'click'
+                WHEN source = 'top_pick' AND "eventType" = 'impression' THEN 'impression'
+                WHEN "pageType" = 'home' THEN 'home' ELSE 'none' END AS kind FROM e
+""")
+def toppick_event_kinds(spark, sf_dir):
+    """Every mapped page view and click event, told by the consumer's predicates:
+    top-pick click, top-pick impression, home view or none of them."""
+    pages = bindings.page_locations(spark, sf_dir).select(
+        "page_id", "location", F.lit(mapping.PAGE_VIEW).alias("eventType"))
+    views = mapping.map_events(pages, routes=pm.PAGE_ROUTES, keep=("page_id",)).withColumn(
+        "id", F.concat(F.lit("page "), F.col("page_id").cast("string")))
+    events = mapping.map_events(bindings.raw_shop_events(spark, sf_dir)).withColumn(
+        "id", F.concat(F.lit("event "), F.col("eventId")))
+    fields = ["id", "eventType", "pageType", "source"]
+    return views.select(fields).unionByName(events.select(fields)).select("id", tp.event_kind().alias("kind"))
