@@ -10,7 +10,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shoplytics.llm.common import kept
+from shoplytics.llm.common import kept, share
+
+#: Edges that one task goes through.
+PER_TASK = 100_000
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -33,13 +36,15 @@ def components(edges: DataFrame) -> DataFrame:
 
     ``edges``: columns a and b, any direction; loops and repeats are harmless."""
     now = kept(edges.select("a", "b").filter("a <> b").distinct())
-    before = None
+    n, before = now.count(), None
     while True:
-        now = kept(_small_star(_large_star(now)))
+        # Few edges need few tasks: every task of a shuffle leaves files of its own.
+        near = now.coalesce(share(now.sparkSession, n, PER_TASK))
+        now = kept(_small_star(_large_star(near)))
         mark = now.agg(F.count("*").alias("n"), F.sum(F.pmod(F.xxhash64("a", "b"), F.lit(1 << 31))).alias("h")).first()
         if mark == before:
             break
-        before = mark
+        n, before = mark["n"], mark
     nodes = now.select(F.col("a").alias("node"), F.col("b").alias("component"))
     roots = now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     return nodes.unionByName(roots)

@@ -325,11 +325,11 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     rows, reps = _classes(docs, size)
     rows = rows.join(reps.select("set_key", "rep", "first"), "set_key", "left")
     # A doc_id with several texts joins their classes, and its rows without shingles go with them.
-    known = rows.filter("rep IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", "rep")
-    ends = known.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("z"))
-    several = known.join(ends.filter("a < z").drop("z"), "doc_id").select("a", F.col("rep").alias("b")).filter("a <> b").distinct()
-    bare = rows.filter("set_key IS NULL").drop("rep", "first").join(ends.select("doc_id", F.col("a").alias("rep")), "doc_id", "left")
-    rows = rows.filter("set_key IS NOT NULL").unionByName(bare.join(reps.select("rep", "first"), "rep", "left"))
+    known = rows.filter("rep IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", "rep", "first")
+    ends = known.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("z"), F.min_by("first", "rep").alias("first"))
+    several = known.drop("first").join(ends.filter("a < z").select("doc_id", "a"), "doc_id").select("a", F.col("rep").alias("b")).filter("a <> b").distinct()
+    bare = rows.filter("set_key IS NULL").drop("rep", "first").join(ends.select("doc_id", F.col("a").alias("rep"), "first"), "doc_id", "left")
+    rows = rows.filter("set_key IS NOT NULL").unionByName(bare)
 
     comps = kept(components(_links(docs, size, reps, several)))
     tops = comps.join(reps.select(F.col("rep").alias("node"), "first"), "node").groupBy("component").agg(F.min("first").alias("top"))
