@@ -70,6 +70,15 @@ def row_number(df: DataFrame, order_cols: list[str], out_col: str = "rn",
     return running_sum(df, order_cols, F.lit(1), out_col, inclusive=True, n_parts=n_parts)
 
 
+def _to_rows(rows: DataFrame, pieces: DataFrame, group_cols: list[str]) -> DataFrame:
+    """A piece's columns joined to its rows; a null in a group column is a group like any other."""
+    named = pieces.withColumnsRenamed({c: f"__of_{c}" for c in (_PART, *group_cols)})
+    same = F.col(_PART) == F.col(f"__of_{_PART}")
+    for c in group_cols:
+        same = same & F.col(c).eqNullSafe(F.col(f"__of_{c}"))
+    return rows.join(named, same).drop(*[f"__of_{c}" for c in (_PART, *group_cols)])
+
+
 def group_row_number(df: DataFrame, group_cols: list[str], order_cols: list[str],
                      out_col: str = "rn", n_parts: int | None = None) -> DataFrame:
     """1-based row number inside each group, in ``order_cols`` order, without
@@ -91,7 +100,7 @@ def group_row_number(df: DataFrame, group_cols: list[str], order_cols: list[str]
             .rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__offset"))
     local = r.withColumn("__local", F.row_number().over(
         Window.partitionBy(_PART, *group_cols).orderBy(*order_cols)))
-    return (local.join(offsets, [_PART, *group_cols])
+    return (_to_rows(local, offsets, group_cols)
                  .withColumn(out_col, F.col("__local") + F.col("__offset"))
                  .drop(_PART, "__local", "__offset"))
 
@@ -127,7 +136,7 @@ def staged_lag(r: DataFrame, group_cols: list[str], order_cols: list[str], value
     w = Window.partitionBy(_PART, *group_cols).orderBy(*order_cols)
     local = (r.withColumn("__lag", F.lag("__v").over(w))
               .withColumn("__first", F.row_number().over(w) == 1))
-    return (local.join(carry, [_PART, *group_cols])
+    return (_to_rows(local, carry, group_cols)
                  .withColumn(out_col, F.when(F.col("__first"), F.col("__carry"))
                              .otherwise(F.col("__lag")))
                  .drop("__v", "__lag", "__carry", "__first"))
@@ -148,7 +157,7 @@ def staged_running_sum(r: DataFrame, group_cols: list[str], order_cols: list[str
     frame = (Window.partitionBy(_PART, *group_cols).orderBy(*order_cols)
              .rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1))
     local = r.withColumn("__local", F.coalesce(F.sum("__v").over(frame), F.lit(0)))
-    return (local.join(offsets, [_PART, *group_cols])
+    return (_to_rows(local, offsets, group_cols)
                  .withColumn(out_col, F.col("__local") + F.col("__offset"))
                  .drop("__v", "__local", "__offset"))
 

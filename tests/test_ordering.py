@@ -53,3 +53,13 @@ def test_group_running_sum(spark):
     w = Window.partitionBy("g").orderBy("t", "id").rowsBetween(Window.unboundedPreceding, 0)
     want = df.withColumn("s", F.sum("v").over(w))
     assert sorted(got.select("id", "s").collect()) == sorted(want.select("id", "s").collect())
+
+
+def test_rows_of_a_group_without_a_key_stay(spark):
+    df = spark.createDataFrame([(None, 3), (None, 1), (1, 5), (None, 2), (1, 4)], "g long, v long")
+    rn = ordering.group_row_number(df, ["g"], ["v"], "n", n_parts=3)
+    assert sorted((r.g or 0, r.v, r.n) for r in rn.collect()) == [(0, 1, 1), (0, 2, 2), (0, 3, 3), (1, 4, 1), (1, 5, 2)]
+    lag = ordering.group_lag(df, ["g"], ["v"], "v", "p", n_parts=3)
+    assert sorted((r.g or 0, r.v, r.p) for r in lag.collect()) == [(0, 1, None), (0, 2, 1), (0, 3, 2), (1, 4, None), (1, 5, 4)]
+    total = ordering.group_running_sum(df, ["g"], ["v"], "v", "s", n_parts=3)
+    assert sorted((r.g or 0, r.v, r.s) for r in total.collect()) == [(0, 1, 1), (0, 2, 3), (0, 3, 6), (1, 4, 4), (1, 5, 9)]
