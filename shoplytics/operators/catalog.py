@@ -107,6 +107,39 @@ def with_sizes(photos: DataFrame, sizes_map: DataFrame) -> DataFrame:
     return photos.join(sizes_map, "id", "left")
 
 
+def _words(text: Column) -> Column:
+    """The words of a text, in order: runs of letters or digits, in lower case."""
+    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+
+
+def _phrases(words: Column, n: int) -> Column:
+    """All runs of ``n`` words, each joined by one space."""
+    if n == 1:
+        return words
+    starts = F.when(F.size(words) >= n, F.sequence(F.lit(1), F.size(words) - n + 1)).otherwise(F.array().cast("array<int>"))
+    return F.transform(starts, lambda i: F.array_join(F.slice(words, i, n), " "))
+
+
+def keyword_results(photos: DataFrame, config: DataFrame, fields: tuple[str, ...] = ("title", "description")) -> DataFrame:
+    """The results of every keyword of ``config`` (category, keyword_pos, keyword, as
+    ``sources.harvest.category_config`` reads them), chained: a photo comes once for each
+    keyword whose words stand one after another in one of ``fields``, whatever their case and what stands between.
+
+    The photos' distinct word runs, of the lengths that keywords have, are joined to the keywords:
+    the texts don't grow with the number of keywords, and a configuration of broadcast size costs no
+    shuffle.  A keyword without words finds nothing; a null field holds none."""
+    words = _words(F.col("keyword"))
+    asked = (config.select("category", "keyword_pos", "keyword", F.array_join(words, " ").alias("__phrase"),
+                           F.size(words).alias("__n")).filter(F.col("__n") > 0))
+    lengths = [n for (n,) in asked.select("__n").distinct().orderBy("__n").collect()]  # of the configuration alone
+    if not lengths:
+        return photos.join(asked.drop("__phrase", "__n"), F.lit(False))
+    split = photos.select("*", *[_words(F.col(f)).alias(f"__{f}") for f in fields])
+    runs = F.array_distinct(F.concat(*[_phrases(F.col(f"__{f}"), n) for f in fields for n in lengths]))
+    found = split.withColumn("__phrase", F.explode(runs)).drop(*[f"__{f}" for f in fields])
+    return found.join(asked.drop("__n"), "__phrase").drop("__phrase")
+
+
 # --- item documents --------------------------------------------------------
 
 def harvest(photos: DataFrame, favourite_counts_df: DataFrame,

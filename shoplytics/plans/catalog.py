@@ -238,3 +238,43 @@ def catalog_upsert(spark, sf_dir):
         "id", F.concat(F.col("name"), F.lit(" ("), F.col("categories")[0], F.lit(")"))
         .alias("title"), F.col("tags")[0].alias("tag"), F.lit(1).alias("ord")))
     return cat.upsert(part, upd).select("id", "title", "tag", "ord")
+
+
+_WORD_GAP = r"[^\p{L}\p{N}]"
+
+
+def _searches_sql() -> str:
+    """The configuration as (category, keyword_pos, keyword, pattern)."""
+    import yaml
+    rows = [(c, i, k) for entry in yaml.safe_load(bindings.SEARCHES)["categories"]
+            for c, conf in entry.items() for i, k in enumerate(conf["keywords"])]
+    return ", ".join(f"('{c}', {i}, '{k}', '(^|{_WORD_GAP})' || replace('{k.lower()}', ' ', '{_WORD_GAP}+') || '({_WORD_GAP}|$)')"
+                     for c, i, k in rows)
+
+
+@register("harvest_by_keyword", ["U1", "S12", "J3", "J5", "A4", "F4", "W3", "M20"], sql=f"""
+WITH k(category, keyword_pos, keyword, pattern) AS (VALUES {_searches_sql()}),
+ph AS (SELECT p_partkey, {bindings.photo_id_sql('p_partkey')} AS id, p_name AS title, d.* FROM part LEFT JOIN documents d ON doc_id = p_partkey),
+f AS (SELECT l_partkey, count(*) AS favs FROM lineitem GROUP BY 1),
+hit AS (
+  SELECT k.*, ph.*, favs FROM k, ph JOIN f ON l_partkey = p_partkey
+  WHERE favs >= 30 AND (regexp_matches(lower(title), pattern) OR regexp_matches(lower(coalesce(text, '')), pattern)))
+SELECT category, keyword, id, CAST(favs AS INTEGER) AS favs,
+       row_number() OVER (PARTITION BY category ORDER BY keyword_pos, p_partkey) AS place,
+       CASE WHEN doc_id % 3 = 0 THEN source ELSE upper(source) END AS owner, n_chars AS length, lang AS tag
+FROM hit
+""")
+def harvest_by_keyword(spark, sf_dir):
+    """The harvest from its configuration: the photos found for each keyword, chained in the order of
+    the keywords, favourites counted, threshold 30, each with its place in its category's results and
+    with its info record joined (owner as displayed, length, first tag), where it has one."""
+    from shoplytics.operators import ordering
+    from shoplytics.sources import harvest as hv
+    config = hv.category_config(spark, bindings.SEARCHES)
+    found = cat.keyword_results(bindings.searchable_photos(spark, sf_dir), config)
+    counts = cat.favourite_counts(bindings.favourites(spark, sf_dir), "photo")
+    kept = cat.accept(cat.with_favourites(found, counts)).select("category", "keyword_pos", "keyword", "id", "arrival", "favs")
+    placed = ordering.group_row_number(kept, ["category"], ["keyword_pos", "arrival"], "place")
+    return cat.with_info(placed, bindings.photo_info(spark, sf_dir)).select(
+        "category", "keyword", "id", "favs", "place", cat.display_owner("info.owner").alias("owner"),
+        F.col("info.length").alias("length"), F.get("info.tags", F.lit(0)).alias("tag"))

@@ -22,6 +22,10 @@ Fixed values (the binding of test columns to shop notions):
 * photo id: the part key, of even keys with leading zeros (``photo_id``)
 * catalog item: ``part``: p_partkey -> id, p_name -> title, p_type -> category,
   p_brand -> tag, 30 + p_size -> favs
+* arrival of an event: stretches of ``ARRIVAL_DAYS`` days of event time, one job run each; event_ids
+  divisible by 11 come one run late; of those divisible by 13 a copy is sent a second later, by 26 in the
+  next run, and by 91 one more after 12 days; by 97 the checksum of the properties is wrong
+* harvest search: a photo is a part with its description document; ``SEARCHES`` is the configuration
 * item description: ``documents.text``; lang -> category, source -> tag
 """
 
@@ -30,7 +34,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shoplytics.functions.times import epoch_millis
+from shoplytics.functions.times import epoch_micros, epoch_millis
 
 from shoplytics.sources.tables import table
 
@@ -93,6 +97,43 @@ def click_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# Fixed value: event time that one run of a job takes in, in days.
+ARRIVAL_DAYS = 5
+
+
+def arriving_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """events with ``arrival``, the number of the run that they come in time for, and ``checksum``."""
+    ev = table(spark, sf_dir, "events")
+    late = (F.pmod("event_id", F.lit(11)) == 0).cast("long")
+    wrong = (F.pmod("event_id", F.lit(97)) == 0).cast("long")
+    return (ev.withColumn("arrival", F.floor(epoch_micros("ts") / (ARRIVAL_DAYS * 86400 * 10**6)) + late)
+              .withColumn("checksum", F.crc32(F.col("props").cast("binary")) + wrong))
+
+
+def events_sent_again(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with the copies that are sent again."""
+    ev = arriving_events(spark, sf_dir)
+
+    def copies(of: int, delay: str, runs):
+        return (ev.filter(F.pmod("event_id", F.lit(of)) == 0).withColumn("ts", F.col("ts") + F.expr(f"INTERVAL {delay}"))
+                  .withColumn("arrival", F.col("arrival") + runs))
+
+    soon = (F.pmod("event_id", F.lit(26)) == 0).cast("long")
+    return ev.unionByName(copies(13, "1 SECOND", soon)).unionByName(copies(91, "12 DAYS", F.lit(3)))
+
+
+def arriving_sql() -> str:
+    return (f"SELECT *, CAST(floor(epoch_us(ts) / ({ARRIVAL_DAYS} * 86400000000)) AS BIGINT) "
+            "+ CASE WHEN event_id % 11 = 0 THEN 1 ELSE 0 END AS arrival FROM events")
+
+
+def sent_again_sql() -> str:
+    return f"""SELECT event_id, ts, arrival FROM ({arriving_sql()})
+  UNION ALL SELECT event_id, ts + INTERVAL 1 SECOND, arrival + CASE WHEN event_id % 26 = 0 THEN 1 ELSE 0 END
+  FROM ({arriving_sql()}) WHERE event_id % 13 = 0
+  UNION ALL SELECT event_id, ts + INTERVAL 12 DAY, arrival + 3 FROM ({arriving_sql()}) WHERE event_id % 91 = 0"""
+
+
 def catalog_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """part as catalog items: (id string, title, category, tag, favs, retail price)."""
     part = table(spark, sf_dir, "part")
@@ -212,6 +253,39 @@ def harvest_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return by_type.unionByName(by_lang)
 
 
+# Fixed value: the harvest's configuration, categories with the phrases searched for each.
+SEARCHES = """
+categories:
+  - jewellery:
+      keywords: [ring, small ring, gold]
+  - hardware:
+      keywords: [bolt, Red Widget, blue]
+  - english:
+      keywords: [of the, that with, the]
+  - german:
+      keywords: [und der, der die]
+  - nothing:
+      keywords: []
+"""
+
+
+def searchable_photos(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as photos, with the text of their description document where there is one."""
+    part, docs = table(spark, sf_dir, "part"), table(spark, sf_dir, "documents")
+    return part.join(docs, docs.doc_id == part.p_partkey, "left").select(
+        photo_id("p_partkey").alias("id"), F.col("p_name").alias("title"),
+        F.col("text").alias("description"), F.col("p_partkey").alias("arrival"))
+
+
+def photo_info(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The info record of the photos that have one: owner, title, tags.  Every third owner gives no real name."""
+    docs = table(spark, sf_dir, "documents")
+    real = F.when(F.pmod("doc_id", F.lit(3)) == 0, "").otherwise(F.upper("source"))
+    return docs.select(photo_id("doc_id").alias("id"),
+                       F.struct(F.col("source").alias("user_name"), real.alias("real_name")).alias("owner"),
+                       F.col("n_chars").alias("length"), F.array("lang", "source").alias("tags"))
+
+
 def favourites(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Favourite marks: one per order line of the part."""
     return table(spark, sf_dir, "lineitem").select(photo_id("l_partkey").alias("photo"))

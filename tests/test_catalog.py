@@ -162,3 +162,23 @@ def test_merge_and_upsert_ties_do_not_depend_on_row_order(spark):
         latest = sorted((r.id, r.title) for r in cat.upsert(df.limit(0), df).collect())
         seen.add((tuple(merged), tuple(latest)))
     assert len(seen) == 1
+
+
+def test_keyword_results_are_chained_by_keyword(spark):
+    from shoplytics.sources.harvest import category_config
+    config = category_config(spark, """
+categories:
+  - a:
+      keywords: [Red Ring, ring, "!"]
+  - b:
+      keywords: [big red ring]
+  - c:
+""")
+    photos = spark.createDataFrame(
+        [("1", "a RED, ring", None), ("2", "earring", "the ring; ring"), ("3", "big red", "ring"), ("4", None, None)],
+        "id string, title string, description string")
+    got = sorted((r.category, r.keyword_pos, r.id) for r in cat.keyword_results(photos, config).collect())
+    # A photo comes once a keyword; words of two fields don't make a phrase.
+    assert got == [("a", 0, "1"), ("a", 1, "1"), ("a", 1, "2"), ("a", 1, "3")]
+    none = cat.keyword_results(photos, category_config(spark, "categories: []"))
+    assert none.count() == 0 and set(none.columns) >= {"category", "keyword", "id"}
