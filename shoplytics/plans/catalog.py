@@ -240,6 +240,36 @@ def catalog_upsert(spark, sf_dir):
     return cat.upsert(part, upd).select("id", "title", "tag", "ord")
 
 
+@register("catalog_store", ["S13"], sql="""
+WITH names AS (SELECT d.doc_id, p.p_name || ' (' || d.lang || ')' AS title, d.source AS tag
+               FROM documents d JOIN part p ON p.p_partkey = d.doc_id),
+b AS (SELECT CAST(p_partkey AS VARCHAR) AS id, p_name AS title, p_brand AS tag, 1 AS ord FROM part
+      UNION ALL SELECT CAST(doc_id AS VARCHAR), title, tag, 2 FROM names
+      UNION ALL SELECT CAST(doc_id AS VARCHAR), title || ', corrected', tag, 3 FROM names WHERE doc_id % 5 = 0
+      UNION ALL SELECT CAST(doc_id AS VARCHAR), title || ', outdated', tag, 0 FROM names WHERE doc_id % 7 = 0)
+SELECT id, arg_max(title, ord) AS title, arg_max(tag, ord) AS tag, max(ord) AS ord FROM b GROUP BY id
+""")
+def catalog_store(spark, sf_dir):
+    """The part catalog stored by id, and a stream of document writes, corrections and outdated
+    writes merged into the folders that they touch, in several micro-batches."""
+    from shoplytics.sources import store
+    from shoplytics.streaming import runner
+    base = runner.scratch(spark, "store")
+    items = bindings.catalog_items(spark, sf_dir)
+    store.create(items.select("id", "title", "tag", F.lit(1).alias("ord")), base + "/catalog")
+    docs = bindings.described_items(spark, sf_dir).join(items.select("id", F.col("title").alias("name")), "id")
+    title = F.concat("name", F.lit(" ("), F.col("categories")[0], F.lit(")"))
+    kinds = F.array(*[F.struct(F.lit(o).alias("ord"), F.lit(m).alias("mod"), F.lit(t).alias("add"))
+                      for o, m, t in ((2, 1, ""), (3, 5, ", corrected"), (0, 7, ", outdated"))])
+    writes = (docs.select("id", "id_num", title.alias("name"), F.col("tags")[0].alias("tag"), F.explode(kinds).alias("k"))
+              .filter(F.pmod("id_num", "k.mod") == 0)
+              .select("id", F.concat("name", "k.add").alias("title"), "tag", F.col("k.ord").alias("ord")))
+    writes.repartition(3).write.parquet(base + "/writes")
+    stream = spark.readStream.schema(writes.schema).option("maxFilesPerTrigger", 1).parquet(base + "/writes")
+    store.merge_stream(stream, base + "/catalog", base + "/checkpoint")
+    return store.read(spark, base + "/catalog").select("id", "title", "tag", "ord")
+
+
 _WORD_GAP = r"[^\p{L}\p{N}]"
 
 
