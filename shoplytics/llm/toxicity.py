@@ -1,27 +1,28 @@
 """Toxicity by a weighted grammar of finite-state transducers over clauses.
 
-Five transducers read the tokens of a clause, left to right, and are composed:
-
-* insult - a trie of word stems with weights; a token that starts with a stem
-  emits INSULT with that weight.  Stems and weights are learned;
-* threat - verbs of violence after a first person or "will": THREAT;
-* target - second and third person words and names for people: TARGET;
-* negation - a negator turns the next matches of the clause into NEGATED ones;
-* reported speech - a verb of saying, or an open quotation, turns them into
-  REPORTED ones.
-
-The composed machine has the state (negated, reported, targeted) and sums the
-arc weights of the matches; the context of a match picks a factor, learned from
-how much more often such matches stand in toxic than in clean training texts (with
-a prior, so rare contexts keep the prior factor).  A clause's weight is that sum;
-a document's score is the logistic of a bias plus the clause weights.
+The words of a clause are looked up once (fixed word classes, learned stems) and become symbols; five
+transducers, each a table (state, symbol) -> (state, symbol), read them and are composed into one:
+
+* target - reads the clause first for second and third person words and names for people, and puts
+  a mark before it;
+* threat - verbs of violence in a clause with a target, after a first person or "will": THREAT;
+  such a verb elsewhere is passed on as the plain word it is;
+* insult - a word that starts with a learned stem: INSULT, with that stem's weight;
+* negation - after a negator, matches are NEGATED;
+* reported speech - after a verb of saying, or within quotation marks, matches are REPORTED.
+
+Contractions are two words to them ("isn't" is "is not").  A match comes out with its context (threat,
+negated, reported, targeted), which picks a factor, learned from how much more often such matches stand in
+toxic than in clean training texts (with a prior, so rare contexts keep the prior factor).  A
+clause's weight is the sum of its matches; a document's score is the logistic of a bias plus the clause weights.
 
 Learning: stems from at most about ``FIT_ROWS`` labelled texts per label
 (documented bound), chosen by a hash of doc_id, two thirds of them; the other third
-calibrates the weights.  Every prefix of every word is
+calibrates the weights.  Every prefix of every word, up to ``LONGEST`` letters, is
 counted once per text by Spark; a prefix is a stem if it is frequent enough in
 toxic and rare enough in clean texts, and as long as it can be without losing
-texts.  At most ``MAX_STEMS`` stems are learned.
+texts.  A stem stands in a fiftieth of the toxic texts at least, so there are at most fifty times as many as
+a toxic text of the sample has prefixes on average; none are cut.
 
 Texts are read whole: one scan with an Aho-Corasick automaton of the stems and
 threat verbs finds candidate clauses, and only these are parsed.
@@ -36,6 +37,7 @@ columns are ignored by ``score`` and kept by ``clean``.
 from __future__ import annotations
 
 import bisect
+import functools
 import math
 import re
 from collections import Counter
@@ -50,29 +52,104 @@ from shoplytics.llm.common import pick, plain
 from shoplytics.llm.language import sample
 
 FIT_ROWS = 3000
-MAX_STEMS = 500
 LONGEST, SHORTEST = 14, 3
 THRESHOLD = 0.3
 
 _TOKEN = re.compile(r"[^\W\d_]+|[\"“”«»]")
 _BREAK = re.compile(r"[.!?;\n]+")
+_CONTRACTED = re.compile(r"n['’]t(?![^\W\d_])")
 
 # Fixed word lists of the grammar, by transducer.
-THREATS = "kill hurt destroy beat shoot stab burn crush töten schlagen tuer frapper matar golpear".split()
+THREATS = frozenset("kill hurt destroy beat shoot stab burn crush töten schlagen tuer frapper matar golpear".split())
 TARGETS = frozenset("you your yours yourself he she they them him her people everyone du dich ihr euch sie vous tu toi eux tú usted ellos ustedes".split())
-NEGATORS = frozenset("not no never isn't aren't wasn't don't nicht kein keine nie pas jamais non nunca jamás ni".split())
+NEGATORS = frozenset("not no never nicht kein keine nie pas jamais non nunca jamás ni".split())
 REPORTING = frozenset("said says say called wrote quoted reported claimed sagte schrieb dit écrit dijo escribió".split())
+ARMING = frozenset("i we will ich wir je nous yo".split())
 QUOTES = frozenset("\"“”«»")
 
+# Symbols between the transducers.
+TARGETED, UNTARGETED = "targeted", "untargeted"
+QUOTE, NEGATOR, SAYING, ARM, VIOLENCE, VIOLENCE_STEM, STEM, OTHER = (
+    "quote", "negator", "saying", "arm", "violence", "violence+stem", "stem", "other")
+THREAT, INSULT = "threat", "insult"
+WORDS = (QUOTE, NEGATOR, SAYING, ARM, VIOLENCE, VIOLENCE_STEM, STEM, OTHER)
+THREAT_WEIGHT = 3.0
+
+Machine = dict[tuple, dict]  # state -> symbol -> (state, symbol)
+
+
+def _machine(states, step, symbols) -> Machine:
+    """The table of a transducer; a symbol for which ``step`` gives nothing passes unchanged."""
+    return {q: {x: step(q, x) or (q, x) for x in symbols} for q in states}
+
+
+def threat_machine() -> Machine:
+    """States (targeted, armed); start (0, 0)."""
+    def step(q, x):
+        targeted, armed = q
+        if x in (TARGETED, UNTARGETED):
+            return (int(x == TARGETED), armed), x
+        if x == ARM:
+            return (targeted, 1), x
+        if x in (VIOLENCE, VIOLENCE_STEM):
+            return q, THREAT if targeted and armed else STEM if x == VIOLENCE_STEM else OTHER
+    return _machine([(t, a) for t in (0, 1) for a in (0, 1)], step, (TARGETED, UNTARGETED, *WORDS))
+
+
+def insult_machine() -> Machine:
+    """One state: the stem was found by the trie of stems."""
+    return _machine([()], lambda q, x: (q, INSULT) if x == STEM else None,
+                    (TARGETED, UNTARGETED, QUOTE, NEGATOR, SAYING, ARM, STEM, OTHER, THREAT))
+
+
+_MATCHES = (THREAT, INSULT)
+
+
+def negation_machine() -> Machine:
+    """States: a negator was read or not; start 0.  Matches become (match, negated)."""
+    def step(q, x):
+        return (1, x) if x == NEGATOR else (q, (x, q)) if x in _MATCHES else None
+    return _machine([0, 1], step, (TARGETED, UNTARGETED, QUOTE, NEGATOR, SAYING, ARM, OTHER, *_MATCHES))
+
+
+def reported_machine() -> Machine:
+    """States (targeted, said, quoted); start (0, 0, 0).  A match comes out with its whole context."""
+    def step(q, x):
+        targeted, said, quoted = q
+        if x in (TARGETED, UNTARGETED):
+            return (int(x == TARGETED), said, quoted), x
+        if x == SAYING:
+            return (targeted, 1, quoted), x
+        if x == QUOTE:
+            return (targeted, said, 1 - quoted), x
+        if isinstance(x, tuple):
+            return q, (int(x[0] == THREAT), x[1], int(said or quoted), targeted)
+    matches = [(m, n) for m in _MATCHES for n in (0, 1)]
+    return _machine([(t, s, d) for t in (0, 1) for s in (0, 1) for d in (0, 1)], step,
+                    (TARGETED, UNTARGETED, QUOTE, NEGATOR, SAYING, ARM, OTHER, *matches))
+
+
+def compose(first: Machine, then: Machine) -> Machine:
+    """The transducer that feeds what ``first`` writes to ``then``: states are pairs."""
+    out: Machine = {}
+    for p, arcs in first.items():
+        for q, reads in then.items():
+            out[p, q] = {x: ((p2, reads[y][0]), reads[y][1]) for x, (p2, y) in arcs.items()}
+    return out
+
+
+GRAMMAR = functools.reduce(compose, (threat_machine(), insult_machine(), negation_machine(), reported_machine()))
+START = ((((0, 0), ()), 0), (0, 0, 0))
+
 
 class Grammar:
     """The composed transducers with learned stems, context factors and bias."""
 
     def __init__(self, stems: dict[str, float]):
         self.stems = stems
-        self.factor = {c: 1.0 for c in ((n, r, t) for n in (0, 1) for r in (0, 1) for t in (0, 1))}
+        self.factor = {(k, n, r, t): 1.0 for k in (0, 1) for n in (0, 1) for r in (0, 1) for t in (0, 1) if t or not k}
         self.bias, self.unit = -4.0, 1.0
-        words = sorted(set(stems) | set(THREATS))
+        words = sorted(set(stems) | THREATS)
         self.scan = ahocorasick.Automaton() if words else None
         for w in words:
             self.scan.add_word(w, len(w))
@@ -99,24 +176,26 @@ class Grammar:
             if matches:
                 yield low[a:done], matches
 
+    def symbol(self, token: str) -> tuple[str, float]:
+        """The word class of a token, and its stem's weight."""
+        for words, x in ((QUOTES, QUOTE), (NEGATORS, NEGATOR), (REPORTING, SAYING), (ARMING, ARM)):
+            if token in words:
+                return x, 0.0
+        weight = self.stem(token)
+        if token in THREATS:
+            return (VIOLENCE_STEM if weight else VIOLENCE), weight
+        return (STEM if weight else OTHER), weight
+
     def read(self, clause: str) -> Iterator[tuple[tuple, float]]:
         """The composed machine over one clause: (context, weight) of each match."""
-        tokens = _TOKEN.findall(clause)
-        targeted = int(any(t in TARGETS for t in tokens))
-        negated = reported = quoted = first = 0
+        tokens = _TOKEN.findall(_CONTRACTED.sub(" not", clause))
+        mark = TARGETED if any(t in TARGETS for t in tokens) else UNTARGETED
+        state, _ = GRAMMAR[START][mark]
         for t in tokens:
-            if t in QUOTES:
-                quoted = 1 - quoted
-            elif t in NEGATORS:
-                negated = 1
-            elif t in REPORTING:
-                reported = 1
-            elif t in ("i", "we", "will", "ich", "wir", "je", "nous", "yo"):
-                first = 1
-            elif first and targeted and t in THREATS:
-                yield (negated, int(reported or quoted), targeted), 3.0
-            elif w := self.stem(t):
-                yield (negated, int(reported or quoted), targeted), w
+            x, weight = self.symbol(t)
+            state, out = GRAMMAR[state][x]
+            if isinstance(out, tuple):
+                yield out, THREAT_WEIGHT if out[0] else weight
 
     def stem(self, token: str) -> float:
         for n in range(SHORTEST, min(len(token), LONGEST) + 1):
@@ -163,7 +242,7 @@ class Grammar:
 
     @staticmethod
     def prior(context: tuple) -> float:
-        negated, reported, targeted = context
+        _, negated, reported, targeted = context
         return 0.9 * (0.5 if negated else 1) * (0.6 if reported else 1) * (1 if targeted else 0.95)
 
 
@@ -199,7 +278,7 @@ def learn_stems(rows: DataFrame, n_toxic: int, n_clean: int) -> dict[str, float]
     odds = F.log((F.col("toxic") + 0.5) / (n_toxic + 1)) - F.log((F.col("clean") + 0.5) / (n_clean + 1))
     # A mark of toxic texts: enough of them, and thirty times the share of clean texts.
     found = (_prefix_counts(rows).filter(F.col("toxic") >= least).withColumn("odds", odds)
-             .filter(F.col("odds") > math.log(30)).orderBy(F.desc("toxic"), "prefix").limit(20 * MAX_STEMS).collect())
+             .filter(F.col("odds") > math.log(30)).collect())
     by = {r.prefix: r for r in found}
     longer: dict[str, int] = {}
     for p, r in by.items():
@@ -207,8 +286,7 @@ def learn_stems(rows: DataFrame, n_toxic: int, n_clean: int) -> dict[str, float]
     # Go on while one longer prefix holds nearly all the texts; then stop, and leave its extensions out.
     ends = {p for p, r in by.items() if longer.get(p, 0) < 0.9 * r.toxic}
     stems = {p: by[p].odds for p in ends if not any(p[:n] in ends for n in range(SHORTEST, len(p)))}
-    best = sorted(stems, key=lambda p: (-by[p].toxic, p))[:MAX_STEMS]
-    return {p: round(stems[p], 4) for p in best}
+    return {p: round(stems[p], 4) for p in sorted(stems)}
 
 
 def held_out(doc_id: str = "doc_id"):
@@ -250,7 +328,7 @@ def score(docs: DataFrame, grammar: Grammar | None) -> DataFrame:
 
 
 def scorer(docs: DataFrame, grammar: Grammar | None):
-    shared = docs.sparkSession.sparkContext.broadcast(grammar)  # at most MAX_STEMS stems
+    shared = docs.sparkSession.sparkContext.broadcast(grammar)  # its stems; their bound is above
 
     @F.pandas_udf("double")
     def run(texts: pd.Series) -> pd.Series:

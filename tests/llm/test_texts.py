@@ -194,6 +194,60 @@ def test_grammar_scores_clauses_not_words():
     assert g.score("idiotically, idiots") > g.score("subidiot")
 
 
+def test_contractions_are_negations():
+    g = grammar()
+    for a, b in (("he isn't an idiot", "he is not an idiot"), ("they aren’t scum", "they are not scum"), ("i won't kill you", "i will not kill you")):
+        assert g.score(a) == g.score(b) < g.score(b.replace("not ", ""))
+    assert list(g.read("the ant's idiot")) == [((0, 0, 0, 0), 6.0)]
+
+
+def _contexts(tokens, stems):
+    """The matches of a clause, each from all that stands before it."""
+    out = []
+    targeted = any(t in toxicity.TARGETS for t in tokens)
+    special = toxicity.QUOTES | toxicity.NEGATORS | toxicity.REPORTING | toxicity.ARMING
+    for i, t in enumerate(tokens):
+        before = tokens[:i]
+        context = (int(any(b in toxicity.NEGATORS for b in before)),
+                   int(any(b in toxicity.REPORTING for b in before) or sum(b in toxicity.QUOTES for b in before) % 2), int(targeted))
+        if t in special:
+            continue
+        if t in toxicity.THREATS and targeted and any(b in toxicity.ARMING for b in before):
+            out.append(((1, *context), toxicity.THREAT_WEIGHT))
+        elif any(t.startswith(s) for s in stems):
+            out.append(((0, *context), max(w for s, w in stems.items() if t.startswith(s))))
+    return out
+
+
+def test_the_composed_machine_equals_its_definition():
+    stems = {"idiot": 6.0, "crush": 2.0, "you": 1.0}
+    g = toxicity.Grammar(stems)
+    words = ["idiots", "crush", "kill", "you", "not", "said", '"', "i", "will", "stone", "never", "them"]
+    rng = random.Random(7)
+    for _ in range(3000):
+        tokens = [rng.choice(words) for _ in range(rng.randrange(9))]
+        assert list(g.read(" ".join(tokens))) == _contexts(tokens, stems)
+
+
+def test_composition_is_one_machine_after_the_other():
+    machines = (toxicity.threat_machine(), toxicity.insult_machine(), toxicity.negation_machine(), toxicity.reported_machine())
+    rng = random.Random(8)
+    for _ in range(500):
+        symbols = [rng.choice((toxicity.TARGETED, toxicity.UNTARGETED))] + [rng.choice(toxicity.WORDS) for _ in range(10)]
+        states, whole = [(0, 0), (), 0, (0, 0, 0)], toxicity.START
+        for x in symbols:
+            whole, got = toxicity.GRAMMAR[whole][x]
+            for i, m in enumerate(machines):
+                states[i], x = m[states[i]][x]
+            assert x == got
+
+
+def test_personal_data_query_returns_scores(spark):
+    from shoplytics.llm import queries
+    got = queries.QUERIES["op6_pii"](spark, "/root/testdata/sf0.001").collect()
+    assert all(len(r.scores) == (len(r.spans.split(",")) if r.spans else 0) for r in got) and any(r.scores for r in got)
+
+
 def test_toxicity_cases(spark):
     made = [(i, f"you utter snark{'abc'[i % 3]} and fool of words number{i}" if i % 3 == 0 else f"a kind text with words number{i}") for i in range(120)]
     labels = spark.createDataFrame([(i, 1, int(i % 3 == 0)) for i in range(120)] + [(5, 1, 0), (None, 1, 1), (7, None, None)], "doc_id long, quality int, toxic int")
