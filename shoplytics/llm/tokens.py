@@ -192,6 +192,7 @@ class _Remembered(dict):
 _LATIN = "\u0250"
 #: ASCII signs: behind a word they are one pre-token.
 _SIGNS = string.punctuation
+_PACKS = [struct.Struct(f"<{n}I") for n in range(17)]
 _CLOSE = re.compile(r" (?<=\s )")
 _BETWEEN = re.compile(r"(?<!\s)(?= )")
 
@@ -223,13 +224,15 @@ class _Encoder:
         """One pre-token, through the tokenizer's model alone."""
         marked = "\u0120" + word[1:] if word[0] == " " and word.isascii() else "".join(map(self.sign.__getitem__, word))
         tokens = self.model.tokenize(marked)
-        return struct.pack(f"<{len(tokens)}I", *[t.id for t in tokens])
+        n = len(tokens)
+        return (_PACKS[n] if n < len(_PACKS) else struct.Struct(f"<{n}I")).pack(*[t.id for t in tokens])
 
     def _word(self, space: str, word: str) -> bytes | None:
         """``space`` (one, or none) and a word of Latin letters with signs behind it; None for anything else."""
         bare = word.rstrip(_SIGNS)
-        if bare.isalpha() and max(bare) < _LATIN:
-            return self.single[space + bare] + (self.single[word[len(bare):]] if len(bare) < len(word) else b"")
+        if bare.isalpha() and (bare.isascii() or max(bare) < _LATIN):
+            ids = self.single[space + bare]
+            return ids if len(bare) == len(word) else ids + self.single[word[len(bare):]]
 
     def _behind(self, rest: str) -> bytes:
         """A space and ``rest``, which holds none."""
@@ -247,7 +250,8 @@ class _Encoder:
         if _CLOSE.search(text):
             return b"".join(map(self.piece.__getitem__, _BETWEEN.split(text)))
         first, *rest = text.split(" ")
-        return self._library(first) + b"".join(map(self.behind.__getitem__, rest))
+        begin = self.piece[first] if len(first) < 64 else self._library(first)
+        return begin + b"".join(map(self.behind.__getitem__, rest))
 
 
 _ENCODERS: dict[tuple, _Encoder] = {}

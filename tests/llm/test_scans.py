@@ -246,6 +246,14 @@ def test_forgetting_pieces_changes_nothing(monkeypatch):
     assert [np.frombuffer(encode(t), "<u4").tolist() for t in texts * 2] == _plain_ids(texts * 2)
 
 
+def test_texts_that_begin_alike_ask_the_library_once(monkeypatch):
+    asked, library = [], tokens._Encoder._library
+    monkeypatch.setattr(tokens._Encoder, "_library", lambda self, text: asked.append(text) or library(self, text))
+    encode, texts = tokens._Encoder(PATH, False), [f"Once {x}" for x in ("one", "two", "three")] + ["中" * 80] * 2
+    assert [np.frombuffer(encode(t), "<u4").tolist() for t in texts] == _plain_ids(texts)
+    assert asked == ["Once", "中" * 80, "中" * 80]
+
+
 def test_other_tokenizers_get_whole_texts():
     path = public_tokenizers.path("word_bpe_49k.json")
     encode = tokens._encoder(path, False)
