@@ -21,11 +21,14 @@ never read.  Manifest rows (one a file) are numbered by a two-level running sum,
 every file the position of its first token.
 
 Encoding.  The byte-level pre-tokenizer always starts a pre-token at a space that stands
-behind a character other than white space.  So texts are cut there, the pieces encoded by the
-tokenizers library on their own, and about the last ``REMEMBERED`` distinct ones remembered in
-a worker (some 200 bytes each).  A word of Latin letters is one pre-token, as are the ASCII
-signs behind it: these go to the library's model as they are.  A tokenizer of another kind
-gets whole texts.
+behind a character other than white space.  So texts are cut there, a slice of
+``SLICE_BYTES`` at a time by Arrow; each distinct piece of a slice is encoded once by the
+tokenizers library, about the last ``REMEMBERED`` of them are remembered in a worker (some 200
+bytes each), and the ids of the slice are taken from those of its pieces.  A word of Latin
+letters is one pre-token, as are the ASCII signs behind it and a line break between two such
+words.  If no entry of the vocabulary reaches from one of these into the next, the library's
+model gives the same ids for many such words at once, and the tokens that begin with a space
+say where each starts.  A tokenizer of another kind gets whole texts.
 
 Defined cases: null text is encoded as the empty text, so it has the end id alone; null ids
 come first; rows that repeat a doc_id are documents of their own, in order of the hashes of
@@ -37,12 +40,15 @@ library does by default (``special_as_text=True``: as ordinary text).
 
 from __future__ import annotations
 
+import codecs
+import itertools
 import json
 import re
 import string
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -171,29 +177,52 @@ class TokenFile:
 # --- tokenizer ----------------------------------------------------------------------
 
 class _Remembered(dict):
-    """What ``made`` gives for a key, for about the last ``REMEMBERED`` distinct keys asked."""
+    """What ``made`` gives for a list of keys, for about the last ``REMEMBERED`` distinct keys asked."""
 
     def __init__(self, made):
         super().__init__()
         self.made, self.before = made, {}
 
-    def __missing__(self, key: str) -> bytes:
-        value = self.before.get(key)
-        if value is None:
-            value = self.made(key)
+    def all(self, keys: list[str]) -> list[bytes]:
+        """The values of ``keys``, which are distinct; those of long ones are not kept."""
+        values = list(map(self.get, keys))
+        absent = [i for i, v in enumerate(values) if v is None]
+        asked = [keys[i] for i in absent]
+        found = list(map(self.before.get, asked))
+        new = [i for i, v in enumerate(found) if v is None]
+        for i, v in zip(new, self.made([asked[i] for i in new])):
+            found[i] = v
+        for i, v in zip(absent, found):
+            values[i] = v
+        self.update(zip(asked, found) if max(map(len, asked), default=0) < _LONG else
+                    [(k, v) for k, v in zip(asked, found) if len(k) < _LONG])
         if len(self) >= REMEMBERED // 2:
             self.before = dict(self)
             self.clear()
-        self[key] = value
-        return value
-
-
-#: Letters below this are Latin ones, in one pre-token with the space before them in any version of Unicode.
-_LATIN = "\u0250"
-#: ASCII signs: behind a word they are one pre-token.
-_SIGNS = string.punctuation
-_PACKS = [struct.Struct(f"<{n}I") for n in range(17)]
-_CLOSE = re.compile(r" (?<=\s )")
+        return values
+
+
+#: Keys of so many characters are not remembered.
+_LONG = 64
+#: Text that one column operation takes, in bytes.
+SLICE_BYTES = 8 << 20
+#: New words that the model gets at once.
+_TOGETHER = 32
+#: The symbol that the byte level has for each byte.
+_SHOWN = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+_HIDDEN = [b for b in range(256) if b not in _SHOWN]
+_SYMBOLS = "".join(chr(b) if b in _SHOWN else chr(256 + _HIDDEN.index(b)) for b in range(256))
+_SPACE = _SYMBOLS[0x20]
+#: Letters of Latin script (below U+0250), and ASCII signs: in any version of Unicode a run of either is one pre-token,
+#: the first with the space before it; a line break between such runs is one too.
+_LETTER, _SIGN = "[A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]", f"[{re.escape(string.punctuation)}]"
+_PLAIN = f"^{_LETTER}+{_SIGN}*(?:\n{_LETTER}+{_SIGN}*)*$"
+#: The same letters as UTF-8 bytes read as Latin-1; the last byte of one; where two pre-tokens of plain words meet.
+_BYTES = "(?:[A-Za-z]|\xc2[\xaa\xb5\xba]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]|[\xc4-\xc8][\x80-\xbf]|\xc9[\x80-\x8f])"
+_TAIL = f"(?:{_BYTES}|^[\x80-\xbf])"
+_MEET = re.compile(f"{_TAIL}(?:{_SIGN}|[ \n])|{_SIGN}[ \n]|\n(?:{_BYTES}|[\xc2-\xc9]$)")
+_INSIDE = re.compile(f"{_SIGN}[^{re.escape(string.punctuation)}]")
+_CLOSE = "[\t-\r\x1c-\x20\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000] "
 _BETWEEN = re.compile(r"(?<!\s)(?= )")
 
 
@@ -201,7 +230,7 @@ class _Encoder:
     """Texts to their ids as little-endian 32-bit bytes."""
 
     def __init__(self, path: str, special_as_text: bool):
-        from tokenizers import Tokenizer, pre_tokenizers
+        from tokenizers import Tokenizer
         with open(path, encoding="utf-8") as f:
             made = json.load(f)
         self.tokenizer = Tokenizer.from_file(path)
@@ -212,46 +241,90 @@ class _Encoder:
                      and not any(made.get(k) for k in ("normalizer", "post_processor", "truncation", "padding"))
                      and model.get("type") == "BPE" and not model.get("dropout")
                      and not any(t.get(k) for t in added for k in ("lstrip", "rstrip", "single_word"))
-                     and not any(" " in t["content"] or t["content"].strip(_SIGNS) in ("", t["content"]) for t in added))
-        self.model, signs = self.tokenizer.model, pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        self.sign = _Remembered(lambda c: signs.pre_tokenize_str(c)[0][0])
-        self.single, self.behind, self.piece = map(_Remembered, (self._single, self._behind, self._library))
+                     and not any(" " in t["content"] or t["content"].strip(string.punctuation) in ("", t["content"]) for t in added))
+        self.model, vocab = self.tokenizer.model, model.get("vocab") or {}
+        # The model finds pre-tokens of plain words by itself: no entry reaches over the place where two of them meet.
+        self.joins = (self.cuts and not any(model.get(k) for k in ("ignore_merges", "continuing_subword_prefix", "end_of_word_suffix"))
+                      and all(c in vocab for c in _SYMBOLS) and all(_INSIDE.search(t["content"]) for t in added))
+        if self.joins:
+            shown = str.maketrans({c: chr(b) for b, c in enumerate(_SYMBOLS)})
+            specials = {t["content"] for t in added}
+            self.joins = not any(_MEET.search(t.translate(shown)) for t in vocab if t not in specials)
+            self.begins = np.zeros(1 + max(vocab.values()), dtype=bool)
+            self.begins[[i for t, i in vocab.items() if t.startswith(_SPACE)]] = True
+        self.behind, self.piece = _Remembered(self._behind), _Remembered(lambda texts: list(map(self._library, texts)))
 
     def _library(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    def _single(self, word: str) -> bytes:
-        """One pre-token, through the tokenizer's model alone."""
-        marked = "\u0120" + word[1:] if word[0] == " " and word.isascii() else "".join(map(self.sign.__getitem__, word))
-        tokens = self.model.tokenize(marked)
-        n = len(tokens)
-        return (_PACKS[n] if n < len(_PACKS) else struct.Struct(f"<{n}I")).pack(*[t.id for t in tokens])
-
-    def _word(self, space: str, word: str) -> bytes | None:
-        """``space`` (one, or none) and a word of Latin letters with signs behind it; None for anything else."""
-        bare = word.rstrip(_SIGNS)
-        if bare.isalpha() and (bare.isascii() or max(bare) < _LATIN):
-            ids = self.single[space + bare]
-            return ids if len(bare) == len(word) else ids + self.single[word[len(bare):]]
-
-    def _behind(self, rest: str) -> bytes:
-        """A space and ``rest``, which holds none."""
-        ids = self._word(" ", rest)
-        if ids is None and "\n" in rest:
-            before, _, after = rest.partition("\n")
-            # A line break between two such words is a pre-token of its own.
-            x, y = self._word(" ", before), self._word("", after)
-            ids = x + self.single["\n"] + y if x and y else None
-        return self._library(" " + rest) if ids is None else ids
+    def _behind(self, words: list[str]) -> list[bytes]:
+        """A space and a word, for each of ``words``, which hold none."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
+        out: list = [None] * len(words)
+        plain = np.flatnonzero(pc.match_substring_regex(pa.array(words, pa.large_string()), _PLAIN)).tolist() if self.joins else []
+        ids = array("I")
+        for i in range(0, len(plain), _TOGETHER):
+            text = "".join([" " + words[j] for j in plain[i:i + _TOGETHER]])
+            ids.extend([t.id for t in self.model.tokenize(codecs.charmap_decode(text.encode(), "strict", _SYMBOLS)[0])])
+        coded = np.array(ids, dtype="<u4")
+        # Only the first token of a word begins with a space.
+        at = [*(4 * np.flatnonzero(self.begins[coded])).tolist(), 4 * len(ids)] if plain else [0]
+        if len(at) != len(plain) + 1:
+            raise AssertionError("a plain word without a token that begins it")
+        held = coded.tobytes()
+        for j, lo, hi in zip(plain, at[:-1], at[1:]):
+            out[j] = held[lo:hi]
+        return [self._library(" " + w) if x is None else x for w, x in zip(words, out)]
+
+    def column(self, texts, end: bytes = b"") -> tuple[np.ndarray, np.ndarray]:
+        """The ids of an Arrow column of texts, ``end`` behind each, and where each starts (and the end)."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
+        texts, each = texts.fill_null(""), np.arange(len(texts))
+        if not self.cuts:
+            known, order, starts = [self._library(t) + end for t in texts.to_pylist()], each, each
+        else:
+            apart = pc.match_substring_regex(texts, _CLOSE)
+            split = pc.split_pattern(pc.if_else(apart, pa.scalar("", texts.type), texts), " ")
+            n, words = pc.list_value_length(split).to_numpy(zero_copy_only=False).astype(np.int64), split.flatten()
+            begin = np.cumsum(n) - n
+            # What goes to the library: first words, and whole texts that have spaces behind white space.
+            pieces = [_BETWEEN.split(texts[i].as_py()) if a else [w]
+                      for i, (w, a) in enumerate(zip(words.take(pa.array(begin)).to_pylist(), apart.to_pylist()))]
+            have = list(dict.fromkeys(itertools.chain.from_iterable(pieces)))
+            ids_of = dict(zip(have, self.piece.all(have)))
+            firsts = [b"".join(map(ids_of.__getitem__, x)) for x in pieces]
+            coded = words.dictionary_encode()
+            order = coded.indices.to_numpy(zero_copy_only=False)
+            asked = np.flatnonzero(np.bincount(np.delete(order, begin), minlength=len(coded.dictionary)))
+            known = self.behind.all(coded.dictionary.take(pa.array(asked)).to_numpy(zero_copy_only=False).tolist())
+            place = np.zeros(len(coded.dictionary), dtype=np.int32 if len(order) < 1 << 30 else np.int64)
+            place[asked] = np.arange(len(asked))
+            del split, words, coded, pieces, ids_of
+            order = place[order]
+            order[begin] = len(known) + each
+            order, starts = np.insert(order, begin + n, len(known) + len(each)), begin + each
+            known += [*firsts, end]
+        made = pa.array(known, pa.large_binary()).take(pa.array(order))
+        at = np.frombuffer(made.buffers()[1], dtype=np.int64, count=len(made) + 1) // 4 if len(made) else np.zeros(1, dtype=np.int64)
+        ids = np.frombuffer(made.buffers()[2], dtype="<u4", count=int(at[-1])) if at[-1] else np.zeros(0, dtype="<u4")
+        return ids, at[np.append(starts, len(made))]
 
     def __call__(self, text: str) -> bytes:
-        if not self.cuts:
-            return self._library(text)
-        if _CLOSE.search(text):
-            return b"".join(map(self.piece.__getitem__, _BETWEEN.split(text)))
-        first, *rest = text.split(" ")
-        begin = self.piece[first] if len(first) < 64 else self._library(first)
-        return begin + b"".join(map(self.behind.__getitem__, rest))
+        import pyarrow as pa
+        return self.column(pa.array([text], pa.large_string()))[0].tobytes()
+
+
+def _slices(batch) -> Iterator:
+    """A batch in stretches of rows with about ``SLICE_BYTES`` of text (or one row)."""
+    import pyarrow.compute as pc
+    size = np.cumsum(pc.binary_length(batch.column("text")).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+    lo = 0
+    while lo < len(size):
+        hi = max(lo + 1, int(np.searchsorted(size, (size[lo - 1] if lo else 0) + SLICE_BYTES, "right")))
+        yield batch.slice(lo, hi - lo)
+        lo = hi
 
 
 _ENCODERS: dict[tuple, _Encoder] = {}
@@ -281,26 +354,32 @@ def _writer(folder: str, tokenizer: str, end_id: int | None, special_as_text: bo
         encode, part = _encoder(tokenizer, special_as_text), TaskContext.get().partitionId()
         system, base = _store(folder)
         end = b"" if end_id is None else np.array([end_id], dtype="<u4").tobytes()
-        held: list[tuple[int | None, bytes]] = []
+        held: list[tuple[list[int | None], np.ndarray, np.ndarray]] = []
         size = seq = 0
 
         def close():
             nonlocal held, size, seq
-            ids = np.frombuffer(b"".join(x for _, x in held), dtype="<u4")
-            starts = np.cumsum([0, *[len(x) // 4 for _, x in held]])
+            ids = np.concatenate([x for _, x, _ in held])
+            starts = np.cumsum(np.concatenate([[0], *[n for _, _, n in held]]), dtype=np.int64)
+            docs = [d for have, _, _ in held for d in have]
             name = f"{part:06d}-{seq:05d}-{uuid.uuid4().hex}.dac"
             with system.open_output_stream(f"{base}/{name}") as f:
-                f.write(file_bytes([d for d, _ in held], starts, ids))
+                f.write(file_bytes(docs, starts, ids))
             row = pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "seq": pa.array([seq], pa.int32()), "file": [name],
-                                              "n_docs": [len(held)], "n_tokens": [len(ids)]})
+                                              "n_docs": [len(docs)], "n_tokens": [len(ids)]})
             held, size, seq = [], 0, seq + 1
             return row
 
-        for b in batches:
-            for d, text in zip(b.column("doc_id").to_pylist(), b.column("text")):
-                ids = encode(text.as_py() or "") + end
-                held.append((d, ids))
-                size += len(ids) // 4
+        for b in (s for batch in batches for s in _slices(batch)):
+            docs = b.column("doc_id").to_pylist()
+            ids, at = encode.column(b.column("text"), end)
+            lo = 0
+            while lo < len(docs):
+                # Up to the document that fills the file.
+                hi = min(len(docs), max(lo + 1, int(np.searchsorted(at, at[lo] + file_tokens - size))))
+                held.append((docs[lo:hi], ids[at[lo]:at[hi]], np.diff(at[lo:hi + 1])))
+                size += int(at[hi] - at[lo])
+                lo = hi
                 if size >= file_tokens:
                     yield close()
         if held:

@@ -2,6 +2,7 @@
 
 import hashlib
 import io
+import json
 import math
 import random
 import re
@@ -10,6 +11,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -254,6 +256,68 @@ def test_texts_that_begin_alike_ask_the_library_once(monkeypatch):
     assert asked == ["Once", "中" * 80, "中" * 80]
 
 
+def test_new_words_go_to_the_model_together():
+    class Counted:
+        def __init__(self, model):
+            self.model, self.n = model, 0
+
+        def tokenize(self, text):
+            self.n += 1
+            return self.model.tokenize(text)
+
+    r = np.random.default_rng(12)
+    words = ["".join(r.choice(list("abcdeéüßXYZ"), 9)) + str(r.choice(["", ",", ".\nAnd", "'s", "!?"])) for _ in range(2000)]
+    texts = [" ".join(r.choice(words, 400)) for _ in range(40)]
+    encode = tokens._Encoder(PATH, False)
+    encode.model = Counted(encode.model)
+    assert encode.joins
+    for t, ids in zip(texts, _plain_ids(texts)):
+        assert np.frombuffer(encode(t), "<u4").tolist() == ids
+    assert 0 < encode.model.n <= len(words) / 8
+    encode = tokens._Encoder(PATH, False)
+    encode.model = Counted(encode.model)
+    ids, at = encode.column(pa.array(texts), np.array([2], "<u4").tobytes())
+    assert [ids[lo:hi].tolist() for lo, hi in zip(at[:-1], at[1:])] == [x + [2] for x in _plain_ids(texts)]
+    assert 0 < encode.model.n <= len(words) / 16
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.none() | st.lists(st.sampled_from(_PIECES), max_size=12).map("".join), max_size=6), st.sampled_from([b"", b"\2\0\0\0"]))
+def test_columns_encode_as_their_texts(texts, end):
+    for kind in (pa.string(), pa.large_string()):
+        ids, at = tokens._encoder(PATH, False).column(pa.array(["x", *texts], kind).slice(1), end)
+        assert len(at) == len(texts) + 1 and at[0] == 0 and at[-1] == len(ids)
+        assert [ids[lo:hi].tolist() for lo, hi in zip(at[:-1], at[1:])] == [x + [2] * (end != b"") for x in _plain_ids(texts)]
+
+
+def test_white_space_is_pythons():
+    for c in map(chr, range(0x3100)):
+        assert bool(re.match(tokens._CLOSE, c + " ")) == c.isspace()
+
+
+@pytest.mark.parametrize("entry", ["a,", "\u0120a,", "a\u0120", ",\u0120", "a\u010a", "\u010aa", "\u00a9,"])
+def test_words_are_not_joined_where_an_entry_reaches_over(entry, tmp_path):
+    with open(PATH, encoding="utf-8") as f:
+        made = json.load(f)
+    made["model"]["vocab"][entry] = 1 + max(made["model"]["vocab"].values())
+    if len(entry) == 2:
+        made["model"]["merges"].insert(0, list(entry) if isinstance(made["model"]["merges"][0], list) else " ".join(entry))
+    path = str(tmp_path / "made.json")
+    with open(path, "w", encoding="utf-8") as f:
+        json.dump(made, f)
+    encode, text = tokens._Encoder(path, False), "Ba, a,\na a é, a a\nab"
+    assert not encode.joins
+    assert np.frombuffer(encode(text), "<u4").tolist() == Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids
+
+
+def test_slices_hold_every_row_once(monkeypatch):
+    monkeypatch.setattr(tokens, "SLICE_BYTES", 10)
+    texts = ["abc", None, "", "a" * 30, "x" * 10, "y", "é" * 5, "z"]
+    got = list(tokens._slices(pa.RecordBatch.from_pydict({"text": pa.array(texts)})))
+    assert [x for b in got for x in b.column("text").to_pylist()] == texts
+    assert all(sum(len((x or "").encode()) for x in b.column("text").to_pylist()) <= 10 or len(b) == 1 for b in got) and len(got) < len(texts)
+
+
 def test_other_tokenizers_get_whole_texts():
     path = public_tokenizers.path("word_bpe_49k.json")
     encode = tokens._encoder(path, False)
