@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from shoplytics.operators import search as se
 from shoplytics.plans.catalog import HARVEST_SQL, catalog_snapshot
 from shoplytics.plans.registry import register
+from shoplytics.session import stored
 from shoplytics.sources import bindings
 from shoplytics.sources.tables import table
 from shoplytics.streaming.runner import scratch
@@ -154,11 +155,8 @@ def _query_terms(spark, sf_dir, analyze_query: bool = False):
 
 def _index(spark, sf_dir, q_terms):
     """The stored index of the terms that some query uses (posting lists kept whole: exact)."""
-    path = scratch(spark, "term-index")
     items = bindings.described_items(spark, sf_dir)
-    index = se.item_index(items, se.DEFAULT_PAGE_SIZE, pairs=se.uses_pairs(q_terms))
-    se.used_postings(index, q_terms).write.option("compression", "zstd").parquet(path)
-    return spark.read.parquet(path)
+    return stored(se.item_index(items, se.DEFAULT_PAGE_SIZE, pairs=se.uses_pairs(q_terms), used=q_terms), "term-index")
 
 
 def _first_page(q_terms, index):
@@ -184,7 +182,7 @@ def search_first_page(spark, sf_dir):
     Query pieces meet the stemmed index as they are.  Totals come from united
     posting lists and the page from each term's first 20 items, so no
     (query, item) pair set is built."""
-    qt = _query_terms(spark, sf_dir)
+    qt = stored(_query_terms(spark, sf_dir), "query-terms")
     return _first_page(qt, _index(spark, sf_dir, qt))
 
 

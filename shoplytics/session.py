@@ -9,9 +9,11 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
+from contextlib import contextmanager
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings every job relies on.  AQE re-plans joins and coalesces shuffle
 # partitions at runtime; skew-join splitting protects against a hot key.
@@ -74,6 +76,42 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def shuffles_freed(spark: SparkSession):
+    """Shuffle files of the queries run inside go when a query ends, not when the driver happens to
+    collect its garbage."""
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A fresh folder name under the shared checkpoint folder (unique by
+    construction, so it works the same on a distributed file system or an
+    object store, where a local existence check would see nothing)."""
+    base = checkpoint_dir(spark).rstrip("/")
+    return f"{base}/{name}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, name: str, by: tuple[str, ...] = (), **options: str) -> DataFrame:
+    """``df`` written to a fresh table of the shared folder, in folders by ``by``, and read back; its
+    shuffles hold no disk any more."""
+    path = scratch(df.sparkSession, name)
+    append(df, path, by, **options)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def append(df: DataFrame, path: str, by: tuple[str, ...] = (), **options: str) -> None:
+    with shuffles_freed(df.sparkSession):
+        df.write.mode("append").option("compression", "zstd").options(**options).partitionBy(*by).parquet(path)
+
+
 _SHIPPED = "spark.shoplytics.pyfiles"
 
 

@@ -10,14 +10,13 @@ as a batch DataFrame without passing through the driver.
 from __future__ import annotations
 
 import os
-import uuid
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from shoplytics.session import checkpoint_dir
+from shoplytics.session import scratch
 
 Job = Callable[[DataFrame], DataFrame]
 
@@ -42,14 +41,6 @@ def start(source: DataFrame, job: Job, fmt: str = "console", mode: str = "update
     return w.start()
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh folder name under the shared checkpoint folder (unique by
-    construction, so it works the same on a distributed file system or an
-    object store, where a local existence check would see nothing)."""
-    base = checkpoint_dir(spark).rstrip("/")
-    return f"{base}/{name}-{uuid.uuid4().hex}"
-
-
 def run_to_table(source: DataFrame, job: Job, keys: Sequence[str], out_dir: str,
                  checkpoint: str, mode: str = "update") -> DataFrame:
     """Run ``job`` over everything available, writing each micro-batch's
