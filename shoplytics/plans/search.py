@@ -191,7 +191,7 @@ def search_first_page(spark, sf_dir):
 def search_analyzed_first_page(spark, sf_dir):
     """The same searches with analyzed queries: a query's stemmed words and word
     pairs meet the stemmed index, so that other forms of a word are found."""
-    qt = _query_terms(spark, sf_dir, analyze_query=True)
+    qt = stored(_query_terms(spark, sf_dir, analyze_query=True), "query-terms")
     return _first_page(qt, _index(spark, sf_dir, qt))
 
 

@@ -107,6 +107,12 @@ def stored(df: DataFrame, name: str, by: tuple[str, ...] = (), **options: str) -
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def drop(spark: SparkSession, path: str) -> None:
+    """Delete a :func:`scratch` folder that nothing reads any more."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def append(df: DataFrame, path: str, by: tuple[str, ...] = (), **options: str) -> None:
     with shuffles_freed(df.sparkSession):
         df.write.mode("append").option("compression", "zstd").options(**options).partitionBy(*by).parquet(path)
