@@ -319,5 +319,5 @@ def search_first_page_indexed(spark, sf_dir):
     query terms - the serving path for many query batches."""
     path = scratch(spark, "term-index")
     se.store_index(se.item_index(bindings.described_items(spark, sf_dir), se.DEFAULT_PAGE_SIZE), path)
-    qt = _query_terms(spark, sf_dir)
-    return _first_page(qt, se.read_index(spark, path, qt))
+    qt = stored(_query_terms(spark, sf_dir), "query-terms")
+    return _first_page(qt, stored(se.read_index(spark, path, qt), "used-index"))
